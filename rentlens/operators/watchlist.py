@@ -11,9 +11,6 @@ from rentlens.functions import text as T
 
 # Ranking of match results and what each one means.
 STATUS_RANK = {"MATCH_HIGH": 3, "MATCH_NAME_ONLY": 2, "UNKNOWN": 1, "NO_MATCH": 0}
-CHECK_TYPES = {
-    "PERSON_COLUMNS": ("name", "age", "address", "return_debt_amount", "default_days", "enforcement_count", "posted_date"),
-}
 
 
 def clean_watchlist(raw: DataFrame, loaded_at: Column | None = None) -> DataFrame:

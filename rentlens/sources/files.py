@@ -57,22 +57,26 @@ def read_table(spark: SparkSession, url: str, table: str, **options: str) -> Dat
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def typed(df: DataFrame, schema: TY.StructType) -> DataFrame:
-    """Columns of a schema, in order, cast strictly."""
+def typed(df: DataFrame, ddl: str) -> DataFrame:
+    """Columns of a stored table's schema, in order, cast strictly."""
+    schema = TY.StructType.fromDDL(ddl)
     return require_columns(df, schema.fieldNames()).select(
         *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 # Stored tables of the engine.
-PRICE_INDEX = TY.StructType.fromDDL(
+PRICE_INDEX = (
     "transaction_type string, housing_type string, region_path string, region_name string, size_band string, "
     "base_month string, feature_name string, value double")
-FUNDING_RATE = TY.StructType.fromDDL("publication_date date, target_month string, value double")
-MORTGAGE_RATE = TY.StructType.fromDDL("contract_month string, base_month string, value double, provisional boolean")
-MACRO = TY.StructType.fromDDL("contract_month string, base_month string, feature_name string, value double, provisional boolean")
-PROPERTY_REFERENCE = TY.StructType.fromDDL(
+FUNDING_RATE = (
+    "publication_date date, target_month string, value double")
+MORTGAGE_RATE = (
+    "contract_month string, base_month string, value double, provisional boolean")
+MACRO = (
+    "contract_month string, base_month string, feature_name string, value double, provisional boolean")
+PROPERTY_REFERENCE = (
     "district string, bun string, ji string, housing_type string, model_name string, source_building_name string, "
     "sample_count bigint")
-WATCHLIST = TY.StructType.fromDDL(
+WATCHLIST = (
     "name string, age int, address string, address_sigungu string, return_debt_amount bigint, default_days int, "
     "enforcement_count int, posted_date date, crawled_at timestamp")
