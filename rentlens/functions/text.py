@@ -327,23 +327,33 @@ def share_fraction(share: Column, page: Column) -> Column:
     ).when(supported, strip(share))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; inside a lambda, Spark would
+    otherwise compute it again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def excerpt(page: Column, values: list[Column]) -> Column:
     """Lines holding one of the values, with a neighbour on each side, joined by ' | '.
 
     Only the first line that holds a value counts for that value.
     """
     lines = F.filter(F.transform(F.split(page, r"\r?\n|\r"), strip), lambda s: s != "")
+    forms = F.transform(lines, lambda s: F.struct(s.alias("s"), canonical(s).alias("c"), digits(s).alias("d")))
+    keys = F.filter(
+        F.array(*[F.struct(canonical(v).alias("c"), digits(v).alias("d")) for v in values]),
+        lambda k: (k["c"] != "") | (F.length(k["d"]) >= 2))
+
+    def holds(line: Column, key: Column) -> Column:
+        return ((key["c"] != "") & F.contains(line["c"], key["c"])) | (
+            (F.length(key["d"]) >= 2) & F.contains(line["d"], key["d"]))
 
-    def first_hit(value: Column) -> Column:
-        canon, number = canonical(value), digits(value)
-        flags = F.transform(lines, lambda s: F.coalesce(
-            ((canon != "") & F.contains(canonical(s), canon))
-            | ((F.length(number) >= 2) & F.contains(digits(s), number)), F.lit(False)))
-        return F.when(value.isNotNull() & (value != ""), F.array_position(flags, F.lit(True))).otherwise(0)
+    def around(v: Column) -> Column:
+        hits = F.transform(v["keys"], lambda k: F.array_position(F.transform(v["lines"], lambda x: holds(x, k)), F.lit(True)))
+        return let(F.filter(hits, lambda h: h > 0), lambda found: F.array_join(F.transform(
+            F.filter(v["lines"], lambda x, i: F.exists(found, lambda h: F.abs(h - 1 - i) <= 1)), lambda x: x["s"]), " | "))
 
-    hits = F.filter(F.array(*[F.coalesce(first_hit(v), F.lit(0)).cast("int") for v in values]), lambda i: i > 0)
-    near = F.filter(lines, lambda s, i: F.exists(hits, lambda h: F.abs(h - 1 - i) <= 1))
-    return F.array_join(near, " | ")
+    return let(F.struct(forms.alias("lines"), keys.alias("keys")), around)
 
 
 # ---- display ---------------------------------------------------------------

@@ -30,18 +30,21 @@ def next_pages(pages: DataFrame) -> DataFrame:
 
 
 def page_spans(pages: DataFrame) -> DataFrame:
-    """Single pages and pairs of neighbouring pages with their text forms."""
-    p = next_pages(pages)
-    one = p.select("doc_id", F.col("page_no").alias("first_page"), F.lit(1).alias("n_pages"),
-                   F.col("text").alias("text_1"), F.lit(None).cast("string").alias("text_2"))
-    two = p.where(F.col("next_text").isNotNull()).select(
-        "doc_id", F.col("page_no").alias("first_page"), F.lit(2).alias("n_pages"),
-        F.col("text").alias("text_1"), F.col("next_text").alias("text_2"))
-    both = one.unionByName(two).withColumn("text", F.concat_ws("\n", "text_1", "text_2"))
-    return both.withColumns({
-        "canon": T.canonical(F.col("text")), "nosep": T.without_separators(F.col("text")),
-        "heads": T.line_heads(F.col("text")), "split_heads": T.split_heads(F.col("text")),
-    })
+    """Single pages and pairs of neighbouring pages with their text forms.
+
+    A pair's forms are its pages' forms put together, so each page is normalised once.
+    """
+    p = page_forms(pages)
+    after = p.select("doc_id", (F.col("page_no") - 1).alias("page_no"),
+                     *[F.col(c).alias(f"next_{c}") for c in ("text", "canon", "nosep")])
+    both = p.join(after, ["doc_id", "page_no"], "left")
+    none = F.lit(None).cast("string")
+    one = F.struct(F.lit(1).alias("n_pages"), F.col("text").alias("text_1"), none.alias("text_2"), "canon", "nosep")
+    two = F.when(F.col("next_text").isNotNull(), F.struct(
+        F.lit(2).alias("n_pages"), F.col("text").alias("text_1"), F.col("next_text").alias("text_2"),
+        F.concat("canon", "next_canon").alias("canon"), F.concat("nosep", "next_nosep").alias("nosep")))
+    spans = F.filter(F.array(one, two), lambda s: s.isNotNull())
+    return both.select("doc_id", F.col("page_no").alias("first_page"), F.inline(spans))
 
 
 def join_pages(pages: DataFrame) -> DataFrame:
@@ -93,10 +96,13 @@ def locate_rights(rights: DataFrame, pages: DataFrame, sections: DataFrame, sect
     ``sections``: doc_id, gap_text, eul_text. Adds first_page, n_pages, score,
     raw_text, rank_found and target_found (the supported target ranks).
     """
-    r = with_targets(rights).join(sections, "doc_id")
-    section = F.when(F.col("section") == section_names[0], F.col("gap_text")).otherwise(F.col("eul_text"))
-    r = r.withColumn("_section", section).where(F.col("_section").isNotNull() & (F.col("purpose") != ""))
-    r = r.withColumns({"_sc": T.canonical(F.col("_section")), "_sn": T.without_separators(F.col("_section"))})
+    # Section forms are computed once per document, not once per right.
+    forms = F.array(*[
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(n).alias("section"), T.canonical(F.col(c)).alias("_sc"),
+                                             T.without_separators(F.col(c)).alias("_sn")))
+        for n, c in zip(section_names, ("gap_text", "eul_text"))])
+    texts = sections.select("doc_id", F.inline(F.filter(forms, lambda s: s.isNotNull())))
+    r = with_targets(rights).where(F.col("purpose") != "").join(texts, ["doc_id", "section"])
     r = r.where(T.purpose_supported(F.col("purpose"), F.col("_sc"), F.col("_sn"), markers))
     canon = T.canonical(F.col("purpose"))
     amount_text = F.when(F.col("amount") != 0, F.col("amount").cast("string"))
@@ -107,7 +113,7 @@ def locate_rights(rights: DataFrame, pages: DataFrame, sections: DataFrame, sect
         "_anchors": F.transform(
             F.filter("target_candidates", lambda t: ~F.startswith(canon, F.concat(T.canonical(t), F.lit("번")))),
             lambda t: F.concat(T.canonical(t), F.lit("번"), canon)),
-    }).drop("_section", "_sc", "_sn", "gap_text", "eul_text")
+    }).drop("_sc", "_sn")
 
     s = page_spans(pages).withColumnRenamed("doc_id", "_doc")
     sup = lambda c, number=False: T.key_supported(
@@ -116,7 +122,8 @@ def locate_rights(rights: DataFrame, pages: DataFrame, sections: DataFrame, sect
     semantic = T.purpose_supported(F.col("purpose"), F.col("canon"), F.col("nosep"), markers)
     receipt_here = F.col("_receipt_ok") & sup("receipt_no")
     cond = (F.col("doc_id") == F.col("_doc")) & (semantic | ((F.col("n_pages") == 1) & receipt_here))
-    j = r.join(s, cond).drop("_doc").withColumns({
+    joined = r.join(s, cond).drop("_doc").withColumn("text", F.concat_ws("\n", "text_1", "text_2"))
+    j = joined.withColumns({
         "_semantic": semantic,
         "_exact": T.key_supported(F.col("_canon"), F.col("_number"), F.col("canon"), F.col("nosep")),
         "_anchored": F.exists("_anchors", lambda a: F.contains(F.col("canon"), a)),
@@ -145,7 +152,7 @@ def locate_rights(rights: DataFrame, pages: DataFrame, sections: DataFrame, sect
         F.when(single, q(at) & rec(at)).otherwise((rec(at) & q(at + 1)) | (rec(at + 1) & q(at))),
     ).otherwise(F.when(single, q(at)).otherwise(q(at) | q(at + 1)))
     amount_ok = F.col("amount").isNull() | sup("_amount", True)
-    rank_ok = T.rank_supported(F.col("rank_no"), F.col("heads"), F.col("split_heads"))
+    rank_ok = T.rank_supported(F.col("rank_no"), T.line_heads(F.col("text")), T.split_heads(F.col("text")))
     targets = F.filter("target_candidates", lambda t: (T.strip(t) != "") & target_supported(
         t, F.col("_canon"), F.col("text"), F.col("_semantic")))
     counted = F.filter("target_candidates", lambda t: target_supported(t, F.col("_canon"), F.col("text"), F.col("_semantic")))

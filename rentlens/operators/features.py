@@ -49,17 +49,33 @@ def read_defaults(spark: SparkSession, path: str) -> DataFrame:
     return models.select("model_key", F.explode("values").alias("feature", "value"))
 
 
-def contract_violations(models: DataFrame) -> DataFrame:
-    """Rule breaches per model as rows (model_key, problem)."""
-    f, c, i = F.col("features"), F.col("categorical_features"), F.col("inactive_features")
+def contract_entries(models: DataFrame) -> DataFrame:
+    """Contract lists as rows (model_key, feature, role); role is active, categorical or inactive."""
+    part = lambda col, role: models.select("model_key", F.explode(col).alias("feature"), F.lit(role).alias("role"))
+    return part("features", "active").unionByName(part("categorical_features", "categorical")).unionByName(
+        part("inactive_features", "inactive"))
+
+
+def contract_violations(entries: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rule breaches per model as rows (model_key, problem).
+
+    ``entries`` as from contract_entries, ``counts``: model_key, feature_count.
+    Roles are counted per feature, then per model; no list is compared whole.
+    """
+    role = lambda r: F.count_if(F.col("role") == r)
+    per = entries.groupBy("model_key", "feature").agg(
+        role("active").alias("a"), role("categorical").alias("c"), role("inactive").alias("i"))
+    m = per.groupBy("model_key").agg(
+        F.sum("a").alias("_n"), F.max(F.col("a") > 1).alias("_dup"), F.max((F.col("c") > 0) & (F.col("a") == 0)).alias("_cat"),
+        F.max((F.col("a") > 0) & (F.col("i") > 0)).alias("_both"))
     none = F.lit(None).cast("string")
     problems = F.filter(F.array(
-        F.when(F.col("feature_count") != F.size(f), "COUNT_MISMATCH").otherwise(none),
-        F.when(F.size(f) != F.size(F.array_distinct(f)), "DUPLICATE_FEATURE").otherwise(none),
-        F.when(F.size(F.array_except(c, f)) > 0, "CATEGORICAL_NOT_ACTIVE").otherwise(none),
-        F.when(F.arrays_overlap(f, i), "ACTIVE_AND_INACTIVE").otherwise(none),
+        F.when(F.col("feature_count") != F.coalesce("_n", F.lit(0)), "COUNT_MISMATCH").otherwise(none),
+        F.when(F.col("_dup"), "DUPLICATE_FEATURE").otherwise(none),
+        F.when(F.col("_cat"), "CATEGORICAL_NOT_ACTIVE").otherwise(none),
+        F.when(F.col("_both"), "ACTIVE_AND_INACTIVE").otherwise(none),
     ), lambda x: x.isNotNull())
-    return models.select("model_key", F.explode(problems).alias("problem"))
+    return counts.join(m, "model_key", "left").select("model_key", F.explode(problems).alias("problem"))
 
 
 def contract_totals(models: DataFrame, model_count: int, feature_total: int) -> DataFrame:

@@ -130,19 +130,22 @@ def select_titles(requests: DataFrame, titles: DataFrame, keys: Sequence[str], o
     unit-building label fit. Requests without one keep null title columns.
 
     ``requests`` carries request_id, building_name and dong_name, ``titles``
-    carries kind, bldNm and dongNm. The first fitting title in ``order`` is taken,
-    by an aggregate, so no request collects its candidates.
+    carries kind, bldNm and dongNm. Equal questions about a parcel are asked once; the
+    first fitting title in ``order`` is taken by an aggregate, so no request collects
+    its candidates.
     """
-    r, t = requests.alias("r"), titles.alias("t")
-    want = dong_key(F.col("r.dong_name"))
-    fits = (F.col("t.kind") == MAIN_BUILDING) & name_matches(F.col("r.building_name"), F.col("t.bldNm")) & (
-        (want == "") | (dong_key(F.col("t.dongNm")) == want))
+    asks = requests.withColumns({
+        "_name": T.name_key(F.col("building_name")), "_dong": dong_key(F.col("dong_name"))})
+    ask_keys = [*keys, "_name", "_dong"]
+    r, t = asks.select(*ask_keys).distinct().alias("r"), titles.alias("t")
+    fits = (F.col("t.kind") == MAIN_BUILDING) & name_matches(F.col("r._name"), F.col("t.bldNm")) & (
+        (F.col("r._dong") == "") | (dong_key(F.col("t.dongNm")) == F.col("r._dong")))
     cond = [F.col(f"r.{k}") == F.col(f"t.{k}") for k in keys]
     others = [c for c in titles.columns if c not in keys]
-    best = r.join(t, [*cond, fits]).groupBy(F.col("r.request_id")).agg(
+    best = r.join(t, [*cond, fits]).groupBy(*[F.col(f"r.{k}") for k in ask_keys]).agg(
         F.min_by(F.struct(*[F.col(f"t.{c}") for c in others]), F.col(f"t.{order}")).alias("title"),
         F.count("*").alias("title_count"))
-    return requests.join(best, "request_id", "left").withColumn(
+    return asks.join(best, ask_keys, "left").drop("_name", "_dong").withColumn(
         "title_status", F.when(F.col("title_count").isNull(), "NOT_FOUND").otherwise("SELECTED"))
 
 

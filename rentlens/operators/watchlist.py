@@ -33,22 +33,27 @@ def match_owners(owners: DataFrame, watchlist: DataFrame, keys: Sequence[str]) -
     """Adds match_status and candidate_count to owners.
 
     HIGH when an entry of the same name has the owner's age at its posting date,
-    NAME_ONLY when only the name fits. The watchlist is reduced to distinct
-    (name, age, posted) before the join, and each owner is reduced by aggregates
-    with map-side combine, so a common name is never collected.
+    NAME_ONLY when only the name fits. Names meet a table with one row per name.
+    The age test runs on distinct (name, id) and distinct (name, age, posted) that
+    share the two-digit birth year, so a name that fills a third of both tables costs
+    no more than the birthdays and posting days of one year.
     """
-    entries = watchlist.groupBy(
-        F.col("name").alias("_name"), F.col("age").alias("_age"), F.col("posted_date").alias("_posted")
-    ).agg(F.count("*").alias("_n"))
+    by_name = watchlist.where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("_candidates"))
+    entries = watchlist.where(F.col("age").isNotNull() & F.col("posted_date").isNotNull()).select(
+        "name", F.col("age").alias("_age"), F.col("posted_date").alias("_posted")).distinct()
+    # An age at a date leaves two possible birth years.
+    entries = entries.withColumn("_yy", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn(
+        "_yy", F.pmod(F.year("_posted") - F.col("_age") - F.col("_yy"), F.lit(100)))
+    probe = owners.where(F.col("jumin_front").rlike("^[0-9]{6}")).select("name", "jumin_front").distinct().withColumn(
+        "_yy", F.substring("jumin_front", 1, 2).cast("int"))
+    fits = T.birth_age(F.col("jumin_front"), F.col("_posted")) == F.col("_age")
+    high = probe.join(entries, ["name", "_yy"]).where(fits).select("name", "jumin_front").distinct().withColumn("_high", F.lit(True))
     named = F.coalesce(F.col("name") != "", F.lit(False))
-    probe = owners.where(named).select(*keys, "name", "jumin_front").distinct()
-    age = T.birth_age(F.col("jumin_front"), F.col("_posted"))
-    fits = (F.coalesce(F.col("jumin_front") != "", F.lit(False))) & F.coalesce(age == F.col("_age"), F.lit(False))
-    hits = probe.join(entries, F.col("name") == F.col("_name")).groupBy(*keys).agg(
-        F.max(fits).alias("_high"), F.sum("_n").alias("_candidates"))
-    status = F.when(F.col("_high"), "MATCH_HIGH").when(F.col("_high").isNotNull(), "MATCH_NAME_ONLY").otherwise("NO_MATCH")
-    return owners.join(hits, list(keys), "left").withColumns({
-        "match_status": status, "candidate_count": F.coalesce("_candidates", F.lit(0))}).drop("_high", "_candidates")
+    out = owners.join(by_name, "name", "left").join(high, ["name", "jumin_front"], "left")
+    status = F.when(~named | F.col("_candidates").isNull(), "NO_MATCH").when(F.col("_high"), "MATCH_HIGH").otherwise("MATCH_NAME_ONLY")
+    return out.withColumns({
+        "match_status": status, "candidate_count": F.when(named, F.coalesce("_candidates", F.lit(0))).otherwise(0),
+    }).drop("_high", "_candidates")
 
 
 def candidate_rows(owners: DataFrame, watchlist: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -142,19 +142,22 @@ CONTRACT = """contract AS (SELECT p_brand || '/' || p_type AS model_key, count(*
   list(CASE WHEN p_partkey % 6 = 0 THEN p_name ELSE 'gone' END) AS inactive_features FROM part GROUP BY 1)"""
 
 
-def contract(spark, d) -> DataFrame:
+def contract(spark, d) -> tuple[DataFrame, DataFrame]:
     k = F.col("p_partkey")
-    return B.table(spark, d, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("model_key")).agg(
-        (F.count("*") - F.when(F.max("p_size") == 50, 1).otherwise(0)).alias("feature_count"), F.collect_list("p_name").alias("features"),
-        F.collect_list(F.when(k % 15 == 0, "other").otherwise(F.col("p_name"))).alias("categorical_features"),
-        F.collect_list(F.when(k % 6 == 0, F.col("p_name")).otherwise("gone")).alias("inactive_features"))
+    p = B.table(spark, d, "part").withColumn("model_key", F.concat_ws("/", "p_brand", "p_type"))
+    roles = F.array(
+        F.struct(F.col("p_name").alias("feature"), F.lit("active").alias("role")),
+        F.struct(F.when(k % 15 == 0, "other").otherwise(F.col("p_name")).alias("feature"), F.lit("categorical").alias("role")),
+        F.struct(F.when(k % 6 == 0, F.col("p_name")).otherwise("gone").alias("feature"), F.lit("inactive").alias("role")))
+    counts = p.groupBy("model_key").agg((F.count("*") - F.when(F.max("p_size") == 50, 1).otherwise(0)).alias("feature_count"))
+    return p.select("model_key", F.inline(roles)), counts
 
 
 @query("contract_checks", "P23 U3", f"""WITH {CONTRACT}
 SELECT model_key, 'COUNT_MISMATCH' AS problem FROM contract WHERE feature_count <> len(features) UNION ALL SELECT model_key, 'DUPLICATE_FEATURE' FROM contract WHERE len(list_distinct(features)) <> len(features)
 UNION ALL SELECT model_key, 'CATEGORICAL_NOT_ACTIVE' FROM contract WHERE NOT list_has_all(features, categorical_features) UNION ALL SELECT model_key, 'ACTIVE_AND_INACTIVE' FROM contract WHERE list_has_any(features, inactive_features)""")
 def contract_checks(spark, d) -> DataFrame:
-    return features.contract_violations(contract(spark, d))
+    return features.contract_violations(*contract(spark, d))
 
 
 # ---- valuation -------------------------------------------------------------
