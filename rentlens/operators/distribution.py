@@ -70,33 +70,6 @@ def exact_percentiles(
     return stats.select(*groups, *[c.alias(n) for n, c in out.items()])
 
 
-def counts_not_above(
-    values: DataFrame, probes: DataFrame, groups: Sequence[str], value: str, probe: str,
-    weight: str | None = None, out: str = "not_above",
-) -> DataFrame:
-    """Distinct (group, probe) with the number of group values <= probe.
-
-    Buckets below the probe's bucket come from running sums over buckets; only
-    values in the probe's own bucket are ordered together with the probes.
-    """
-    w = F.col(weight) if weight else F.lit(1)
-    rows = values.where(F.col(value).isNotNull()).select(
-        *groups, F.col(value).cast("double").alias("_v"), w.cast("long").alias("_c"), F.lit(0).alias("_p"))
-    asks = probes.where(F.col(probe).isNotNull()).select(
-        *groups, F.col(probe).cast("double").alias("_v"), F.lit(0).cast("long").alias("_c"), F.lit(1).alias("_p"))
-    both = rows.unionByName(asks).withColumn("_b", bucket_of(F.col("_v"))).groupBy(*groups, "_b", "_v").agg(
-        F.sum("_c").alias("_c"), F.max("_p").alias("_p"))
-    by_bucket = both.groupBy(*groups, "_b").agg(F.sum("_c").alias("_n"))
-    part = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_b")
-    below = by_bucket.withColumn(
-        "_below", F.coalesce(F.sum("_n").over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_n")
-    on = [*groups, "_b"]
-    inside = Window.partitionBy(*on).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return both.join(below, on).withColumn(out, F.col("_below") + F.sum("_c").over(inside)).where(
-        F.col("_p") == 1).select(*groups, F.col("_v").alias(probe), out)
-
-
 def top_value(df: DataFrame, groups: Sequence[str], value: str, weight: Column | None = None,
               out: str | None = None) -> DataFrame:
     """Most frequent value per group, ties to the smallest value.

@@ -31,9 +31,11 @@ def field_checks(expected: DataFrame, actual: DataFrame, key: str, fields: dict[
     e = expected.select(F.col(key), F.struct(*expected.columns).alias("e"))
     a = actual.select(F.col(key), F.struct(*actual.columns).alias("a"))
     j = e.join(a, key, "left")
+    resolved = F.col("a").isNotNull()
     rows = F.array(*[
-        F.struct(F.lit(n).alias("field"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in fields.items()])
-    return j.select(key, F.col("a").isNotNull().alias("resolved"), F.inline(rows))
+        F.struct(resolved.alias("resolved"), F.lit(n).alias("field"), F.coalesce(c, F.lit(False)).alias("passed"))
+        for n, c in fields.items()])
+    return j.select(key, F.inline(rows))
 
 
 def address_tokens_found(tokens: Column, address: Column) -> Column:

@@ -24,20 +24,24 @@ def page_forms(pages: DataFrame) -> DataFrame:
 
 
 def next_pages(pages: DataFrame) -> DataFrame:
-    """Each page with the text of the page after it (null on the last one)."""
-    after = pages.select("doc_id", (F.col("page_no") - 1).alias("page_no"), F.col("text").alias("next_text"))
-    return pages.join(after, ["doc_id", "page_no"], "left")
+    """Each page with the text of the page after it (null on the last one).
+
+    One shuffle on the document; a window group is one document, at most MAX_PAGES rows.
+    """
+    w = Window.partitionBy("doc_id").orderBy("page_no")
+    return pages.select("doc_id", "page_no", "text").withColumn("next_text", F.lead("text").over(w))
 
 
 def page_spans(pages: DataFrame) -> DataFrame:
     """Single pages and pairs of neighbouring pages with their text forms.
 
-    A pair's forms are its pages' forms put together, so each page is normalised once.
+    The raw text is shuffled once, on the document; forms are built after that, once
+    per page, and a pair's forms are its pages' forms put together. The result keeps
+    the partitioning, so a join on the document moves no page again.
     """
-    p = page_forms(pages)
-    after = p.select("doc_id", (F.col("page_no") - 1).alias("page_no"),
-                     *[F.col(c).alias(f"next_{c}") for c in ("text", "canon", "nosep")])
-    both = p.join(after, ["doc_id", "page_no"], "left")
+    w = Window.partitionBy("doc_id").orderBy("page_no")
+    p = page_forms(pages.select("doc_id", "page_no", "text").repartition("doc_id"))
+    both = p.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("text", "canon", "nosep")})
     none = F.lit(None).cast("string")
     one = F.struct(F.lit(1).alias("n_pages"), F.col("text").alias("text_1"), none.alias("text_2"), "canon", "nosep")
     two = F.when(F.col("next_text").isNotNull(), F.struct(
@@ -106,20 +110,23 @@ def locate_rights(rights: DataFrame, pages: DataFrame, sections: DataFrame, sect
     r = r.where(T.purpose_supported(F.col("purpose"), F.col("_sc"), F.col("_sn"), markers))
     canon = T.canonical(F.col("purpose"))
     amount_text = F.when(F.col("amount") != 0, F.col("amount").cast("string"))
-    has_receipt = F.coalesce(F.col("receipt_no") != "", F.lit(False)) & T.key_supported(
-        T.canonical(F.col("receipt_no")), T.number_key(F.col("receipt_no")), F.col("_sc"), F.col("_sn"))
+    # Value-side keys are built once per right, before it meets any page.
+    checked = ("receipt_no", "registered_at", "holder", "debtor", "joint_collateral_id")
+    keys = {f"_c_{c}": T.canonical(F.col(c)) for c in checked} | {f"_n_{c}": T.number_key(F.col(c)) for c in checked}
     r = r.withColumns({
-        "_receipt_ok": has_receipt, "_canon": canon, "_number": T.number_key(F.col("purpose")), "_amount": amount_text,
+        **keys, "_amount": amount_text, "_c__amount": T.text(amount_text), "_n__amount": T.number_key(amount_text, True),
+        "_canon": canon, "_number": T.number_key(F.col("purpose")),
         "_anchors": F.transform(
             F.filter("target_candidates", lambda t: ~F.startswith(canon, F.concat(T.canonical(t), F.lit("번")))),
             lambda t: F.concat(T.canonical(t), F.lit("번"), canon)),
-    }).drop("_sc", "_sn")
+    })
+    r = r.withColumn("_receipt_ok", F.coalesce(F.col("receipt_no") != "", F.lit(False)) & T.key_supported(
+        F.col("_c_receipt_no"), F.col("_n_receipt_no"), F.col("_sc"), F.col("_sn"))).drop("_sc", "_sn")
 
     s = page_spans(pages).withColumnRenamed("doc_id", "_doc")
-    sup = lambda c, number=False: T.key_supported(
-        T.canonical(F.col(c)), T.number_key(F.col(c), number), F.col("canon"), F.col("nosep"))
+    sup = lambda c: T.key_supported(F.col(f"_c_{c}"), F.col(f"_n_{c}"), F.col("canon"), F.col("nosep"))
     filled = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    semantic = T.purpose_supported(F.col("purpose"), F.col("canon"), F.col("nosep"), markers)
+    semantic = T.purpose_key_supported(F.col("_canon"), F.col("_number"), F.col("canon"), F.col("nosep"), markers)
     receipt_here = F.col("_receipt_ok") & sup("receipt_no")
     cond = (F.col("doc_id") == F.col("_doc")) & (semantic | ((F.col("n_pages") == 1) & receipt_here))
     joined = r.join(s, cond).drop("_doc").withColumn("text", F.concat_ws("\n", "text_1", "text_2"))
@@ -151,7 +158,7 @@ def locate_rights(rights: DataFrame, pages: DataFrame, sections: DataFrame, sect
         F.col("_receipt_ok"),
         F.when(single, q(at) & rec(at)).otherwise((rec(at) & q(at + 1)) | (rec(at + 1) & q(at))),
     ).otherwise(F.when(single, q(at)).otherwise(q(at) | q(at + 1)))
-    amount_ok = F.col("amount").isNull() | sup("_amount", True)
+    amount_ok = F.col("amount").isNull() | sup("_amount")
     rank_ok = T.rank_supported(F.col("rank_no"), T.line_heads(F.col("text")), T.split_heads(F.col("text")))
     targets = F.filter("target_candidates", lambda t: (T.strip(t) != "") & target_supported(
         t, F.col("_canon"), F.col("text"), F.col("_semantic")))
@@ -159,7 +166,7 @@ def locate_rights(rights: DataFrame, pages: DataFrame, sections: DataFrame, sect
     score = (
         F.when(F.col("_receipt_ok"), 10).otherwise(4) + F.when(rank_ok, 2).otherwise(0)
         + _count([filled(c) & sup(c) for c in ("registered_at", "holder", "debtor", "joint_collateral_id")])
-        + _count([F.col("_amount").isNotNull() & sup("_amount", True)]) + F.size(counted)
+        + _count([F.col("_amount").isNotNull() & sup("_amount")]) + F.size(counted)
     )
     j = j.where(candidate & F.col("_semantic") & amount_ok).withColumns(
         {"score": score, "rank_found": F.coalesce(rank_ok, F.lit(False)), "target_found": targets})
