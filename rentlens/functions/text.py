@@ -197,9 +197,8 @@ def target_ranks(purpose: Column) -> Column:
     return F.array_distinct(named)
 
 
-def right_kind(purpose: Column) -> Column:
-    """Kind of a register entry from its purpose text; the order of the tests matters."""
-    c = compact(purpose)
+def right_kind(c: Column) -> Column:
+    """Kind of a register entry from its purpose without spaces; the order of the tests matters."""
     mortgage = c.contains("근저당권")
     expr = (
         F.when(c.contains("말소"), "CANCELLATION")
@@ -392,7 +391,7 @@ def money_label(amount: Column) -> Column:
 
 def rate_label(rate: Column) -> Column:
     return F.when(rate.isNull(), F.lit("확인 필요")).otherwise(
-        F.concat(F.format_number(F.bround(rate * 100, 2), "0.00"), F.lit("%"))
+        F.format_string("%.2f%%", rate * 100)
     )
 
 

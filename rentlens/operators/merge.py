@@ -106,8 +106,9 @@ def greedy_dedupe(claims: DataFrame, signatures: DataFrame, max_rounds: int = 10
     are cut by reliable checkpoints.
     """
     order = F.struct("document_index", "seq", "claim_id")
-    keyed = signatures.join(claims.select("claim_id", "document_index", "seq"), "claim_id").select(
-        "merge_id", "signature", "claim_id", F.col("document_index"), order.alias("pos"))
+    # Everything below is derived from this one stored table.
+    keyed = cut_lineage(signatures.join(claims.select("claim_id", "document_index", "seq"), "claim_id").select(
+        "merge_id", "signature", "claim_id", F.col("document_index"), order.alias("pos")))
     first = keyed.where(F.col("document_index") == 0).select("merge_id", "signature").distinct()
     later = keyed.where(F.col("document_index") > 0)
     hit_first = later.join(first, ["merge_id", "signature"], "left_semi").select("claim_id").distinct()

@@ -27,24 +27,31 @@ SOURCE_MODELS = {
 
 def normalised_rows(raw: DataFrame, housing_type: str, district: str = "시군구", bun: str = "본번",
                     ji: str = "부번", name: str = "단지명") -> DataFrame:
-    """Cleaned keys and name of every source row; rows with an empty part are dropped."""
+    """Cleaned keys and name with a row count; rows with an empty part are dropped.
+
+    Rows are counted by their raw spelling first, so text is cleaned once per
+    spelling and not once per transaction.
+    """
     kind = F.col(housing_type) if housing_type in raw.columns else F.lit(housing_type)
-    out = raw.select(
-        T.squeeze(T.text(F.col(district))).alias("district"), T.lot_number(F.col(bun)).alias("bun"),
-        T.lot_number(F.col(ji)).alias("ji"), kind.alias("housing_type"),
-        T.squeeze(T.text(F.col(name))).alias("model_name"), F.lit("").alias("source_building_name"))
+    spelled = raw.select(
+        F.col(district).alias("district"), F.col(bun).alias("bun"), F.col(ji).alias("ji"), kind.alias("housing_type"),
+        F.col(name).alias("model_name"),
+    ).groupBy("district", "bun", "ji", "housing_type", "model_name").agg(F.count("*").alias("sample_count"))
+    out = spelled.select(
+        T.squeeze(T.text(F.col("district"))).alias("district"), T.lot_number(F.col("bun")).alias("bun"),
+        T.lot_number(F.col("ji")).alias("ji"), "housing_type",
+        T.squeeze(T.text(F.col("model_name"))).alias("model_name"), F.lit("").alias("source_building_name"), "sample_count")
     return out.where((F.col("district") != "") & (F.col("bun") != "") & (F.col("ji") != "") & (F.col("model_name") != ""))
 
 
 def build_reference(sources: Mapping[str, DataFrame]) -> DataFrame:
-    """All sources united, then counted once: map-side combine gives the per-source
-    counts, the shuffle their sum."""
+    """All sources counted, united and summed."""
     parts = [normalised_rows(df, SOURCE_MODELS[key][0], name=SOURCE_MODELS[key][1]) for key, df in sources.items()]
     return count_reference(reduce(DataFrame.unionByName, parts))
 
 
 def count_reference(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEYS).agg(F.count("*").alias("sample_count"))
+    return rows.groupBy(*KEYS).agg(F.sum("sample_count").alias("sample_count"))
 
 
 def ranked_names(reference: DataFrame, level: list[str], out: str) -> DataFrame:

@@ -101,7 +101,8 @@ def unit_columns(doc_type: Column, address: Column, dong: Column, floor: Column,
 
 
 def with_kind(rights: DataFrame) -> DataFrame:
-    return rights.withColumn("kind", T.right_kind(F.col("purpose")))
+    compacted = rights.withColumn("_compact", T.compact(F.col("purpose")))
+    return compacted.withColumn("kind", T.right_kind(F.col("_compact"))).drop("_compact")
 
 
 def accepted_rights(located: DataFrame) -> DataFrame:

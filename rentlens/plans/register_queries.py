@@ -9,6 +9,7 @@ from rentlens.functions import text as T
 from rentlens.operators import evidence, merge, rights
 from rentlens.plans import bindings as B
 from rentlens.plans.catalog import query
+from rentlens.session import cut_lineage
 from rentlens.sources import sinks
 
 # ---- rights from line items (document = order) ------------------------------
@@ -50,6 +51,11 @@ def statused(spark, d) -> DataFrame:
     return rights.with_status(rights.with_kind(rights_raw(spark, d)))
 
 
+def stored_rights(spark, d) -> DataFrame:
+    """Rights with status, stored once for the steps that read them several times."""
+    return cut_lineage(statused(spark, d))
+
+
 @query("right_kinds", "P29 F6", f"WITH {RIGHTS} SELECT doc_id, seq, kind, CASE WHEN kind IN ('CANCELLATION', 'MORTGAGE_AMEND') THEN CAST(target AS VARCHAR) ELSE '' END AS targets FROM rights_raw")
 def right_kinds(spark, d) -> DataFrame:
     return rights.with_kind(rights_raw(spark, d)).select("doc_id", "seq", "kind", B.joined(F.col("target_rank_nos")).alias("targets"))
@@ -62,12 +68,12 @@ def right_status(spark, d) -> DataFrame:
 
 @query("amended_mortgages", "J13", f"WITH {RIGHTS}, {AMENDED} SELECT doc_id, seq, rank_no, amount, holder, debtor, status FROM amended")
 def amended_mortgages(spark, d) -> DataFrame:
-    return rights.amended_mortgages(statused(spark, d)).select("doc_id", "seq", "rank_no", "amount", "holder", "debtor", "status")
+    return rights.amended_mortgages(stored_rights(spark, d)).select("doc_id", "seq", "rank_no", "amount", "holder", "debtor", "status")
 
 
 @query("mortgage_totals", "A9", f"WITH {RIGHTS}, {AMENDED}, {TOTALS} SELECT * FROM totals")
 def mortgage_totals(spark, d) -> DataFrame:
-    return rights.mortgage_totals(rights.amended_mortgages(statused(spark, d)))
+    return rights.mortgage_totals(rights.amended_mortgages(stored_rights(spark, d)))
 
 
 _FLAGS = {"seizure": "SEIZURE", "provisional_seizure": "PROVISIONAL_SEIZURE", "provisional_disposition": "PROVISIONAL_DISPOSITION", "auction_commenced": "AUCTION", "trust_registration": "TRUST"}
@@ -90,7 +96,7 @@ def summary(spark, d) -> DataFrame:
     docs = B.table(spark, d, "orders").select(
         k.alias("doc_id"), F.when(k % 6 == 1, "소유권 가압 류 1").when(k % 6 > 1, "소유권이전").alias("gap_text"),
         F.when(k % 5 == 1, "기록  사항 없음").when(k % 5 > 1, "근저당").alias("eul_text"))
-    return rights.rights_summary(docs, statused(spark, d))
+    return rights.rights_summary(docs, stored_rights(spark, d))
 
 
 @query("rights_summary", "P33", f"WITH {RIGHTS}, {AMENDED}, {TOTALS}, {SUMMARY} SELECT * FROM summary")

@@ -11,6 +11,7 @@ from rentlens.functions import text as T
 from rentlens.operators import asof, match, quality, reference, series
 from rentlens.plans import bindings as B
 from rentlens.plans.catalog import query
+from rentlens.session import cut_lineage
 
 # ---- price index rows from the event table ---------------------------------
 
@@ -341,7 +342,9 @@ def store_checks(spark, d) -> DataFrame:
 def reference_source(spark, d) -> DataFrame:
     p = B.table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name", "p_type")
     k = F.col("p_partkey")
-    return B.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_linenumber").join(p, "p_partkey").select(
+    return B.table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("p_partkey"), "l_linenumber", F.col("l_linestatus").alias("flag")).join(p, "p_partkey").select(
+        "flag",
         F.concat(F.lit("  "), F.replace("p_brand", F.lit("#"), F.lit("  　"))).alias("district"),
         F.when(k % 10 == 0, F.concat(F.lit("산"), F.col("p_size").cast("string"))).when(k % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit(".0")))
         .otherwise(F.col("p_size").cast("string")).alias("lot"),
@@ -356,9 +359,9 @@ REFERENCE = """reference AS (
 
 def property_reference_rows(spark, d) -> DataFrame:
     src = reference_source(spark, d)
-    # One source per housing type, united again: the shape of a build from several files.
-    kinds = ["ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE"]
-    parts = [reference.normalised_rows(src.where(F.col("p_type") == k).drop("p_type"), k, "district", "lot", "sub", "name") for k in kinds]
+    # Two sources united, as in a build from several files.
+    parts = [reference.normalised_rows(src.where(cond).drop("flag"), "p_type", "district", "lot", "sub", "name")
+             for cond in (F.col("flag") == "F", F.col("flag") != "F")]
     return reference.count_reference(reduce(DataFrame.unionByName, parts))
 
 
@@ -420,5 +423,5 @@ SELECT probe_id, method, CASE method WHEN 'parcel' THEN top WHEN 'building_name'
   CASE WHEN method = 'ambiguous_observed_name' THEN 'PROPERTY_REFERENCE_AMBIGUOUS|UNSEEN_PROPERTY_NAME' WHEN method = 'parcel_frequency' THEN 'PROPERTY_REFERENCE_AMBIGUOUS|PROPERTY_NAME_FALLBACK'
     WHEN method = 'unseen_address_name' THEN 'UNSEEN_PROPERTY_NAME' WHEN method IN ('district_frequency', 'type_frequency') THEN 'PROPERTY_REFERENCE_NOT_FOUND|PROPERTY_NAME_FALLBACK' ELSE '' END AS warnings FROM m""")
 def property_match(spark, d) -> DataFrame:
-    return match.match_names(match_probes(spark, d), reference_no_type(spark, d)).select(
+    return match.match_names(match_probes(spark, d), cut_lineage(reference_no_type(spark, d))).select(
         "probe_id", "method", "model_name", B.joined(F.col("warnings")).alias("warnings"))

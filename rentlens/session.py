@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the data survives the loss of executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows written as a table to the shared checkpoint folder and read back.
+
+    Like a reliable checkpoint it survives the loss of executors; being parquet, it is
+    read column by column and its size is known when joins are planned.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/rentlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
