@@ -27,11 +27,16 @@ def refresh_table(df: DataFrame, folder: str, name: str, version: str, partition
 
 
 def upsert_metadata(spark: SparkSession, folder: str, entry: DataFrame) -> DataFrame:
-    """Metadata rows with the same source replaced; the result is stored as a new file set."""
+    """Metadata rows with the same source replaced, stored as a new step.
+
+    Two loads that finish at once cannot both write the same step: the later one fails.
+    """
     old = read_metadata(spark, folder)
-    merged = entry if old is None else old.join(entry.select("source_name"), "source_name", "left_anti").unionByName(entry)
-    step = 0 if old is None else old.agg(F.max("step")).first()[0] + 1
-    merged.drop("step").withColumn("step", F.lit(step)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/_metadata/step={step}")
+    step, merged = 0, entry
+    if old is not None:
+        step = old.agg(F.max("step")).first()[0] + 1
+        merged = old.drop("step").join(entry.select("source_name"), "source_name", "left_anti").unionByName(entry)
+    merged.coalesce(1).write.parquet(f"{folder}/_metadata/step={step}")
     return read_metadata(spark, folder)
 
 
