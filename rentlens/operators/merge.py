@@ -59,10 +59,13 @@ def _signature(kind: str, needed: Sequence[Column], parts: Sequence[Column]) ->
     return F.when(ok, text)
 
 
+CLAIM_KEYS = ("claim_id", "merge_id", "document_index", "seq")
+
+
 def claim_signatures(claims: DataFrame, links: DataFrame) -> DataFrame:
-    """(claim_id, merge_id, signature) rows of mortgage claims.
+    """(claim_id, merge_id, document_index, seq, signature) rows of mortgage claims.
 
-    ``claims``: claim_id, merge_id, doc_id, rank_no, receipt_no, registered_at,
+    ``claims``: claim_id, merge_id, document_index, seq, doc_id, rank_no, receipt_no, registered_at,
     creditor, debtor, amount, status, joint (both documents mention joint
     collateral); ``links``: doc_id, rank_no, registered_at, receipt_no, amount of
     the amendments of a rank.
@@ -74,32 +77,32 @@ def claim_signatures(claims: DataFrame, links: DataFrame) -> DataFrame:
         _signature("RECEIPT", [known, receipt != "", c("registered_at") != ""], [c("registered_at"), receipt, c("amount"), c("status")]),
         _signature("PARTIES", [c("joint"), known, creditor != "", debtor != ""], [creditor, debtor, c("amount"), c("status")]),
     )
-    base = claims.select("claim_id", "merge_id", F.explode(own).alias("signature"))
+    base = claims.select(*CLAIM_KEYS, F.explode(own).alias("signature"))
     l = links.select("doc_id", "rank_no", F.col("registered_at").alias("_at"), F.col("receipt_no").alias("_no"), F.col("amount").alias("_sum"))
     linked_amount = F.coalesce(c("_sum"), c("amount"))
     amended = claims.where("joint").join(l, ["doc_id", "rank_no"]).select(
-        "claim_id", "merge_id",
+        *CLAIM_KEYS,
         _signature("AMENDMENT", [c("_at") != "", c("_no") != "", linked_amount.isNotNull()],
                    [c("_at"), c("_no"), linked_amount, c("status")]).alias("signature"))
     return base.unionByName(amended).where(c("signature").isNotNull()).distinct()
 
 
 def deposit_signatures(rights: DataFrame) -> DataFrame:
-    """(claim_id, merge_id, signature) rows of deposit rights (holder, amount, receipt)."""
+    """The same rows for deposit rights (holder, amount, receipt)."""
     c = lambda n: F.col(n)
     receipt, holder, known = T.canonical(c("receipt_no")), T.party_key(c("holder")), c("amount").isNotNull()
     own = F.array(
         _signature("RECEIPT", [known, receipt != "", c("registered_at") != ""], [c("registered_at"), receipt, c("amount"), c("status")]),
         _signature("PARTY", [known, c("registered_at") != "", holder != ""], [c("registered_at"), holder, c("amount"), c("status")]))
-    return rights.select("claim_id", "merge_id", F.explode(own).alias("signature")).where(c("signature").isNotNull()).distinct()
+    return rights.select(*CLAIM_KEYS, F.explode(own).alias("signature")).where(c("signature").isNotNull()).distinct()
 
 
 def greedy_dedupe(claims: DataFrame, signatures: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Claims left after dropping, in order, every claim of a later document that
     shares a signature with a claim kept before it.
 
-    ``claims``: claim_id, merge_id, document_index, seq. The first document is kept
-    whole. A dropped claim does not protect or drop others. Instead of walking a
+    ``claims``: claim_id, merge_id, document_index, seq; ``signatures``: the same with a
+    signature per row. The first document is kept whole. A dropped claim does not protect or drop others. Instead of walking a
     merge group in one task, the rule is applied in rounds over all groups at once:
     a claim with no earlier open claim on any of its signatures is kept, the claims
     sharing with it are dropped. Most claims settle in the first round; the rounds
@@ -107,8 +110,7 @@ def greedy_dedupe(claims: DataFrame, signatures: DataFrame, max_rounds: int = 10
     """
     order = F.struct("document_index", "seq", "claim_id")
     # Everything below is derived from this one stored table.
-    keyed = cut_lineage(signatures.join(claims.select("claim_id", "document_index", "seq"), "claim_id").select(
-        "merge_id", "signature", "claim_id", F.col("document_index"), order.alias("pos")))
+    keyed = cut_lineage(signatures.select("merge_id", "signature", "claim_id", "document_index", order.alias("pos")))
     first = keyed.where(F.col("document_index") == 0).select("merge_id", "signature").distinct()
     later = keyed.where(F.col("document_index") > 0)
     hit_first = later.join(first, ["merge_id", "signature"], "left_semi").select("claim_id").distinct()
@@ -123,14 +125,16 @@ def greedy_dedupe(claims: DataFrame, signatures: DataFrame, max_rounds: int = 10
         if rounds > max_rounds:
             raise RuntimeError("claim groups did not settle")
         heads = open_rows.groupBy("merge_id", "signature").agg(F.min("pos").alias("head"))
-        marked = open_rows.join(heads, ["merge_id", "signature"])
-        won = marked.groupBy("claim_id").agg(F.min(F.col("pos") == F.col("head")).alias("_won")).where("_won").select("claim_id")
-        won_signatures = open_rows.join(won, "claim_id", "left_semi").select("merge_id", "signature").distinct()
-        lost = cut_lineage(
-            open_rows.join(won, "claim_id", "left_anti").join(won_signatures, ["merge_id", "signature"], "left_semi")
-            .select("claim_id").distinct())
-        dropped = dropped.unionByName(lost)
-        open_rows = cut_lineage(open_rows.join(won.unionByName(lost), "claim_id", "left_anti"))
+        won = open_rows.join(heads, ["merge_id", "signature"]).groupBy("claim_id").agg(
+            F.min(F.col("pos") == F.col("head")).alias("won"))
+        marked = open_rows.join(won, "claim_id")
+        taken = marked.where("won").select("merge_id", "signature", F.lit(True).alias("taken")).distinct()
+        hit = marked.join(taken, ["merge_id", "signature"], "left").groupBy("claim_id").agg(
+            F.max(F.coalesce("taken", F.lit(False))).alias("hit"))
+        # One table per round holds the rows with their claim's state.
+        settled = cut_lineage(marked.join(hit, "claim_id"))
+        dropped = dropped.unionByName(settled.where(~F.col("won") & F.col("hit")).select("claim_id").distinct())
+        open_rows = settled.where(~F.col("won") & ~F.col("hit")).drop("won", "hit")
     return claims.join(dropped, "claim_id", "left_anti")
 
 

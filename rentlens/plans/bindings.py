@@ -54,11 +54,17 @@ def deposits(spark: SparkSession, d: str) -> DataFrame:
         F.sum(won(F.col("l_extendedprice"))).alias("deposit"))
 
 
-def segments(spark: SparkSession, d: str) -> DataFrame:
+def segment_leases(spark: SparkSession, d: str) -> Column:
+    """Map of the lease price of each market segment.
+
+    There are five segments: as one map value they need no join, which would send
+    every contract to one of five partitions.
+    """
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
     sales = table(spark, d, "orders").join(c, "o_custkey").groupBy("segment").agg(
         F.sum(won(F.col("o_totalprice"))).alias("_s"), F.count("*").alias("_n"))
-    return sales.select("segment", F.call_function("div", "_s", "_n").alias("lease"))
+    leases = sales.select(F.struct("segment", F.call_function("div", "_s", "_n").alias("lease")).alias("e"))
+    return leases.select(F.map_from_entries(F.collect_list("e"))).scalar()
 
 
 def contract_columns() -> list[Column]:
@@ -81,7 +87,8 @@ def enrich_orders(orders: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"), "c_acctbal")
     dep = deposits(spark, d).withColumnRenamed("analysis_id", "o_orderkey")
-    return orders.join(c, "o_custkey").join(segments(spark, d), "segment").join(dep, "o_orderkey").select(*contract_columns())
+    joined_rows = orders.join(c, "o_custkey").join(dep, "o_orderkey")
+    return joined_rows.withColumn("lease", F.try_element_at(segment_leases(spark, d), F.col("segment"))).select(*contract_columns())
 
 
 def contracts(spark: SparkSession, d: str) -> DataFrame:

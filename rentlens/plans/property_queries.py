@@ -9,6 +9,7 @@ from rentlens.functions import text as T
 from rentlens.operators import checklist, features, property as prop, valuation, watchlist
 from rentlens.plans import bindings as B
 from rentlens.plans.catalog import query
+from rentlens.session import cut_lineage
 
 # ---- model routing, assembly, fallbacks -------------------------------------
 
@@ -112,7 +113,8 @@ SELECT p_partkey, model_key, CASE WHEN isfinite(price) THEN price ELSE dp END AS
   array_to_string(list_filter([CASE WHEN NOT isfinite(price) THEN 'price' END, CASE WHEN size IS NULL THEN 'size' END, 'age', CASE WHEN coalesce(trim(name), '') = '' THEN 'name' END, CASE WHEN kind = 0 THEN 'kind' END], lambda z: z IS NOT NULL), '|') AS fallback_features,
   '대지권면적(㎡)' AS unavailable_features FROM x""")
 def feature_vectors(spark, d) -> DataFrame:
-    wide = features.default_columns(defaults(spark, d), ["price", "size", "name", "kind"], CATEGORICAL).withColumns(
+    # Defaults are a stored table of one row per model, small enough to be broadcast.
+    wide = features.default_columns(cut_lineage(defaults(spark, d)), ["price", "size", "name", "kind"], CATEGORICAL).withColumns(
         {"default_age": F.lit(-1.0), "default_대지권면적(㎡)": F.lit(-2.0)})
     out = features.with_fallbacks(feature_rows(spark, d).join(wide, "model_key"), FEATURES, CATEGORICAL)
     return out.select("p_partkey", "model_key", *FEATURES, B.joined(F.col("fallback_features")).alias("fallback_features"),

@@ -181,6 +181,11 @@ def funding_rate_rows(spark, d) -> DataFrame:
 
 # ---- as-of lookups ---------------------------------------------------------
 
+# A series is a stored table, as after a load: it is computed once, and its size is
+# known when the contracts are joined to it.
+stored = cut_lineage
+
+
 def probes(spark, d) -> DataFrame:
     return B.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("analysis_id"), F.col("o_custkey").alias("custkey"), F.col("o_orderdate").cast("date").alias("contract_date"),
@@ -193,14 +198,14 @@ PROBES = "probes AS (SELECT o_orderkey AS analysis_id, o_custkey AS custkey, CAS
 @query("funding_rate_asof", "J3 W1", f"""WITH {FUNDING}, {PROBES}
 SELECT analysis_id, strftime(publication_date, '%Y-%m-%d') AS publication_date, target_month, value FROM probes ASOF LEFT JOIN funding ON contract_date >= publication_date""")
 def funding_rate_asof(spark, d) -> DataFrame:
-    out = asof.asof_date_join(probes(spark, d), "contract_date", funding_values(spark, d), "publication_date", ["publication_date", "target_month", "value"])
+    out = asof.asof_date_join(probes(spark, d), "contract_date", stored(funding_values(spark, d)), "publication_date", ["publication_date", "target_month", "value"])
     return out.select("analysis_id", F.col("publication_date").cast("string").alias("publication_date"), "target_month", "value")
 
 
 @query("mortgage_rate_asof", "J4", f"""WITH {RATE_RAW}, {PROBES}
 SELECT analysis_id, contract_month AS rate_month, base_month, value, provisional FROM probes ASOF LEFT JOIN mortgage ON contract_month_asked >= contract_month""")
 def mortgage_rate_asof(spark, d) -> DataFrame:
-    return asof.asof_month_join(probes(spark, d), F.col("contract_month_asked"), mortgage_values(spark, d), "contract_month",
+    return asof.asof_month_join(probes(spark, d), F.col("contract_month_asked"), stored(mortgage_values(spark, d)), "contract_month",
                                 ["base_month", "value", "provisional"], mark="rate_month").select("analysis_id", "rate_month", "base_month", "value", "provisional")
 
 
@@ -222,7 +227,7 @@ def macro_asof(spark, d) -> DataFrame:
 
 def _macro_join(left: DataFrame, spark, d) -> DataFrame:
     names = list(MACRO_NAMES.values())
-    packed = macro_months(spark, d).select("contract_month", F.struct(*names).alias("m"))
+    packed = stored(macro_months(spark, d).select("contract_month", F.struct(*names).alias("m")))
     out = asof.asof_month_join(left, F.col("contract_month_asked"), packed, "contract_month", ["m"], mark="macro_month")
     return out.withColumns({n: F.col(f"m.{n}") for n in names}).drop("m")
 
@@ -276,7 +281,7 @@ REGION_ASOF = f"""region_asof AS (SELECT analysis_id, contract_month_asked, coal
 
 @query("region_index_asof", "J6", f"WITH {REGION_SERIES}, {REGION_PROBES}, {REGION_ASOF} SELECT analysis_id, level, level_region, change, change_region FROM region_asof")
 def region_index_asof(spark, d) -> DataFrame:
-    out = asof.region_asof_join(region_probes(spark, d), F.col("contract_month_asked"), F.col("path"), region_series(spark, d), "base_month", ["level", "change"], max_depth=2)
+    out = asof.region_asof_join(region_probes(spark, d), F.col("contract_month_asked"), F.col("path"), stored(region_series(spark, d)), "base_month", ["level", "change"], max_depth=2)
     return out.select("analysis_id", "level", "level_region", "change", "change_region")
 
 
@@ -296,10 +301,10 @@ SELECT analysis_id, level, funding_rate, mortgage_rate, "MACRO_ORDER_COUNT", arr
   CASE WHEN mortgage_rate IS NULL THEN 'MORTGAGE_RATE_UNAVAILABLE' END, CASE WHEN prov THEN 'MORTGAGE_RATE_PROVISIONAL' END, CASE WHEN mv IS NULL THEN 'MACRO_VALUE_UNAVAILABLE' END], lambda x: x IS NOT NULL)), '|') AS warnings FROM j""")
 def market_enrichment(spark, d) -> DataFrame:
     from rentlens.functions import score as S
-    df = asof.region_asof_join(region_probes(spark, d), F.col("contract_month_asked"), F.col("path"), region_series(spark, d), "base_month", ["level"], max_depth=2)
-    fund = funding_values(spark, d).withColumnRenamed("value", "funding_rate")
+    df = asof.region_asof_join(region_probes(spark, d), F.col("contract_month_asked"), F.col("path"), stored(region_series(spark, d)), "base_month", ["level"], max_depth=2)
+    fund = stored(funding_values(spark, d).withColumnRenamed("value", "funding_rate"))
     df = asof.asof_date_join(df, "contract_date", fund, "publication_date", ["funding_rate"])
-    rate = mortgage_values(spark, d).select("contract_month", F.col("value").alias("mortgage_rate"), "provisional")
+    rate = stored(mortgage_values(spark, d).select("contract_month", F.col("value").alias("mortgage_rate"), "provisional"))
     df = asof.asof_month_join(df, F.col("contract_month_asked"), rate, "contract_month", ["mortgage_rate", "provisional"])
     df = _macro_join(df, spark, d)
     warnings = F.array_sort(F.array_distinct(S.codes(
