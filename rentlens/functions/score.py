@@ -169,8 +169,9 @@ def indicator_columns(p: PriceInputs) -> dict[str, Column]:
     return cols
 
 
-def score_columns(p: PriceInputs) -> dict[str, Column]:
-    rate, gap = basis_rate(p.sale, p.deposit, p.claim), gap_rate(p.lease, p.deposit)
+def score_columns(p: PriceInputs, rate: Column, gap: Column) -> dict[str, Column]:
+    """Score parts from the scored rate and the gap rate (best given as columns, as
+    both are used many times)."""
     pb, gp = burden_points(rate), gap_points(gap)
     base = F.least(pb + gp + p.trend, F.lit(100))
     total = F.greatest(base, floor_points(rate, gap))
@@ -252,12 +253,11 @@ def limit_basis(mode: Column, claim: Column) -> Column:
 
 
 def limit_columns(mode: Column, sale: Column, lease: Column, deposit: Column, claim: Column,
-                  trend: Column, reasons: Column) -> dict[str, Column]:
-    limit = round_limit(deposit_limit(sale, lease, claim, trend))
+                  trend: Column, reasons: Column, limit: Column) -> dict[str, Column]:
+    """What follows from a recommended limit (best given as a column)."""
     reflected = (mode == "DETAILED") & claim.isNotNull()
     distinct = F.array_distinct(reasons)
     return {
-        "recommended_limit": limit,
         "reduction_required": F.greatest(deposit - limit, F.lit(0)),
         "within_recommended_limit": deposit <= limit,
         "score_at_limit": total_score(sale, lease, F.greatest(limit, F.lit(1)), claim, trend),

@@ -18,8 +18,14 @@ def with_indicators(df: DataFrame, **names: str) -> DataFrame:
     return df.withColumns(S.indicator_columns(inputs(**names)))
 
 
+def _with_rates(df: DataFrame, p: S.PriceInputs) -> DataFrame:
+    # As columns of their own the two rates are computed once per row, not once per use.
+    return df.withColumns({"_rate": S.basis_rate(p.sale, p.deposit, p.claim), "_gap": S.gap_rate(p.lease, p.deposit)})
+
+
 def with_score(df: DataFrame, **names: str) -> DataFrame:
-    return df.withColumns(S.score_columns(inputs(**names)))
+    p = inputs(**names)
+    return _with_rates(df, p).withColumns(S.score_columns(p, F.col("_rate"), F.col("_gap"))).drop("_rate", "_gap")
 
 
 def split_rejected(df: DataFrame, **names: str) -> tuple[DataFrame, DataFrame]:
@@ -78,8 +84,9 @@ def assembled(df: DataFrame) -> DataFrame:
 
 def with_deposit_limit(df: DataFrame, reasons: Column, sale="sale", lease="lease", deposit="deposit", claim="claim",
                        mode="mode", trend="trend") -> DataFrame:
-    return df.withColumns(S.limit_columns(
-        F.col(mode), F.col(sale), F.col(lease), F.col(deposit), F.col(claim), F.col(trend), reasons))
+    limit = S.round_limit(S.deposit_limit(F.col(sale), F.col(lease), F.col(claim), F.col(trend)))
+    return df.withColumn("recommended_limit", limit).withColumns(S.limit_columns(
+        F.col(mode), F.col(sale), F.col(lease), F.col(deposit), F.col(claim), F.col(trend), reasons, F.col("recommended_limit")))
 
 
 def valuation_reliability(fallbacks: Column, warnings: Column) -> Column:
@@ -94,16 +101,18 @@ def evaluated(df: DataFrame, prefix: str, sale: str, lease: str, deposit: str, c
               mode: str = "mode", trend: str = "trend") -> DataFrame:
     """Adds <prefix>score, grade, floor, floor_reasons and rights_adjustment."""
     p = inputs(sale, lease, deposit, claim, mode, trend)
-    cols = S.score_columns(p)
+    cols = S.score_columns(p, F.col("_rate"), F.col("_gap"))
     blocked = F.size(reasons) > 0
-    final = F.when(blocked, F.greatest(cols["total"], F.lit(S.REGISTER_FLOOR))).otherwise(cols["total"])
+    df = _with_rates(df, p).withColumn("_total", cols["total"])
+    total = F.col("_total")
+    final = F.when(blocked, F.greatest(total, F.lit(S.REGISTER_FLOOR))).otherwise(total)
     return df.withColumns({
         f"{prefix}score": final,
         f"{prefix}grade": S.grade(final),
         f"{prefix}floor": F.greatest(cols["policy_floor"], F.when(blocked, S.REGISTER_FLOOR)),
         f"{prefix}floor_reasons": F.array_distinct(F.concat(cols["floor_reasons"], F.col(reasons))),
-        f"{prefix}rights_adjustment": final - cols["total"],
-    })
+        f"{prefix}rights_adjustment": final - total,
+    }).drop("_rate", "_gap", "_total")
 
 
 SCENARIO = "struct<scenario:string, sale_drop:int, lease_drop:int, deposit_change:int, scenario_claim:bigint, remove_mortgage:boolean>"

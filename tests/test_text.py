@@ -108,3 +108,8 @@ def test_ledger_helpers(spark):
     c = checklist.checklist_columns({k: F.lit(None).cast("string") for k in ("housing_type_code", "contract_type", "tenant_type", "landlord_type", "contract_address")}
                                     | {f: F.lit(True) for f in checklist.FLAGS})
     assert one(c["housing_type_name"]) == "아파트" and one(c["officetel_residential_marked"]) is False
+
+
+def test_percent(spark):
+    df = spark.createDataFrame([(0.45678,), (1 / 3,), (None,)], "x double")
+    assert [r[0] for r in df.select(T.percent2(F.col("x"))).collect()] == [45.68, 33.33, None]
