@@ -345,15 +345,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def excerpt(page: Column, values: list[Column]) -> Column:
+def excerpt(page: Column, values: list[Column], more: Column | None = None) -> Column:
     """Lines holding one of the values, with a neighbour on each side, joined by ' | '.
 
-    Only the first line that holds a value counts for that value.
+    Only the first line that holds a value counts for that value. ``more`` is an array
+    of further values.
     """
     lines = F.filter(F.transform(F.split(page, r"\r?\n|\r"), strip), lambda s: s != "")
     forms = F.transform(lines, lambda s: F.struct(s.alias("s"), canonical(s).alias("c"), digits(s).alias("d")))
+    key = lambda v: F.struct(canonical(v).alias("c"), digits(v).alias("d"))
+    wanted = F.array(*[key(v) for v in values])
     keys = F.filter(
-        F.array(*[F.struct(canonical(v).alias("c"), digits(v).alias("d")) for v in values]),
+        wanted if more is None else F.concat(wanted, F.transform(more, key)),
         lambda k: (k["c"] != "") | (F.length(k["d"]) >= 2))
 
     def holds(line: Column, key: Column) -> Column:

@@ -183,10 +183,9 @@ def locate_rights(rights: DataFrame, pages: DataFrame, sections: DataFrame, sect
 
 def raw_text(parts, values: list[Column], more: Column | None = None) -> Column:
     """'[PAGE n] lines' of the given page texts, joined by a space."""
-    extra = [F.try_element_at(more, F.lit(i)) for i in range(1, 4)] if more is not None else []
     out = []
     for text, page in parts:
-        cut = T.excerpt(F.col(text), [*values, *extra])
+        cut = T.excerpt(F.col(text), values, more)
         out.append(F.when(cut != "", F.concat(F.lit("[PAGE "), page.cast("string"), F.lit("] "), cut)))
     return F.concat_ws(" ", *out)
 

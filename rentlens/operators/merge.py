@@ -97,7 +97,7 @@ def deposit_signatures(rights: DataFrame) -> DataFrame:
     return rights.select(*CLAIM_KEYS, F.explode(own).alias("signature")).where(c("signature").isNotNull()).distinct()
 
 
-def greedy_dedupe(claims: DataFrame, signatures: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def greedy_dedupe(claims: DataFrame, signatures: DataFrame) -> DataFrame:
     """Claims left after dropping, in order, every claim of a later document that
     shares a signature with a claim kept before it.
 
@@ -119,11 +119,8 @@ def greedy_dedupe(claims: DataFrame, signatures: DataFrame, max_rounds: int = 10
     # Only signatures that two or more open claims share can still decide anything.
     shared = open_rows.groupBy("merge_id", "signature").agg(F.count("*").alias("_n")).where("_n > 1").select("merge_id", "signature")
     open_rows = cut_lineage(open_rows.join(shared, ["merge_id", "signature"], "left_semi"))
-    rounds = 0
+    # Every round settles at least the first open claim of each group.
     while not open_rows.isEmpty():
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError("claim groups did not settle")
         heads = open_rows.groupBy("merge_id", "signature").agg(F.min("pos").alias("head"))
         won = open_rows.join(heads, ["merge_id", "signature"]).groupBy("claim_id").agg(
             F.min(F.col("pos") == F.col("head")).alias("won"))

@@ -113,3 +113,9 @@ def test_ledger_helpers(spark):
 def test_percent(spark):
     df = spark.createDataFrame([(0.45678,), (1 / 3,), (None,)], "x double")
     assert [r[0] for r in df.select(T.percent2(F.col("x"))).collect()] == [45.68, 33.33, None]
+
+
+def test_excerpt_takes_any_number_of_values(spark):
+    text = F.lit("\n".join(f"line {c}{c}" for c in "abcdefghij"))
+    more = F.array(*[F.lit(c * 2) for c in "acegi"])
+    assert spark.range(1).select(T.excerpt(text, [F.lit("zz")], more)).first()[0].count(" | ") == 9
