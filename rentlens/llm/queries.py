@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import ball_simhash, chat_targets, exact_dedup, harmonic_pack, url_vocabulary
+from rentlens.llm import ball_simhash, chat_targets, exact_dedup, harmonic_pack, pu_quality, url_vocabulary
 from rentlens.llm.shared import fold, table, text_of
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,13 @@ g AS (SELECT h, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)"""
 
 
+def op3_pu_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = pu_quality.fit(docs, table(spark, d, "labels"))
+    out = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), pu_quality.score(model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op4_url_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return url_vocabulary.judge_urls(table(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict", "term_weight")
 
@@ -64,6 +71,6 @@ def op9_ball_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op4_url_vocabulary, op5_chat_targets, op8_harmonic_packing, op9_ball_simhash)
+    f.__name__: f for f in (op2_exact_dedup, op3_pu_quality, op4_url_vocabulary, op5_chat_targets, op8_harmonic_packing, op9_ball_simhash)
 }
 SQL: dict[str, str] = {"op2_exact_dedup": OP2, "op4_url_vocabulary": OP4}
