@@ -5,13 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rentlens.llm import ball_simhash, chat_targets, exact_dedup, harmonic_pack, pu_quality, url_vocabulary
-from rentlens.llm.shared import fold, table, text_of
-
-WORD_TOKENIZER = "word_bpe_49k.json"
+from rentlens.llm import ball_simhash, chat_targets, context_tree, exact_dedup, harmonic_pack, merkle_fixity, piece_transducer, projection_passes, pu_quality, url_vocabulary
+from rentlens.llm.shared import fold, table
+from rentlens.session import cut_lineage
+
+WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+#: Pages of an archive file, and the modulus of the crc32 of a page's id that decides what the replica lost.
+ARCHIVE_PAGES, FAULTS = 1000, 97
+
+
+def op1_merkle_fixity(spark: SparkSession, d: str) -> DataFrame:
+    """Archive files of WARC records made from the pages, against a replica in which some records changed (a byte
+    more), some are missing, and some stand twice, the second time one byte further on."""
+    page = F.coalesce(F.col("page_id"), F.lit(-1))
+    html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
+    record = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "),
+                      F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
+    fault = F.crc32(page.cast("string").cast("binary")) % FAULTS
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    pages = table(spark, d, "pages").select(page.alias("page"), record.alias("record"), fault.alias("fault")).select(
+        "page", "fault", F.octet_length("record").alias("size"), sha(F.col("record")).alias("sha"),
+        F.when(F.col("fault") == 0, sha(F.concat("record", F.lit("!")))).alias("other"))
+    within = Window.partitionBy("archive").orderBy("page", "sha")
+    placed = pages.withColumn("archive", F.concat(F.lit("crawl-"), F.floor(F.col("page") / ARCHIVE_PAGES).cast("string")))
+    placed = cut_lineage(placed.withColumn("offset", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    copy = placed.where("fault <> 1").select("archive", "offset", F.coalesce("other", "sha").alias("sha")).unionAll(
+        placed.where("fault = 2").select("archive", F.col("offset") + 1, "sha"))
+    return merkle_fixity.audit(placed.select("archive", "offset", "sha"), copy)
+
+
+OP1 = f"""
+WITH p AS (SELECT coalesce(page_id, -1) AS page, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page, concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Length: ',
+  strlen(html), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS record FROM p),
+f AS (SELECT *, 'crawl-' || (page // {ARCHIVE_PAGES}) AS archive, sha256(record) AS sha, sha256(record || '!') AS other, strlen(record) AS size,
+  (WITH RECURSIVE c(i, v) AS (SELECT 0, 4294967295::BIGINT UNION ALL SELECT i + 1,
+     CASE WHEN i % 9 = 0 THEN xor(v, CAST(ascii(substr(page::VARCHAR, i // 9 + 1, 1)) AS BIGINT))
+          WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM c WHERE i < 9 * length(page::VARCHAR))
+   SELECT xor(v, 4294967295) % {FAULTS} FROM c ORDER BY i DESC LIMIT 1) AS fault FROM r),
+o AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY archive ORDER BY page, sha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM f),
+bad AS (SELECT archive, "offset", 'changed' AS fault, sha AS ours, other AS theirs FROM o WHERE fault = 0
+  UNION ALL SELECT archive, "offset", 'missing', sha, NULL FROM o WHERE fault = 1
+  UNION ALL SELECT archive, "offset" + 1, 'extra', NULL, sha FROM o WHERE fault = 2)
+SELECT * FROM bad UNION ALL SELECT DISTINCT archive, CAST(NULL AS BIGINT), 'intact', NULL, NULL FROM o WHERE archive NOT IN (SELECT archive FROM bad)"""
 
 
 def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -61,6 +100,17 @@ def op5_chat_targets(spark: SparkSession, d: str) -> DataFrame:
     return chat_targets.digest(chat_targets.expand(turns.unionByName(extra)))
 
 
+def op6_context_tree(spark: SparkSession, d: str) -> DataFrame:
+    held_out = fold("doc_id", 7) == 2
+    out = context_tree.score_documents(table(spark, d, "documents"), ~held_out)
+    return out.withColumn("held_out", ~F.col("train")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
+def op7_piece_transducer(spark: SparkSession, d: str) -> DataFrame:
+    return piece_transducer.encode_documents(table(spark, d, "documents"), public_tokenizers.path(PIECE_MODEL), with_ids=False)
+
+
 def op8_harmonic_packing(spark: SparkSession, d: str) -> DataFrame:
     return harmonic_pack.pack_documents(table(spark, d, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
@@ -70,7 +120,14 @@ def op9_ball_simhash(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_projection_passes(spark: SparkSession, d: str) -> DataFrame:
+    out = projection_passes.near_links(table(spark, d, "embeddings"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_pu_quality, op4_url_vocabulary, op5_chat_targets, op8_harmonic_packing, op9_ball_simhash)
+    f.__name__: f for f in (
+        op1_merkle_fixity, op2_exact_dedup, op3_pu_quality, op4_url_vocabulary, op5_chat_targets, op6_context_tree, op7_piece_transducer,
+        op8_harmonic_packing, op9_ball_simhash, op10_projection_passes)
 }
-SQL: dict[str, str] = {"op2_exact_dedup": OP2, "op4_url_vocabulary": OP4}
+SQL: dict[str, str] = {"op1_merkle_fixity": OP1, "op2_exact_dedup": OP2, "op4_url_vocabulary": OP4}
