@@ -17,7 +17,7 @@ from rentlens.llm.shared import fold, text_of
 
 #: Most rows of each kind that the fit reads: trusted positives and unlabelled documents.
 SAMPLE_ROWS = 12_000
-HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 60, 512, 0.01, 1e-4, 7
+HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 60, 512, 0.01, 1e-3, 7
 #: Words looked at together where repetition is measured, so that it does not depend on the length of the text.
 WINDOW = 100
 SYMBOLS = b"!#$%&*|<>{}[]()/\\:;@=_+-~^\"'`.,?"
@@ -121,14 +121,17 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
     A classifier of positives against unlabelled rows is fitted on one half of each. On the other half, any set of
     rows holds at least prior times its share of positives, so the smallest ratio of the two shares over the sets
-    "score above t" estimates the prior from above. Sets with fewer than a tenth of the positives are left out,
-    their ratio being noise.
+    "score above t" estimates the prior from above. Sets with fewer than half of the positives are left out, their
+    ratio being noise.
     """
     net = _fit_network(positive[::2], unlabelled[::2], None)
     sp, su = np.sort(net.margin(positive[1::2])), np.sort(net.margin(unlabelled[1::2]))
-    cuts = np.quantile(sp, np.linspace(0, 0.9, 91))
+    cuts = np.quantile(sp, np.linspace(0, 0.5, 51))
     above = lambda s: 1 - np.searchsorted(s, cuts) / max(1, len(s))
-    return float(np.clip((above(su) / above(sp)).min(), 0.05, 0.99))
+    u, p = np.maximum(above(su), 1e-9), above(sp)
+    # one standard error up, since the smallest of many noisy ratios lies too low
+    error = np.sqrt((1 - u) / (u * len(su)) + (1 - p) / (p * len(sp)))
+    return float(np.clip((u / p * (1 + error)).min(), 0.05, 0.99))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn: Column, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +152,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn
 
     got = known.unionAll(some).mapInPandas(run, "x array<double>, trusted boolean").toPandas()
     # rows arrive in any order; sorted, the fit does not depend on it
-    matrix = lambda part: np.array(sorted(map(tuple, part["x"]))).reshape(len(part), -1)
+    matrix = lambda part: np.array(sorted(map(tuple, part["x"]))).reshape(-1, len(features("")))
     rng = np.random.default_rng(SEED)
     return rng.permutation(matrix(got[got["trusted"]])), rng.permutation(matrix(got[~got["trusted"]]))
 
