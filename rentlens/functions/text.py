@@ -106,7 +106,7 @@ def name_key(c: Column) -> Column:
 
 def party_key(c: Column) -> Column:
     """Party name without a resident registration number."""
-    return canonical(F.regexp_replace(text(c), r"\b[0-9]{6}-[0-9]{7}\b", ""))
+    return canonical(F.regexp_replace(text(c), r"(?U)\b[0-9]{6}-[0-9]{7}\b", ""))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -345,13 +345,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Fixed value: every line end, a carriage return with its line feed first.
+LINE_ENDS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+
+
 def excerpt(page: Column, values: list[Column], more: Column | None = None) -> Column:
     """Lines holding one of the values, with a neighbour on each side, joined by ' | '.
 
     Only the first line that holds a value counts for that value. ``more`` is an array
     of further values.
     """
-    lines = F.filter(F.transform(F.split(page, r"\r?\n|\r"), strip), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(page, LINE_ENDS), strip), lambda s: s != "")
     forms = F.transform(lines, lambda s: F.struct(s.alias("s"), canonical(s).alias("c"), digits(s).alias("d")))
     key = lambda v: F.struct(canonical(v).alias("c"), digits(v).alias("d"))
     wanted = F.array(*[key(v) for v in values])

@@ -179,10 +179,11 @@ def mortgage_totals(mortgages: DataFrame) -> DataFrame:
         F.when(known, F.coalesce(F.sum("amount"), F.lit(0))).alias("total_active_max_claim_amount"))
 
 
-def rights_summary(docs: DataFrame, rights: DataFrame, section_names=("갑구", "을구")) -> DataFrame:
+def rights_summary(docs: DataFrame, rights: DataFrame, section_names=("갑구", "을구"), empty_note_chars: int | None = None) -> DataFrame:
     """Section status, flags, counts and totals per document.
 
-    ``docs``: doc_id, gap_text, eul_text; ``rights``: accepted rights with status.
+    ``docs``: doc_id, gap_text, eul_text; ``rights``: accepted rights with status. The note that a section has no
+    entries is looked for in the whole section, or in its first ``empty_note_chars`` characters.
     """
     gap_name, eul_name = section_names
     active = F.col("status") == "ACTIVE"
@@ -202,7 +203,8 @@ def rights_summary(docs: DataFrame, rights: DataFrame, section_names=("갑구",
     for w in GAP_RISK_WORDS:
         marker = gap_compact.contains(w) if marker is None else marker | gap_compact.contains(w)
     gap = F.when(F.col("gap_text").isNotNull() & ((zero("_gap") > 0) | ~marker), "EXTRACTED").otherwise("PARSE_FAILED")
-    nothing = F.substring(F.col("eul_text"), 1, 500).rlike(r"기록\s*사항\s*없음")
+    eul_text = F.col("eul_text") if empty_note_chars is None else F.substring("eul_text", 1, empty_note_chars)
+    nothing = eul_text.rlike(r"기록\s*사항\s*없음")
     eul = F.when(zero("_eul") > 0, "EXTRACTED").when(nothing, "CONFIRMED_NONE").otherwise("PARSE_FAILED")
     df = df.withColumns({"gap_section_status": gap, "eul_section_status": eul})
     flag = lambda name, status: F.when(F.col(status) == "PARSE_FAILED", "UNKNOWN").when(

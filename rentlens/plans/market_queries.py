@@ -104,14 +104,14 @@ def evaluation_summary(spark, d) -> DataFrame:
     return evaluate.evaluation_summary(checks(spark, d), "doc_id")
 
 
-@query("key_set_differences", "U3", """WITH p AS (SELECT c_nationkey % 5 AS g, list(DISTINCT c_mktsegment || c_nationkey) FILTER (c_acctbal > 7000) AS l, list(DISTINCT c_mktsegment || c_nationkey) FILTER (c_acctbal < 0) AS r FROM customer GROUP BY 1), q AS (
+@query("key_set_differences", "U3", """WITH p AS (SELECT c_nationkey % 5 AS g, list(DISTINCT c_mktsegment || c_nationkey) FILTER (c_acctbal > 7000) AS l, list(DISTINCT c_mktsegment || c_nationkey) FILTER (c_acctbal <= 7000) AS r FROM customer GROUP BY 1), q AS (
   SELECT g, list_sort(list_filter(coalesce(l, CAST([] AS VARCHAR[])), lambda x: NOT list_contains(coalesce(r, CAST([] AS VARCHAR[])), x))) AS ol, list_sort(list_filter(coalesce(r, CAST([] AS VARCHAR[])), lambda x: NOT list_contains(coalesce(l, CAST([] AS VARCHAR[])), x))) AS orr FROM p)
 SELECT g, array_to_string(ol, '|') AS only_left, array_to_string(orr, '|') AS only_right, len(ol) = 0 AND len(orr) = 0 AS equal FROM q""")
 def key_set_differences(spark, d) -> DataFrame:
     """Two key sets per group; a key is a (segment, nation) pair, of which there are 125."""
     key = F.concat("c_mktsegment", F.col("c_nationkey").cast("string"))
     p = B.table(spark, d, "customer").groupBy((F.col("c_nationkey") % 5).alias("g")).agg(
-        F.collect_set(F.when(F.col("c_acctbal") > 7000, key)).alias("l"), F.collect_set(F.when(F.col("c_acctbal") < 0, key)).alias("r"))
+        F.collect_set(F.when(F.col("c_acctbal") > 7000, key)).alias("l"), F.collect_set(F.when(F.col("c_acctbal") <= 7000, key)).alias("r"))
     cols = quality.set_difference(F.col("l"), F.col("r"))
     return p.select("g", B.joined(cols["only_left"]).alias("only_left"), B.joined(cols["only_right"]).alias("only_right"), cols["equal"].alias("equal"))
 

@@ -27,18 +27,25 @@ def build_session(cores: str = "*", shuffle_partitions: int | None = None, **con
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh local one
-    only where none is set, as in tests."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where none is set, a
+    local session, as in tests, takes a fresh folder; on a cluster that is an error,
+    since executors would each write to a disk of their own."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = sc._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="rentlens-")
+        folder = current.get() if current.isDefined() else _local_folder(spark)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return folder
 
 
+def _local_folder(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="rentlens-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows written as a table to the shared checkpoint folder and read back.
 

@@ -29,10 +29,14 @@ def object_or_list(payload: Column, path: str, item: str) -> Column:
 
 
 def ledger_rows(payloads: DataFrame, keys: Sequence[str], payload: str, item: str, ok: str = "00") -> DataFrame:
-    """Item rows of building-ledger answers. An answer with another result code, or
-    no readable one, gives one row that carries only the code."""
+    """Item rows of building-ledger answers. An answer with another result code gives
+    one row that carries only the code, as does one without a readable code or whose
+    list cannot be read (UNREADABLE)."""
     p = F.col(payload)
     code = F.coalesce(F.get_json_object(p, "$.response.header.resultCode"), F.lit("UNREADABLE"))
+    raw = F.get_json_object(p, "$.response.body.items.item")
+    broken = F.ltrim(raw).startswith("[") & F.from_json(raw, f"array<{item}>").isNull()
+    code = F.when((code == ok) & F.coalesce(broken, F.lit(False)), "UNREADABLE").otherwise(code)
     items = F.when(code == ok, object_or_list(p, "$.response.body.items.item", item)).otherwise(
         F.array().cast(f"array<{item}>"))
     return payloads.select(*keys, code.alias("result_code"), F.posexplode_outer(items).alias("position", "item")).select(

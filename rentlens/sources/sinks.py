@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,13 @@ def refresh_table(df: DataFrame, folder: str, name: str, version: str, partition
     """Full refresh of a stored table: the new version is written whole beside the
     old one, checked, and only then named in the metadata.
 
-    Readers follow the metadata, so a failed write leaves them on the old version.
+    Every load has a folder of its own, also one of a version that is loaded again, and
+    readers follow the metadata, so a failed write leaves them on what they read.
     Returns the new metadata.
     """
     spark = df.sparkSession
-    path = f"{folder}/{name}/{version}"
-    writer = df.write.mode("overwrite")
+    path = f"{folder}/{name}/{version}-{uuid.uuid4().hex}"
+    writer = df.write
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     rows = spark.read.parquet(path).count()
     if rows == 0:

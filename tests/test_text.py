@@ -119,3 +119,10 @@ def test_excerpt_takes_any_number_of_values(spark):
     text = F.lit("\n".join(f"line {c}{c}" for c in "abcdefghij"))
     more = F.array(*[F.lit(c * 2) for c in "acegi"])
     assert spark.range(1).select(T.excerpt(text, [F.lit("zz")], more)).first()[0].count(" | ") == 9
+
+
+def test_excerpt_splits_at_every_line_end(spark):
+    from pyspark.sql import functions as F
+    for end in ("\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x85", " "):
+        df = spark.createDataFrame([(end.join(["first", "second", "wanted", "after", "last"]),)], "p string")
+        assert df.select(T.excerpt(F.col("p"), [F.lit("wanted")])).first()[0] == "second | wanted | after"
