@@ -15,11 +15,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESOLUTION = 1024
+MAX_DOUBLE = 1.7976931348623157e308
+#: More than RESOLUTION times the logarithm of any double, in either direction.
+LOWEST = 1 << 20
 
 
 def bucket_of(value: Column) -> Column:
-    """A number that never falls when the value rises."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * RESOLUTION)).cast("long")
+    """A number that never falls when the value rises, 0 for zero alone.
+
+    Buckets are equally wide relative to the value at every magnitude, shares and
+    rates as well as amounts. Infinities and NaN have buckets of their own.
+    """
+    step = F.floor(F.ln(F.least(F.abs(value), F.lit(MAX_DOUBLE))) * RESOLUTION) + LOWEST
+    step = F.when(F.abs(value) > MAX_DOUBLE, 2 * LOWEST).otherwise(step)
+    return F.when(F.isnan(value), 3 * LOWEST).when(value == 0, 0).when(value < 0, -step).otherwise(step)
 
 
 def exact_percentiles(

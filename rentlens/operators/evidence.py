@@ -1,8 +1,7 @@
 """Where in the page texts an extracted value, right or owner is found.
 
-Pages come as (doc_id, page_no, text) with page numbers from 1 without gaps; a
-document has at most MAX_PAGES pages, which bounds the page sets kept per right.
-Page forms are computed once per page; (value, page) pairs are tested inside the
+Pages come as (doc_id, page_no, text) with page numbers from 1 without gaps. The
+page sets kept per right grow with the pages of one document. Page forms are computed once per page; (value, page) pairs are tested inside the
 join, so only hits leave it.
 """
 
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 
 from rentlens.functions import text as T
 
-MAX_PAGES = 100          # fixed input limit of a register document
 OWNER_WINDOW = 700       # fixed value: characters around a name searched for the id
 
 
@@ -26,7 +24,7 @@ def page_forms(pages: DataFrame) -> DataFrame:
 def next_pages(pages: DataFrame) -> DataFrame:
     """Each page with the text of the page after it (null on the last one).
 
-    One shuffle on the document; a window group is one document, at most MAX_PAGES rows.
+    One shuffle on the document; a window group is one document with its pages.
     """
     w = Window.partitionBy("doc_id").orderBy("page_no")
     return pages.select("doc_id", "page_no", "text").withColumn("next_text", F.lead("text").over(w))
@@ -52,7 +50,7 @@ def page_spans(pages: DataFrame) -> DataFrame:
 
 
 def join_pages(pages: DataFrame) -> DataFrame:
-    """One full text per document, pages in order (at most MAX_PAGES of them)."""
+    """One full text per document, pages in order."""
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
     return pages.groupBy("doc_id").agg(
         F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("full_text"))

@@ -21,10 +21,6 @@ def _rank(c: Column, table: dict[str, int]) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for p in table.items() for x in p])[c], F.lit(0))
 
 
-def owner_identity(owner: Column) -> Column:
-    return F.concat_ws("|", T.canonical(owner["name"]), T.digits(owner["jumin_front"]), T.canonical(owner["share"]))
-
-
 def merge_check(docs: DataFrame, owners: DataFrame) -> DataFrame:
     """Can the documents of each merge_id be merged? (null code when they can).
 

@@ -79,17 +79,18 @@ def notices(df: DataFrame, keys: list[str], warnings: str = "warnings", missing:
 
 
 def metrics(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Metric rows by section; values are doubles, units as text."""
+    """Metric rows by section; values are doubles, units as text. ``exact`` is the value before rounding for display."""
     detailed, always = F.col("mode") == "DETAILED", F.lit(True)
     adjusted = F.col("final_score") != F.col("base_total")
     policy = F.col("policy_adjustment") != 0
     rights = (F.col("final_score") - F.col("total")) != 0
     price_label = F.when(detailed, "담보 회수부담").otherwise("계약가격 부담")
 
-    def m(cond, section, key, label, value, unit):
+    def m(cond, section, key, label, value, unit, exact=None):
         label = label if isinstance(label, Column) else F.lit(label)
         return cond, {"section": F.lit(section), "metric": F.lit(key), "label": label,
-                      "value": value.cast("double"), "unit": F.lit(unit)}
+                      "value": value.cast("double"), "unit": F.lit(unit),
+                      "exact": (value if exact is None else exact).cast("double")}
 
     c = F.col
     items = [
@@ -98,7 +99,7 @@ def metrics(df: DataFrame, keys: list[str]) -> DataFrame:
         m(always, "valuation", "deposit", "계약 보증금", c("deposit"), "원"),
         m(detailed, "collateral", "deposit", "계약 보증금", c("deposit"), "원"),
         m(detailed, "collateral", "collateralBurden", "담보부담액", c("collateral_burden_amount"), "원"),
-        m(detailed, "collateral", "collateralRate", "담보부담률", T.percent2(c("collateral_burden_rate")), "%"),
+        m(detailed, "collateral", "collateralRate", "담보부담률", T.percent2(c("collateral_burden_rate")), "%", c("collateral_burden_rate") * 100),
         m(detailed, "collateral", "shortfall", "보증금 부족액", c("deposit_shortfall"), "원"),
         m(always, "riskScore", "total", "최종점수", c("final_score"), "점"),
         m(adjusted, "riskScore", "base", "기본 가중점수", c("base_total"), "점"),

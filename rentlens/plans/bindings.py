@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentlens.functions import score as S
+from rentlens.session import cut_lineage
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -54,8 +55,8 @@ def deposits(spark: SparkSession, d: str) -> DataFrame:
         F.sum(won(F.col("l_extendedprice"))).alias("deposit"))
 
 
-def segment_leases(spark: SparkSession, d: str) -> Column:
-    """Map of the lease price of each market segment.
+def segment_leases(spark: SparkSession, d: str, stored: bool = False) -> Column:
+    """Map of the lease price of each market segment; ``stored`` computes it now, once for all its readers.
 
     There are five segments: as one map value they need no join, which would send
     every contract to one of five partitions.
@@ -64,7 +65,7 @@ def segment_leases(spark: SparkSession, d: str) -> Column:
     sales = table(spark, d, "orders").join(c, "o_custkey").groupBy("segment").agg(
         F.sum(won(F.col("o_totalprice"))).alias("_s"), F.count("*").alias("_n"))
     leases = sales.select(F.struct("segment", F.call_function("div", "_s", "_n").alias("lease")).alias("e"))
-    return leases.select(F.map_from_entries(F.collect_list("e"))).scalar()
+    return (cut_lineage(leases) if stored else leases).select(F.map_from_entries(F.collect_list("e"))).scalar()
 
 
 def contract_columns() -> list[Column]:
@@ -82,13 +83,19 @@ def contract_columns() -> list[Column]:
     ]
 
 
-def enrich_orders(orders: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+def stored_lookups(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
+    """Deposits and segment leases computed once and stored, so that a stream's batches only read them."""
+    return cut_lineage(deposits(spark, d)), segment_leases(spark, d, stored=True)
+
+
+def enrich_orders(orders: DataFrame, spark: SparkSession, d: str, lookups: tuple[DataFrame, Column] | None = None) -> DataFrame:
     """Orders with the static columns contracts need (customer, segment, deposit)."""
+    sums, leases = lookups or (deposits(spark, d), segment_leases(spark, d))
     c = table(spark, d, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"), "c_acctbal")
-    dep = deposits(spark, d).withColumnRenamed("analysis_id", "o_orderkey")
+    dep = sums.withColumnRenamed("analysis_id", "o_orderkey")
     joined_rows = orders.join(c, "o_custkey").join(dep, "o_orderkey")
-    return joined_rows.withColumn("lease", F.try_element_at(segment_leases(spark, d), F.col("segment"))).select(*contract_columns())
+    return joined_rows.withColumn("lease", F.try_element_at(leases, F.col("segment"))).select(*contract_columns())
 
 
 def contracts(spark: SparkSession, d: str) -> DataFrame:

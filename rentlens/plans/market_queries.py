@@ -11,7 +11,7 @@ from rentlens.operators import comparables, distribution, evaluate, quality, sco
 from rentlens.plans import bindings as B
 from rentlens.plans.catalog import query
 from rentlens.plans.risk_queries import SCORE_SQL, score_output
-from rentlens.session import checkpoint_folder
+from rentlens.session import work_folder
 from rentlens.sources import payloads
 from rentlens.streaming import contracts as stream
 
@@ -181,10 +181,11 @@ def html_page_totals(spark, d) -> DataFrame:
 
 @query("stream_scores", "Z1", SCORE_SQL)
 def stream_scores(spark, d) -> DataFrame:
-    """Orders read as a file stream, enriched from static tables, scored and appended."""
-    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    """Orders read as a file stream, enriched from stored lookups, scored and appended."""
+    base = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    lookups = B.stored_lookups(spark, d)
     orders = spark.readStream.schema(B.table(spark, d, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(d)
-    scored = score_output(stream.score_stream(orders, lambda o: B.enrich_orders(o, spark, d)))
+    scored = score_output(stream.score_stream(orders, lambda o: B.enrich_orders(o, spark, d, lookups)))
     q = stream.write_scores(scored, f"{base}/out", f"{base}/state")
     q.awaitTermination()
     return spark.read.schema(scored.schema).parquet(f"{base}/out")

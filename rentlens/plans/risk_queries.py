@@ -280,6 +280,7 @@ def report_notices(spark, d) -> DataFrame:
     {{'k': 0, 'metric': 'salePrice', 'section': 'valuation', 'value': sale::DOUBLE, 'on': true}}, {{'k': 1, 'metric': 'leasePrice', 'section': 'valuation', 'value': lease::DOUBLE, 'on': true}},
     {{'k': 2, 'metric': 'deposit', 'section': 'valuation', 'value': deposit::DOUBLE, 'on': true}}, {{'k': 3, 'metric': 'deposit', 'section': 'collateral', 'value': deposit::DOUBLE, 'on': mode = 'DETAILED'}},
     {{'k': 4, 'metric': 'collateralBurden', 'section': 'collateral', 'value': (claim + deposit)::DOUBLE, 'on': mode = 'DETAILED'}},
+    {{'k': 5, 'metric': 'collateralRate', 'section': 'collateral', 'value': (claim + deposit)::DOUBLE / sale::DOUBLE * 100, 'on': mode = 'DETAILED'}},
     {{'k': 6, 'metric': 'shortfall', 'section': 'collateral', 'value': CASE WHEN claim IS NOT NULL THEN greatest(deposit - (sale - claim), 0) END::DOUBLE, 'on': mode = 'DETAILED'}},
     {{'k': 7, 'metric': 'total', 'section': 'riskScore', 'value': final_score::DOUBLE, 'on': true}}, {{'k': 8, 'metric': 'base', 'section': 'riskScore', 'value': base_total::DOUBLE, 'on': final_score <> base_total}},
     {{'k': 9, 'metric': 'priceBurden', 'section': 'riskScore', 'value': price_burden::DOUBLE, 'on': true}}, {{'k': 10, 'metric': 'leaseMarketDeviation', 'section': 'riskScore', 'value': lease_market_deviation::DOUBLE, 'on': true}},
@@ -287,9 +288,8 @@ def report_notices(spark, d) -> DataFrame:
     {{'k': 13, 'metric': 'rightsAdjustment', 'section': 'riskScore', 'value': (final_score - total)::DOUBLE, 'on': final_score <> total}}]) AS m FROM finals)
 SELECT analysis_id, m.section AS section, m.metric AS metric, m.value AS value FROM u WHERE m.on""")
 def report_metrics(spark, d) -> DataFrame:
-    # The displayed percentage is left out: engines round the second decimal differently.
-    return report.metrics(finals(spark, d), ["analysis_id"]).where(F.col("metric") != "collateralRate").select(
-        "analysis_id", "section", "metric", "value")
+    # Values before rounding for display: engines round the second decimal differently.
+    return report.metrics(finals(spark, d), ["analysis_id"]).select("analysis_id", "section", "metric", F.col("exact").alias("value"))
 
 
 @query("report_actions", "R20", f"""WITH {B.REGISTER}, {FLOORED}, u AS (
@@ -313,7 +313,7 @@ def money_labels(spark, d) -> DataFrame:
 @query("contract_risk", "R4 R8 R9 R10 R12 R13 R16 P34 P35", f"""WITH RECURSIVE {B.REGISTER}, {FLOORED}, keyed AS (SELECT *, analysis_id AS key FROM finals), {_limit_sql('keyed')}
 SELECT analysis_id, mode, sale, lease, deposit, claim, base_total, total, final_score, {B.GRADE.format(s='final_score')} AS final_grade, array_to_string(warnings, '|') AS warnings,
   array_to_string(list_concat(floor_reasons, warnings), '|') AS all_floor_reasons, recommended_limit,
-  CASE WHEN len(missing_checks) > 2 THEN 'LOW' WHEN len(warnings) > 0 THEN 'MEDIUM' ELSE 'HIGH' END AS reliability
+  CASE WHEN len(missing_checks) > 2 THEN 'LOW' WHEN len(warnings) > 0 THEN 'MEDIUM' ELSE 'HIGH' END AS check_completeness
 FROM keyed JOIN limits USING (key)""")
 def contract_risk(spark, d) -> DataFrame:
     df = scoring.with_deposit_limit(scoring.assembled(finals(spark, d)), F.col("warnings"))
@@ -321,4 +321,4 @@ def contract_risk(spark, d) -> DataFrame:
     return df.select(
         "analysis_id", "mode", "sale", "lease", "deposit", "claim", "base_total", "total", "final_score", "final_grade",
         B.joined(F.col("warnings")).alias("warnings"), B.joined(F.col("all_floor_reasons")).alias("all_floor_reasons"),
-        "recommended_limit", scoring.valuation_reliability(many, F.col("warnings")).alias("reliability"))
+        "recommended_limit", scoring.valuation_reliability(many, F.col("warnings")).alias("check_completeness"))

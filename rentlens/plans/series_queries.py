@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,8 @@ from rentlens.functions import text as T
 from rentlens.operators import asof, match, quality, reference, series
 from rentlens.plans import bindings as B
 from rentlens.plans.catalog import query
-from rentlens.session import cut_lineage
+from rentlens.session import cut_lineage, work_folder
+from rentlens.sources import sinks
 
 # ---- price index rows from the event table ---------------------------------
 
@@ -236,9 +238,9 @@ def _macro_join(left: DataFrame, spark, d) -> DataFrame:
 REGION_SERIES = """sales AS (SELECT r_name, n_name, n_nationkey, strftime(o_orderdate, '%Y-%m') AS base_month, CAST(round(o_totalprice * 100) AS BIGINT) AS v, o_orderstatus AS st FROM orders
   JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
 region_series AS (
-  SELECT r_name || ' > ' || n_name AS region_path, n_name AS region_name, base_month, CAST(sum(v) FILTER (st <> 'P') AS BIGINT) AS level, CASE WHEN n_nationkey % 2 = 0 THEN CAST(sum(v) FILTER (st = 'O') AS BIGINT) END AS change
-  FROM sales WHERE n_nationkey % 3 > 0 AND CAST(substr(base_month, 6, 2) AS INTEGER) % 2 = 1 GROUP BY r_name, n_name, n_nationkey, base_month
-  UNION ALL SELECT r_name, r_name, base_month, CAST(sum(v) AS BIGINT), CAST(count(*) AS BIGINT) FROM sales WHERE substr(base_month, 6, 2) NOT IN ('02', '03') GROUP BY r_name, base_month)"""
+  SELECT r_name || ' > ' || n_name AS region_path, n_name AS region_name, base_month, CAST(sum(v) FILTER (st <> 'P' AND published) AS BIGINT) AS level, CASE WHEN n_nationkey % 2 = 0 THEN CAST(sum(v) FILTER (st = 'O' AND published) AS BIGINT) END AS change
+  FROM (SELECT *, n_nationkey % 3 > 0 AND CAST(substr(base_month, 6, 2) AS INTEGER) % 2 = 1 AS published FROM sales) GROUP BY r_name, n_name, n_nationkey, base_month
+  UNION ALL SELECT r_name, r_name, base_month, CASE WHEN substr(base_month, 6, 2) NOT IN ('02', '03') THEN CAST(sum(v) AS BIGINT) END, CASE WHEN substr(base_month, 6, 2) NOT IN ('02', '03') THEN CAST(count(*) AS BIGINT) END FROM sales GROUP BY r_name, base_month)"""
 
 
 def region_sales(spark, d) -> DataFrame:
@@ -250,11 +252,14 @@ def region_sales(spark, d) -> DataFrame:
 
 def region_series(spark, d) -> DataFrame:
     s = region_sales(spark, d)
-    odd = s.where((F.col("n_nationkey") % 3 > 0) & (F.substring("base_month", 6, 2).cast("int") % 2 == 1)).groupBy("r_name", "n_name", "n_nationkey", "base_month").agg(
-        F.sum(F.when(F.col("st") != "P", F.col("v"))).alias("level"), F.sum(F.when(F.col("st") == "O", F.col("v"))).alias("open"))
+    # A value that was not published is missing, as in the raw files; its orders are read all the same.
+    published = (F.col("n_nationkey") % 3 > 0) & (F.substring("base_month", 6, 2).cast("int") % 2 == 1)
+    odd = s.groupBy("r_name", "n_name", "n_nationkey", "base_month").agg(
+        F.sum(F.when(published & (F.col("st") != "P"), F.col("v"))).alias("level"), F.sum(F.when(published & (F.col("st") == "O"), F.col("v"))).alias("open"))
     low = odd.select(F.concat_ws(" > ", "r_name", "n_name").alias("region_path"), F.col("n_name").alias("region_name"), "base_month", "level",
                      F.when(F.col("n_nationkey") % 2 == 0, F.col("open")).alias("change"))
-    top = s.where(~F.substring("base_month", 6, 2).isin("02", "03")).groupBy("r_name", "base_month").agg(F.sum("v").alias("level"), F.count("*").alias("change"))
+    on = ~F.substring("base_month", 6, 2).isin("02", "03")
+    top = s.groupBy("r_name", "base_month").agg(F.sum(F.when(on, F.col("v"))).alias("level"), F.nullif(F.count_if(on), F.lit(0)).alias("change"))
     return low.unionByName(top.select(F.col("r_name").alias("region_path"), F.col("r_name").alias("region_name"), "base_month", "level", "change"))
 
 
@@ -336,9 +341,15 @@ def training_profile(spark, d) -> DataFrame:
 SELECT 'mortgage' AS store, count(*) AS row_count, 'v2' AS version, true AS version_ok, count(*) > 0 AS rows_ok, true AS width_ok FROM mortgage
 UNION ALL SELECT 'funding', count(*), 'v1', false, count(*) > 0, false FROM funding""")
 def store_checks(spark, d) -> DataFrame:
-    a = quality.store_check(mortgage_values(spark, d), F.lit("v2"), "v2", 4).withColumn("store", F.lit("mortgage"))
-    b = quality.store_check(funding_values(spark, d), F.lit("v1"), "v2", 4).withColumn("store", F.lit("funding"))
-    return a.unionByName(b)
+    """Two stores loaded and read back; the versions are those their metadata names."""
+    folder = f"{work_folder(spark)}/stores-{uuid.uuid4().hex}"
+    sinks.refresh_table(mortgage_values(spark, d), folder, "mortgage", "v2")
+    metadata = sinks.refresh_table(funding_values(spark, d), folder, "funding", "v1")
+
+    def check(store: str) -> DataFrame:
+        version = metadata.where(F.col("source_name") == store).select("version").scalar()
+        return quality.store_check(sinks.read_current(spark, folder, store), version, "v2", 4).withColumn("store", F.lit(store))
+    return check("mortgage").unionByName(check("funding"))
 
 
 # ---- property reference and matching ---------------------------------------

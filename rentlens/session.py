@@ -46,12 +46,22 @@ def _local_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="rentlens-")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The session's own folder below the checkpoint folder. The driver removes it when it ends."""
+    folder = f"{checkpoint_folder(spark)}/rentlens-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows written as a table to the shared checkpoint folder and read back.
 
     Like a reliable checkpoint it survives the loss of executors; being parquet, it is
     read column by column and its size is known when joins are planned.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/rentlens-{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

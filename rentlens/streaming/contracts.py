@@ -30,7 +30,3 @@ def write_scores(scored: DataFrame, folder: str, checkpoint: str) -> StreamingQu
         .option("path", folder).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
-
-
-def write_batches(scored: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
