@@ -56,10 +56,15 @@ def match_owners(owners: DataFrame, watchlist: DataFrame, keys: Sequence[str]) -
     }).drop("_high", "_candidates")
 
 
-def candidate_rows(owners: DataFrame, watchlist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Watchlist entries behind each named match, one row each."""
-    w = watchlist.select([F.col(c).alias(f"w_{c}") for c in watchlist.columns])
-    return owners.select(*keys, "name").join(w, F.col("name") == F.col("w_name")).drop("name")
+def candidate_groups(owners: DataFrame, watchlist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Watchlist entries behind each named match, one row per owner and age.
+
+    Entries are counted per (name, age) before owners meet them, so a frequent name
+    gives an owner as many rows as there are ages, not as there are entries.
+    """
+    entries = watchlist.where(F.col("name").isNotNull()).groupBy("name", "age").agg(
+        F.count("*").alias("entries"), F.sum("return_debt_amount").alias("return_debt_amount"), F.max("posted_date").alias("last_posted"))
+    return owners.where(F.col("name") != "").select(*keys, "name").join(entries, "name")
 
 
 def check_result(status: Column) -> dict[str, Column]:

@@ -443,6 +443,12 @@ def watchlist_matches(spark, d) -> DataFrame:
         watchlist.check_result(F.col("match_status"))).select("c_custkey", "match_status", "candidate_count", "matched", "match_type")
 
 
+@query("watchlist_candidates", "J19", f"""WITH {WATCH_RAW}, {OWNERS} SELECT c_custkey, name, age, count(*) AS entries, CAST(sum(return_debt_amount) AS BIGINT) AS return_debt_amount, strftime(max(posted_date), '%Y-%m-%d') AS last_posted
+FROM owners JOIN watch USING (name) WHERE name <> '' GROUP BY 1, 2, 3""")
+def watchlist_candidates(spark, d) -> DataFrame:
+    return watchlist.candidate_groups(owners(spark, d), watch(spark, d), ["c_custkey"]).withColumn("last_posted", F.col("last_posted").cast("string"))
+
+
 @query("watchlist_overall", "A11", f"""WITH {CHECKS}, r AS (SELECT doc, max(CASE match_status WHEN 'MATCH_HIGH' THEN 3 WHEN 'MATCH_NAME_ONLY' THEN 2 WHEN 'UNKNOWN' THEN 1 ELSE 0 END) AS k FROM checks GROUP BY 1)
 SELECT doc_id, CASE k WHEN 3 THEN 'MATCH_HIGH' WHEN 2 THEN 'MATCH_NAME_ONLY' WHEN 0 THEN 'NO_MATCH' ELSE 'UNKNOWN' END AS overall_match_status FROM (SELECT s_suppkey AS doc_id FROM supplier) d LEFT JOIN r ON doc = doc_id""")
 def watchlist_overall(spark, d) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rentlens.functions import text as T
 from rentlens.operators import evidence, merge, rights
 from rentlens.plans import bindings as B
-from rentlens.plans.catalog import query
+from rentlens.plans.catalog import CATALOG, query
 from rentlens.session import cut_lineage
 from rentlens.sources import sinks
 
@@ -152,24 +152,29 @@ def merge_check(spark, d) -> DataFrame:
     return merge.merge_check(docs, owners)
 
 
-CLAIMS = f"""{GROUPS}, joints AS (SELECT merge_id, bool_and(o_orderstatus <> 'P') AS joint FROM mdocs GROUP BY 1), lines AS (
+CLAIM_ROWS = f"""{GROUPS}, joints AS (SELECT merge_id, bool_and(o_orderstatus <> 'P') AS joint FROM mdocs GROUP BY 1), lines AS (
   SELECT m.merge_id, m.doc_id, m.document_index, CAST(date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * 10000000000 + l_partkey AS seq, CAST(l_linenumber AS VARCHAR) AS rank_no,
     CASE WHEN l_partkey % 6 > 0 THEN l_partkey % 3 || ' 호' END AS receipt_no, CASE WHEN l_suppkey % 9 > 0 THEN strftime(l_shipdate, '%Y') END AS registered_at, 'Bank ' || l_suppkey % 2 AS creditor, CASE WHEN l_partkey % 4 > 0 THEN 'D' || l_partkey % 2 || ' 800101-1234567' END AS debtor,
     CASE WHEN l_quantity > 2 THEN CAST(l_quantity AS BIGINT) // 10 * 1000000 END AS amount, CASE WHEN l_linestatus = 'F' THEN 'CANCELLED' ELSE 'ACTIVE' END AS status, l_returnflag AS flag, joint
   FROM lineitem JOIN mdocs m ON m.doc_id = l_orderkey JOIN joints USING (merge_id)),
-claims AS (SELECT *, doc_id || '/' || seq AS claim_id FROM lines WHERE flag <> 'A'), links AS (SELECT doc_id, rank_no, registered_at, receipt_no, amount FROM lines WHERE flag = 'A'),
-sig AS (SELECT DISTINCT claim_id, sg FROM (
+claims AS (SELECT *, doc_id || '/' || seq AS claim_id FROM lines WHERE flag <> 'A'), links AS (SELECT doc_id, rank_no, registered_at, receipt_no, amount FROM lines WHERE flag = 'A')"""
+CLAIM_SIGNATURES = """sig AS (SELECT DISTINCT claim_id, sg FROM (
   SELECT claim_id, 'R' || registered_at || '|' || replace(receipt_no, ' ', '') || '|' || amount || status AS sg FROM claims
   UNION ALL SELECT claim_id, 'P' || creditor || '|' || split_part(debtor, ' ', 1) || '|' || amount || status FROM claims WHERE joint
-  UNION ALL SELECT claim_id, 'A' || l.registered_at || '|' || l.receipt_no || '|' || coalesce(l.amount, c.amount) || status FROM claims c JOIN links l USING (doc_id, rank_no) WHERE joint) WHERE sg IS NOT NULL),
-items AS (SELECT c.*, coalesce(s.sigs, CAST([] AS VARCHAR[])) AS sigs, row_number() OVER (PARTITION BY merge_id ORDER BY document_index, seq, c.claim_id) AS rn FROM claims c LEFT JOIN (SELECT claim_id, list(sg) AS sigs FROM sig GROUP BY 1) s USING (claim_id)),
+  UNION ALL SELECT claim_id, 'A' || l.registered_at || '|' || l.receipt_no || '|' || coalesce(l.amount, c.amount) || status FROM claims c JOIN links l USING (doc_id, rank_no) WHERE joint) WHERE sg IS NOT NULL)"""
+DEPOSIT_SIGNATURES = """sig AS (SELECT DISTINCT claim_id, sg FROM (
+  SELECT claim_id, 'R' || registered_at || '|' || replace(receipt_no, ' ', '') || '|' || amount || status AS sg FROM claims
+  UNION ALL SELECT claim_id, 'P' || registered_at || '|' || creditor || '|' || amount || status FROM claims) WHERE sg IS NOT NULL)"""
+WALK = """items AS (SELECT c.*, coalesce(s.sigs, CAST([] AS VARCHAR[])) AS sigs, row_number() OVER (PARTITION BY merge_id ORDER BY document_index, seq, c.claim_id) AS rn FROM claims c LEFT JOIN (SELECT claim_id, list(sg) AS sigs FROM sig GROUP BY 1) s USING (claim_id)),
 walk AS (SELECT merge_id, rn, claim_id, document_index = 0 OR true AS kept, sigs AS seen FROM items WHERE rn = 1
   UNION ALL SELECT merge_id, rn, claim_id, kept, CASE WHEN kept THEN list_concat(seen, sigs) ELSE seen END FROM (
     SELECT i.merge_id, i.rn, i.claim_id, i.sigs, w.seen, i.document_index = 0 OR NOT list_has_any(i.sigs, w.seen) AS kept FROM walk w JOIN items i ON i.merge_id = w.merge_id AND i.rn = w.rn + 1)),
 kept_claims AS (SELECT c.* FROM claims c JOIN walk w USING (claim_id) WHERE w.kept)"""
+CLAIMS = f"{CLAIM_ROWS}, {CLAIM_SIGNATURES}, {WALK}"
 
 
-def kept_claims(spark, d) -> DataFrame:
+def claim_rows(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Claims of all merges, and the amendments of their ranks."""
     c = F.col
     s = lambda x: x.cast("string")
     docs = merge_docs(spark, d)
@@ -184,6 +189,11 @@ def kept_claims(spark, d) -> DataFrame:
         F.when(c("l_linestatus") == "F", "CANCELLED").otherwise("ACTIVE").alias("status"), c("l_returnflag").alias("flag"), "joint")
     claims = lines.where(c("flag") != "A").withColumn("claim_id", F.concat_ws("/", s(c("doc_id")), s(c("seq"))))
     links = lines.where(c("flag") == "A").select("doc_id", "rank_no", "registered_at", "receipt_no", "amount")
+    return claims, links
+
+
+def kept_claims(spark, d) -> DataFrame:
+    claims, links = claim_rows(spark, d)
     return merge.greedy_dedupe(claims, merge.claim_signatures(claims, links))
 
 
@@ -213,6 +223,22 @@ def merge_rollup(spark, d) -> DataFrame:
     return merge.merge_rollup(docs, _ALL_FLAGS)
 
 
+@query("merged_deposits", "J15", f"WITH RECURSIVE {CLAIM_ROWS}, {DEPOSIT_SIGNATURES}, {WALK} SELECT merge_id, claim_id, amount, status FROM kept_claims")
+def merged_deposits(spark, d) -> DataFrame:
+    """The claims read as deposit rights of their creditors."""
+    rows = claim_rows(spark, d)[0].withColumnRenamed("creditor", "holder")
+    return merge.greedy_dedupe(rows, merge.deposit_signatures(rows)).select("merge_id", "claim_id", "amount", "status")
+
+
+@query("merged_status", "A10", f"""WITH r AS ({CATALOG['merge_rollup'].sql}), t AS ({CATALOG['merged_totals'].sql}), j AS (
+  SELECT r.*, coalesce(active_mortgage_count, 0) AS n, CASE WHEN active_mortgage_count IS NULL THEN 0 ELSE total_active_max_claim_amount END AS total FROM r LEFT JOIN t USING (merge_id))
+SELECT merge_id, n AS active_mortgage_count, total AS total_active_max_claim_amount, CASE WHEN total IS NULL AND parse_status = 'SUCCESS' THEN 'NEEDS_REVIEW' ELSE parse_status END AS parse_status,
+  CASE WHEN total IS NULL AND parse_status = 'SUCCESS' THEN 'MEDIUM' ELSE parse_confidence END AS parse_confidence FROM j""")
+def merged_status(spark, d) -> DataFrame:
+    return merge.settled_status(merge_rollup(spark, d), merged_totals(spark, d)).select(
+        "merge_id", "active_mortgage_count", "total_active_max_claim_amount", "parse_status", "parse_confidence")
+
+
 # ---- document text ------------------------------------------------------------
 
 SIGNALS = (

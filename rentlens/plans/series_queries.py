@@ -290,6 +290,31 @@ def region_index_asof(spark, d) -> DataFrame:
     return out.select("analysis_id", "level", "level_region", "change", "change_region")
 
 
+_KEYED = "s.housing = p.housing AND s.band = p.band AND s.base_month <= p.contract_month_asked AND level IS NOT NULL"
+KEYED_SERIES = f"""sized AS (SELECT *, CASE WHEN v < 15000000 THEN 'SMALL' ELSE 'LARGE' END AS band, st AS housing FROM sales), keyed AS (
+  SELECT r_name || ' > ' || n_name AS region_path, housing, band, base_month, CASE WHEN n_nationkey % 3 > 0 THEN CAST(sum(v) AS BIGINT) END AS level FROM sized GROUP BY r_name, n_name, n_nationkey, housing, band, base_month
+  UNION ALL SELECT r_name, housing, band, base_month, CAST(sum(v) AS BIGINT) FROM sized GROUP BY r_name, housing, band, base_month),
+keyed_probes AS (SELECT *, CASE analysis_id % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'O' WHEN 2 THEN 'P' ELSE 'none' END AS housing, CASE WHEN custkey % 2 = 0 THEN 'SMALL' ELSE 'LARGE' END AS band FROM region_probes)"""
+
+
+@query("region_index_keys", "J6", f"""WITH {REGION_SERIES}, {REGION_PROBES}, {KEYED_SERIES}, picked AS (SELECT analysis_id, path, parent, (SELECT max_by(level, base_month) FROM keyed s WHERE s.region_path = p.path AND {_KEYED}) AS own,
+  (SELECT max_by(level, base_month) FROM keyed s WHERE s.region_path = p.parent AND {_KEYED}) AS above FROM keyed_probes p)
+SELECT analysis_id, coalesce(own, above) AS level, CASE WHEN own IS NOT NULL THEN path WHEN above IS NOT NULL THEN parent END AS level_region FROM picked""")
+def region_index_keys(spark, d) -> DataFrame:
+    """The index of a region, housing type and size band; a type without an index gives null."""
+    s = region_sales(spark, d).withColumns({"band": F.when(F.col("v") < 15_000_000, "SMALL").otherwise("LARGE"), "housing": F.col("st")})
+    low = s.groupBy(F.concat_ws(" > ", "r_name", "n_name").alias("region_path"), "n_nationkey", "housing", "band", "base_month").agg(
+        F.sum(F.when(F.col("n_nationkey") % 3 > 0, F.col("v"))).alias("level")).drop("n_nationkey")
+    top = s.groupBy(F.col("r_name").alias("region_path"), "housing", "band", "base_month").agg(F.sum("v").alias("level"))
+    k = F.col("analysis_id") % 4
+    p = region_probes(spark, d).withColumns({
+        "asked_housing": F.when(k == 0, "F").when(k == 1, "O").when(k == 2, "P").otherwise("none"),
+        "asked_band": F.when(F.col("custkey") % 2 == 0, "SMALL").otherwise("LARGE")})
+    out = asof.region_asof_join(p, F.col("contract_month_asked"), F.col("path"), stored(low.unionByName(top)), "base_month", ["level"],
+                                keys=[(F.col("asked_housing"), "housing"), (F.col("asked_band"), "band")], max_depth=2)
+    return out.select("analysis_id", "level", "level_region")
+
+
 @query("region_paths", "W2", f"""WITH {REGION_SERIES} SELECT region_name, max_by(region_path, lpad(CAST(length(region_path) AS VARCHAR), 5, '0') || region_path) AS region_path FROM region_series GROUP BY 1""")
 def region_paths(spark, d) -> DataFrame:
     return asof.longest_region_path(region_series(spark, d))

@@ -125,6 +125,29 @@ def test_comparables_counts_repeated_deposits(spark):
     assert got[1].sample_count == 9 and got[1].user_deposit_percentile == round(700 / 9, 1) and got[1].median == 135_000_000
 
 
+def test_hot_district_reaches_a_cell_as_one_row_for_each_deposit(spark):
+    """Buildings, repeated deals and repeated contracts of one district and month are summed before the cell shuffle."""
+    n = F.col("id")
+    t = spark.range(20_000).select(
+        ((n % 50 + 1) * 1_000_000).alias("deposit"), F.lit(61.0).alias("area"), F.lit(dt.date(2026, 6, 1)).alias("contract_date"),
+        F.lit("d").alias("legal_dong"), F.concat(F.lit("b"), (n % 400).cast("string")).alias("building"))
+    rule = comparables.ComparableRule(window_months=2)
+    counts = comparables.counted(t, ["legal_dong", "building"], rule)
+    asks = t.select("legal_dong", F.lit(12).cast("long").alias("band"), F.lit(2026 * 12 + 5).alias("month"), "deposit")
+    rows = comparables.cell_rows(counts, ["legal_dong"], rule, asks)
+    assert rows.count() == 50 * 3 * 2 and rows.agg(F.sum("n")).first()[0] == 20_000 * 6
+    stats = comparables.asked_statistics(rows, ["legal_dong"]).collect()
+    assert len(stats) == 50 and {r.sample_count for r in stats} == {20_000}
+    assert {r.deposit: r.not_above for r in stats} == {k * 1_000_000: k * 400 for k in range(1, 51)}
+
+
+def test_buckets_rise_with_the_value_at_every_magnitude(spark):
+    values = [float("-inf"), -1e308, -2.0, -1e-3, -5e-324, 0.0, 5e-324, 1e-300, 1e-4, 4e-4, 9e-4, 0.5, 1.0, 1.01, 1e9, 1.01e9, 1.7976931348623157e308, float("inf"), float("nan")]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    got = [r.b for r in df.select("i", distribution.bucket_of(F.col("v")).alias("b")).orderBy("i").collect()]
+    assert got == sorted(set(got))
+
+
 def greedy(claims, sigs):
     kept, seen = [], defaultdict(set)
     for merge_id, doc, seq, cid in sorted(claims):
