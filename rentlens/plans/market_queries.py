@@ -12,7 +12,7 @@ from rentlens.plans import bindings as B
 from rentlens.plans.catalog import query
 from rentlens.plans.risk_queries import SCORE_SQL, score_output
 from rentlens.session import work_folder
-from rentlens.sources import payloads
+from rentlens.sources import files, payloads, sinks
 from rentlens.streaming import contracts as stream
 
 # ---- comparables: line items are transactions and contracts alike ------------
@@ -177,6 +177,35 @@ def html_page_totals(spark, d) -> DataFrame:
     return B.table(spark, d, "pages").select("page_id", payloads.page_total(F.concat("html", F.lit(" "), s(k), F.lit(" / "), s(k + 3))).alias("total"))
 
 
+# ---- stored files --------------------------------------------------------------------
+
+@query("csv_round_trip", "S1 S14", """SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment, c_nationkey::VARCHAR AS c_nationkey FROM customer""")
+def csv_round_trip(spark, d) -> DataFrame:
+    """Customers written as CSV with a byte-order mark and read back as text."""
+    path, columns = f"{work_folder(spark)}/csv-{uuid.uuid4().hex}", ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"]
+    sinks.write_csv(B.table(spark, d, "customer").select(*columns), path)
+    return files.read_csv(spark, path, columns)
+
+
+@query("training_files", "S2 S4", """SELECT 'model_' || p_size % 2 AS model_key, p_partkey, p_retailprice FROM part""")
+def training_files(spark, d) -> DataFrame:
+    """Training rows stored by model key and read back with the wanted columns only."""
+    folder, part, keys = f"{work_folder(spark)}/training-{uuid.uuid4().hex}", B.table(spark, d, "part"), {0: "model_0", 1: "model_1"}
+    for k, key in keys.items():
+        part.where(F.col("p_size") % 2 == k).write.parquet(f"{folder}/train_{key}.parquet")
+    read = [files.read_training(spark, folder, key, ["p_partkey", "p_retailprice"]).withColumn("model_key", F.lit(key)) for key in keys.values()]
+    return read[0].unionByName(read[1])
+
+
+@query("store_reload", "S6", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders""")
+def store_reload(spark, d) -> DataFrame:
+    """A version loaded, loaded again under its own name, and read through the metadata."""
+    folder, rows = f"{work_folder(spark)}/store-{uuid.uuid4().hex}", B.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    sinks.refresh_table(rows.where("o_orderstatus = 'F'"), folder, "orders", "v1")
+    sinks.refresh_table(rows, folder, "orders", "v1")
+    return sinks.read_current(spark, folder, "orders")
+
+
 # ---- streaming ----------------------------------------------------------------------
 
 @query("stream_scores", "Z1", SCORE_SQL)

@@ -181,13 +181,15 @@ def price_targets(spark, d) -> DataFrame:
 
 @query("price_model", "R3")
 def price_model(spark, d) -> DataFrame:
-    """Fits a unit-price model on line items and prices every one of them."""
+    """Prices every line item by a unit-price model fitted on the orders of the other fold."""
     p = B.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size", "p_retailprice")
     rows = B.table(spark, d, "lineitem").join(p, "l_partkey").select(
-        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("area"), F.month("l_shipdate").alias("month"), "l_discount", "l_tax", "p_size", "p_retailprice",
+        "l_orderkey", "l_linenumber", F.pmod("l_orderkey", F.lit(2)).alias("fold"), F.col("l_quantity").alias("area"), F.month("l_shipdate").alias("month"), "l_discount", "l_tax", "p_size", "p_retailprice",
         "p_brand", "p_type", valuation.log_target(F.col("l_extendedprice"), F.col("l_quantity")).alias("label"))
-    model = valuation.fit_price_model(rows, ["area", "month", "l_discount", "l_tax", "p_size", "p_retailprice"], ["p_brand", "p_type"], trees=5, depth=3, buckets=64)
-    return valuation.estimate(model, rows, "area").select("l_orderkey", "l_linenumber", "prediction", "unit_price", "total_price", "estimated_price", "price_reject")
+    numbers, names = ["area", "month", "l_discount", "l_tax", "p_size", "p_retailprice"], ["p_brand", "p_type"]
+    models = [valuation.fit_price_model(rows.where(F.col("fold") != k), numbers, names) for k in (0, 1)]
+    priced = [valuation.estimate(m, rows.where(F.col("fold") == k), "area") for k, m in enumerate(models)]
+    return priced[0].unionByName(priced[1]).select("l_orderkey", "l_linenumber", "prediction", "unit_price", "total_price", "estimated_price", "price_reject")
 
 
 # ---- address and ledger rows ------------------------------------------------
