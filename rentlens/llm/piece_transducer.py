@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,17 +84,23 @@ class PieceTransducer:
         self.bytes_of = [bytes([int(self.piece[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else
                          " ⁇ ".encode() if i == self.unknown else self.piece[i].replace(SPACE, " ").encode() for i in ids]
         self.longest = max(map(len, self.plain))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: by ``first * number of pieces + second``
+        self.pairs: dict[int, bool] = {}
         self.histories: dict[int, list[tuple[float, str, str]]] = {}
         self.known: dict[str, bytes] = {"": b""}
         if self.is_bpe:
             self.plain = {p: i for p, i in self.plain.items() if len(p) == 1 or self._history(i)[-1][1] == p}
-        # arcs by first letters: prefixes of pieces, with the id where a piece ends
-        self.trie: dict[str, int | None] = {}
+        self.size = [len(p) for p in self.piece]
+        # arcs by first letters: prefixes of pieces, with the id where a piece ends and -1 elsewhere
+        self.trie: dict[str, int] = {}
         for p, i in self.plain.items():
             for k in range(1, len(p)):
-                self.trie.setdefault(p[:k], None)
+                self.trie.setdefault(p[:k], -1)
             self.trie[p] = i
+        # for each piece the longest shorter one that it starts with
+        self.shorter = [-1] * len(self.piece)
+        for p, i in self.plain.items():
+            self.shorter[i] = next((self.trie[p[:k]] for k in range(len(p) - 1, 0, -1) if self.trie[p[:k]] >= 0), -1)
 
     def history(self, text: str) -> list[tuple[float, str, str]]:
         """The merges of a short text in order, the best-scored neighbours first and the left ones if equal: what
@@ -112,9 +119,6 @@ class PieceTransducer:
 
         Each piece is merged as if alone until a merge across the seam is the next best one.
         """
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
         left, right = self._history(a), self._history(b)
         i = j = 0
         while True:
@@ -132,7 +136,7 @@ class PieceTransducer:
                 j += 1
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = known
+        self.pairs[a * len(self.piece) + b] = known
         return known
 
     def _history(self, i: int) -> list[tuple[float, str, str]]:
@@ -147,31 +151,60 @@ class PieceTransducer:
             return ""
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
 
-    def _between(self, text: str) -> list[int]:
-        """Shortest path over a stretch of letters of the vocabulary.
+    def _longest(self, text: str, i: int) -> int:
+        """The longest piece that the text holds at ``i``; ``shorter`` leads to the others."""
+        out, get = -1, self.trie.get
+        for j in range(i + 1, min(len(text), i + self.longest) + 1):
+            p = get(text[i:j])
+            if p is None:
+                break
+            if p >= 0:
+                out = p
+        return out
 
-        A position keeps its cheapest last piece. In a BPE model there is only one with a finite cost, so the first
-        to arrive is it.
+    def _only_path(self, text: str) -> list[int]:
+        """The path of finite weight over a stretch of letters of the vocabulary, of a BPE model.
+
+        There is one, and one to each position on the way, so the search goes forward by the longest open arc and
+        leaves a position without any for good: no position is entered twice.
         """
-        n, trie, bpe = len(text), self.trie, self.is_bpe
-        last: list[int | None] = [None] * (n + 1)
-        cost = [FAR] * (n + 1)
-        last[0], cost[0] = -1, 0.0
+        n, size, pairs, count, shorter = len(text), self.size, self.pairs, len(self.piece), self.shorter
+        path, dead = [], set()
+        i, before, p = 0, -1, self._longest(text, 0)
+        while True:
+            while p >= 0:
+                j = i + size[p]
+                if j not in dead:
+                    open_arc = before < 0 or pairs.get(before * count + p)
+                    if self.agree(before, p) if open_arc is None else open_arc:
+                        break
+                p = shorter[p]
+            else:
+                dead.add(i)
+                p = path.pop()
+                i -= size[p]
+                before = path[-1] if path else -1
+                p = shorter[p]
+                continue
+            path.append(p)
+            if j == n:
+                return path
+            i, before, p = j, p, self._longest(text, j)
+
+    def _cheapest_path(self, text: str) -> list[int]:
+        """Shortest path over a stretch of letters of the vocabulary, of a unigram model: every position keeps its
+        cheapest last piece."""
+        n = len(text)
+        last, cost = [-1] * (n + 1), [FAR] * (n + 1)
+        cost[0] = 0.0
         for i in range(n):
-            before = last[i]
-            if before is None:
+            if cost[i] == FAR:
                 continue
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                part = text[i:j]
-                if part not in trie:
-                    break
-                p = trie[part]
+                p = self.trie.get(text[i:j])
                 if p is None:
-                    continue
-                if bpe:
-                    if last[j] is None and (before < 0 or self.agree(before, p)):
-                        last[j] = p
-                elif cost[i] + self.cost[p] < cost[j]:
+                    break
+                if p >= 0 and cost[i] + self.cost[p] < cost[j]:
                     cost[j], last[j] = cost[i] + self.cost[p], p
         out, i = [], n
         while i > 0:
@@ -179,9 +212,14 @@ class PieceTransducer:
             i -= len(self.piece[last[i]])
         return out[::-1]
 
+    def _between(self, text: str) -> list[int]:
+        return self._only_path(text) if self.is_bpe else self._cheapest_path(text)
+
     def path(self, text: str) -> list[int]:
         """Ids of a normalised text. Characters outside the vocabulary become bytes (or the unknown id), and nothing
         reaches across them."""
+        if text and self.letters.issuperset(text):
+            return self._between(text)
         out, start = [], 0
         for i, c in enumerate(text):
             if c not in self.letters:
@@ -203,7 +241,8 @@ class PieceTransducer:
             self.known.clear()
             self.known[""] = b""
         for c in set(chunks).difference(self.known):
-            self.known[c] = np.array(self.path(c), "<u4").tobytes()
+            ids = self.path(c)
+            self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join([self.known[c] for c in chunks])
 
     def decode(self, ids: np.ndarray) -> str:
