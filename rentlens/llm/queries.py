@@ -100,6 +100,20 @@ def op5_chat_targets(spark: SparkSession, d: str) -> DataFrame:
     return chat_targets.digest(chat_targets.expand(turns.unionByName(extra)))
 
 
+OP5 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+-- marks take 10 characters a turn, and each escaped character is written as four
+e AS (SELECT *, 10 + length(role) + length(text) + 3 * (length(role || text) - length(translate(role || text, '\<[|', ''))) AS n FROM t),
+p AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples,
+  CAST(coalesce(sum(upto) FILTER (role = 'assistant'), 0) AS BIGINT) AS examples_chars
+FROM p GROUP BY conv_id"""
+
+
 def op6_context_tree(spark: SparkSession, d: str) -> DataFrame:
     held_out = fold("doc_id", 7) == 2
     out = context_tree.score_documents(table(spark, d, "documents"), ~held_out)
@@ -125,9 +139,21 @@ def op10_projection_passes(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+OP10 = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= {projection_passes.THRESHOLD} ELSE false END),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, r.component_id, r.component_id = e.vec_id AS kept
+FROM embeddings e JOIN roots r ON r.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_merkle_fixity, op2_exact_dedup, op3_pu_quality, op4_url_vocabulary, op5_chat_targets, op6_context_tree, op7_piece_transducer,
         op8_harmonic_packing, op9_ball_simhash, op10_projection_passes)
 }
-SQL: dict[str, str] = {"op1_merkle_fixity": OP1, "op2_exact_dedup": OP2, "op4_url_vocabulary": OP4}
+SQL: dict[str, str] = {"op1_merkle_fixity": OP1, "op2_exact_dedup": OP2, "op4_url_vocabulary": OP4, "op5_chat_targets": OP5, "op10_projection_passes": OP10}
