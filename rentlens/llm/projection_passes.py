@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by sorted projection passes."""
+"""Embedding near-duplicates: sorted projection passes thin dense groups, blocks around pivots find every link."""
 
 from __future__ import annotations
 
@@ -15,11 +15,16 @@ from rentlens.llm.shared import components
 from rentlens.session import cut_lineage
 
 THRESHOLD = 0.93
-#: Neighbours after a vector in an order that it is compared with, orders of the link step, bits of a sort key.
-WINDOW, PASSES, KEY_BITS = 64, 16, 60
+#: Neighbours after a vector in an order that it is compared with, bits of a sort key.
+WINDOW, KEY_BITS = 64, 60
 #: Ranks a task takes at a time, rounds of thinning, and times the whole thinning is repeated on what is left.
 BLOCK, ROUNDS, REPEATS, SEED = 1024, 8, 2, 11
 MEMBERS = 512
+#: Leaders of a block of the link step or so, pivots a larger cell is split around, times it is split, and rows a task
+#: assigns at a time. They decide only what is measured together, never what is found.
+CELL, PIVOTS, LEVELS, ASSIGN = 1024, 16, 12, 4096
+#: Slack of the bounds in radians, above the rounding of an angle.
+SLACK = 1e-7
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -140,35 +145,143 @@ def cosine(a, b):
     return dot(scaled(a), scaled(b)) / F.sqrt(dot(scaled(a), scaled(a)) * dot(scaled(b), scaled(b)))
 
 
-def _candidates(classes: DataFrame, passes: list[int], angle: float) -> DataFrame:
-    """``a, b, apart`` for pairs of leaders that the windows of all passes show close enough for members to link."""
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        frame = b.sort_values("rank", ignore_index=True)
-        ids, radius = frame["id"].to_numpy(), frame["radius"].to_numpy()
+def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ y.T, -1, 1))
+
+
+def _cells(classes: DataFrame) -> DataFrame:
+    """The leaders with their ``cell``: labels split around pivots again and again, until cells hold ``CELL`` leaders or so.
+
+    The pivot of a slot is the leader of the cell with the smallest hash among those that fall on it.
+    """
+    key = ["label", "dim", "cell"]
+    rows = classes.withColumn("cell", F.lit(0).cast("long"))
+    done, columns = [], rows.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    for level in range(LEVELS):
+        sizes = cut_lineage(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > CELL))
+        if sizes.isEmpty():
+            break
+        done.append(rows.join(sizes, key, "left_anti"))
+        many = rows.join(sizes, key).withColumn("chunks", F.ceil(F.col("n") / ASSIGN))
+        mark = F.xxhash64("id", F.lit(level))
+        pivots = many.groupBy(*key, "chunks", F.pmod(mark, F.lit(PIVOTS)).alias("slot")).agg(F.min_by("v", F.struct(mark, "id")).alias("v"))
+        dealt = many.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks"))).drop("n", "chunks")
+        pivots = cut_lineage(pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks"))
+
+        def assign(b: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+            if b.empty:
+                return b[columns]
+            around = around.sort_values("slot")
+            slot = around["slot"].to_numpy()[_angles(_unit(np.stack(b["v"].to_numpy())), _unit(np.stack(around["v"].to_numpy()))).argmin(1)]
+            # cells whose numbers happen to be equal would be measured together, no more
+            return b.assign(cell=b["cell"].to_numpy() * 1_000_003 + slot + 1)[columns]
+        at = [*key, "chunk"]
+        rows = cut_lineage(dealt.groupBy(*at).cogroup(pivots.groupBy(*at)).applyInPandas(assign, fields))
+    for d in done:
+        rows = rows.unionByName(d)
+    return rows
+
+
+def _leader_blocks(classes: DataFrame) -> DataFrame:
+    """``block, label, dim, centre, reach, packed``: the leaders of a cell, dealt by hash where it is still too large.
+
+    No member of the block's classes is further than ``reach`` from ``centre``.
+    """
+    key = ["label", "dim", "cell"]
+    rows = cut_lineage(_cells(classes))
+    parts = rows.groupBy(*key).agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    dealt = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts"))).drop("parts")
+
+    def pack(b: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(np.stack(b["v"].to_numpy()).astype(float))
+        centre = x.mean(0)
+        centre = centre / np.linalg.norm(centre) if centre.any() else x[0]
+        reach = (_angles(x, centre[None])[:, 0] + b["radius"].to_numpy()).max()
+        packed = [b["id"].to_numpy(np.int64).tobytes(), b["size"].to_numpy(np.int64).tobytes(), b["radius"].to_numpy(float).tobytes(), x.tobytes()]
+        return pd.DataFrame({"label": b["label"][:1], "dim": b["dim"][:1], "centre": [centre], "reach": [reach], "packed": [packed]})
+    kind = classes.schema["label"].dataType.simpleString()
+    blocks = dealt.groupBy(*key, "part").applyInPandas(pack, f"label {kind}, dim int, centre array<double>, reach double, packed array<binary>")
+    return cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the smallest one that the edges (i, j) lead to."""
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        moved = a != b
+        if not moved.any():
+            return root
+        i, j, a, b = i[moved], j[moved], a[moved], b[moved]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _link_blocks(classes: DataFrame, threshold: float) -> DataFrame:
+    """What all pairs of leaders say: ``id, n, hub`` (with how many vectors a leader's class links whole in one pair of
+    blocks, and the smallest leader it is linked with there), and ``id, other`` (classes some members of which may link).
+
+    Two blocks are measured unless the triangle inequality says that no members of theirs can link. Whole links leave
+    as counts and a spanning forest, at most a row for each leader and pair of blocks.
+    """
+    angle = math.acos(threshold)
+    blocks = _leader_blocks(classes)
+    side = lambda x: blocks.select(F.col("block").alias(x), "label", "dim", F.col("centre").alias(f"c{x}"), F.col("reach").alias(f"r{x}"))
+    apart = F.acos(F.greatest(F.least(cosine(F.col("ca"), F.col("cb")), F.lit(1.0)), F.lit(-1.0)))
+    pairs = side("a").join(side("b"), ["label", "dim"]).where("a <= b").where((F.col("a") == F.col("b")) | (apart <= angle + F.col("ra") + F.col("rb") + SLACK))
+    pairs = cut_lineage(pairs.select("a", "b").repartition("a", "b"))
+    load = lambda x: pairs.join(blocks.select(F.col("block").alias(x), "packed"), x)
+    both = load("a").withColumn("second", F.lit(False)).unionByName(load("b").where("a <> b").withColumn("second", F.lit(True)))
 
-        def use(i, j, c):
-            apart = np.arccos(np.clip(c, -1, 1))
-            ok = (apart <= angle + radius[i] + radius[j] + 1e-7) & (ids[i] != ids[j])
-            out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[j])[ok], "b": np.maximum(ids[i], ids[j])[ok], "apart": apart[ok]}))
-        _banded(b, use)
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "apart": []})
-    found = _blocks(classes, passes).groupBy("block").applyInPandas(run, "a long, b long, apart double")
-    return found.groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("second")
+        sides = []
+        for ids, size, radius, x in b["packed"]:
+            ids = np.frombuffer(ids, np.int64)
+            sides.append((ids, np.frombuffer(size, np.int64), np.frombuffer(radius), np.frombuffer(x).reshape(len(ids), -1)))
+        same = len(sides) == 1
+        (ids_a, size_a, radius_a, x), (ids_b, size_b, radius_b, y) = sides[0], sides[-1]
+        off, hits, opened = 0 if same else len(ids_a), [], []
+        for s in range(0, len(ids_a), 256):
+            cos = x[s:s + 256] @ y.T
+            spread = radius_a[s:s + 256, None] + radius_b[None]
+            far = np.arccos(np.clip(cos, -1, 1))
+            whole = np.where(spread == 0, cos >= threshold, far + spread <= angle - SLACK)
+            maybe = (far <= angle + spread + SLACK) & ~whole & ((size_a[s:s + 256, None] > 1) | (size_b[None] > 1))
+            for found, out in ((whole, hits), (maybe, opened)):
+                i, j = np.nonzero(found)
+                keep = (j > i + s) if same else slice(None)
+                out.append((i[keep] + s, j[keep]))
+        (i, j), (k, m) = (tuple(np.concatenate([h[t] for h in found]) for t in (0, 1)) for found in (hits, opened))
+        ids = ids_a if same else np.concatenate([ids_a, ids_b])
+        n = np.bincount(i, size_b[j], len(ids)) + np.bincount(j + off, size_a[i], len(ids))
+        # nodes by their ids, so that the smallest of a tree is the smallest id
+        order = np.argsort(ids)
+        place = np.empty(len(ids), int)
+        place[order] = np.arange(len(ids))
+        hub = ids[order][_forest(place[i], place[j + off], len(ids))][place]
+        at = np.flatnonzero(n)
+        return pd.concat([pd.DataFrame({"id": ids[at], "n": n[at].astype(np.int64), "other": hub[at]}), pd.DataFrame({"id": ids_a[k], "n": 0, "other": ids_b[m]})])
+    # rows with n = 0 are classes still to be measured
+    return cut_lineage(both.groupBy("a", "b").applyInPandas(run, "id long, n long, other long"))
 
 
 def near_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *,
-               threshold: float = THRESHOLD, passes: int = PASSES) -> DataFrame:
+               threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: ``id, n_links, component_id``.
 
-    Vectors are ordered by the concatenated signs of random projections within their label; each is compared with a
-    bounded window of neighbours, in several orders with other projections, and what is found is united.
+    Dense groups are thinned first, by passes: vectors are ordered by the concatenated signs of random projections
+    within their label, each is compared with a bounded window of neighbours, and those within half the threshold's
+    angle of one leader become a class, all of whose pairs link by the triangle inequality, so they count without
+    being written out. Passes decide only which vectors form a class.
 
-    Dense groups are thinned first: vectors within half the threshold's angle of one leader are a class, all of whose
-    pairs link by the triangle inequality, so they count without being written out. Links between classes are found
-    from leaders in the windows; a pair of classes that can only link whole counts by its sizes, any other is
-    measured member by member, in blocks that give counts only. So every link counted has a cosine of at least
-    ``threshold``, up to rounding.
+    Links between classes are complete: each label is split around pivots into blocks of leaders, and every two blocks
+    that can hold a link by the triangle inequality are measured whole. A pair of classes that can only link whole
+    counts by its sizes, any other is measured member by member, in blocks that give counts only. So exactly the pairs
+    with a cosine of at least ``threshold`` count, up to rounding. Where leaders are spread so evenly that no two
+    blocks can be told apart, the comparisons grow with the square of the leaders of a label.
 
     Rows that cannot link (no label; null, zero, or with null or non-finite components) have no links and are their
     own component. Vectors of different length link with nothing. Ids are unique numbers; rows repeated with the same
@@ -193,20 +306,15 @@ def near_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     classes = cut_lineage(heads.join(sizes, "leader", "left").select(
         F.col("leader").alias("id"), "v", "label", "dim", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("radius", F.lit(0.0)).alias("radius")))
 
-    found = _candidates(classes.drop("size"), list(range(passes)), angle)
-    size = classes.select("id", "size", "radius")
-    for side in "ab":
-        found = found.join(size.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("radius").alias(f"radius_{side}")), side)
-    spread = F.col("radius_a") + F.col("radius_b")
-    found = cut_lineage(found.withColumn("whole", F.when(spread == 0, F.col("apart") <= angle).otherwise(F.col("apart") + spread <= angle - 1e-7)))
-    both = lambda f: f.select(F.col("a").alias("leader"), F.col("size_b").alias("n")).unionAll(f.select(F.col("b").alias("leader"), F.col("size_a").alias("n")))
-    of_leader = both(found.where("whole")).groupBy("leader").agg(F.sum("n").alias("n_whole"))
+    found = _link_blocks(classes, threshold)
+    whole = found.where("n > 0")
+    of_leader = whole.groupBy("id").agg(F.sum("n").alias("n_whole")).withColumnRenamed("id", "leader")
 
-    open_pairs = found.where("not whole and (size_a > 1 or size_b > 1)").select("a", "b")
+    open_pairs = found.where("n = 0").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     parts = _member_parts(member, of_class, heads, open_pairs)
     counted = cut_lineage(_count_parts(parts, open_pairs, threshold))
     single = counted.groupBy("id").agg(F.sum("n").alias("n_open"))
-    linked = found.where("whole").select("a", "b").unionAll(counted.where("n > 0").select("a", "b").distinct())
+    linked = whole.select(F.col("id").alias("a"), F.col("other").alias("b")).unionAll(counted.where("n > 0").select("a", "b").distinct())
     roots = components(linked)
 
     counts = member.join(classes.select(F.col("id").alias("leader"), "size"), "leader").join(of_leader, "leader", "left").join(single, "id", "left")

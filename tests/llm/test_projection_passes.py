@@ -102,3 +102,49 @@ def test_open_pairs_are_measured(spark, members, monkeypatch):
     links, root = truth(rows)
     _, got = run(spark, rows)
     assert {i: g[0] for i, g in got.items()} == links and {i: g[1] for i, g in got.items()} == root
+
+
+def spread(rng, n, dim, label, start):
+    """A wide group too loose to be thinned, all pairs of which link, beside rows that link with little."""
+    hub = rng.normal(size=dim)
+    rows = [near(rng, hub, 0.976) for _ in range(n)] + [near(rng, rng.normal(size=dim), 0.9) for _ in range(n // 4)]
+    return [(start + i, [float(c) for c in np.float32(v)], label) for i, v in enumerate(rows)]
+
+
+@pytest.mark.parametrize("n", [400, 2600])
+def test_wide_groups_are_counted_whole(spark, n):
+    rows = spread(np.random.default_rng(n), n, 64, 0, 1)
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= P.THRESHOLD).sum(1) - 1
+    assert links.max() >= 0.99 * n
+    _, got = run(spark, rows)
+    assert [got[i][0] for i, _, _ in rows] == list(links)
+
+
+@pytest.mark.parametrize("cell", [5, 40])
+def test_blocks_lose_no_link(spark, cell, monkeypatch):
+    monkeypatch.setattr(P, "CELL", cell)
+    monkeypatch.setattr(P, "ASSIGN", 50)
+    monkeypatch.setattr(P, "PIVOTS", 4)
+    rng = np.random.default_rng(cell)
+    rows = spread(rng, 60, 16, 0, 1)
+    for k in range(12):  # chains whose ends lie far apart, and classes with members
+        x = rng.normal(size=16)
+        for j in range(12):
+            rows.append((1000 + 20 * k + j, list(x), k % 2))
+            x = near(rng, x, 0.995 if j % 3 else 0.935)
+    links, root = truth(rows)
+    _, got = run(spark, rows)
+    assert {i: g[0] for i, g in got.items()} == links and {i: g[1] for i, g in got.items()} == root
+
+
+def test_forest():
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 0), (50, 20), (300, 280), (300, 900)):
+        i, j = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = list(range(n))
+        for _ in range(n):
+            for a, b in zip(i, j):
+                want[a] = want[b] = min(want[a], want[b])
+        assert list(P._forest(i, j, n)) == want
