@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,6 +17,18 @@ from rentlens.session import cut_lineage
 SHINGLE_WORDS, RADIUS, SEED = 3, 2, 42
 #: Shingles hashed at a time, so that a long text needs no more memory than a short one.
 CHUNK = 50_000
+#: Of the similarity join: words of a shingle, least Jaccard similarity, independent fingerprints and the minima of
+#: each, and rounds in which the members of a bucket are measured against its smallest before all pairs are.
+SIMILAR_WORDS, SIMILAR, PRINTS, MINIMA, STARS = 5, 0.8, 16, 5, 2
+
+
+def _shingle_hashes(w: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles, ``CHUNK`` at a time; fewer words are one shingle."""
+    n = max(1, len(w) - words + 1)
+    for start in range(0, n, CHUNK):
+        stop = min(n, start + CHUNK)
+        parts = [w[start + i:stop + i] for i in range(words)] if len(w) >= words else [[x] for x in w]
+        yield np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*parts))), np.uint64, stop - start)
 
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
@@ -25,14 +37,12 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     ``bytes.lower`` and ``bytes.split`` know ASCII letters and the six ASCII white-space characters only.
     """
     w = text.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
-    n = max(1, len(w) - words + 1)
+    return _simhash(_shingle_hashes(w, words), max(1, len(w) - words + 1)) if w else 0
+
+
+def _simhash(chunks: Iterable[np.ndarray], n: int) -> int:
     ones = np.zeros(64, np.int64)
-    for start in range(0, n, CHUNK):
-        stop = min(n, start + CHUNK)
-        parts = [w[start + i:stop + i] for i in range(words)] if len(w) >= words else [[x] for x in w]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*parts))), np.uint64, stop - start)
+    for hashes in chunks:
         ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * ones > n, bitorder="little")
     return int(bits.view("<i8")[0])
@@ -94,3 +104,87 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One document of each component, the one with the smallest id, with its columns."""
     gone = near_components(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PRINTS * MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def independent_prints(text: str, words: int = SIMILAR_WORDS) -> tuple[int, list[int]]:
+    """The SimHash, and ``PRINTS`` fingerprints each of which two texts share with probability J ** ``MINIMA``, J being
+    the Jaccard similarity of their shingles: it is made of the minima of as many hash functions."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return 0, list(range(PRINTS))
+    chunks = list(_shingle_hashes(w, words))
+    least = np.full(PRINTS * MINIMA, ~np.uint64(0))
+    for hashes in chunks:
+        for at in range(0, len(hashes), 2048):
+            mixed = (hashes[at:at + 2048] ^ _ODD[0][:, None]) * _ODD[1][:, None]
+            np.minimum(least, mixed.min(axis=1), out=least)
+    rows = least.astype("<u8").reshape(PRINTS, MINIMA)
+    return _simhash(chunks, max(1, len(w) - words + 1)), [xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)]
+
+
+def _shingles(text: str, words: int) -> set[bytes]:
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(w[i:i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs ``a, b`` (ids) whose texts have a shingle similarity of at least ``least``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                p, q = _shingles(x.as_py(), words), _shingles(y.as_py(), words)
+                both = len(p & q)
+                keep.append(both >= least * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"], names=["a", "b"])
+    kind = texts.schema["id"].dataType.simpleString()
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a")
+    return one.join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
+    """``a, b``: verified links between documents whose word shingles have a Jaccard similarity of at least ``least``.
+
+    Documents meet in a bucket: at a value within one bit of both SimHashes, or at one of the independent fingerprints.
+    In each bucket all are measured against the smallest id; those that are not linked stay and meet again, after
+    ``STARS`` rounds in all pairs. So of two documents that meet and are similar enough one is linked to a smaller
+    one, and every link is measured on the whole texts. Similarity J is met with probability of at least
+    1 - (1 - J**5)**16: 0.998 at 0.8, above 0.9999 from 0.85.
+    """
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [independent_prints(t.as_py(), words) for t in b.column("t")]
+            signed = [[p - (1 << 64) if p >> 63 else p for p in g[1]] for g in got]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([g[0] for g in got], pa.int64()), pa.array(signed, pa.list_(pa.int64()))], names=["id", "fp", "prints"])
+    prints = cut_lineage(texts.mapInArrow(run, f"id {kind}, fp long, prints array<long>"))
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(RADIUS // 2)])
+    sent = prints.select("id", F.posexplode("prints").alias("kind", "value")).unionAll(
+        prints.select("id", F.explode(masks).alias("mask"), "fp").select("id", F.lit(-1).alias("kind"), F.col("fp").bitwiseXOR(F.col("mask")).alias("value"))).distinct()
+    key = ["kind", "value"]
+    hub_of = lambda m: m.groupBy(*key).agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = cut_lineage(sent)
+    met = cut_lineage(met.join(cut_lineage(hub_of(met)), key).select(*key, "id", "hub"))
+    links = met.select(F.col("id").alias("a"), F.col("hub").alias("b")).limit(0)
+    for _ in range(STARS):
+        pairs = met.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+        found = cut_lineage(_verified(pairs, texts, words, least).distinct())
+        links = links.unionAll(found)
+        left = cut_lineage(met.where("id <> hub").join(found.select(F.col("a").alias("id"), F.col("b").alias("hub")), ["id", "hub"], "left_anti").select(*key, "id"))
+        met = cut_lineage(left.join(cut_lineage(hub_of(left)), key).select(*key, "id", "hub"))
+        if met.isEmpty():
+            return links.distinct()
+    pairs = met.select(*key, F.col("id").alias("a")).join(met.select(*key, F.col("id").alias("b")), key).where("b < a").select("a", "b").distinct()
+    return links.unionAll(cut_lineage(_verified(pairs, texts, words, least))).distinct()
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without those linked to one of a smaller id by ``similar_links``, directly or over others; with
+    their columns. Null ids are kept; an empty table stays empty."""
+    gone = components(similar_links(docs, id_col, text_col, **options)).where("node <> root").select(F.col("node").alias("_gone"))
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

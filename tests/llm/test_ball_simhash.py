@@ -76,3 +76,38 @@ def test_components(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(root.values())
     assert B.near_components(spark.createDataFrame([], schema)).count() == 0
     assert B.near_components(spark.createDataFrame([(None, None, "", "", "", 0)], schema)).collect()[0].component_id is None
+
+
+def jaccard(a, b):
+    p, q = ({" ".join(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(p & q) / len(p | q)
+
+
+def test_similar_documents_are_dropped(spark):
+    import corpus_pipeline
+    rng = random.Random(3)
+    rows, planted, unlike = [], [], []
+    for k in range(240):
+        words = [f"w{rng.randrange(3000)}" for _ in range(100 + k)]
+        changed = list(words)
+        for at in rng.sample(range(len(words)), 1 + k % 6):
+            changed[at] = "other"
+        a, b = " ".join(words), " ".join(changed)
+        (planted if jaccard(a, b) >= 0.8 else unlike).append(1000 + k)
+        rows += [(k, a), (1000 + k, b)]
+    rows += [(5000, None), (5001, ""), (5002, "one two"), (5003, "One  two"), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()]
+    assert len(planted) > 150 and len(unlike) > 20
+    assert sum(i not in kept for i in planted) >= 0.98 * len(planted)
+    assert set(unlike) <= set(kept) and set(range(240)) <= set(kept)
+    assert 5000 in kept and 5002 in kept and None in kept and not {5001, 5003} & set(kept)
+    print("planted", len(planted), "dropped", sum(i not in kept for i in planted))
+
+
+def test_buckets_are_measured_to_the_end(spark, monkeypatch):
+    monkeypatch.setattr(B, "independent_prints", lambda t, words=5: (0, [7]))
+    base = [[f"w{g}_{i}" for i in range(60)] for g in range(6)]
+    rows = [(10 * k + g, " ".join([*base[g][:59], f"end{k}"])) for k in range(3) for g in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in B.drop_similar(df).collect()) == list(range(6))
