@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rentlens.llm import ball_simhash, chat_targets, context_tree, exact_dedup, harmonic_pack, merkle_fixity, piece_transducer, projection_passes, pu_quality, url_vocabulary
+from rentlens.llm import (
+    ball_simhash, chat_targets, context_tree, exact_dedup, harmonic_pack, merkle_fixity, personal_data, piece_transducer, projection_passes,
+    ptolemaic_clusters, pu_quality, url_vocabulary, whitening)
 from rentlens.llm.shared import fold, table
 from rentlens.session import cut_lineage
 
@@ -151,9 +153,92 @@ SELECT e.vec_id, coalesce(c.n, 0) AS n_links, r.component_id, r.component_id = e
 FROM embeddings e JOIN roots r ON r.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id"""
 
 
+def op11_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    found = personal_data.detect(table(spark, d, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in personal_data.BASE], F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"),
+                        digest(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+
+
+def _luhn_sql(s: str) -> str:
+    return (f"list_sum(list_transform(range(1, length({s}) + 1), lambda i: CASE WHEN (length({s}) - i) % 2 = 0 THEN substr({s}, i, 1)::INT "
+            f"WHEN substr({s}, i, 1)::INT > 4 THEN 2 * substr({s}, i, 1)::INT - 9 ELSE 2 * substr({s}, i, 1)::INT END)) % 10 = 0")
+
+
+def _proposals_sql(kind: str, pattern: str) -> str:
+    """Spans of the leftmost matches that do not overlap: what stands between them and they themselves, in turn."""
+    return f"""SELECT doc_id, t, '{kind}' AS kind, list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda h: length(h))), 0) AS a, hits[i] AS s
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, t, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits FROM d))"""
+
+
+def _words_sql(words: dict[str, tuple[str, ...]]) -> str:
+    return " ".join(f"WHEN '{kind}' THEN regexp_matches(view, '[^a-z]({'|'.join(w)})[^a-z]')" for kind, w in words.items() if w)
+
+
+_DIGITS = "regexp_replace(s, '[^0-9]', '', 'g')"
+OP11 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS ({' UNION ALL '.join(_proposals_sql(k, v) for k, v in personal_data.BASE.items())}),
+base AS MATERIALIZED (SELECT doc_id, t, kind, CAST(a AS BIGINT) AS a, CAST(a + length(s) AS BIGINT) AS b, 100 AS score, true AS base FROM p WHERE CASE kind
+  WHEN 'email' THEN true
+  WHEN 'ip' THEN len(list_filter(string_split(s, '.'), lambda o: length(ltrim(o, '0')) > 3 OR CASE WHEN length(ltrim(o, '0')) = 3 THEN ltrim(o, '0')::INT > 255 ELSE false END)) = 0
+  WHEN 'card' THEN CASE WHEN length({_DIGITS}) BETWEEN 12 AND 19 THEN {_luhn_sql(_DIGITS)} ELSE false END
+  ELSE length({_DIGITS}) BETWEEN 9 AND 15 END),
+q AS MATERIALIZED (SELECT *, a + length(s) AS b FROM ({' UNION ALL '.join(_proposals_sql(k, v) for k, v in personal_data.ADDED.items())})),
+ibans AS (SELECT doc_id, t, kind, a, unnest(range(15, length(s) + 1)) AS n, s FROM q WHERE kind = 'iban' AND NOT regexp_matches(substr(t, CAST(a AS BIGINT), CASE WHEN a = 0 THEN 0 ELSE 1 END), '[A-Za-z0-9]')),
+iban AS (SELECT doc_id, any_value(t) AS t, kind, a, a + max(n) AS b FROM (SELECT *, replace(substr(s, 1, n), ' ', '') AS c FROM ibans
+    WHERE substr(s, n, 1) <> ' ' AND NOT regexp_matches(substr(t, CAST(a + n + 1 AS BIGINT), 1), '[A-Za-z0-9]'))
+  WHERE length(c) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(substr(c, 5) || substr(c, 1, 4), ''), lambda o: CASE WHEN o BETWEEN '0' AND '9' THEN o::INT ELSE ascii(o) - 55 END)),
+    lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1 GROUP BY doc_id, kind, a),
+more AS (SELECT doc_id, t, kind, a, b, CASE kind WHEN 'card' THEN 80 WHEN 'ssn' THEN 40 ELSE CASE WHEN s[1] = '+' THEN 65 ELSE 40 END END AS score FROM q
+  WHERE kind <> 'iban' AND NOT regexp_matches(substr(t, CAST(a AS BIGINT), CASE WHEN a = 0 THEN 0 ELSE 1 END), '[0-9]') AND NOT regexp_matches(substr(t, CAST(b + 1 AS BIGINT), 1), '[0-9]')
+    AND CASE kind WHEN 'card' THEN CASE WHEN length({_DIGITS}) BETWEEN 12 AND 19 THEN {_luhn_sql(_DIGITS)} ELSE false END
+      WHEN 'ssn' THEN NOT regexp_matches(s, '^(000|666|9)|-00-|0000$') ELSE true END
+  UNION ALL SELECT doc_id, t, kind, a, b, 85 FROM iban),
+seen AS (SELECT * EXCLUDE (t), translate(' ' || CASE WHEN a > {personal_data.BEFORE} THEN regexp_replace(l, '^[a-zA-Z]*', '') ELSE l END || ' | '
+    || CASE WHEN b + {personal_data.AFTER} < length(t) THEN regexp_replace(r, '[a-zA-Z]*$', '') ELSE r END || ' ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS view
+  FROM (SELECT *, substr(t, CAST(greatest(a - {personal_data.BEFORE}, 0) + 1 AS BIGINT), CAST(least(a, {personal_data.BEFORE}) AS BIGINT)) AS l, substr(t, CAST(b + 1 AS BIGINT), {personal_data.AFTER}) AS r FROM more) WHERE true),
+added AS (SELECT doc_id, kind, a, b FROM seen WHERE score + CASE WHEN CASE kind {_words_sql(personal_data.HELPFUL)} ELSE false END THEN {personal_data.HELP} ELSE 0 END
+    + CASE WHEN CASE kind {_words_sql(personal_data.CONTRARY)} ELSE false END THEN {personal_data.HARM} ELSE 0 END >= {personal_data.THRESHOLD}
+  AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = seen.doc_id AND base.a <= seen.a AND base.b >= seen.b)),
+spans AS (SELECT doc_id, kind, a, b, true AS base FROM base UNION ALL SELECT doc_id, kind, a, b, false FROM added),
+o AS (SELECT *, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT) AS x, list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn'], kind) AS k FROM spans)
+SELECT d.doc_id, {', '.join(f"count(*) FILTER (kind = '{k}' AND base) AS n_{k}" for k in personal_data.BASE)}, sha256(coalesce(string_agg(x, ',' ORDER BY a, k, b) FILTER (base), '')) AS base_sha256,
+  coalesce(string_agg(x, ',' ORDER BY a, k, b), '') AS spans, count(*) FILTER (NOT base) AS n_added FROM d LEFT JOIN o USING (doc_id) GROUP BY d.doc_id"""
+
+
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+def op13_ptolemaic_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return ptolemaic_clusters.cluster(table(spark, d, "embeddings"))
+
+
+def _round_sql(k: int) -> str:
+    """Round ``k``: nearest centroids of c(k), then c(k + 1) by exact floors; empty centroids stay."""
+    return f"""a{k} AS MATERIALIZED (SELECT vec_id, x, c, CAST(g AS BIGINT) AS g FROM (SELECT v.vec_id, v.x, c.c, list_sum(list_transform(list_zip(v.x, c.y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS g
+  FROM v CROSS JOIN c{k} c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY g, c) = 1),
+s{k} AS (SELECT c, i, sum(e) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY c, i),
+n{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS y FROM s{k} GROUP BY c),
+c{k + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.y, c.y) AS y FROM c{k} c LEFT JOIN n{k} n USING (c))"""
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, x AS y FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8),
+{', '.join(_round_sql(k) for k in range(ptolemaic_clusters.ROUNDS + 1))}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, g AS distance, CAST(sum(g) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(g) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.y, ',')) AS centroid_sha256 FROM a{ptolemaic_clusters.ROUNDS} a JOIN c{ptolemaic_clusters.ROUNDS} c USING (c)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_merkle_fixity, op2_exact_dedup, op3_pu_quality, op4_url_vocabulary, op5_chat_targets, op6_context_tree, op7_piece_transducer,
-        op8_harmonic_packing, op9_ball_simhash, op10_projection_passes)
+        op8_harmonic_packing, op9_ball_simhash, op10_projection_passes, op11_personal_data, op12_whitening, op13_ptolemaic_clusters)
 }
-SQL: dict[str, str] = {"op1_merkle_fixity": OP1, "op2_exact_dedup": OP2, "op4_url_vocabulary": OP4, "op5_chat_targets": OP5, "op10_projection_passes": OP10}
+SQL: dict[str, str] = {"op1_merkle_fixity": OP1, "op2_exact_dedup": OP2, "op4_url_vocabulary": OP4, "op5_chat_targets": OP5, "op10_projection_passes": OP10,
+                       "op11_personal_data": OP11, "op13_ptolemaic_clusters": OP13}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,30 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def summed(df: DataFrame, measure: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], dtype: type) -> np.ndarray:
+    """The sum of the equally long arrays that ``measure`` gives for the rows, flat; empty if there are none.
+
+    A task adds up its own and passes one on; those meet in up to 64 groups before the driver adds the rest, so what
+    the driver holds depends on the array alone.
+    """
+    def total(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for p in parts:
+            out = p if out is None else out + p
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.astype(dtype).tobytes()], pa.binary())], names=["part"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return total(np.asarray(p).ravel() for p in measure(batches))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return total(np.frombuffer(cell.as_py(), dtype) for b in batches for cell in b.column("part"))
+
+    parts = df.mapInArrow(own, "part binary").withColumn("k", F.spark_partition_id() % 64).repartition("k").select("part")
+    rest = [np.frombuffer(r["part"], dtype) for r in parts.mapInArrow(merge, "part binary").collect()]
+    return np.sum(rest, axis=0, dtype=dtype) if rest else np.zeros(0, dtype)
+
+
 def _state(edges: DataFrame) -> tuple:
     """Row count and an order-free hash: two equal states mean that nothing moved."""
     r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
