@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,16 +24,29 @@ SMALL = 63
 SLACK = 1 / 64
 #: Tokens of a packing worker, and how many workers' leftovers meet in the next round.
 WORKER_TOKENS, FAN_IN = 1 << 22, 16
-#: Words whose ids a Python worker remembers.
+#: Pretokens and words whose ids a Python worker remembers.
 CACHE_WORDS = 600_000
 LAST_LEVEL = 62
 
-#: Words of these characters only are already normal but for case, and hold no special token without "<|".
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
-#: Fixed value: the tokenizer's own split, for plain words in lower case.
-_PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+#: Fixed value: the tokenizer's own split, for lower-case text of the first 256 characters. What it skips is white space.
+_PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa00-9²³¹¼½¾a-zªµºß-öø-ÿ]+").findall
 _WHITE = re.compile("[ \t\n\x0b\x0c\r]+").split
-_WORDS: dict[str, dict[str, bytes]] = {}
+
+
+class _Pretokens(dict):
+    """The ids of each pretoken met, as little-endian unsigned 32-bit numbers; found by the BPE model when missing."""
+
+    def __init__(self, tokenize: Callable[[str], list], letters: dict[int, str]) -> None:
+        super().__init__()
+        self.tokenize, self.letters = tokenize, letters
+
+    def __missing__(self, p: str) -> bytes:
+        plain = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.letters)
+        ids = self[p] = array("I", [t.id for t in self.tokenize(plain)]).tobytes()
+        return ids
+
+
+_KNOWN: dict[str, tuple[_Pretokens, dict[str, bytes]]] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,50 +60,43 @@ def _byte_letters() -> dict[int, str]:
 def word_encoder(path: str) -> Callable[[str], bytes]:
     """text -> its ids as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so a text is encoded word by word and each word
-    once while it is remembered. Plain words go straight to the BPE model, others through the whole tokenizer.
+    The tokenizer drops white space and never joins across a pretoken's edge, so each pretoken is encoded once while
+    it is remembered. Texts of the first 256 characters are already composed and are split here; others, and those
+    that may hold a special token, go word by word through the whole tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
-    letters = _byte_letters()
-    known = _WORDS.setdefault(path, {"": b""})
-    pretokens: dict[str, list[int]] = {}
+    if path not in _KNOWN:
+        _KNOWN[path] = _Pretokens(tokenizer.model.tokenize, _byte_letters()), {}
+    pretokens, words = _KNOWN[path]
 
-    def pretoken(p: str) -> list[int]:
-        ids = pretokens.get(p)
+    def word(w: str) -> bytes:
+        ids = words.get(w)
         if ids is None:
-            ids = [t.id for t in model.tokenize("".join(map(letters.__getitem__, p.encode())))]
-            if len(pretokens) >= CACHE_WORDS // 4:
-                pretokens.clear()
-            pretokens[p] = ids
+            ids = words[w] = b"".join(map(pretokens.__getitem__, _PRETOKENS(w.lower()))) if _simple(w) else np.array(
+                tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         return ids
 
-    def word(w: str) -> bytes:
-        if _PLAIN(w) and "<|" not in w:
-            ids = [i for p in _PRETOKENS(w.lower()) for i in pretoken(p)]
-        else:
-            ids = tokenizer.encode(w, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
     def encode(text: str) -> bytes:
-        words = text.split(" ") if not _has_other_white(text) else _WHITE(text)
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-            known[""] = b""
-        for w in set(words).difference(known):
-            known[w] = word(w)
-        return b"".join([known[w] for w in words])
+        if len(pretokens) + len(words) > CACHE_WORDS:
+            pretokens.clear()
+            words.clear()
+        if _simple(text):
+            return b"".join(map(pretokens.__getitem__, _PRETOKENS(text.lower())))
+        return b"".join(map(word, _WHITE(text)))
 
     return encode
 
 
-_has_other_white = re.compile("[\t\n\x0b\x0c\r]").search
+def _simple(text: str) -> bool:
+    """Whether a text has the first 256 characters only, and no special token."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return "<|" not in text
 
 
 def cuts(n: int, capacity: int = CAPACITY, small: int = SMALL, slack: float = SLACK) -> list[int]:
