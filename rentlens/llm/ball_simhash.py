@@ -103,7 +103,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component, the one with the smallest id, with its columns."""
     gone = near_components(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PRINTS * MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -187,4 +187,4 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The documents without those linked to one of a smaller id by ``similar_links``, directly or over others; with
     their columns. Null ids are kept; an empty table stays empty."""
     gone = components(similar_links(docs, id_col, text_col, **options)).where("node <> root").select(F.col("node").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -78,7 +78,7 @@ def progressive_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     full = cut_lineage(rows.where("candidate").groupBy("n_squeezed", "full_hash").agg(F.count("*").alias("group_size"), best.alias("best"))
                        .where("group_size > 1").select("n_squeezed", "full_hash", "group_size", F.col("best.id").alias("keep_id")))
     grouped = rows.where("candidate").join(full, ["n_squeezed", "full_hash"], "left")
-    single = rows.where("not candidate").withColumns({"group_size": F.lit(None).cast("long"), "keep_id": F.lit(None).cast("long")})
+    single = rows.where("not candidate").withColumns({"group_size": F.lit(None).cast("long"), "keep_id": F.lit(None).cast(rows.schema["id"].dataType)})
     out = grouped.unionByName(single)
     alone = F.col("group_size").isNull()
     return out.select(
@@ -92,4 +92,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdicts = progressive_dedup(docs, id_col, text_col, **options)
     # only ids that leave are joined: they are the smaller side, and the text side keeps its order
     gone = verdicts.where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")

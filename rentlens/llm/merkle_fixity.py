@@ -13,10 +13,11 @@ from rentlens.session import cut_lineage
 RANGE_BYTES, FAN_OUT = 1 << 16, 16
 
 
-def hash_records(records: DataFrame, payload: Column, archive_col: str, offset_col: str) -> DataFrame:
-    """``archive, offset, sha`` of each record. A null payload has a hash of its own, other than that of no bytes."""
+def hash_records(records: DataFrame, payload: Column, archive_col: str, offset_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``archive, offset, sha`` of each record, and the columns ``carry``. A null payload has a hash of its own, other
+    than that of no bytes."""
     sha = F.coalesce(F.sha2(payload.cast("binary"), 256), F.lit("null"))
-    return records.select(F.col(archive_col).alias("archive"), F.col(offset_col).cast("long").alias("offset"), sha.alias("sha"))
+    return records.select(F.col(archive_col).alias("archive"), F.col(offset_col).cast("long").alias("offset"), sha.alias("sha"), *carry)
 
 
 def _same(a: DataFrame, b: DataFrame, cols: tuple[str, ...]) -> Column:

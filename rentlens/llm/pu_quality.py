@@ -59,6 +59,7 @@ class Scorer:
     out: np.ndarray
     out_bias: float
     prior: float
+    fitted: bool = True
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
@@ -77,6 +78,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def pu_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the PU risk of margins under the logistic loss: prior times the positives' risk, and the risk on
+    negatives, estimated as that of the unlabelled rows less that of the positives among them (it may fall below zero,
+    where the non-negative risk counts it as zero)."""
+    return prior * float(_softplus(-positive).mean()), float(_softplus(unlabelled).mean() - prior * _softplus(positive).mean())
+
+
 def _fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Scorer:
     """Minimises the non-negative PU risk of Kiryo et al. (2017) with the logistic loss, or, without a prior, the
     plain risk of telling positives from unlabelled rows.
@@ -101,7 +109,7 @@ def _fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float | No
             fp, fu = hp @ params[2] + params[3], hu @ params[2] + params[3]
             if prior is None:
                 gp, gu = -_sigmoid(-fp) / len(p), _sigmoid(fu) / len(u)
-            elif _softplus(fu).mean() - prior * _softplus(fp).mean() >= 0:
+            elif pu_risk(fp, fu, prior)[1] >= 0:
                 gp, gu = -prior * _sigmoid(-fp) / len(p) - prior * _sigmoid(fp) / len(p), _sigmoid(fu) / len(u)
             else:
                 gp, gu = prior * _sigmoid(fp) / len(p), -_sigmoid(fu) / len(u)
@@ -135,39 +143,43 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn: Column, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of at most ``rows`` trusted positives and ``rows`` unlabelled documents, chosen by hash of the id."""
+    """Features of at most ``rows`` trusted positives and ``rows`` unlabelled documents, the first by hash of the id,
+    then id, then features, so that no order of arrival counts. Only features leave the tasks that read the texts."""
     # the side that is broadcast holds at most ``rows`` ids
     trusted = labels.where(learn & (F.col("quality") == 1)).select(F.col(id_col).alias("_id")).distinct()
     trusted = trusted.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("t"))
-    share = min(1.0, rows / max(1, docs.count()))
-    buckets = 1 << 20
-    some = texts.where(F.pmod(F.xxhash64("_id", F.lit("unlabelled")), F.lit(buckets)) < math.ceil(share * buckets)).limit(rows)
-    some = some.select("t", F.lit(False).alias("trusted"))
-    known = texts.join(F.broadcast(trusted), "_id", "left_semi").dropDuplicates(["_id"]).select("t", F.lit(True).alias("trusted"))
+    kind = texts.schema["_id"].dataType.simpleString()
+    # a share of the ids that surely holds ``rows`` documents where there are as many; the order settles which
+    wanted = (rows + 8 * math.sqrt(rows)) / max(1, docs.count())
+    buckets = 1 << 30
+    place = F.pmod(F.xxhash64("_id", F.lit("unlabelled")), F.lit(buckets))
+    some = texts.where(place < math.ceil(min(1.0, wanted) * buckets))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"x": [features(t) for t in b["t"]], "trusted": b["trusted"]})
+            yield pd.DataFrame({"_id": b["_id"], "x": [features(t) for t in b["t"]]})
 
-    got = known.unionAll(some).mapInPandas(run, "x array<double>, trusted boolean").toPandas()
+    featured = lambda df: df.mapInPandas(run, f"_id {kind}, x array<double>")
+    known = featured(texts.join(F.broadcast(trusted), "_id", "left_semi")).groupBy("_id").agg(F.min("x").alias("x"))
+    some = featured(some).orderBy(place, "_id", "x").limit(rows)
     # rows arrive in any order; sorted, the fit does not depend on it
-    matrix = lambda part: np.array(sorted(map(tuple, part["x"]))).reshape(-1, len(features("")))
+    matrix = lambda df: np.array(sorted(map(tuple, df.select("x").toPandas()["x"]))).reshape(-1, len(features("")))
     rng = np.random.default_rng(SEED)
-    return rng.permutation(matrix(got[got["trusted"]])), rng.permutation(matrix(got[~got["trusted"]]))
+    return rng.permutation(matrix(known)), rng.permutation(matrix(some))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fold_mod: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> Scorer:
     """Learns from positives outside the held-out fold and from unlabelled documents.
 
     Negative labels are not used. The fit reads a bounded sample (``rows`` of each kind) into the driver, which is
-    all that ever gets there; the same input gives the same model. Without positives or documents every text
-    scores the same one half.
+    all that ever gets there; the same input gives the same model. With fewer than 4 of either kind there is no
+    model (``fitted`` is false) and every text scores the same one half.
     """
     positive, unlabelled = sample(docs, labels, id_col, text_col, fold(id_col, fold_mod) != held_out, rows)
     if len(positive) < 4 or len(unlabelled) < 4:
         d = len(features(""))
-        return Scorer(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), 0.0, 0.5)
+        return Scorer(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), 0.0, 0.5, fitted=False)
     return _fit_network(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
@@ -181,6 +193,10 @@ def score(model: Scorer, text_col: str = "text") -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that score ``threshold`` or more, with their columns. Rows are judged one by one, so repeated
-    rows share a verdict; an empty table stays empty."""
-    return docs.where(score(fit(docs, labels, id_col, text_col, **options), text_col) >= threshold)
+    """The documents that score ``threshold`` or more, with their columns.
+
+    Null texts count as empty; rows are judged one by one, so repeated rows share a verdict; an empty table stays
+    empty. Where too few positives or documents are there to fit a model, nothing is known and all rows stay.
+    """
+    model = fit(docs, labels, id_col, text_col, **options)
+    return docs.where(score(model, text_col) >= threshold) if model.fitted else docs

@@ -27,16 +27,21 @@ def op1_merkle_fixity(spark: SparkSession, d: str) -> DataFrame:
     record = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "),
                       F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
     fault = F.crc32(page.cast("string").cast("binary")) % FAULTS
-    sha = lambda c: F.sha2(c.cast("binary"), 256)
-    pages = table(spark, d, "pages").select(page.alias("page"), record.alias("record"), fault.alias("fault")).select(
-        "page", "fault", F.octet_length("record").alias("size"), sha(F.col("record")).alias("sha"),
-        F.when(F.col("fault") == 0, sha(F.concat("record", F.lit("!")))).alias("other"))
-    within = Window.partitionBy("archive").orderBy("page", "sha")
-    placed = pages.withColumn("archive", F.concat(F.lit("crawl-"), F.floor(F.col("page") / ARCHIVE_PAGES).cast("string")))
-    placed = cut_lineage(placed.withColumn("offset", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    copy = placed.where("fault <> 1").select("archive", "offset", F.coalesce("other", "sha").alias("sha")).unionAll(
-        placed.where("fault = 2").select("archive", F.col("offset") + 1, "sha"))
-    return merkle_fixity.audit(placed.select("archive", "offset", "sha"), copy)
+    archive = F.concat(F.lit("crawl-"), F.floor(page / ARCHIVE_PAGES).cast("string"))
+    pages = table(spark, d, "pages").select(archive.alias("archive"), page.alias("page"), record.alias("record"), fault.alias("fault")).withColumns(
+        {"size": F.octet_length("record"), "key": F.sha2(F.col("record").cast("binary"), 256), "line": F.monotonically_increasing_id()})
+    copy = lambda place, shift, payload: F.struct(F.lit(place).alias("place"), F.lit(shift).alias("shift"), payload.alias("payload"))
+    copies = F.array(copy(0, 0, F.col("record")),
+                     F.when(F.col("fault") != 1, copy(1, 0, F.when(F.col("fault") == 0, F.concat("record", F.lit("!"))).otherwise(F.col("record")))),
+                     F.when(F.col("fault") == 2, copy(2, 1, F.col("record"))))
+    # both sides are bytes here; each record of either is hashed on its own
+    sides = pages.select("archive", "page", "size", "key", "line", F.inline(F.filter(copies, lambda c: c.isNotNull())))
+    hashed = merkle_fixity.hash_records(sides, F.col("payload"), "archive", "shift", ("page", "size", "key", "line", "place"))
+    upto = Window.partitionBy("archive").orderBy("page", "key", "line", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.sum(F.when(F.col("place") == 0, F.col("size")).otherwise(0)).over(upto) - F.col("size")
+    placed = cut_lineage(hashed.select("archive", (start + F.col("offset")).alias("offset"), "sha", "place"))
+    side = lambda cond: placed.where(cond).select("archive", "offset", "sha")
+    return merkle_fixity.audit(side("place = 0"), side("place > 0"))
 
 
 OP1 = f"""

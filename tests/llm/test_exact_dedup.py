@@ -54,3 +54,10 @@ def test_empty_and_columns(spark):
     df = spark.createDataFrame(rows([(1, "a"), (2, "a "), (3, None), (None, None)]), SCHEMA)
     kept = E.drop_copies(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {2, 3}
+
+
+def test_text_ids_and_a_clashing_column(spark):
+    df = spark.createDataFrame([("b", "x y", 1), ("a", "xy", 2), ("c", "z", 3)], "doc_id string, text string, _gone int")
+    assert {(r.doc_id, r.keep_id) for r in E.progressive_dedup(df).collect()} == {("b", "b"), ("a", "b"), ("c", "c")}
+    kept = E.drop_copies(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {"b", "c"}

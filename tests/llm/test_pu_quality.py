@@ -57,7 +57,8 @@ def test_edges(spark):
     model = P.fit(docs, none)
     scores = [r.s for r in docs.select(P.score(model).alias("s")).collect()]
     assert scores == [0.5] * 4
-    assert P.keep_good(docs, none).count() == 0 and P.keep_good(docs, none, threshold=0.5).columns == docs.columns
+    # nothing to learn from: no document is judged
+    assert P.keep_good(docs, none).count() == 4 and P.keep_good(docs, none, threshold=0.5).columns == docs.columns
     assert P.keep_good(docs.limit(0), none).count() == 0
     model = P.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet"), rows=300)
     got = [r.s for r in docs.select(P.score(model).alias("s")).collect()]
@@ -65,3 +66,30 @@ def test_edges(spark):
     assert math.isfinite(model.prior)
     with pytest.raises(Exception):
         P.fit(docs.drop("text"), none)
+
+
+def test_risk_is_the_literal_one_and_the_fit_lowers_it():
+    rng = np.random.default_rng(3)
+    pos, unl = rng.normal(1, 1, (300, 2)), np.concatenate([rng.normal(1, 1, (150, 2)), rng.normal(-1, 1, (150, 2))])
+    prior = 0.5
+    loss = lambda z: math.log(1 + math.exp(-z))
+
+    def literal(net):
+        fp, fu = [float(net.margin(r[None])[0]) for r in pos], [float(net.margin(r[None])[0]) for r in unl]
+        plus = prior * sum(loss(z) for z in fp) / len(fp)
+        minus = sum(loss(-z) for z in fu) / len(fu) - prior * sum(loss(-z) for z in fp) / len(fp)
+        assert P.pu_risk(np.array(fp), np.array(fu), prior) == pytest.approx((plus, minus))
+        return plus + max(0.0, minus)
+
+    net = P._fit_network(pos, unl, prior)
+    blank = P.Scorer(net.mean, net.scale, 0 * net.hidden, 0 * net.hidden_bias, 0 * net.out, 0.0, prior)
+    assert literal(blank) == pytest.approx(math.log(2)) and literal(net) < 0.75 * literal(blank)
+
+
+def test_sample_does_not_depend_on_order(spark):
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    from pyspark.sql import functions as F
+    learn = P.fold("doc_id", 4) != 2
+    a = P.sample(docs, labels, "doc_id", "text", learn, 100)
+    b = P.sample(docs.unionByName(docs.where("doc_id < 5")).dropDuplicates(["doc_id"]).orderBy(F.rand(1)).repartition(7), labels.repartition(3), "doc_id", "text", learn, 100)
+    assert len(a[0]) == len(a[1]) == 100 and all(np.array_equal(x, y) for x, y in zip(a, b))
