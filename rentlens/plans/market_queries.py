@@ -71,7 +71,7 @@ def price_percentiles(spark, d) -> DataFrame:
 
 # ---- evaluation: labels against values read from the documents -----------------
 
-EVALUATION = """actual AS (SELECT doc_id, lang, n_chars, CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END AS quality, string_split(source, 'c') AS names FROM documents WHERE n_chars % 10 > 0),
+EVALUATION = """actual AS (SELECT doc_id, CASE WHEN n_chars % 10 > 0 THEN lang END AS lang, CASE WHEN n_chars % 10 > 0 THEN n_chars END AS n_chars, CASE WHEN n_chars % 10 > 0 THEN CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END END AS quality FROM documents),
 checks AS (SELECT l.doc_id, a.doc_id IS NOT NULL AS resolved, unnest([{'field': 'quality', 'passed': coalesce(l.quality = a.quality, false)}, {'field': 'length', 'passed': coalesce(abs(a.n_chars - length(d.text)) <= 0.001, false)},
   {'field': 'owners', 'passed': coalesce(l.toxic = 0 AND a.lang <> 'es', false)}, {'field': 'amounts', 'passed': coalesce(a.lang = 'en', false)}]) AS c FROM labels l JOIN documents d ON d.doc_id = l.doc_id LEFT JOIN actual a ON a.doc_id = l.doc_id)"""
 
@@ -84,9 +84,11 @@ def checks(spark, d) -> DataFrame:
         F.array(F.lit(2), F.lit(1)).alias("amounts"))
     person = lambda name, share: F.struct(F.lit(name).alias("name"), F.lit(share).alias("share"))
     pair = F.array(person("KIM", "1/2"), person("Mr. Lee", "1 / 2"))
-    actual = docs.where(F.col("n_chars") % 10 > 0).select(
-        "doc_id", F.when(F.contains(F.col("text"), F.lit("the")), 1).otherwise(0).alias("quality"), F.col("n_chars").alias("length"),
-        F.when(F.col("lang") == "es", F.slice(pair, 1, 1)).otherwise(pair).alias("owners"), F.when(F.col("lang") == "en", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("amounts"))
+    read = lambda c: F.when(F.col("n_chars") % 10 > 0, c)  # of the others nothing could be read
+    actual = docs.select(
+        "doc_id", read(F.when(F.contains(F.col("text"), F.lit("the")), 1).otherwise(0)).alias("quality"), read(F.col("n_chars")).alias("length"),
+        read(F.when(F.col("lang") == "es", F.slice(pair, 1, 1)).otherwise(pair)).alias("owners"),
+        read(F.when(F.col("lang") == "en", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("amounts"))
     e, a = F.col("e"), F.col("a")
     return evaluate.field_checks(expected, actual, "doc_id", {
         "quality": e["quality"] == a["quality"], "length": F.abs(e["length"] - a["length"]) <= 0.001,

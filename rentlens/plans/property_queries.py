@@ -370,7 +370,7 @@ def snapshots(spark, d) -> DataFrame:
         "ledgerTitle": F.create_map(F.lit("bldNm"), F.col("bdNm")), "ledgerTitleCount": F.lit(2), "qualityBlocking": F.array(F.lit("LAND_AREA_MISSING")),
         "unitArea": F.when(k % 3 > 0, F.struct((k % 11).cast("double").alias("exclusiveArea"), (k % 30).cast("int").alias("floor"))),
     }
-    return a.where(k % 29 != 0).select("c_custkey", prop.snapshot_json(fields).alias("snapshot_json"))
+    return a.select("c_custkey", F.when(k % 29 != 0, prop.snapshot_json(fields)).alias("snapshot_json"))
 
 
 SNAP = f"""{ADDRESS}, snap AS (SELECT c_custkey, CASE WHEN c_custkey % 29 = 0 THEN 'SNAPSHOT_MISSING' WHEN c_custkey % 31 = 0 OR (c_custkey % 2 = 1 AND c_custkey % 5 = 0) THEN 'TARGET_CHANGED' WHEN c_custkey % 19 = 0 THEN 'LEDGER_KEY_INVALID' WHEN c_custkey % 17 = 0 THEN 'ADDRESS_MISSING'
@@ -386,8 +386,8 @@ def snapshot_reuse(spark, d) -> DataFrame:
     return prop.reuse_snapshots(req, snapshots(spark, d), "c_custkey").select("c_custkey", "snapshot_state")
 
 
-@query("snapshot_restore", "P36", f"""WITH {ADDRESS} SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE si || ' ' || c_custkey END AS road_address, CASE WHEN c_custkey % 23 > 0 THEN CAST(c_custkey AS VARCHAR) END AS gross, CASE WHEN c_custkey % 3 > 0 THEN (c_custkey % 11)::DOUBLE END AS exclusive_area,
-  'LAND_AREA_MISSING' AS blocking, nullif(bd, '') AS building_name FROM addr WHERE c_custkey % 29 > 0""")
+@query("snapshot_restore", "P36", f"""WITH {ADDRESS} SELECT c_custkey, CASE WHEN NOT stored THEN NULL WHEN c_custkey % 17 = 0 THEN '' ELSE si || ' ' || c_custkey END AS road_address, CASE WHEN stored AND c_custkey % 23 > 0 THEN CAST(c_custkey AS VARCHAR) END AS gross,
+  CASE WHEN stored AND c_custkey % 3 > 0 THEN (c_custkey % 11)::DOUBLE END AS exclusive_area, CASE WHEN stored THEN 'LAND_AREA_MISSING' END AS blocking, CASE WHEN stored THEN nullif(bd, '') END AS building_name FROM (SELECT *, c_custkey % 29 > 0 AS stored FROM addr)""")
 def snapshot_restore(spark, d) -> DataFrame:
     s = snapshots(spark, d).withColumn("s", prop.restored_snapshot(F.col("snapshot_json")))
     return s.select("c_custkey", F.col("s.roadAddress").alias("road_address"), F.try_element_at(F.col("s.ledgerFeatureValues"), F.lit("gross")).alias("gross"),
