@@ -1,7 +1,7 @@
 """Where in the page texts an extracted value, right or owner is found.
 
 Pages come as (doc_id, page_no, text) with page numbers from 1 without gaps. The
-page sets kept per right grow with the pages of one document. Page forms are computed once per page; (value, page) pairs are tested inside the
+page numbers kept per right grow with the pages of one document. Page forms are computed once per page; (value, page) pairs are tested inside the
 join, so only hits leave it.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentlens.functions import text as T
+from rentlens.operators.evidence_index import postings
+from rentlens.session import cut_lineage
 
 OWNER_WINDOW = 700       # fixed value: characters around a name searched for the id
 
@@ -30,25 +32,6 @@ def next_pages(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_no", "text").withColumn("next_text", F.lead("text").over(w))
 
 
-def page_spans(pages: DataFrame) -> DataFrame:
-    """Single pages and pairs of neighbouring pages with their text forms.
-
-    The raw text is shuffled once, on the document; forms are built after that, once
-    per page, and a pair's forms are its pages' forms put together. The result keeps
-    the partitioning, so a join on the document moves no page again.
-    """
-    w = Window.partitionBy("doc_id").orderBy("page_no")
-    p = page_forms(pages.select("doc_id", "page_no", "text").repartition("doc_id"))
-    both = p.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("text", "canon", "nosep")})
-    none = F.lit(None).cast("string")
-    one = F.struct(F.lit(1).alias("n_pages"), F.col("text").alias("text_1"), none.alias("text_2"), "canon", "nosep")
-    two = F.when(F.col("next_text").isNotNull(), F.struct(
-        F.lit(2).alias("n_pages"), F.col("text").alias("text_1"), F.col("next_text").alias("text_2"),
-        F.concat("canon", "next_canon").alias("canon"), F.concat("nosep", "next_nosep").alias("nosep")))
-    spans = F.filter(F.array(one, two), lambda s: s.isNotNull())
-    return both.select("doc_id", F.col("page_no").alias("first_page"), F.inline(spans))
-
-
 def join_pages(pages: DataFrame) -> DataFrame:
     """One full text per document, pages in order."""
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
@@ -72,10 +55,6 @@ def locate_values(values: DataFrame, pages: DataFrame) -> DataFrame:
     return values.join(found, ["doc_id", "value_id"], "left")
 
 
-def _count(flags: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [F.coalesce(f, F.lit(False)).cast("int") for f in flags])
-
-
 def target_supported(target: Column, purpose_canon: Column, text: Column, purpose_found: Column) -> Column:
     """Is a target rank named by the purpose, or by the text that holds the purpose?"""
     key = T.canonical(target)
@@ -89,94 +68,149 @@ def with_targets(rights: DataFrame) -> DataFrame:
     return rights.withColumn("target_candidates", F.array_distinct(F.concat(given, T.target_ranks(F.col("purpose")))))
 
 
+#: Page numbers under which a document's sections are asked as pages; they have no neighbours.
+SECTION_PAGES = (-1, -3)
+
+
+def right_terms(rights: DataFrame, markers=T.PURPOSE_MARKERS) -> DataFrame:
+    """What is looked for on behalf of each right: ``doc_id, seq, role, idx, form, needle``.
+
+    Roles: P the purpose, M a marker word or leading rank that the purpose names, A a target rank before the purpose,
+    Q the receipt, V a value (idx 0 to 4, the amount last), T a target rank, R the rank.
+    """
+    canon = F.col("_canon")
+    term = lambda role, idx, form, needle: F.struct(F.lit(role).alias("role"), F.lit(idx).alias("idx") if isinstance(idx, int) else idx.cast("int").alias("idx"),
+                                                    F.lit(form).alias("form"), needle.alias("needle"))
+    fixed = [term("P", 0, "C", canon), term("P", 0, "N", T.number_key(F.col("purpose")))]
+    fixed += [term("M", i, "C", F.when(canon.contains(m), F.lit(m))) for i, m in enumerate(markers)]
+    fixed += [term("M", len(markers), "C", F.col("_leading"))]
+    for role, idx, name in [("Q", 0, "receipt_no"), ("V", 0, "registered_at"), ("V", 1, "holder"), ("V", 2, "debtor"), ("V", 3, "joint_collateral_id")]:
+        fixed += [term(role, idx, "C", T.canonical(F.col(name))), term(role, idx, "N", T.number_key(F.col(name)))]
+    fixed += [term("V", 4, "C", F.col("_amount")), term("V", 4, "N", T.number_key(F.col("_amount"), True))]
+    fixed += [term("R", 0, "R", F.regexp_replace(T.strip(T.text(F.col("rank_no"))), r"\s*번\s*\z", ""))]
+    anchors = F.transform(
+        F.filter("target_candidates", lambda t: ~F.startswith(canon, F.concat(T.canonical(t), F.lit("번")))),
+        lambda t: term("A", 0, "C", F.concat(T.canonical(t), F.lit("번"), canon)))
+    targets = F.transform("target_candidates", lambda t, i: term("T", i, "T", t))
+    terms = F.filter(F.concat(F.array(*fixed), anchors, targets), lambda t: t["needle"].isNotNull() & (t["needle"] != ""))
+    return rights.select("doc_id", "seq", F.inline(terms))
+
+
+def _spot(first: Column, n: int) -> Column:
+    return F.struct(first.alias("first_page"), F.lit(n).alias("n_pages"))
+
+
+def _on_pages(found: Column) -> Column:
+    """Per right: where its purpose stands as a whole or by its words, its receipt, and its purpose after a target."""
+    of = lambda role: F.filter(found, lambda x: x["role"] == role)
+    union = lambda rows, side: F.array_distinct(F.flatten(F.transform(rows, lambda x: x[side])))
+    groups = F.struct(of("P").alias("P"), of("M").alias("M"), of("Q").alias("Q"), of("A").alias("A"))
+
+    def body(g: Column) -> Column:
+        # the pages that hold every required word
+        common = lambda side: F.when((F.col("_required") > 0) & (F.size(g["M"]) == F.col("_required")), F.aggregate(
+            F.slice(g["M"], 2, 64), F.element_at(g["M"], 1)[side], lambda have, x: F.array_intersect(have, x[side]))).otherwise(
+            F.array().cast("array<int>"))
+        exact = union(g["P"], "ones")
+        return F.struct(exact.alias("exact"), F.array_union(exact, common("ones")).alias("ones"), F.array_union(union(g["P"], "twos"), common("twos")).alias("twos"),
+                        union(g["Q"], "ones").alias("receipts"), union(g["A"], "ones").alias("anchored"))
+
+    return T.let(groups, body)
+
+
+def _spots(v: Column) -> Column:
+    """The pages and pairs of pages that may be a right's place. Its purpose's pages are those after a target, else
+    those with the whole purpose, else those with its words, else both pages of pairs that hold it together; a receipt
+    that the section supports must stand on the same page or the next."""
+    real = lambda c: F.filter(c, lambda p: p > 0)
+    some = lambda c: F.when(F.size(c) > 0, c)
+    receipt = F.array_contains(v["receipts"], F.col("_section"))
+    purposes = F.coalesce(some(real(v["anchored"])), some(real(v["exact"])), some(real(v["ones"])),
+                          F.array_union(v["twos"], F.transform(v["twos"], lambda p: p + 1)))
+    on = lambda pages, p: F.array_contains(pages, p)
+
+    def body(u: Column) -> Column:
+        single = F.filter(u["ones"], lambda p: on(u["q"], p) & (~u["receipt"] | on(u["at"], p)))
+        double = F.filter(u["twos"], lambda p: F.when(
+            u["receipt"], (on(u["at"], p) & on(u["q"], p + 1)) | (on(u["at"], p + 1) & on(u["q"], p))).otherwise(on(u["q"], p) | on(u["q"], p + 1)))
+        return F.struct(u["receipt"].alias("receipt"), F.concat(
+            F.transform(single, lambda p: _spot(p, 1)), F.transform(double, lambda p: _spot(p, 2))).alias("spots"))
+
+    chosen = F.struct(receipt.alias("receipt"), real(v["receipts"]).alias("at"), purposes.alias("q"), real(v["ones"]).alias("ones"), v["twos"].alias("twos"))
+    return F.when(F.array_contains(v["ones"], F.col("_section")), T.let(chosen, body))
+
+
+def _best_spot() -> Column:
+    """The one spot of the highest score, the single page of two equally scored; null without one or if two are left.
+    Every step's values are bound once, so the expression does not grow with the steps."""
+    named = F.transform("target_candidates", lambda t: F.struct(
+        (T.canonical(t) != "").alias("real"), F.contains(F.col("_canon"), F.concat(T.canonical(t), F.lit("번"))).alias("named"), t.alias("t")))
+
+    def scored(v: Column, s: Column) -> Column:
+        there = F.filter(v["found"], lambda x: x["role"].isin("V", "T", "R") & F.array_contains(
+            F.when(s["n_pages"] == 1, x["ones"]).otherwise(x["twos"]), s["first_page"]))
+
+        def body(u: Column) -> Column:
+            held = lambda role: F.array_distinct(F.transform(F.filter(u["there"], lambda x: x["role"] == role), lambda x: x["idx"]))
+            targets = F.transform(F.filter(v["named"], lambda t, i: t["real"] & (
+                t["named"] | F.exists(u["there"], lambda x: (x["role"] == "T") & (x["idx"] == i)))), lambda t: t["t"])
+            return T.let(F.struct(held("V").alias("values"), F.exists(u["there"], lambda x: x["role"] == "R").alias("rank"), targets.alias("targets")), lambda w: F.struct(
+                (F.when(v["at"]["receipt"], 10).otherwise(4) + F.when(w["rank"], 2).otherwise(0) + F.size(w["values"]) + F.size(w["targets"])).alias("score"),
+                s["first_page"].alias("first_page"), s["n_pages"].alias("n_pages"), w["rank"].alias("rank"), w["targets"].alias("targets"),
+                (F.col("amount").isNull() | F.array_contains(w["values"], 4)).alias("ok")))
+
+        return T.let(F.struct(there.alias("there")), body)
+
+    quality = lambda s: s["score"] * 10 - s["n_pages"]
+
+    def choose(spots: Column) -> Column:
+        kept = F.filter(spots, lambda s: s["ok"])
+        return T.let(F.struct(kept.alias("kept"), F.array_max(F.transform(kept, quality)).alias("top")), lambda k: T.let(
+            F.filter(k["kept"], lambda s: quality(s) == k["top"]), lambda best: F.when(F.size(best) == 1, F.try_element_at(best, F.lit(1)))))
+
+    view = F.struct(F.col("_found").alias("found"), named.alias("named"), T.let(_on_pages(F.col("_found")), _spots).alias("at"))
+    return T.let(view, lambda v: T.let(F.transform(v["at"]["spots"], lambda s: scored(v, s)), choose))
+
+
 def locate_rights(rights: DataFrame, pages: DataFrame, sections: DataFrame, section_names=("갑구", "을구"),
                   markers=T.PURPOSE_MARKERS) -> DataFrame:
     """The one best page or page pair of every right; rights without one drop out.
 
-    ``rights``: doc_id, seq, section, rank_no, purpose, receipt_no, registered_at,
+    ``rights``: doc_id, seq (together a key), section, rank_no, purpose, receipt_no, registered_at,
     holder, debtor, amount, target_rank_nos, joint_collateral_id.
     ``sections``: doc_id, gap_text, eul_text. Adds first_page, n_pages, score,
     raw_text, rank_found and target_found (the supported target ranks).
-    """
-    # Section forms are computed once per document, not once per right.
-    forms = F.array(*[
-        F.when(F.col(c).isNotNull(), F.struct(F.lit(n).alias("section"), T.canonical(F.col(c)).alias("_sc"),
-                                             T.without_separators(F.col(c)).alias("_sn")))
-        for n, c in zip(section_names, ("gap_text", "eul_text"))])
-    texts = sections.select("doc_id", F.inline(F.filter(forms, lambda s: s.isNotNull())))
-    r = with_targets(rights).where(F.col("purpose") != "").join(texts, ["doc_id", "section"])
-    r = r.where(T.purpose_supported(F.col("purpose"), F.col("_sc"), F.col("_sn"), markers))
-    canon = T.canonical(F.col("purpose"))
-    amount_text = F.when(F.col("amount") != 0, F.col("amount").cast("string"))
-    # Value-side keys are built once per right, before it meets any page.
-    checked = ("receipt_no", "registered_at", "holder", "debtor", "joint_collateral_id")
-    keys = {f"_c_{c}": T.canonical(F.col(c)) for c in checked} | {f"_n_{c}": T.number_key(F.col(c)) for c in checked}
-    r = r.withColumns({
-        **keys, "_amount": amount_text, "_c__amount": T.text(amount_text), "_n__amount": T.number_key(amount_text, True),
-        "_canon": canon, "_number": T.number_key(F.col("purpose")),
-        "_anchors": F.transform(
-            F.filter("target_candidates", lambda t: ~F.startswith(canon, F.concat(T.canonical(t), F.lit("번")))),
-            lambda t: F.concat(T.canonical(t), F.lit("번"), canon)),
-    })
-    r = r.withColumn("_receipt_ok", F.coalesce(F.col("receipt_no") != "", F.lit(False)) & T.key_supported(
-        F.col("_c_receipt_no"), F.col("_n_receipt_no"), F.col("_sc"), F.col("_sn"))).drop("_sc", "_sn")
-
-    s = page_spans(pages).withColumnRenamed("doc_id", "_doc")
-    sup = lambda c: T.key_supported(F.col(f"_c_{c}"), F.col(f"_n_{c}"), F.col("canon"), F.col("nosep"))
-    filled = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    semantic = T.purpose_key_supported(F.col("_canon"), F.col("_number"), F.col("canon"), F.col("nosep"), markers)
-    receipt_here = F.col("_receipt_ok") & sup("receipt_no")
-    cond = (F.col("doc_id") == F.col("_doc")) & (semantic | ((F.col("n_pages") == 1) & receipt_here))
-    joined = r.join(s, cond).drop("_doc").withColumn("text", F.concat_ws("\n", "text_1", "text_2"))
-    j = joined.withColumns({
-        "_semantic": semantic,
-        "_exact": T.key_supported(F.col("_canon"), F.col("_number"), F.col("canon"), F.col("nosep")),
-        "_anchored": F.exists("_anchors", lambda a: F.contains(F.col("canon"), a)),
-        "_receipt_here": receipt_here,
-    })
 
-    right = Window.partitionBy("doc_id", "seq")
-    single = F.col("n_pages") == 1
-    some = lambda flag: F.max(single & F.col(flag)).over(right)
-    pages_where = lambda cond: F.collect_set(F.when(cond, F.col("first_page"))).over(right)
-    j = j.withColumn("_level", F.when(some("_anchored"), 1).when(some("_exact"), 2).when(some("_semantic"), 3).otherwise(4))
-    chosen = (
-        ((F.col("_level") == 1) & F.col("_anchored")) | ((F.col("_level") == 2) & F.col("_exact"))
-        | ((F.col("_level") == 3) & F.col("_semantic"))
-    )
-    pair = ~single & F.col("_semantic")
-    crossing = pages_where(pair & (F.col("_level") == 4))
-    j = j.withColumns({
-        "_q": F.array_union(pages_where(single & chosen), F.array_union(crossing, F.transform(crossing, lambda p: p + 1))),
-        "_r": pages_where(single & F.col("_receipt_here")),
-    })
-    at = F.col("first_page")
-    q, rec = lambda p: F.array_contains("_q", p), lambda p: F.array_contains("_r", p)
-    candidate = F.when(
-        F.col("_receipt_ok"),
-        F.when(single, q(at) & rec(at)).otherwise((rec(at) & q(at + 1)) | (rec(at + 1) & q(at))),
-    ).otherwise(F.when(single, q(at)).otherwise(q(at) | q(at + 1)))
-    amount_ok = F.col("amount").isNull() | sup("_amount")
-    rank_ok = T.rank_supported(F.col("rank_no"), T.line_heads(F.col("text")), T.split_heads(F.col("text")))
-    targets = F.filter("target_candidates", lambda t: (T.strip(t) != "") & target_supported(
-        t, F.col("_canon"), F.col("text"), F.col("_semantic")))
-    counted = F.filter("target_candidates", lambda t: target_supported(t, F.col("_canon"), F.col("text"), F.col("_semantic")))
-    score = (
-        F.when(F.col("_receipt_ok"), 10).otherwise(4) + F.when(rank_ok, 2).otherwise(0)
-        + _count([filled(c) & sup(c) for c in ("registered_at", "holder", "debtor", "joint_collateral_id")])
-        + _count([F.col("_amount").isNotNull() & sup("_amount")]) + F.size(counted)
-    )
-    j = j.where(candidate & F.col("_semantic") & amount_ok).withColumns(
-        {"score": score, "rank_found": F.coalesce(rank_ok, F.lit(False)), "target_found": targets})
-    quality = F.col("score") * 10 - F.col("n_pages")
-    j = j.withColumn("_best", F.max(quality).over(right)).where(quality == F.col("_best"))
-    j = j.withColumn("_ties", F.count("*").over(right)).where(F.col("_ties") == 1)
+    All that a right asks for goes through the index of its document; page numbers come back, a few lists a right, and
+    the choice is made in one row. Texts are joined to the chosen pages only.
+    """
+    leading = F.regexp_extract(F.col("_canon"), "^([0-9]+)번", 1)
+    r = with_targets(rights).where(F.col("purpose") != "").withColumn("_canon", T.canonical(F.col("purpose"))).withColumns({
+        "_leading": F.when(leading != "", F.concat(leading, F.lit("번"))),
+        "_amount": F.when(F.col("amount") != 0, F.col("amount").cast("string"))})
+    required = reduce(lambda a, b: a + b, [F.col("_canon").contains(m).cast("int") for m in markers]) + F.col("_leading").isNotNull().cast("int")
+    r = r.withColumns({"_required": required, "_section": F.element_at(F.create_map(*[
+        F.lit(x) for pair in zip(section_names, SECTION_PAGES) for x in pair]), F.col("section"))}).where(F.col("_section").isNotNull())
+    terms = cut_lineage(right_terms(r, markers))
+    asked = pages.select("doc_id", F.col("page_no").cast("int").alias("page_no"), "text").unionByName(sections.select("doc_id", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("page_no"), F.col(c).alias("text")) for n, c in zip(SECTION_PAGES, ("gap_text", "eul_text"))]))))
+    found = terms.join(postings(terms, asked), ["doc_id", "form", "needle"]).groupBy("doc_id", "seq").agg(
+        F.collect_list(F.struct("role", "idx", "ones", "twos")).alias("_found"))
+    best = r.join(found, ["doc_id", "seq"]).withColumn("_best", _best_spot()).where(F.col("_best").isNotNull()).withColumns({
+        "first_page": F.col("_best.first_page"), "n_pages": F.col("_best.n_pages"), "score": F.col("_best.score"),
+        "rank_found": F.col("_best.rank"), "target_found": F.col("_best.targets")})
+    kept = [c for c in rights.columns if c != "target_rank_nos"]
+    best = cut_lineage(best.select(*kept, "target_candidates", "_amount", "first_page", "n_pages", "score", "rank_found", "target_found"))
+
+    page = lambda name, shift: pages.select("doc_id", (F.col("page_no") - shift).cast("int").alias("first_page"), F.col("text").alias(name))
+    second = best.where("n_pages = 2").select("doc_id", "first_page").distinct().join(page("text_2", 1), ["doc_id", "first_page"]).withColumn("n_pages", F.lit(2))
+    j = best.join(page("text_1", 0), ["doc_id", "first_page"]).join(second, ["doc_id", "first_page", "n_pages"], "left")
     values = [F.col(c) for c in ("purpose", "receipt_no", "rank_no", "registered_at", "holder", "debtor", "_amount",
                                  "joint_collateral_id")]
-    raw = raw_text([("text_1", at), ("text_2", at + 1)], values, F.col("target_candidates"))
-    keep = [c for c in rights.columns if c != "target_rank_nos"]
-    return j.select(*keep, "target_candidates", "first_page", "n_pages", "score", raw.alias("raw_text"), "rank_found",
-                    "target_found", "text")
+    start = F.col("first_page")
+    raw = raw_text([("text_1", start), ("text_2", start + 1)], values, F.col("target_candidates"))
+    return j.select(*kept, "target_candidates", "first_page", "n_pages", "score", raw.alias("raw_text"), "rank_found",
+                    "target_found", F.concat_ws("\n", "text_1", "text_2").alias("text"))
 
 
 def raw_text(parts, values: list[Column], more: Column | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentlens.functions import text as T
@@ -369,6 +369,93 @@ def right_evidence(spark, d) -> DataFrame:
     return out.select("doc_id", "seq", "first_page", "n_pages", "score")
 
 
+# ---- register documents written from line items: ranks, receipts, amounts, targets, entries cut by a page's end ----
+
+_ENTRY_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+ENTRIES = f"""e0 AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ENTRY_ORDER}) AS n, l_partkey AS p, l_suppkey AS s, CAST(floor(l_extendedprice) AS BIGINT) AS price, strftime(l_shipdate, '%Y-%m-%d') AS shipped FROM lineitem),
+e1 AS (SELECT *, CASE WHEN n % 4 = 3 THEN (n - 1) || '(1)' ELSE CAST(n AS VARCHAR) END AS rank_no, CAST(n - 1 AS VARCHAR) AS target,
+  CASE p % 6 WHEN 0 THEN '근저당권설정' WHEN 1 THEN '가압류' WHEN 2 THEN (n - 1) || '번근저당권설정등기말소' WHEN 3 THEN '근저당권변경' WHEN 4 THEN '전세권설정' ELSE '가처분 이전' END AS purpose FROM e0),
+e2 AS (SELECT *, replace(rank_no, '(', chr(10) || '(') || ' ' || CASE WHEN p % 6 = 3 AND s % 2 = 0 THEN target || '번 ' WHEN p % 6 = 3 THEN target || ' 번의 ' ELSE '' END AS lead,
+  ' 제' || p || '호 ' || shipped || chr(10) || '채권최고액 금' || format('{{:,}}', price) || '원 권리자 은행' || s || chr(10) AS rest FROM e1),
+e3 AS (SELECT *, CASE WHEN p % 5 = 0 THEN lead || left(purpose, 3) ELSE lead || CASE WHEN p % 7 = 0 THEN replace(purpose, '권', '권 ') ELSE purpose END || rest END AS own, CASE WHEN p % 5 = 0 THEN substr(purpose, 4) || rest ELSE '' END AS over FROM e2),
+pg AS (SELECT doc_id, n AS page_no, coalesce(lag(over) OVER (PARTITION BY doc_id ORDER BY n), '') || own || CASE WHEN lead(n) OVER (PARTITION BY doc_id ORDER BY n) IS NULL THEN over ELSE '' END AS text FROM e3),
+asked AS (SELECT doc_id, n AS seq, CASE WHEN p % 6 IN (1, 5) THEN '갑구' ELSE '을구' END AS section, CASE WHEN p % 11 = 0 THEN 'zz' ELSE rank_no || CASE WHEN p % 3 = 0 THEN ' 번 ' ELSE '' END END AS rank_no, purpose, CASE WHEN s % 3 > 0 THEN '제 ' || p || ' 호' END AS receipt_no,
+  shipped AS registered_at, '은행' || s AS holder, CASE WHEN p % 9 = 0 THEN '없는 이름' END AS debtor, CASE WHEN s % 5 > 0 THEN price + CASE WHEN p % 13 = 0 THEN 1 ELSE 0 END END AS amount, CASE WHEN p % 6 IN (2, 3) THEN [target] ELSE CAST([] AS VARCHAR[]) END AS targets FROM e1)"""
+
+
+def _supported_sql(c: str, p: str) -> str:
+    marks = " AND ".join(f"(NOT contains({c}, '{m}') OR contains({p}, '{m}'))" for m in T.PURPOSE_MARKERS)
+    lead = f"regexp_extract({c}, '^([0-9]+)번', 1)"
+    return f"(({c} <> '' AND contains({p}, {c})) OR ((regexp_matches({c}, '{'|'.join(T.PURPOSE_MARKERS)}') OR {lead} <> '') AND {marks} AND ({lead} = '' OR contains({p}, {lead} || '번'))))"
+
+
+LOCATED = f"""{ENTRIES}, pf AS (SELECT *, {_CANON.format(x='text')} AS canon, max(page_no) OVER (PARTITION BY doc_id) AS last FROM pg),
+whole AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS t FROM pg GROUP BY 1), sect AS (SELECT doc_id, {_CANON.format(x='t')} AS fc FROM whole),
+r AS (SELECT asked.*, fc, {_CANON.format(x='purpose')} AS pc, coalesce({_CANON.format(x='receipt_no')}, '') AS rc, {_CANON.format(x='registered_at')} AS dc, {_CANON.format(x='holder')} AS hc, coalesce({_CANON.format(x='debtor')}, '') AS bc,
+  list_distinct(list_concat(targets, regexp_extract_all(purpose, '([0-9]+)\\s*번', 1))) AS tg, regexp_replace(trim(rank_no), '\\s*번\\s*$', '') AS rk FROM asked JOIN sect USING (doc_id) WHERE section = '갑구' OR doc_id % 9 > 0),
+r2 AS (SELECT *, rc <> '' AND contains(fc, rc) AS receipt_ok FROM r WHERE {_supported_sql('pc', 'fc')}),
+spans AS (SELECT doc_id, page_no AS first_page, 1 AS n_pages, canon, text FROM pf UNION ALL SELECT a.doc_id, a.page_no, 2, a.canon || b.canon, a.text || chr(10) || b.text FROM pf a JOIN pf b ON a.doc_id = b.doc_id AND b.page_no = a.page_no + 1),
+j AS (SELECT r2.*, first_page, n_pages, canon, text, {_supported_sql('pc', 'canon')} AS semantic, contains(canon, pc) AS exact, receipt_ok AND contains(canon, rc) AS rhere,
+  len(list_filter(tg, lambda t: NOT starts_with(pc, t || '번') AND contains(canon, t || '번' || pc))) > 0 AS anchored FROM r2 JOIN spans s ON s.doc_id = r2.doc_id),
+lv AS (SELECT *, CASE WHEN bool_or(n_pages = 1 AND anchored) OVER w THEN 1 WHEN bool_or(n_pages = 1 AND exact) OVER w THEN 2 WHEN bool_or(n_pages = 1 AND semantic) OVER w THEN 3 ELSE 4 END AS lvl FROM j WINDOW w AS (PARTITION BY doc_id, seq)),
+q AS (SELECT DISTINCT doc_id, seq, p FROM (SELECT doc_id, seq, first_page AS p FROM lv WHERE n_pages = 1 AND ((lvl = 1 AND anchored) OR (lvl = 2 AND exact) OR (lvl = 3 AND semantic)) UNION ALL SELECT doc_id, seq, unnest([first_page, first_page + 1]) FROM lv WHERE n_pages = 2 AND lvl = 4 AND semantic)),
+qp AS (SELECT doc_id, seq, list(p) AS qs FROM q GROUP BY ALL), rp AS (SELECT doc_id, seq, list(first_page) AS rs FROM lv WHERE n_pages = 1 AND rhere GROUP BY ALL),
+c0 AS (SELECT lv.*, list_contains(qs, first_page) AS q0, list_contains(qs, first_page + 1) AS q1, coalesce(list_contains(rs, first_page), false) AS p0, coalesce(list_contains(rs, first_page + 1), false) AS p1
+  FROM lv JOIN qp USING (doc_id, seq) LEFT JOIN rp USING (doc_id, seq) WHERE semantic),
+cand AS (SELECT *, CASE WHEN regexp_matches(rk, '^[0-9]+\\([0-9]+\\)$') THEN regexp_matches(text, '(^|\\n)[ \\t]*' || replace(replace(rk, '(', '[ \\t]*\\n[ \\t]*\\('), ')', '\\)')) ELSE regexp_matches(text, '(^|\\n)\\s*' || rk || '(\\s|$)') END AS rank_found,
+  list_filter(tg, lambda t: contains(pc, t || '번') OR regexp_matches(text, '(^|[^0-9])' || t || '\\s*번')) AS target_found FROM c0
+  WHERE CASE WHEN receipt_ok THEN CASE WHEN n_pages = 1 THEN q0 AND p0 ELSE (p0 AND q1) OR (p1 AND q0) END ELSE CASE WHEN n_pages = 1 THEN q0 ELSE q0 OR q1 END END AND (amount IS NULL OR contains(canon, CAST(amount AS VARCHAR)))),
+scored AS (SELECT *, CASE WHEN receipt_ok THEN 10 ELSE 4 END + CASE WHEN rank_found THEN 2 ELSE 0 END + CAST(contains(canon, dc) AS INT) + CAST(contains(canon, hc) AS INT) + CAST(bc <> '' AND contains(canon, bc) AS INT) + CAST(amount IS NOT NULL AS INT) + len(target_found) AS score FROM cand),
+best AS (SELECT *, max(score * 10 - n_pages) OVER (PARTITION BY doc_id, seq) AS top FROM scored), tied AS (SELECT *, count(*) OVER (PARTITION BY doc_id, seq) AS ties FROM best WHERE score * 10 - n_pages = top)"""
+
+
+def register_entries(spark, d) -> DataFrame:
+    """Entries of a register document for each order, and what is asked for each of them."""
+    n, p, s = F.col("n"), F.col("p"), F.col("s")
+    text = lambda *parts: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in parts])
+    w = Window.partitionBy("doc_id").orderBy(*[F.col(c.strip()) for c in _ENTRY_ORDER.split(",")])
+    li = B.table(spark, d, "lineitem").withColumn("doc_id", F.col("l_orderkey")).withColumn("n", F.row_number().over(w))
+    e = li.select("doc_id", "n", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.floor("l_extendedprice").cast("long").alias("price"),
+                  F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"))
+    e = e.withColumns({"rank": F.when(n % 4 == 3, text(n - 1, "(1)")).otherwise(text(n)), "target": text(n - 1), "purpose": F.element_at(F.array(
+        F.lit("근저당권설정"), F.lit("가압류"), text(n - 1, "번근저당권설정등기말소"), F.lit("근저당권변경"), F.lit("전세권설정"), F.lit("가처분 이전")), (p % 6 + 1).cast("int"))})
+    before = F.when((p % 6 == 3) & (s % 2 == 0), text(F.col("target"), "번 ")).when(p % 6 == 3, text(F.col("target"), " 번의 ")).otherwise("")
+    lead = F.concat(F.replace(F.col("rank"), F.lit("("), F.lit("\n(")), F.lit(" "), before)
+    rest = text(" 제", p, "호 ", F.col("shipped"), "\n채권최고액 금", F.format_number("price", 0), "원 권리자 은행", s, "\n")
+    cut = p % 5 == 0
+    shown = F.when(p % 7 == 0, F.replace("purpose", F.lit("권"), F.lit("권 "))).otherwise(F.col("purpose"))
+    return e.withColumns({"own": F.when(cut, F.concat(lead, F.left("purpose", F.lit(3)))).otherwise(F.concat(lead, shown, rest)),
+                          "over": F.when(cut, F.concat(F.expr("substr(purpose, 4)"), rest)).otherwise("")})
+
+
+def register_pages(entries: DataFrame) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("n")
+    rest = F.when(F.lead("n").over(w).isNull(), F.col("over")).otherwise("")
+    return entries.select("doc_id", F.col("n").alias("page_no"), F.concat(F.coalesce(F.lag("over").over(w), F.lit("")), F.col("own"), rest).alias("text"))
+
+
+def register_asks(entries: DataFrame) -> DataFrame:
+    p, s = F.col("p"), F.col("s")
+    return entries.select(
+        "doc_id", F.col("n").alias("seq"), F.when((p % 6).isin(1, 5), "갑구").otherwise("을구").alias("section"),
+        F.when(p % 11 == 0, "zz").otherwise(F.concat("rank", F.when(p % 3 == 0, " 번 ").otherwise(""))).alias("rank_no"), "purpose",
+        F.when(s % 3 > 0, F.concat(F.lit("제 "), p.cast("string"), F.lit(" 호"))).alias("receipt_no"), F.col("shipped").alias("registered_at"),
+        F.concat(F.lit("은행"), s.cast("string")).alias("holder"), F.when(p % 9 == 0, "없는 이름").alias("debtor"),
+        F.when(s % 5 > 0, F.col("price") + F.when(p % 13 == 0, 1).otherwise(0)).alias("amount"),
+        F.when((p % 6).isin(2, 3), F.array("target")).otherwise(F.array().cast("array<string>")).alias("target_rank_nos"), F.lit(None).cast("string").alias("joint_collateral_id"))
+
+
+@query("right_evidence_full", "J17 W6 W10 F10", f"""WITH {LOCATED} SELECT doc_id, CAST(seq AS INTEGER) AS seq, CAST(first_page AS INTEGER) AS first_page, n_pages, CAST(score AS INTEGER) AS score, rank_found, array_to_string(target_found, '|') AS target_found, purpose, rank_no FROM tied WHERE ties = 1""")
+def right_evidence_full(spark, d) -> DataFrame:
+    """Ranks, receipts, amounts, targets, anchors and the real markers, over documents of several pages."""
+    entries = cut_lineage(register_entries(spark, d))
+    pages = cut_lineage(register_pages(entries))
+    whole = evidence.join_pages(pages)
+    sections = whole.select("doc_id", F.col("full_text").alias("gap_text"), F.when(F.col("doc_id") % 9 > 0, F.col("full_text")).alias("eul_text"))
+    out = evidence.locate_rights(register_asks(entries), pages, sections)
+    return out.select("doc_id", "seq", "first_page", "n_pages", "score", "rank_found", B.joined(F.col("target_found")).alias("target_found"), "purpose", "rank_no")
+
+
 OWNER_EVIDENCE = f"""{PAGES}, words AS (SELECT doc_id, string_split(ls[1], ' ') AS w1, string_split(coalesce(ls[2], ''), ' ') AS w2, ls FROM lines), asks AS (SELECT doc_id, w1[1] AS name, CASE WHEN doc_id % 3 > 0 THEN coalesce(w1[4], '') ELSE 'absent words' END AS jumin,
   CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ls[2] WHEN 2 THEN concat_ws(' ', w1[-1], w2[1], w2[3]) ELSE concat_ws(' ', w1[1], w1[3], w1[5]) END AS address FROM words),
 a AS (SELECT *, {_CANON.format(x='name')} AS nc, {_CANON.format(x='jumin')} AS jc, {_CANON.format(x="coalesce(address, '')")} AS ac, regexp_extract_all(lower(coalesce(address, '')), '([가-힣a-z]+|[0-9]+)') AS toks FROM asks),
