@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,20 +94,42 @@ def deposit_signatures(rights: DataFrame) -> DataFrame:
     return rights.select(*CLAIM_KEYS, F.explode(own).alias("signature")).where(c("signature").isNotNull()).distinct()
 
 
-def greedy_dedupe(claims: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Claims left after dropping, in order, every claim of a later document that
-    shares a signature with a claim kept before it.
-
-    ``claims``: claim_id, merge_id, document_index, seq; ``signatures``: the same with a
-    signature per row. The first document is kept whole. A dropped claim does not protect or drop others. Instead of walking a
-    merge group in one task, the rule is applied in rounds over all groups at once:
-    a claim with no earlier open claim on any of its signatures is kept, the claims
-    sharing with it are dropped. Most claims settle in the first round; the rounds
-    are cut by reliable checkpoints.
-    """
-    order = F.struct("document_index", "seq", "claim_id")
-    # Everything below is derived from this one stored table.
-    keyed = cut_lineage(signatures.select("merge_id", "signature", "claim_id", "document_index", order.alias("pos")))
+#: Signature rows of a merge that one task walks in order; larger merges are settled in rounds.
+WALK_ROWS = 200_000
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Claims dropped, from signature rows sorted by merge and position. What is kept in memory is one merge's
+    signatures so far and one claim's."""
+    merge = claim = None
+    index, mine, seen, gone = 0, set(), set(), []
+
+    def settle() -> None:
+        if index > 0 and mine & seen:
+            gone.append(claim)
+        else:
+            seen.update(mine)
+
+    for b in batches:
+        kind = b.schema.field("claim_id").type
+        for row in zip(*[b.column(c).to_pylist() for c in ("merge_id", "claim_id", "document_index", "signature")]):
+            if row[:2] != (merge, claim):
+                settle()
+                if row[0] != merge:
+                    seen.clear()
+                merge, claim, index = row[:3]
+                mine.clear()
+            mine.add(row[3])
+        yield pa.RecordBatch.from_arrays([pa.array(gone, kind)], names=["claim_id"])
+        gone.clear()
+    settle()
+    if gone:
+        yield pa.RecordBatch.from_arrays([pa.array(gone, kind)], names=["claim_id"])
+
+
+def _settle_in_rounds(keyed: DataFrame) -> DataFrame:
+    """Claims dropped from merges of any size: in each round a claim with no earlier open claim on any of its
+    signatures is kept and the claims sharing with it are dropped; as many rounds as the longest chain."""
     first = keyed.where(F.col("document_index") == 0).select("merge_id", "signature").distinct()
     later = keyed.where(F.col("document_index") > 0)
     hit_first = later.join(first, ["merge_id", "signature"], "left_semi").select("claim_id").distinct()
@@ -128,6 +151,34 @@ def greedy_dedupe(claims: DataFrame, signatures: DataFrame) -> DataFrame:
         settled = cut_lineage(marked.join(hit, "claim_id"))
         dropped = dropped.unionByName(settled.where(~F.col("won") & F.col("hit")).select("claim_id").distinct())
         open_rows = settled.where(~F.col("won") & ~F.col("hit")).drop("won", "hit")
+    return dropped
+
+
+def greedy_dedupe(claims: DataFrame, signatures: DataFrame, accepted: DataFrame | None = None, walk_rows: int = WALK_ROWS) -> DataFrame:
+    """Claims left after dropping, in order, every claim of a later document that
+    shares a signature with a claim kept before it.
+
+    ``claims``: claim_id, merge_id, document_index, seq; ``signatures``: the same with a
+    signature per row; ``accepted``: the result of ``merge_check`` - claims of merges that it rejects are not merged
+    and leave. The first document is kept whole. A dropped claim does not protect or drop others.
+
+    A merge is the registers of one property, so its claims sit in one bounded group: they are shuffled once, sorted,
+    and walked in order with the signatures seen so far as state, whatever the length of a chain. Merges of more than
+    ``walk_rows`` signature rows are settled in rounds over all of them at once.
+    """
+    if accepted is not None:
+        ok = accepted.where(F.col("reject_code").isNull()).select("merge_id")
+        claims, signatures = (df.join(ok, "merge_id", "left_semi") for df in (claims, signatures))
+    order = F.struct("document_index", "seq", "claim_id")
+    keyed = cut_lineage(signatures.select("merge_id", "signature", "claim_id", "document_index", "seq", order.alias("pos")))
+    large = cut_lineage(keyed.groupBy("merge_id").agg(F.count("*").alias("_n")).where(F.col("_n") > walk_rows).select("merge_id"))
+    oversized = not large.isEmpty()
+    rows = keyed.join(large, "merge_id", "left_anti") if oversized else keyed
+    kind = keyed.schema["claim_id"].dataType.simpleString()
+    rows = rows.select("merge_id", "claim_id", "document_index", "seq", "signature").repartition("merge_id")
+    dropped = rows.sortWithinPartitions("merge_id", "document_index", "seq", "claim_id").mapInArrow(_walk, f"claim_id {kind}")
+    if oversized:
+        dropped = dropped.unionByName(_settle_in_rounds(keyed.join(large, "merge_id", "left_semi")))
     return claims.join(dropped, "claim_id", "left_anti")
 
 
