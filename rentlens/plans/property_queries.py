@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from rentlens.functions import text as T
 from rentlens.operators import checklist, features, property as prop, valuation, watchlist
 from rentlens.plans import bindings as B
 from rentlens.plans.catalog import query
-from rentlens.session import cut_lineage
+from rentlens.session import cut_lineage, work_folder
 
 # ---- model routing, assembly, fallbacks -------------------------------------
 
@@ -192,6 +194,58 @@ def price_model(spark, d) -> DataFrame:
     return priced[0].unionByName(priced[1]).select("l_orderkey", "l_linenumber", "prediction", "unit_price", "total_price", "estimated_price", "price_reject")
 
 
+# Eight models, sales and leases of four kinds: lists of different length, prices per area for sales of the first two kinds.
+_MODEL_NUMBERS = ["area", "month", "l_discount", "l_tax", "p_size", "p_retailprice"]
+_MODEL_KEY = "CASE WHEN l_orderkey % 2 = 0 THEN 'SALE_' ELSE 'LEASE_' END || p_size % 4"
+
+
+def model_contract(spark) -> DataFrame:
+    rows = []
+    for i in range(4):
+        names = ["p_brand", "p_type"][:1 + i % 2]
+        rows.append((f"SALE_{i}", _MODEL_NUMBERS[:3 + i] + names, names, "area" if i < 2 else None))
+        rows.append((f"LEASE_{i}", _MODEL_NUMBERS[i:] + names[:1], names[:1], "area"))
+    return spark.createDataFrame(rows, "model_key string, features array<string>, categorical_features array<string>, area_feature string")
+
+
+def model_rows(spark, d) -> DataFrame:
+    p = B.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size", "p_retailprice")
+    key = F.concat(F.when(F.col("l_orderkey") % 2 == 0, "SALE_").otherwise("LEASE_"), (F.col("p_size") % 4).cast("string"))
+    return B.table(spark, d, "lineitem").join(p, "l_partkey").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", key.alias("model_key"), F.col("l_quantity").alias("area"), F.month("l_shipdate").alias("month"), "l_discount", "l_tax",
+        "p_size", "p_retailprice", "p_brand", "p_type", F.col("l_extendedprice").alias("price"))
+
+
+@query("price_models", "R3")
+def price_models(spark, d) -> DataFrame:
+    """Fits and saves the eight models of a contract, reads the registry again, and prices every line item by its key's model."""
+    folder = f"{work_folder(spark)}/models-{uuid.uuid4().hex}"
+    rows = cut_lineage(model_rows(spark, d))
+    valuation.fit_models(rows, model_contract(spark), folder, "v1", learner="linear")
+    registry = valuation.read_registry(spark, folder, "v1")
+    priced = valuation.price_by_model(valuation.predict_by_model(rows, registry), registry)
+    return priced.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "model_key", "prediction", "unit_price", "total_price", "estimated_price", "price_reject")
+
+
+@query("model_prices", "R2 R3", f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber = 6 THEN 'OTHER' ELSE {_MODEL_KEY} END AS model_key, CASE WHEN l_linenumber = 3 THEN 0.0 ELSE l_quantity END AS area,
+  CASE WHEN l_linenumber = 5 THEN 'Infinity'::DOUBLE ELSE ln(l_extendedprice * 10000) - CASE WHEN l_orderkey % 2 = 1 OR p_size % 4 < 2 THEN ln(l_quantity) ELSE 0 END END AS y FROM lineitem JOIN part ON p_partkey = l_partkey),
+k AS (SELECT *, model_key <> 'OTHER' AND model_key NOT IN ('SALE_2', 'SALE_3') AS per_area, CASE WHEN model_key = 'OTHER' THEN 'MODEL_NOT_FOUND' WHEN NOT isfinite(y) THEN 'PREDICTION_NOT_FINITE'
+  WHEN model_key NOT IN ('SALE_2', 'SALE_3') AND area <= 0 THEN 'AREA_NOT_POSITIVE' END AS price_reject FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, model_key, CASE WHEN price_reject IS NULL AND per_area THEN CAST(round_even(exp(y) / 100 + 0.137, 0) AS BIGINT) END AS unit_hundreds,
+  CASE WHEN price_reject IS NULL THEN CAST(round_even(exp(y) * CASE WHEN per_area THEN area ELSE 1 END / 100 + 0.137, 0) AS BIGINT) END AS total_hundreds, price_reject FROM k""")
+def model_prices(spark, d) -> DataFrame:
+    """From given predictions to prices by each model's own target kind, compared in units of 100 won; the offset keeps
+    values off binary ties, which engines round differently."""
+    registry = [valuation.ModelEntry(r["model_key"], "v1", tuple(r["features"]), tuple(r["categorical_features"]), r["area_feature"], "") for r in model_contract(spark).collect()]
+    n, area = F.col("l_linenumber"), F.col("area")
+    per_area = (F.col("l_orderkey") % 2 == 1) | (F.col("p_size") % 4 < 2)
+    y = F.when(n == 5, float("inf")).otherwise(F.log(F.col("price") * 10000) - F.when(per_area, F.log(area)).otherwise(0.0))
+    rows = model_rows(spark, d).withColumn("prediction", y).withColumns({"model_key": F.when(n == 6, "OTHER").otherwise(F.col("model_key")), "area": F.when(n == 3, 0.0).otherwise(area)})
+    hundred = lambda c: F.rint(F.col(c) / 100 + 0.137).cast("long")
+    return valuation.price_by_model(rows, registry).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "model_key", hundred("unit_price").alias("unit_hundreds"),
+                                                           hundred("total_price").alias("total_hundreds"), "price_reject")
+
+
 # ---- address and ledger rows ------------------------------------------------
 
 _SI = ["서울특별시", "부산광역시", "경기도", "강원도", "제주특별자치도"]

@@ -238,3 +238,24 @@ def test_contract_rules(spark):
                                    "model_key string, feature_count int, features array<string>, categorical_features array<string>, inactive_features array<string>")
     got = features.contract_violations(features.contract_entries(models), models.select("model_key", "feature_count")).collect()
     assert sorted(r.problem for r in got) == ["ACTIVE_AND_INACTIVE", "CATEGORICAL_NOT_ACTIVE", "DUPLICATE_FEATURE"] and {r.model_key for r in got} == {"m"}
+
+
+def test_models_per_key_are_saved_with_their_contract_and_price_by_it(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from rentlens.operators import valuation as V
+    # y = ln(price * 10^4 / area) for the first key, ln(price * 10^4) for the second, both linear in their features
+    rows = spark.range(400).selectExpr("id", "IF(id % 2 = 0, 'A', 'B') AS model_key", "CAST(10 + id % 7 AS DOUBLE) AS area", "CAST(id % 5 AS DOUBLE) AS x", "CAST(id % 3 AS DOUBLE) AS z", "concat('c', id % 4) AS c")
+    rows = rows.withColumn("price", F.when(F.col("model_key") == "A", F.exp(F.col("x") / 10) * F.col("area")).otherwise(F.exp(F.col("z") / 10 + F.col("x") / 20)))
+    rows = rows.unionByName(spark.createDataFrame([(900, "C", 1.0, 1.0, 1.0, "c", 1.0)], rows.schema))
+    contract = spark.createDataFrame([("A", ["x"], [], "area"), ("B", ["z", "x", "c"], ["c"], None)], "model_key string, features array<string>, categorical_features array<string>, area_feature string")
+    V.fit_models(rows, contract, str(tmp_path), "v1", learner="linear")
+    V.fit_models(rows, contract.limit(1), str(tmp_path), "v2", learner="linear")
+    assert [e.model_key for e in V.read_registry(spark, str(tmp_path), "v2")] == ["A"]
+    registry = V.read_registry(spark, str(tmp_path), "v1")
+    assert [(e.model_key, e.features, e.categorical, e.area_feature) for e in registry] == [("A", ("x",), (), "area"), ("B", ("z", "x", "c"), ("c",), None)]
+    out = {r.id: r for r in V.price_by_model(V.predict_by_model(rows, registry), registry).collect()}
+    assert len(out) == 401 and out[900].price_reject == "MODEL_NOT_FOUND" and out[900].prediction is None
+    for r in out.values():
+        if r.model_key != "C":
+            assert abs(r.total_price / (r.price * 10_000) - 1) < 0.05
+            assert (r.unit_price is None) == (r.model_key == "B")
