@@ -125,10 +125,15 @@ REGISTER = f"""{CONTRACTS}, register AS (
 
 
 def register(spark: SparkSession, d: str) -> DataFrame:
+    return with_register(contracts(spark, d))
+
+
+def with_register(df: DataFrame) -> DataFrame:
+    """Contracts with the payload of their register."""
     tri = lambda e: F.when(e % 3 == 0, "TRUE").when(e % 3 == 1, "FALSE").otherwise("UNKNOWN")
     rare = lambda e, m: F.when(e % m == 0, "TRUE").when(e % m == 1, "UNKNOWN").otherwise("FALSE")
     a, c = F.col("analysis_id"), F.col("custkey")
-    return contracts(spark, d).withColumns({
+    return df.withColumns({
         "seizure": rare(a, 17), "provisional_seizure": rare(c, 19), "provisional_disposition": rare(a + 3, 23),
         "auction_commenced": rare(c + 5, 29), "trust_registration": rare(a + 7, 31),
         "has_active_jeonse_right": rare(c + 11, 13), "has_active_leasehold_registration": tri(a),

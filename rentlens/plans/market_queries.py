@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from rentlens.operators import comparables, distribution, evaluate, quality, scoring
 from rentlens.plans import bindings as B
 from rentlens.plans.catalog import query
-from rentlens.plans.risk_queries import SCORE_SQL, score_output
-from rentlens.session import work_folder
+from rentlens.plans.risk_queries import FLOORED, SCORE_SQL, assessed, score_output
+from rentlens.session import cut_lineage, work_folder
 from rentlens.sources import files, payloads, sinks
 from rentlens.streaming import contracts as stream
 
@@ -220,3 +220,46 @@ def stream_scores(spark, d) -> DataFrame:
     q = stream.write_scores(scored, f"{base}/out", f"{base}/state")
     q.awaitTermination()
     return spark.read.schema(scored.schema).parquet(f"{base}/out")
+
+
+# A third of the requests arrives before the rates are published anew, the others after it.
+STREAM_RATES = """rates AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(CAST(round(o_totalprice * 1000) AS BIGINT)) AS BIGINT) // count(*) AS rate FROM orders GROUP BY 1),
+published AS (SELECT 'v1' AS version, month, rate FROM rates WHERE right(month, 2) NOT IN ('03', '04', '12') UNION ALL SELECT 'v2', month, rate + 1000 FROM rates)"""
+
+
+@query("stream_assessments", "Z1", f"""WITH {B.REGISTER}, {FLOORED}, {STREAM_RATES}, r AS (SELECT *, CASE WHEN analysis_id % 3 = 0 THEN 'v1' ELSE 'v2' END AS version FROM finals)
+SELECT analysis_id, total, final_score, register_floor, array_to_string(warnings, '|') AS warnings, p.rate AS rate, p.month AS rates_month, r.version AS rates_version
+FROM r ASOF LEFT JOIN published p ON r.version = p.version AND r.contract_month >= p.month""")
+def stream_assessments(spark, d) -> DataFrame:
+    """Requests in several micro-batches and two runs: repeated ones leave by state, rates are looked up as of the contract's
+    month in the version published when the run starts, and scores carry the register floor."""
+    base = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    source, store, out, state = (f"{base}/{n}" for n in ("requests", "store", "out", "state"))
+    orders = B.table(spark, d, "orders")
+    arrival = F.col("o_orderkey") % 3
+    requests = cut_lineage(orders.withColumn("arrival", arrival.cast("int")).withColumn(
+        "requested_at", F.timestamp_seconds(1_700_000_000 + arrival * 86_400 + F.col("o_orderkey") % 3600)))
+    sums, leases = B.stored_lookups(spark, d)
+    rates = cut_lineage(orders.groupBy(B.month_of(F.col("o_orderdate")).alias("month")).agg(
+        F.call_function("div", F.sum(B.won(F.col("o_totalprice"))), F.count("*")).alias("rate")))
+
+    def run() -> None:
+        stream_in = stream.unique_requests(stream.read_contracts(spark, source, requests.schema, files_per_batch=1), "o_orderkey", "requested_at", "30 days")
+        contracts = B.enrich_orders(stream_in, spark, d, (sums, leases))
+        done = assessed(B.with_register(stream.with_series(contracts, store, "rates", "contract_month", ["rate"])))
+        stream.write_scores(done.select(*kept, B.joined(F.col("warnings")).alias("warnings")), out, state).awaitTermination()
+
+    def arrives(df: DataFrame) -> None:
+        df.coalesce(1).write.mode("append").parquet(source)
+
+    kept = ["analysis_id", "total", "final_score", "register_floor", "rate", "rates_month", "rates_version"]
+    sinks.refresh_table(rates.where(~F.substring("month", 6, 2).isin("03", "04", "12")), store, "rates", "v1")
+    arrives(requests.where("arrival = 0"))
+    run()
+    sinks.refresh_table(rates.withColumn("rate", F.col("rate") + 1000), store, "rates", "v2")
+    # requests sent a second time, a day later
+    again = requests.where("arrival = 0 AND o_custkey % 5 = 0").withColumn("requested_at", F.col("requested_at") + F.expr("INTERVAL 1 DAY"))
+    arrives(requests.where("arrival = 1").unionByName(again))
+    arrives(requests.where("arrival = 2"))
+    run()
+    return spark.read.parquet(out)

@@ -119,8 +119,12 @@ FLOORED = f"""{ADAPTED}, claimed AS (SELECT * EXCLUDE (claim), active_max_claim_
 
 
 def finals(spark, d) -> DataFrame:
+    return assessed(B.register(spark, d))
+
+
+def assessed(register: DataFrame) -> DataFrame:
     """Contracts with register flags, score, register floor and missing checks."""
-    df = scoring.register_inputs(B.register(spark, d)).withColumn("claim", F.col("active_max_claim_amount"))
+    df = scoring.register_inputs(register).withColumn("claim", F.col("active_max_claim_amount"))
     df = scoring.with_score(scoring.with_indicators(df))
     df = scoring.with_register_result(df, scoring.register_flag_columns(), F.col("is_owner_match"), F.col("is_bad_landlord"))
     return df.withColumn("missing_checks", F.array_sort(F.array_union(
