@@ -38,10 +38,6 @@ def field_checks(expected: DataFrame, actual: DataFrame, key: str, fields: dict[
     return j.select(key, F.inline(rows))
 
 
-def address_tokens_found(tokens: Column, address: Column) -> Column:
-    return F.forall(tokens, lambda t: T.canonical(address).contains(T.canonical(t)))
-
-
 def equal_amounts(expected: Column, actual: Column) -> Column:
     return F.array_sort(expected) == F.array_sort(actual)
 

@@ -42,6 +42,7 @@ REGISTER_SIGNALS = (
     Signal("registry_table_columns", all_of=("순위번호", "등기목적", "접수", "등기원인", "권리자및기타사항")),
 )
 REVIEW_AT = 5  # fixed value: signals (with the text layer) that still earn a review
+# Words of the ownership section that must lead to a right, and the flags of kinds.
 GAP_RISK_WORDS = ("압류", "가압류", "가처분", "경매개시결정", "신탁", "가등기")
 FLAG_KINDS = {
     "seizure": "SEIZURE",

@@ -259,3 +259,13 @@ def test_models_per_key_are_saved_with_their_contract_and_price_by_it(spark, tmp
         if r.model_key != "C":
             assert abs(r.total_price / (r.price * 10_000) - 1) < 0.05
             assert (r.unit_price is None) == (r.model_key == "B")
+
+
+def test_reference_is_built_from_all_sources(spark):
+    from rentlens.operators import reference as R
+    cols = "`시군구` string, `본번` string, `부번` string, `{}` string"
+    flats = spark.createDataFrame([("A  시", "12.0", "3", "솔 빌"), ("A 시", "12", "3", "솔 빌"), ("A 시", "산12", "3", "솔 빌")], cols.format("단지명"))
+    villas = spark.createDataFrame([("A 시", "12", "3", "솔 빌"), ("A 시", "12", "3", None)], cols.format("건물명"))
+    out = R.build_reference({"매매_아파트": flats, "전세_아파트": flats, "매매_연립다세대": villas}).collect()
+    assert sorted((r.district, r.bun, r.ji, r.housing_type, r.model_name, r.sample_count) for r in out) == [
+        ("A 시", "0012", "0003", "APARTMENT", "솔 빌", 4), ("A 시", "0012", "0003", "VILLA", "솔 빌", 1)]
