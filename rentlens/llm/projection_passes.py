@@ -28,6 +28,8 @@ SLACK = 1e-7
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. The largest component is scaled to one first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -148,3 +148,9 @@ def test_forest():
             for a, b in zip(i, j):
                 want[a] = want[b] = min(want[a], want[b])
         assert list(P._forest(i, j, n)) == want
+
+
+def test_extreme_doubles_link_like_any_other(spark):
+    rows = [(0, [1e200, 0.0], 1), (1, [2e200, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1e-200, 1e-201], 1), (4, [1e-200, 1e-201], 1), (5, [0.0, 1e-320], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in P.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (4, 0) for i in range(5)} | {5: (0, 5)}
