@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("risk_queries", "series_queries", "property_queries", "register_queries", "market_queries")
+FAMILIES = ("risk_queries", "series_queries", "property_queries", "register_queries", "resolution_queries", "market_queries")
 
 
 def load_catalog():

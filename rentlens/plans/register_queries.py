@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ RIGHTS = """rights_raw AS (
     CASE WHEN l_returnflag = 'R' THEN 'CANCELLATION' WHEN l_returnflag = 'A' THEN 'MORTGAGE_AMEND' WHEN l_tax = 0 THEN 'JEONSE_RIGHT' WHEN l_tax = 0.01 THEN 'LEASEHOLD_REGISTRATION' WHEN l_tax = 0.02 THEN 'SEIZURE'
       WHEN l_tax = 0.03 THEN 'TRUST' ELSE 'MORTGAGE' END AS kind,
     '제' || l_partkey || '호' AS receipt_no, strftime(l_shipdate, '%Y-%m-%d') AS registered_at, CASE WHEN l_discount > 0 THEN 'H' || l_suppkey END AS holder, CASE WHEN l_discount <> 0.01 THEN 'D' || l_partkey % 7 END AS debtor,
-    CASE WHEN l_quantity > 3 THEN CAST(l_quantity AS BIGINT) * 1000000 END AS amount, CASE WHEN l_discount >= 0.06 THEN 'J' || l_suppkey % 2 END AS joint_collateral_id FROM lineitem),
-rights AS (SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM rights_raw c WHERE c.kind = 'CANCELLATION' AND c.doc_id = r.doc_id AND c.section = r.section AND CAST(c.target AS VARCHAR) = r.rank_no) THEN 'CANCELLED' ELSE 'ACTIVE' END AS status FROM rights_raw r)"""
+    CASE WHEN l_quantity > 3 THEN CAST(l_quantity AS BIGINT) * 1000000 END AS amount, CASE WHEN l_discount >= 0.06 THEN 'J' || l_suppkey % 2 END AS joint_collateral_id FROM lineitem)"""
+STATUS = """rights AS (SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM rights_raw c WHERE c.kind = 'CANCELLATION' AND c.doc_id = r.doc_id AND c.section = r.section AND CAST(c.target AS VARCHAR) = r.rank_no) THEN 'CANCELLED' ELSE 'ACTIVE' END AS status FROM rights_raw r)"""
 AMENDED = """base AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rank_no ORDER BY seq DESC) = 1 AS is_last FROM rights WHERE kind = 'MORTGAGE'),
 amends AS (SELECT doc_id, CAST(target AS VARCHAR) AS rank_no, arg_max(amount, seq) FILTER (amount IS NOT NULL) AS na, arg_max(holder, seq) FILTER (holder IS NOT NULL) AS nh, arg_max(debtor, seq) FILTER (debtor IS NOT NULL) AS nd FROM rights WHERE kind = 'MORTGAGE_AMEND' GROUP BY 1, 2),
 amended AS (SELECT b.* EXCLUDE (amount, holder, debtor), coalesce(CASE WHEN is_last THEN na END, amount) AS amount, coalesce(CASE WHEN is_last THEN nh END, holder) AS holder, coalesce(CASE WHEN is_last THEN nd END, debtor) AS debtor
@@ -56,38 +58,40 @@ def stored_rights(spark, d) -> DataFrame:
     return cut_lineage(statused(spark, d))
 
 
-@query("right_kinds", "P29 F6", f"WITH {RIGHTS} SELECT doc_id, seq, kind, CASE WHEN kind IN ('CANCELLATION', 'MORTGAGE_AMEND') THEN CAST(target AS VARCHAR) ELSE '' END AS targets FROM rights_raw")
+@query("right_kinds", "P29 F6", f"WITH {RIGHTS}, {STATUS} SELECT doc_id, seq, kind, CASE WHEN kind IN ('CANCELLATION', 'MORTGAGE_AMEND') THEN CAST(target AS VARCHAR) ELSE '' END AS targets FROM rights_raw")
 def right_kinds(spark, d) -> DataFrame:
     return rights.with_kind(rights_raw(spark, d)).select("doc_id", "seq", "kind", B.joined(F.col("target_rank_nos")).alias("targets"))
 
 
-@query("right_status", "J12", f"WITH {RIGHTS} SELECT doc_id, seq, section, rank_no, kind, status FROM rights")
+@query("right_status", "J12", f"WITH {RIGHTS}, {STATUS} SELECT doc_id, seq, section, rank_no, kind, status FROM rights")
 def right_status(spark, d) -> DataFrame:
     return statused(spark, d).select("doc_id", "seq", "section", "rank_no", "kind", "status")
 
 
-@query("amended_mortgages", "J13", f"WITH {RIGHTS}, {AMENDED} SELECT doc_id, seq, rank_no, amount, holder, debtor, status FROM amended")
+@query("amended_mortgages", "J13", f"WITH {RIGHTS}, {STATUS}, {AMENDED} SELECT doc_id, seq, rank_no, amount, holder, debtor, status FROM amended")
 def amended_mortgages(spark, d) -> DataFrame:
     return rights.amended_mortgages(stored_rights(spark, d)).select("doc_id", "seq", "rank_no", "amount", "holder", "debtor", "status")
 
 
-@query("mortgage_totals", "A9", f"WITH {RIGHTS}, {AMENDED}, {TOTALS} SELECT * FROM totals")
+@query("mortgage_totals", "A9", f"WITH {RIGHTS}, {STATUS}, {AMENDED}, {TOTALS} SELECT * FROM totals")
 def mortgage_totals(spark, d) -> DataFrame:
     return rights.mortgage_totals(rights.amended_mortgages(stored_rights(spark, d)))
 
 
 _FLAGS = {"seizure": "SEIZURE", "provisional_seizure": "PROVISIONAL_SEIZURE", "provisional_disposition": "PROVISIONAL_DISPOSITION", "auction_commenced": "AUCTION", "trust_registration": "TRUST"}
 _LEASES = {"has_active_jeonse_right": "JEONSE_RIGHT", "has_leasehold_registration": "LEASEHOLD_REGISTRATION"}
-SUMMARY = f"""docs AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '소유권 가압 류 1' ELSE '소유권이전' END AS gap_text, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '기록  사항 없음' ELSE '근저당' END AS eul_text FROM orders),
-agg AS (SELECT doc_id, count(*) AS verified, count(*) FILTER (section = '갑구') AS g, count(*) FILTER (section = '을구') AS e, bool_or(kind = 'CANCELLATION') AS cancel,
-  {', '.join(f"bool_or(status = 'ACTIVE' AND kind = '{k}') AS f_{n}" for n, k in (_FLAGS | _LEASES).items())} FROM rights GROUP BY 1),
-st AS (SELECT *, CASE WHEN gap_text IS NOT NULL AND (coalesce(g, 0) > 0 OR NOT contains(replace(gap_text, ' ', ''), '압류')) THEN 'EXTRACTED' ELSE 'PARSE_FAILED' END AS gap_section_status,
-  CASE WHEN coalesce(e, 0) > 0 THEN 'EXTRACTED' WHEN eul_text LIKE '기록%' THEN 'CONFIRMED_NONE' ELSE 'PARSE_FAILED' END AS eul_section_status FROM docs LEFT JOIN agg USING (doc_id) LEFT JOIN totals USING (doc_id)),
-summary AS (SELECT doc_id, gap_section_status, eul_section_status, {', '.join(f"CASE WHEN gap_section_status = 'PARSE_FAILED' THEN 'UNKNOWN' WHEN f_{n} THEN 'TRUE' ELSE 'FALSE' END AS {n}" for n in _FLAGS)},
+FLAGGED = f"""agg AS (SELECT doc_id, count(*) AS verified, count(*) FILTER (section = '갑구') AS g, count(*) FILTER (section = '을구') AS e, bool_or(kind = 'CANCELLATION') AS cancel,
+  {', '.join(f"bool_or(status = 'ACTIVE' AND kind = '{k}') AS f_{n}" for n, k in (_FLAGS | _LEASES).items())} FROM rights GROUP BY 1)"""
+SUMMARISED = f"""summary AS (SELECT doc_id, gap_section_status, eul_section_status, {', '.join(f"CASE WHEN gap_section_status = 'PARSE_FAILED' THEN 'UNKNOWN' WHEN f_{n} THEN 'TRUE' ELSE 'FALSE' END AS {n}" for n in _FLAGS)},
   {', '.join(f"CASE WHEN eul_section_status = 'PARSE_FAILED' THEN 'UNKNOWN' WHEN f_{n} THEN 'TRUE' ELSE 'FALSE' END AS {n}" for n in _LEASES)},
   CASE WHEN eul_section_status <> 'PARSE_FAILED' THEN coalesce(active_mortgage_count, 0) END AS active_mortgage_count,
   CASE WHEN eul_section_status <> 'PARSE_FAILED' THEN CASE WHEN active_mortgage_count IS NULL THEN 0 ELSE total_active_max_claim_amount END END AS total_active_max_claim_amount,
   coalesce(verified, 0) AS verified_right_count, coalesce(cancel, false) AS has_cancellation_mention FROM st)"""
+SUMMARY = f"""docs AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '소유권 가압 류 1' ELSE '소유권이전' END AS gap_text, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '기록  사항 없음' ELSE '근저당' END AS eul_text FROM orders),
+{FLAGGED},
+st AS (SELECT *, CASE WHEN gap_text IS NOT NULL AND (coalesce(g, 0) > 0 OR NOT contains(replace(gap_text, ' ', ''), '압류')) THEN 'EXTRACTED' ELSE 'PARSE_FAILED' END AS gap_section_status,
+  CASE WHEN coalesce(e, 0) > 0 THEN 'EXTRACTED' WHEN eul_text LIKE '기록%' THEN 'CONFIRMED_NONE' ELSE 'PARSE_FAILED' END AS eul_section_status FROM docs LEFT JOIN agg USING (doc_id) LEFT JOIN totals USING (doc_id)),
+{SUMMARISED}"""
 _SUM_OUT = ["doc_id", "gap_section_status", "eul_section_status", *_FLAGS, *_LEASES, "active_mortgage_count", "total_active_max_claim_amount", "verified_right_count", "has_cancellation_mention"]
 
 
@@ -99,7 +103,7 @@ def summary(spark, d) -> DataFrame:
     return rights.rights_summary(docs, stored_rights(spark, d))
 
 
-@query("rights_summary", "P33", f"WITH {RIGHTS}, {AMENDED}, {TOTALS}, {SUMMARY} SELECT * FROM summary")
+@query("rights_summary", "P33", f"WITH {RIGHTS}, {STATUS}, {AMENDED}, {TOTALS}, {SUMMARY} SELECT * FROM summary")
 def rights_summary(spark, d) -> DataFrame:
     return summary(spark, d).select(*_SUM_OUT)
 
@@ -117,7 +121,7 @@ def parsed(spark, d) -> DataFrame:
         F.col("total_active_max_claim_amount"), F.col("verified_right_count"), F.col("extracted_right_count")))
 
 
-@query("parse_status", "P32", f"WITH {RIGHTS}, {AMENDED}, {TOTALS}, {SUMMARY}, {PARSED} SELECT doc_id, parse_status, parse_confidence FROM ladder")
+@query("parse_status", "P32", f"WITH {RIGHTS}, {STATUS}, {AMENDED}, {TOTALS}, {SUMMARY}, {PARSED} SELECT doc_id, parse_status, parse_confidence FROM ladder")
 def parse_status(spark, d) -> DataFrame:
     return parsed(spark, d).select("doc_id", "parse_status", "parse_confidence")
 
@@ -211,7 +215,7 @@ def merged_totals(spark, d) -> DataFrame:
 _ALL_FLAGS = [*_FLAGS, *_LEASES]
 
 
-@query("merge_rollup", "A10", f"""WITH {RIGHTS}, {AMENDED}, {TOTALS}, {SUMMARY}, {PARSED}, {GROUPS}, j AS (SELECT m.merge_id, m.day, l.* FROM mdocs m JOIN ladder l USING (doc_id)), r AS (SELECT merge_id,
+@query("merge_rollup", "A10", f"""WITH {RIGHTS}, {STATUS}, {AMENDED}, {TOTALS}, {SUMMARY}, {PARSED}, {GROUPS}, j AS (SELECT m.merge_id, m.day, l.* FROM mdocs m JOIN ladder l USING (doc_id)), r AS (SELECT merge_id,
   {', '.join(f"CASE WHEN bool_or({n} = 'TRUE') THEN 'TRUE' WHEN bool_or({n} = 'UNKNOWN') THEN 'UNKNOWN' ELSE 'FALSE' END AS {n}" for n in _ALL_FLAGS)},
   CASE WHEN bool_or(gap_section_status = 'PARSE_FAILED') THEN 'PARSE_FAILED' ELSE 'EXTRACTED' END AS gap_section_status,
   CASE WHEN bool_or(eul_section_status = 'PARSE_FAILED') THEN 'PARSE_FAILED' WHEN bool_and(eul_section_status = 'CONFIRMED_NONE') THEN 'CONFIRMED_NONE' ELSE 'EXTRACTED' END AS eul_section_status,
@@ -371,14 +375,19 @@ def right_evidence(spark, d) -> DataFrame:
 
 # ---- register documents written from line items: ranks, receipts, amounts, targets, entries cut by a page's end ----
 
-_ENTRY_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
-ENTRIES = f"""e0 AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ENTRY_ORDER}) AS n, l_partkey AS p, l_suppkey AS s, CAST(floor(l_extendedprice) AS BIGINT) AS price, strftime(l_shipdate, '%Y-%m-%d') AS shipped FROM lineitem),
+ENTRY_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def entries_sql(order: Sequence[str] = ENTRY_ORDER) -> str:
+    return f"""e0 AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(order)}) AS n, l_partkey AS p, l_suppkey AS s, CAST(floor(l_extendedprice) AS BIGINT) AS price, strftime(l_shipdate, '%Y-%m-%d') AS shipped FROM lineitem),
 e1 AS (SELECT *, CASE WHEN n % 4 = 3 THEN (n - 1) || '(1)' ELSE CAST(n AS VARCHAR) END AS rank_no, CAST(n - 1 AS VARCHAR) AS target,
   CASE p % 6 WHEN 0 THEN '근저당권설정' WHEN 1 THEN '가압류' WHEN 2 THEN (n - 1) || '번근저당권설정등기말소' WHEN 3 THEN '근저당권변경' WHEN 4 THEN '전세권설정' ELSE '가처분 이전' END AS purpose FROM e0),
 e2 AS (SELECT *, replace(rank_no, '(', chr(10) || '(') || ' ' || CASE WHEN p % 6 = 3 AND s % 2 = 0 THEN target || '번 ' WHEN p % 6 = 3 THEN target || ' 번의 ' ELSE '' END AS lead,
   ' 제' || p || '호 ' || shipped || chr(10) || '채권최고액 금' || format('{{:,}}', price) || '원 권리자 은행' || s || chr(10) AS rest FROM e1),
-e3 AS (SELECT *, CASE WHEN p % 5 = 0 THEN lead || left(purpose, 3) ELSE lead || CASE WHEN p % 7 = 0 THEN replace(purpose, '권', '권 ') ELSE purpose END || rest END AS own, CASE WHEN p % 5 = 0 THEN substr(purpose, 4) || rest ELSE '' END AS over FROM e2),
-pg AS (SELECT doc_id, n AS page_no, coalesce(lag(over) OVER (PARTITION BY doc_id ORDER BY n), '') || own || CASE WHEN lead(n) OVER (PARTITION BY doc_id ORDER BY n) IS NULL THEN over ELSE '' END AS text FROM e3),
+e3 AS (SELECT *, CASE WHEN p % 5 = 0 THEN lead || left(purpose, 3) ELSE lead || CASE WHEN p % 7 = 0 THEN replace(purpose, '권', '권 ') ELSE purpose END || rest END AS own, CASE WHEN p % 5 = 0 THEN substr(purpose, 4) || rest ELSE '' END AS over FROM e2)"""
+
+
+PAGES_AND_ASKS = """pg AS (SELECT doc_id, n AS page_no, coalesce(lag(over) OVER (PARTITION BY doc_id ORDER BY n), '') || own || CASE WHEN lead(n) OVER (PARTITION BY doc_id ORDER BY n) IS NULL THEN over ELSE '' END AS text FROM entries),
 asked AS (SELECT doc_id, n AS seq, CASE WHEN p % 6 IN (1, 5) THEN '갑구' ELSE '을구' END AS section, CASE WHEN p % 11 = 0 THEN 'zz' ELSE rank_no || CASE WHEN p % 3 = 0 THEN ' 번 ' ELSE '' END END AS rank_no, purpose, CASE WHEN s % 3 > 0 THEN '제 ' || p || ' 호' END AS receipt_no,
   shipped AS registered_at, '은행' || s AS holder, CASE WHEN p % 9 = 0 THEN '없는 이름' END AS debtor, CASE WHEN s % 5 > 0 THEN price + CASE WHEN p % 13 = 0 THEN 1 ELSE 0 END END AS amount, CASE WHEN p % 6 IN (2, 3) THEN [target] ELSE CAST([] AS VARCHAR[]) END AS targets FROM e1)"""
 
@@ -389,10 +398,11 @@ def _supported_sql(c: str, p: str) -> str:
     return f"(({c} <> '' AND contains({p}, {c})) OR ((regexp_matches({c}, '{'|'.join(T.PURPOSE_MARKERS)}') OR {lead} <> '') AND {marks} AND ({lead} = '' OR contains({p}, {lead} || '번'))))"
 
 
-LOCATED = f"""{ENTRIES}, pf AS (SELECT *, {_CANON.format(x='text')} AS canon, max(page_no) OVER (PARTITION BY doc_id) AS last FROM pg),
-whole AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS t FROM pg GROUP BY 1), sect AS (SELECT doc_id, {_CANON.format(x='t')} AS fc FROM whole),
-r AS (SELECT asked.*, fc, {_CANON.format(x='purpose')} AS pc, coalesce({_CANON.format(x='receipt_no')}, '') AS rc, {_CANON.format(x='registered_at')} AS dc, {_CANON.format(x='holder')} AS hc, coalesce({_CANON.format(x='debtor')}, '') AS bc,
-  list_distinct(list_concat(targets, regexp_extract_all(purpose, '([0-9]+)\\s*번', 1))) AS tg, regexp_replace(trim(rank_no), '\\s*번\\s*$', '') AS rk FROM asked JOIN sect USING (doc_id) WHERE section = '갑구' OR doc_id % 9 > 0),
+# Follows entries, pages and asks, and sect: the canonical text of both sections (gc, ec; null where there is none).
+LOCATED = f"""pf AS (SELECT *, {_CANON.format(x='text')} AS canon, max(page_no) OVER (PARTITION BY doc_id) AS last FROM pg),
+r AS (SELECT *, {_CANON.format(x='purpose')} AS pc, coalesce({_CANON.format(x='receipt_no')}, '') AS rc, {_CANON.format(x='registered_at')} AS dc, {_CANON.format(x='holder')} AS hc, coalesce({_CANON.format(x='debtor')}, '') AS bc,
+  list_distinct(list_concat(targets, regexp_extract_all(purpose, '([0-9]+)\\s*번', 1))) AS tg, regexp_replace(trim(rank_no), '\\s*번\\s*$', '') AS rk
+  FROM (SELECT asked.*, CASE WHEN section = '갑구' THEN gc ELSE ec END AS fc FROM asked JOIN sect USING (doc_id)) WHERE fc IS NOT NULL),
 r2 AS (SELECT *, rc <> '' AND contains(fc, rc) AS receipt_ok FROM r WHERE {_supported_sql('pc', 'fc')}),
 spans AS (SELECT doc_id, page_no AS first_page, 1 AS n_pages, canon, text FROM pf UNION ALL SELECT a.doc_id, a.page_no, 2, a.canon || b.canon, a.text || chr(10) || b.text FROM pf a JOIN pf b ON a.doc_id = b.doc_id AND b.page_no = a.page_no + 1),
 j AS (SELECT r2.*, first_page, n_pages, canon, text, {_supported_sql('pc', 'canon')} AS semantic, contains(canon, pc) AS exact, receipt_ok AND contains(canon, rc) AS rhere,
@@ -409,11 +419,14 @@ scored AS (SELECT *, CASE WHEN receipt_ok THEN 10 ELSE 4 END + CASE WHEN rank_fo
 best AS (SELECT *, max(score * 10 - n_pages) OVER (PARTITION BY doc_id, seq) AS top FROM scored), tied AS (SELECT *, count(*) OVER (PARTITION BY doc_id, seq) AS ties FROM best WHERE score * 10 - n_pages = top)"""
 
 
-def register_entries(spark, d) -> DataFrame:
+WHOLE = "whole AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS t FROM pg GROUP BY 1)"
+
+
+def register_entries(spark, d, order: Sequence[str] = ENTRY_ORDER) -> DataFrame:
     """Entries of a register document for each order, and what is asked for each of them."""
     n, p, s = F.col("n"), F.col("p"), F.col("s")
     text = lambda *parts: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in parts])
-    w = Window.partitionBy("doc_id").orderBy(*[F.col(c.strip()) for c in _ENTRY_ORDER.split(",")])
+    w = Window.partitionBy("doc_id").orderBy(*[F.expr(c) for c in order])
     li = B.table(spark, d, "lineitem").withColumn("doc_id", F.col("l_orderkey")).withColumn("n", F.row_number().over(w))
     e = li.select("doc_id", "n", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.floor("l_extendedprice").cast("long").alias("price"),
                   F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"))
@@ -445,7 +458,8 @@ def register_asks(entries: DataFrame) -> DataFrame:
         F.when((p % 6).isin(2, 3), F.array("target")).otherwise(F.array().cast("array<string>")).alias("target_rank_nos"), F.lit(None).cast("string").alias("joint_collateral_id"))
 
 
-@query("right_evidence_full", "J17 W6 W10 F10", f"""WITH {LOCATED} SELECT doc_id, CAST(seq AS INTEGER) AS seq, CAST(first_page AS INTEGER) AS first_page, n_pages, CAST(score AS INTEGER) AS score, rank_found, array_to_string(target_found, '|') AS target_found, purpose, rank_no FROM tied WHERE ties = 1""")
+@query("right_evidence_full", "J17 W6 W10 F10", f"""WITH {entries_sql()}, entries AS (SELECT * FROM e3), {PAGES_AND_ASKS}, {WHOLE},
+sect AS (SELECT doc_id, {_CANON.format(x='t')} AS gc, CASE WHEN doc_id % 9 > 0 THEN gc END AS ec FROM whole), {LOCATED} SELECT doc_id, CAST(seq AS INTEGER) AS seq, CAST(first_page AS INTEGER) AS first_page, n_pages, CAST(score AS INTEGER) AS score, rank_found, array_to_string(target_found, '|') AS target_found, purpose, rank_no FROM tied WHERE ties = 1""")
 def right_evidence_full(spark, d) -> DataFrame:
     """Ranks, receipts, amounts, targets, anchors and the real markers, over documents of several pages."""
     entries = cut_lineage(register_entries(spark, d))
@@ -532,7 +546,7 @@ def nested_results(spark, d) -> DataFrame:
     return o.join(r, "analysis_id")
 
 
-@query("register_rights_table", "S8", f"WITH {RIGHTS} SELECT doc_id AS analysis_id, CASE section WHEN '갑구' THEN 'GAP' ELSE 'EUL' END AS section, kind, rank_no, receipt_no, amount, status FROM rights JOIN orders ON o_orderkey = doc_id")
+@query("register_rights_table", "S8", f"WITH {RIGHTS}, {STATUS} SELECT doc_id AS analysis_id, CASE section WHEN '갑구' THEN 'GAP' ELSE 'EUL' END AS section, kind, rank_no, receipt_no, amount, status FROM rights JOIN orders ON o_orderkey = doc_id")
 def register_rights_table(spark, d) -> DataFrame:
     return sinks.register_tables(nested_results(spark, d))["registry_rights"].select("analysis_id", "section", "kind", "rank_no", "receipt_no", "amount", "status")
 
