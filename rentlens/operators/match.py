@@ -11,9 +11,22 @@ from rentlens.operators.distribution import top_value
 from rentlens.operators.reference import PARCEL, ranked_names
 
 
-def parcel_lookup(probes: DataFrame, reference: DataFrame) -> DataFrame:
-    """Reference rows of each probe's parcel (null columns where there are none)."""
-    return probes.join(reference, PARCEL, "left")
+def parcel_names(reference: DataFrame) -> DataFrame:
+    """One row per parcel with its reference rows as a sorted array ``candidates``: the most sampled first, then by value.
+
+    A parcel's array holds its distinct names, not its transactions.
+    """
+    rows = [c for c in reference.columns if c not in PARCEL]
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("sample_count")).alias("_rank"), *rows)))
+    return reference.groupBy(*PARCEL).agg(F.transform(ranked, lambda r: F.struct(*[r[c].alias(c) for c in rows])).alias("candidates"))
+
+
+def parcel_lookup(probes: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds the ``candidates`` of each probe's parcel (null where it has none); ``names`` as from ``parcel_names``.
+
+    One row for each probe: a caller that needs a row per name unfolds the array itself.
+    """
+    return probes.join(names, PARCEL, "left")
 
 
 def match_names(probes: DataFrame, reference: DataFrame, observed: str = "observed_name") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rentlens.functions import score as S
 from rentlens.functions import text as T
+from rentlens.operators.name_index import contained_names
+from rentlens.session import cut_lineage
 
 # Purpose words per housing type, in the order they are tried.
 HOUSING_WORDS = (
@@ -114,12 +116,6 @@ def unit_majority(units: DataFrame, keys: Sequence[str], use: str, main: str, de
     return counted.withColumn("unit_type", winner).drop(*[f"_n_{i}" for i in range(len(words))])
 
 
-def name_matches(expected: Column, actual: Column) -> Column:
-    """Does one building name contain the other? No expected name fits every title."""
-    e, a = T.name_key(expected), T.name_key(actual)
-    return (e == "") | ((a != "") & (a.contains(e) | e.contains(a)))
-
-
 def dong_key(c: Column) -> Column:
     """Unit-building label as compared: no spaces, leading '제' or trailing '동'."""
     return F.regexp_replace(F.regexp_replace(T.name_key(c), "^제", ""), r"동\z", "")
@@ -130,21 +126,40 @@ def select_titles(requests: DataFrame, titles: DataFrame, keys: Sequence[str], o
     unit-building label fit. Requests without one keep null title columns.
 
     ``requests`` carries request_id, building_name and dong_name, ``titles``
-    carries kind, bldNm and dongNm. Equal questions about a parcel are asked once; the
-    first fitting title in ``order`` is taken by an aggregate, so no request collects
-    its candidates.
+    carries kind, bldNm and dongNm. Names fit when one contains the other; no asked name
+    fits every title, a title without a name only such an ask. Equal questions about a
+    parcel are asked once and its titles are reduced to one row for each name and label;
+    names then meet through their grams (``name_index``), not all titles of the parcel.
+    The first fitting title in ``order`` is taken.
     """
     asks = requests.withColumns({
         "_name": T.name_key(F.col("building_name")), "_dong": dong_key(F.col("dong_name"))})
     ask_keys = [*keys, "_name", "_dong"]
-    r, t = asks.select(*ask_keys).distinct().alias("r"), titles.alias("t")
-    fits = (F.col("t.kind") == MAIN_BUILDING) & name_matches(F.col("r._name"), F.col("t.bldNm")) & (
-        (F.col("r._dong") == "") | (dong_key(F.col("t.dongNm")) == F.col("r._dong")))
-    cond = [F.col(f"r.{k}") == F.col(f"t.{k}") for k in keys]
     others = [c for c in titles.columns if c not in keys]
-    best = r.join(t, [*cond, fits]).groupBy(*[F.col(f"r.{k}") for k in ask_keys]).agg(
-        F.min_by(F.struct(*[F.col(f"t.{c}") for c in others]), F.col(f"t.{order}")).alias("title"),
-        F.count("*").alias("title_count"))
+    first = F.struct(F.col(order).alias("at"), F.struct(*others).alias("title"))
+    main = titles.where(F.col("kind") == MAIN_BUILDING).withColumns({
+        "_name": T.name_key(F.col("bldNm")), "_dong": dong_key(F.col("dongNm"))})
+    # One row for each name and label of a parcel, and one for the parcel's name with any label.
+    named = cut_lineage(main.groupBy(*ask_keys).agg(F.min_by(first, order).alias("_first"), F.count("*").alias("_n")))
+    asked = asks.select(*ask_keys).distinct()
+    names, wanted = (df.select(*keys, F.col("_name").alias("name")) for df in (named, asked))
+    either = contained_names(wanted, names, keys).union(
+        contained_names(names, wanted, keys).select(*keys, "outer", "inner")).distinct()
+    # An ask without a name fits every title: it meets the counts by label only.
+    either = either.select(*keys, F.col("inner").alias("_name"), F.col("outer").alias("_title"))
+    fits = asked.where("_name <> ''").join(either, [*keys, "_name"])
+    labels = named.withColumnRenamed("_name", "_title")
+    chosen = lambda df, by: df.groupBy(*by).agg(F.min_by("_first", "_first.at").alias("_first"), F.sum("_n").alias("_n"))
+    any_label = chosen(labels, [*keys, "_title"])
+    hits = fits.where("_dong = ''").join(any_label, [*keys, "_title"]).unionByName(
+        fits.where("_dong <> ''").join(labels, [*keys, "_title", "_dong"])).drop("_title")
+    unnamed = asked.where("_name = ''")
+    by_label = chosen(named, [*keys, "_dong"])
+    whole = chosen(by_label, keys)
+    best = chosen(hits, ask_keys).unionByName(
+        unnamed.where("_dong = ''").join(whole, list(keys))).unionByName(
+        unnamed.where("_dong <> ''").join(by_label, [*keys, "_dong"]))
+    best = best.select(*ask_keys, F.col("_first.title").alias("title"), F.col("_n").alias("title_count"))
     return asks.join(best, ask_keys, "left").drop("_name", "_dong").withColumn(
         "title_status", F.when(F.col("title_count").isNull(), "NOT_FOUND").otherwise("SELECTED"))
 

@@ -444,8 +444,9 @@ MATCH_PROBES = """probes AS (SELECT p_partkey AS probe_id, CASE WHEN p_partkey %
 
 @query("parcel_lookup", "J1", f"WITH {REF2}, {MATCH_PROBES} SELECT probe_id, district, bun, ji, housing_type, model_name, sample_count FROM probes LEFT JOIN reference USING (district, bun, ji, housing_type)")
 def parcel_lookup(spark, d) -> DataFrame:
-    return match.parcel_lookup(match_probes(spark, d), reference_no_type(spark, d)).select(
-        "probe_id", "district", "bun", "ji", "housing_type", "model_name", "sample_count")
+    found = match.parcel_lookup(match_probes(spark, d), match.parcel_names(reference_no_type(spark, d)))
+    return found.select("probe_id", *reference.PARCEL, F.inline_outer("candidates")).select(
+        "probe_id", *reference.PARCEL, "model_name", "sample_count")
 
 
 @query("property_match", "J2", f"""WITH {REF2}, {MATCH_PROBES}, q AS (SELECT *, trim(coalesce(observed_name, '')) AS actual FROM probes), r AS (
