@@ -194,6 +194,69 @@ def with_fallbacks(df: DataFrame, features: Sequence[str], categorical: Sequence
     )
 
 
+def feature_policy(models: DataFrame, defaults: DataFrame) -> DataFrame:
+    """One row per model: its features in contract order, each with its role and default.
+
+    ``models``: model_key, features, categorical_features; ``defaults``: model_key, feature, value. It grows with the
+    contract only.
+    """
+    rows = contract_rows(models).join(defaults.select("model_key", "feature", "value"), ["model_key", "feature"], "left")
+    return rows.groupBy("model_key").agg(F.array_sort(F.collect_list(F.struct("ordinal", "feature", "categorical", "value"))).alias("policy"))
+
+
+def contract_vectors(df: DataFrame, policy: DataFrame, sources: Sequence[str], unavailable: Sequence[str] = tuple(UNAVAILABLE)) -> DataFrame:
+    """Adds the vector that each row's own model asks for; the contract, not the code, says which features and in what order.
+
+    ``df`` carries model_key and the ``sources`` columns, named as features; ``policy`` as from ``feature_policy``. Adds
+    vector (ordinal, feature, categorical, number, text, fallback), categorical_indices, fallback_features,
+    unavailable_features and missing_features: features without a value or a default. A row of an unknown or null model
+    keeps nulls in all five.
+    """
+    types = dict(df.dtypes)
+    col = lambda c: F.col(f"`{c}`")
+    number = lambda c: F.lit(None).cast("double") if types[c] == "boolean" else F.when(valid_number(col(c)), col(c).try_cast("double"))
+    text = lambda c: F.when(valid_category(col(c), types[c]), col(c).cast("string"))
+    by_name = lambda value, kind: F.create_map(*[x for c in sources for x in (F.lit(c), value(c))]).cast(f"map<string,{kind}>")
+    at = lambda values, f: F.try_element_at(values, f["feature"])
+
+    def filled(f: Column) -> Column:
+        n, t = F.when(~f["categorical"], at(F.col("_numbers"), f)), F.when(f["categorical"], at(F.col("_texts"), f))
+        return F.struct(
+            f["ordinal"].alias("ordinal"), f["feature"].alias("feature"), f["categorical"].alias("categorical"),
+            F.coalesce(n, F.when(~f["categorical"], f["value"].try_cast("double"))).alias("number"),
+            F.coalesce(t, F.when(f["categorical"], f["value"])).alias("text"), (n.isNull() & t.isNull()).alias("fallback"))
+
+    named = lambda test: F.transform(F.filter("vector", test), lambda v: v["feature"])
+    out = df.withColumns({"_numbers": by_name(number, "double"), "_texts": by_name(text, "string")}).join(policy, "model_key", "left")
+    empty = lambda v: v["number"].isNull() & v["text"].isNull()
+    return out.withColumn("vector", F.transform("policy", filled)).withColumns({
+        "categorical_indices": F.transform(F.filter("vector", lambda v: v["categorical"]), lambda v: v["ordinal"]),
+        "fallback_features": named(lambda v: v["fallback"] & ~v["feature"].isin(*unavailable)),
+        "unavailable_features": named(lambda v: v["fallback"] & v["feature"].isin(*unavailable)),
+        "missing_features": named(empty),
+    }).drop("_numbers", "_texts", "policy")
+
+
+def model_table(vectors: DataFrame, features: Sequence[str], categorical: Sequence[str], model_key: str, keys: Sequence[str]) -> DataFrame:
+    """The vectors of one model as a table with a typed column for each of its features."""
+    field = lambda i, n: F.col("vector")[i]["text" if n in categorical else "number"].alias(n)
+    return vectors.where(F.col("model_key") == model_key).select(*keys, *[field(i, n) for i, n in enumerate(features)])
+
+
+def write_defaults(defaults: DataFrame, path: str, version: str, manifest_version: str, categorical: Sequence[str]) -> None:
+    """The defaults file as ``read_defaults`` takes it: one JSON document, numbers as numbers, texts as texts.
+
+    It holds one value per model and feature. A later run replaces the file.
+    """
+    as_text = F.variant_get(F.to_variant_object(F.array("value")), "$[0]", "variant")
+    value = F.when(F.col("feature").isin(*categorical), as_text).otherwise(F.try_parse_json("value"))
+    per_model = defaults.where(F.col("value").isNotNull()).groupBy("model_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", value.alias("value")))).alias("values"))
+    doc = per_model.agg(F.map_from_entries(F.collect_list(F.struct("model_key", "values"))).alias("models"))
+    out = doc.select(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(manifest_version).alias("feature_manifest_version"), "models")).alias("value"))
+    out.coalesce(1).write.mode("overwrite").text(path)
+
+
 def default_columns(defaults: DataFrame, features: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """Defaults as one wide row per model (model_key, default_<feature>...)."""
     wide = defaults.groupBy("model_key").pivot("feature", list(features)).agg(F.first("value"))

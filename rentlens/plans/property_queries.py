@@ -123,6 +123,37 @@ def feature_vectors(spark, d) -> DataFrame:
                       B.joined(F.col("unavailable_features")).alias("unavailable_features"))
 
 
+# Two contracts of different width: by the length of the type's name.
+WIDE, NARROW = ["size", "kind", "price", "name", "age", "대지권면적(㎡)"], ["price", "name", "대지권면적(㎡)"]
+CONTRACT = f"""contract AS (SELECT model_key, CAST(unnest(range(len(names))) AS INTEGER) AS ordinal, unnest(names) AS feature FROM (SELECT DISTINCT 'M_' || p_type AS model_key,
+  CASE WHEN length(p_type) % 2 = 0 THEN {WIDE} ELSE {NARROW} END AS names FROM part))"""
+
+
+def feature_contract(spark, d) -> DataFrame:
+    names = lambda ns: F.array(*[F.lit(n) for n in ns])
+    wide = F.length("p_type") % 2 == 0
+    return B.table(spark, d, "part").select("p_type").distinct().select(
+        F.concat(F.lit("M_"), "p_type").alias("model_key"), F.when(wide, names(WIDE)).otherwise(names(NARROW)).alias("features"),
+        F.when(wide, names(["kind", "name"])).otherwise(names(["name"])).alias("categorical_features"))
+
+
+@query("contract_vectors", "P20 P21 S15 J11", f"""WITH {FEATURE_ROWS}, {DEFAULTS}, {CONTRACT}, x AS (SELECT f.*, n.price AS dp, n.size AS ds, c.name AS dn, k.kind AS dk FROM feature_rows f JOIN num n USING (model_key) JOIN cat c USING (model_key) JOIN kin k USING (model_key)),
+v AS (SELECT p_partkey, model_key, ordinal, feature, CASE feature WHEN 'price' THEN CASE WHEN isfinite(price) THEN price END WHEN 'size' THEN size END AS n, CASE feature WHEN 'name' THEN CASE WHEN trim(name) <> '' THEN name END WHEN 'kind' THEN CASE WHEN kind <> 0 THEN CAST(kind AS VARCHAR) END END AS t,
+  CASE feature WHEN 'price' THEN dp WHEN 'size' THEN ds WHEN 'age' THEN -1.0::DOUBLE WHEN '대지권면적(㎡)' THEN -2.0::DOUBLE END AS fn, CASE feature WHEN 'name' THEN dn WHEN 'kind' THEN dk END AS ft FROM x JOIN contract USING (model_key))
+SELECT p_partkey, model_key, ordinal, feature, coalesce(n, fn) AS number, coalesce(t, ft) AS text, n IS NULL AND t IS NULL AS fallback, n IS NULL AND t IS NULL AND feature = '대지권면적(㎡)' AS unavailable FROM v""")
+def contract_vectors(spark, d) -> DataFrame:
+    """Vectors as each model's contract lists them, with the defaults written to their file and read back."""
+    contract = cut_lineage(feature_contract(spark, d))
+    fixed = contract.select("model_key", F.explode(F.create_map(F.lit("age"), F.lit("-1.0"), F.lit("대지권면적(㎡)"), F.lit("-2.0"))).alias("feature", "value"))
+    path = f"{work_folder(spark)}/defaults-{uuid.uuid4().hex}.json"
+    features.write_defaults(defaults(spark, d).unionByName(fixed), path, "train-v1", "1", CATEGORICAL)
+    policy = cut_lineage(features.feature_policy(contract, features.read_defaults(spark, path)))
+    out = features.contract_vectors(feature_rows(spark, d), policy, FEATURES)
+    rows = out.select("p_partkey", "model_key", "unavailable_features", F.inline("vector"))
+    return rows.select("p_partkey", "model_key", "ordinal", "feature", "number", "text", "fallback",
+                       F.array_contains("unavailable_features", F.col("feature")).alias("unavailable"))
+
+
 # A feature contract made of the parts of each brand: names, flags and counts vary.
 _FEATURE_NAME = ("CASE p_partkey % 14 WHEN 0 THEN '시군구' WHEN 1 THEN '주택유형' WHEN 2 THEN '층' WHEN 3 THEN '단지명' WHEN 4 THEN '건축물대장_' || p_type WHEN 5 THEN 'RONE_' || p_type WHEN 6 THEN '신규취급액기준_COFIX' "
                  "WHEN 7 THEN 'ECOS_' || p_type WHEN 8 THEN 'KOSIS_' || p_type WHEN 9 THEN '계약월' WHEN 10 THEN '연면적(㎡)' ELSE p_name END")
