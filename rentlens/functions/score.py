@@ -82,6 +82,12 @@ def trend_points(sale_severity: Column, lease_severity: Column) -> Column:
     return F.rint(F.lit(float(WEIGHT_TREND)) * (sale_severity + lease_severity) / 2).cast("int")
 
 
+def severity_reject(sale_severity: Column, lease_severity: Column) -> Column:
+    """Reason codes of market severities outside 0 to 1; a missing one or NaN is outside."""
+    outside = lambda c: F.coalesce((c < 0) | (c > 1), F.lit(True))
+    return codes((outside(sale_severity), "SALE_DECLINE_OUT_OF_RANGE"), (outside(lease_severity), "LEASE_DECLINE_OUT_OF_RANGE"))
+
+
 def verdict(rate: Column) -> Column:
     return F.when(rate < 0.7, "SAFE").when(rate < 0.8, "CAUTION").otherwise("RISK")
 

@@ -97,6 +97,13 @@ def severity_columns(sale_change: Column, lease_change: Column) -> dict[str, Col
     return {"sale_price_decline": S.decline_severity(sale_change), "lease_price_decline": S.decline_severity(lease_change)}
 
 
+def with_trend(df: DataFrame, sale: str, lease: str) -> DataFrame:
+    """Adds market_trend of two severities, null where severity_rejects names one that cannot be scored."""
+    rejects = S.severity_reject(F.col(sale), F.col(lease))
+    return df.withColumn("severity_rejects", rejects).withColumn(
+        "market_trend", F.when(F.size("severity_rejects") == 0, S.trend_points(F.col(sale), F.col(lease))))
+
+
 def evaluated(df: DataFrame, prefix: str, sale: str, lease: str, deposit: str, claim: str, reasons: str = "reasons",
               mode: str = "mode", trend: str = "trend") -> DataFrame:
     """Adds <prefix>score, grade, floor, floor_reasons and rights_adjustment."""

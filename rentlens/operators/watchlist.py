@@ -67,6 +67,17 @@ def candidate_groups(owners: DataFrame, watchlist: DataFrame, keys: Sequence[str
     return owners.where(F.col("name") != "").select(*keys, "name").join(entries, "name")
 
 
+def checks_with_candidates(owners: DataFrame, watchlist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Owners with their match and the array ``candidates`` behind it, by age; null where there is none.
+
+    An array holds one element per age of the name, so it is bounded by the ages people have.
+    """
+    each = candidate_groups(owners, watchlist, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct("age", "name", "entries", "return_debt_amount", "last_posted"))).alias("candidates"))
+    out = match_owners(owners, watchlist, keys).join(each, list(keys), "left")
+    return out.withColumns(check_result(F.col("match_status")))
+
+
 def check_result(status: Column) -> dict[str, Column]:
     """Matched flag and match type of a match status."""
     return {

@@ -199,6 +199,24 @@ def training_files(spark, d) -> DataFrame:
     return read[0].unionByName(read[1])
 
 
+MODEL_FILES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "UNKNOWN")
+
+
+@query("training_file_counts", "S3", f"""SELECT k AS model_key, CAST(CASE WHEN n IS NULL THEN 0 WHEN k = 'SMALL' THEN 2 ELSE 1 END AS BIGINT) AS files, CASE WHEN n IS NULL THEN 'MISSING' WHEN k = 'SMALL' THEN 'DUPLICATE' ELSE 'FOUND' END AS status,
+  CASE WHEN k <> 'SMALL' THEN n END AS rows FROM (SELECT unnest({list(MODEL_FILES)}) AS k) LEFT JOIN (SELECT p_type AS k, count(*) AS n FROM part GROUP BY 1) USING (k)""")
+def training_file_counts(spark, d) -> DataFrame:
+    """Training files of each model found by name: one of them twice, those without rows not at all."""
+    folder, part = f"{work_folder(spark)}/training-{uuid.uuid4().hex}", B.table(spark, d, "part")
+    for key in MODEL_FILES:
+        rows = part.where(F.col("p_type") == key).select("p_partkey", "p_retailprice")
+        for name in (f"06_{key}", f"06_{key}_1")[:0 if rows.isEmpty() else 2 if key == "SMALL" else 1]:
+            rows.write.parquet(f"{folder}/{name}.parquet")
+    found = files.file_counts(spark, f"{folder}/06_*.parquet", MODEL_FILES)
+    read = files.read_parquet(spark, f"{folder}/06_*.parquet", ["p_partkey"]).select(
+        F.regexp_replace(F.input_file_name(), "^.*:/*|/part-.*$", "").alias("path")).groupBy("path").agg(F.count("*").alias("rows"))
+    return found.withColumn("path", F.regexp_replace("path", "^.*:/*", "")).join(read, "path", "left").select("model_key", "files", "status", "rows")
+
+
 @query("store_reload", "S6", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders""")
 def store_reload(spark, d) -> DataFrame:
     """A version loaded, loaded again under its own name, and read through the metadata."""

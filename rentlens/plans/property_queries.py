@@ -12,6 +12,7 @@ from rentlens.operators import checklist, features, property as prop, valuation,
 from rentlens.plans import bindings as B
 from rentlens.plans.catalog import query
 from rentlens.session import cut_lineage, work_folder
+from rentlens.sources import sinks
 
 # ---- model routing, assembly, fallbacks -------------------------------------
 
@@ -536,6 +537,26 @@ def watchlist_candidates(spark, d) -> DataFrame:
     return watchlist.candidate_groups(owners(spark, d), watch(spark, d), ["c_custkey"]).withColumn("last_posted", F.col("last_posted").cast("string"))
 
 
+# Three owners to a contract; what is stored of a check is read again from its table.
+@query("watchlist_stored_checks", "S8 S9 J19 J23", f"""WITH {CHECKS}, g AS (SELECT c_custkey, age, count(*) AS entries, CAST(sum(return_debt_amount) AS BIGINT) AS debt, max(posted_date) AS last FROM owners JOIN watch USING (name) WHERE name <> '' GROUP BY 1, 2),
+l AS (SELECT c_custkey, string_agg(coalesce(CAST(age AS VARCHAR), '-') || ':' || entries || ':' || debt || ':' || coalesce(strftime(last, '%Y-%m-%d'), '-'), '|' ORDER BY age NULLS FIRST) AS candidates FROM g GROUP BY 1)
+SELECT c_custkey // 3 AS analysis_id, c_custkey, match_status, CASE match_status WHEN 'MATCH_HIGH' THEN true WHEN 'NO_MATCH' THEN false END AS matched, CASE match_status WHEN 'MATCH_HIGH' THEN 'EXACT' WHEN 'MATCH_NAME_ONLY' THEN 'MANUAL_REVIEW' END AS match_type,
+  true AS has_owner, candidates FROM checks LEFT JOIN l USING (c_custkey)""")
+def watchlist_stored_checks(spark, d) -> DataFrame:
+    """Owners of stored results matched, their checks stored with the candidates of the match, read back and given the owners' ids."""
+    o = owners(spark, d).withColumn("analysis_id", F.floor(F.col("c_custkey") / 3))
+    results = o.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "name", "jumin_front"))).alias("current_owners")).withColumn(
+        "rights", F.array().cast("array<struct<section:string>>"))
+    stored = cut_lineage(sinks.register_tables(results)["registry_owners"])
+    checks = watchlist.checks_with_candidates(stored.drop("registry_result_id", "registry_owner_id", "position"), watch(spark, d), ["analysis_id", "c_custkey"])
+    kept = cut_lineage(checks.withColumn("details_json", sinks.candidates_json(F.col("candidates"))).drop("candidates"))
+    item = "array<struct<age:int,name:string,entries:bigint,return_debt_amount:bigint,last_posted:date>>"
+    show = F.transform(F.from_json("details_json", item), lambda x: F.concat_ws(
+        ":", *[F.coalesce(x[c].cast("string"), F.lit("-")) for c in ("age", "entries", "return_debt_amount", "last_posted")]))
+    return sinks.attach_owner_ids(kept, stored).select(
+        "analysis_id", "c_custkey", "match_status", "matched", "match_type", F.col("registry_owner_id").isNotNull().alias("has_owner"), F.array_join(show, "|").alias("candidates"))
+
+
 @query("watchlist_overall", "A11", f"""WITH {CHECKS}, r AS (SELECT doc, max(CASE match_status WHEN 'MATCH_HIGH' THEN 3 WHEN 'MATCH_NAME_ONLY' THEN 2 WHEN 'UNKNOWN' THEN 1 ELSE 0 END) AS k FROM checks GROUP BY 1)
 SELECT doc_id, CASE k WHEN 3 THEN 'MATCH_HIGH' WHEN 2 THEN 'MATCH_NAME_ONLY' WHEN 0 THEN 'NO_MATCH' ELSE 'UNKNOWN' END AS overall_match_status FROM (SELECT s_suppkey AS doc_id FROM supplier) d LEFT JOIN r ON doc = doc_id""")
 def watchlist_overall(spark, d) -> DataFrame:

@@ -85,6 +85,25 @@ def market_severity(spark, d) -> DataFrame:
         "market_trend", S.trend_points(F.col("sale_price_decline"), F.col("lease_price_decline")))
 
 
+@query("severity_ranges", "R5 R8", """WITH x AS (SELECT o_orderkey AS analysis_id, (o_orderkey % 13 - 1) / 10.0::DOUBLE AS sale_decline, CASE WHEN o_custkey % 17 > 0 THEN (o_custkey % 12) / 10.0::DOUBLE END AS lease_decline FROM orders), y AS (
+  SELECT *, sale_decline BETWEEN 0 AND 1 AS sale_ok, coalesce(lease_decline BETWEEN 0 AND 1, false) AS lease_ok FROM x)
+SELECT analysis_id, sale_decline, lease_decline, CASE WHEN sale_ok AND lease_ok THEN '' WHEN sale_ok THEN 'LEASE_DECLINE_OUT_OF_RANGE' WHEN lease_ok THEN 'SALE_DECLINE_OUT_OF_RANGE' ELSE 'SALE_DECLINE_OUT_OF_RANGE|LEASE_DECLINE_OUT_OF_RANGE' END AS severity_rejects,
+  CASE WHEN sale_ok AND lease_ok THEN CAST(round_even(10.0::DOUBLE * (sale_decline + lease_decline) / 2, 0) AS INTEGER) END AS market_trend FROM y""")
+def severity_ranges(spark, d) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    x = B.table(spark, d, "orders").select(k.alias("analysis_id"), ((k % 13 - 1) / 10.0).alias("sale_decline"), F.when(c % 17 > 0, (c % 12) / 10.0).alias("lease_decline"))
+    return scoring.with_trend(x, "sale_decline", "lease_decline").withColumn("severity_rejects", B.joined(F.col("severity_rejects")))
+
+
+# Rates in 997ths: none is a tie at two decimals.
+@query("displayed_rates", "F4 F16", """WITH x AS (SELECT o_orderkey AS analysis_id, CASE WHEN o_custkey % 19 > 0 THEN (o_orderkey * 31 + o_custkey) % 1994 / 997.0::DOUBLE END AS rate FROM orders)
+SELECT analysis_id, round(rate * 100, 2) AS percent, CASE WHEN rate IS NULL THEN '확인 필요' ELSE format('{:.2f}%', rate * 100) END AS label FROM x""")
+def displayed_rates(spark, d) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    x = B.table(spark, d, "orders").select(k.alias("analysis_id"), F.when(c % 19 > 0, (k * 31 + c) % 1994 / F.lit(997.0)).alias("rate"))
+    return x.select("analysis_id", T.percent2(F.col("rate")).alias("percent"), T.rate_label(F.col("rate")).alias("label"))
+
+
 _BOOLS = {"is_seizure": "seizure", "is_provisional_seizure": "provisional_seizure", "is_provisional_disposition": "provisional_disposition",
           "is_auction_commenced": "auction_commenced", "is_trust_registration": "trust_registration", "is_owner_match": "owner_matches_contract_party"}
 _TRI = "CASE {c} WHEN 'TRUE' THEN true WHEN 'FALSE' THEN false END"

@@ -30,12 +30,14 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str], columns: Sequen
 def file_counts(spark: SparkSession, pattern: str, keys: Sequence[str]) -> DataFrame:
     """Files found per model key under a glob: status FOUND, MISSING or DUPLICATE.
 
-    Lists file names through Spark's own file source; contents are not read.
+    Lists file names through Spark's own file source; contents are not read. A folder that
+    Spark wrote counts as one file under the folder's name.
     """
     listing = spark.read.format("binaryFile").load(pattern).select("path")
     wanted = spark.createDataFrame([(k,) for k in keys], "model_key string")
+    whole = F.regexp_replace("path", r"/part-[^/]*\z", "")
     name = F.url_decode(F.element_at(F.split(F.col("path"), "/"), -1))
-    listed = listing.select(name.alias("file"), "path")
+    listed = listing.select(whole.alias("path")).distinct().select(name.alias("file"), "path")
     key = F.coalesce(*[F.when(F.contains(F.col("file"), F.lit(k)), F.lit(k)) for k in sorted(keys, key=len, reverse=True)])
     per = listed.withColumn("model_key", key).where("model_key is not null").groupBy("model_key").agg(
         F.count("*").alias("files"), F.min("path").alias("path"))
