@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.functions import text as T
-from rentlens.operators import checklist, features, property as prop, valuation, watchlist
+from rentlens.operators import checklist, features, property as prop, scoring, valuation, watchlist
 from rentlens.plans import bindings as B
 from rentlens.plans.catalog import query
 from rentlens.session import cut_lineage, work_folder
@@ -143,16 +143,29 @@ v AS (SELECT p_partkey, model_key, ordinal, feature, CASE feature WHEN 'price' T
   CASE feature WHEN 'price' THEN dp WHEN 'size' THEN ds WHEN 'age' THEN -1.0::DOUBLE WHEN '대지권면적(㎡)' THEN -2.0::DOUBLE END AS fn, CASE feature WHEN 'name' THEN dn WHEN 'kind' THEN dk END AS ft FROM x JOIN contract USING (model_key))
 SELECT p_partkey, model_key, ordinal, feature, coalesce(n, fn) AS number, coalesce(t, ft) AS text, n IS NULL AND t IS NULL AS fallback, n IS NULL AND t IS NULL AND feature = '대지권면적(㎡)' AS unavailable FROM v""")
 def contract_vectors(spark, d) -> DataFrame:
+    rows = model_vectors(spark, d).select("p_partkey", "model_key", "unavailable_features", F.inline("vector"))
+    return rows.select("p_partkey", "model_key", "ordinal", "feature", "number", "text", "fallback",
+                       F.array_contains("unavailable_features", F.col("feature")).alias("unavailable"))
+
+
+@query("vector_reliability", "P35 P21", f"""WITH {FEATURE_ROWS}, v AS (SELECT *, length(model_key) % 2 = 0 AS wide, NOT isfinite(price) OR coalesce(trim(name), '') = '' AS short FROM feature_rows)
+SELECT p_partkey, CASE WHEN short OR wide THEN 'LOW' ELSE 'MEDIUM' END AS reliability, CAST(NOT isfinite(price) AS INT) + CAST(coalesce(trim(name), '') = '' AS INT) + CASE WHEN wide THEN CAST(size IS NULL AS INT) + CAST(kind = 0 AS INT) + 1 ELSE 0 END AS fallbacks,
+  'LAND_RIGHT_AREA_UNAVAILABLE' AS warnings FROM v""")
+def vector_reliability(spark, d) -> DataFrame:
+    """Reliability of each row's vector from the defaults that it really took, and the warnings of features without a source."""
+    out = model_vectors(spark, d).withColumn("warnings", features.unavailable_warnings(F.col("unavailable_features")))
+    return out.select("p_partkey", scoring.valuation_reliability(F.col("fallback_features"), F.col("warnings")).alias("reliability"),
+                      F.size("fallback_features").alias("fallbacks"), B.joined(F.col("warnings")).alias("warnings"))
+
+
+def model_vectors(spark, d) -> DataFrame:
     """Vectors as each model's contract lists them, with the defaults written to their file and read back."""
     contract = cut_lineage(feature_contract(spark, d))
     fixed = contract.select("model_key", F.explode(F.create_map(F.lit("age"), F.lit("-1.0"), F.lit("대지권면적(㎡)"), F.lit("-2.0"))).alias("feature", "value"))
     path = f"{work_folder(spark)}/defaults-{uuid.uuid4().hex}.json"
     features.write_defaults(defaults(spark, d).unionByName(fixed), path, "train-v1", "1", CATEGORICAL)
     policy = cut_lineage(features.feature_policy(contract, features.read_defaults(spark, path)))
-    out = features.contract_vectors(feature_rows(spark, d), policy, FEATURES)
-    rows = out.select("p_partkey", "model_key", "unavailable_features", F.inline("vector"))
-    return rows.select("p_partkey", "model_key", "ordinal", "feature", "number", "text", "fallback",
-                       F.array_contains("unavailable_features", F.col("feature")).alias("unavailable"))
+    return features.contract_vectors(feature_rows(spark, d), policy, FEATURES)
 
 
 # A feature contract made of the parts of each brand: names, flags and counts vary.

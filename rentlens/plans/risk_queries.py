@@ -282,13 +282,29 @@ def report_price_scenarios(spark, d) -> DataFrame:
     return report.price_scenarios(finals(spark, d), ["analysis_id"])
 
 
-def _dict_sql(name: str, rows) -> str:
-    return f"{name}(code, title, description, severity) AS (VALUES " + ", ".join(
-        "(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + ")"
-
-
-@query("report_notices", "R18", f"""WITH {B.REGISTER}, {FLOORED}, {_dict_sql('known', [(k, *v) for k, v in report.NOTICES.items()])},
-{_dict_sql('gaps', [(k, *v, 'INFO') for k, v in report.MISSING.items()])}, u AS (
+# Written out here and not taken from the operators, so that a changed text or severity is seen.
+NOTICE_TEXTS = """known(code, title, description, severity) AS (VALUES
+  ('SENIOR_LEASE_RIGHT', '선순위 전세권 확인', '보증금보다 먼저 변제받는 전세권이 살아 있습니다.', 'HIGH'),
+  ('OWNER_MISMATCH', '임대인과 소유자 불일치', '계약서의 임대인 이름이 등기 명의인과 다릅니다.', 'CRITICAL'),
+  ('BAD_LANDLORD_MATCH', '악성임대인 명단 일치', '등기 명의인이 공개된 상습 미반환 명단에 있습니다.', 'CRITICAL'),
+  ('AUCTION_COMMENCED', '경매개시 확인', '말소되지 않은 경매 절차가 진행 중입니다.', 'CRITICAL'),
+  ('SEIZURE', '압류 확인', '말소되지 않은 압류가 남아 있습니다.', 'HIGH'),
+  ('PROVISIONAL_SEIZURE', '가압류 확인', '말소되지 않은 가압류가 남아 있습니다.', 'HIGH'),
+  ('PROVISIONAL_DISPOSITION', '가처분 확인', '말소되지 않은 가처분이 남아 있습니다.', 'HIGH'),
+  ('TRUST_REGISTRATION', '신탁등기 확인', '신탁된 부동산이므로 누가 임대할 권한을 갖는지 신탁원부로 살펴야 합니다.', 'HIGH')),
+gaps(code, title, description, severity) AS (VALUES
+  ('OWNER_MATCH', '임대인·소유자 일치 미확인', '임대인이 등기 명의인인지 아직 대조하지 못했습니다.', 'INFO'),
+  ('BAD_LANDLORD_WATCHLIST', '악성임대인 명단 조회 미완료', '명단과의 대조가 끝나지 않았습니다.', 'INFO'),
+  ('ACTIVE_MAX_CLAIM_AMOUNT', '근저당 채권최고액 미확인', '남은 근저당의 한도 금액을 읽지 못했습니다.', 'INFO'),
+  ('SEIZURE', '압류 여부 미확인', '압류가 있는지 읽지 못했습니다.', 'INFO'),
+  ('PROVISIONAL_SEIZURE', '가압류 여부 미확인', '가압류가 있는지 읽지 못했습니다.', 'INFO'),
+  ('PROVISIONAL_DISPOSITION', '가처분 여부 미확인', '가처분이 있는지 읽지 못했습니다.', 'INFO'),
+  ('AUCTION_COMMENCED', '경매개시 여부 미확인', '경매 절차가 있는지 읽지 못했습니다.', 'INFO'),
+  ('TRUST_REGISTRATION', '신탁등기 여부 미확인', '신탁 여부를 읽지 못했습니다.', 'INFO'),
+  ('SENIOR_LEASE_RIGHT', '선순위 전세권 여부 미확인', '앞선 전세권이나 임차권이 있는지 읽지 못했습니다.', 'INFO'))"""
+
+
+@query("report_notices", "R18", f"""WITH {B.REGISTER}, {FLOORED}, {NOTICE_TEXTS}, u AS (
   SELECT analysis_id, generate_subscripts(warnings, 1) - 1 AS position, unnest(warnings) AS code, true AS warned FROM finals
   UNION ALL SELECT analysis_id, len(warnings) + generate_subscripts(missing_checks, 1) - 1, unnest(missing_checks), false FROM finals)
 SELECT analysis_id, CAST(position AS INTEGER) AS position, u.code, coalesce(k.title, m.title) AS title, coalesce(k.description, m.description) AS description,
@@ -316,9 +332,9 @@ def report_metrics(spark, d) -> DataFrame:
 
 
 @query("report_actions", "R20", f"""WITH {B.REGISTER}, {FLOORED}, u AS (
-  SELECT analysis_id, list_filter([CASE WHEN mode = 'QUICK' THEN '{report.ACTIONS[0][0]}' END, CASE WHEN mode = 'DETAILED' THEN '{report.ACTIONS[1][0]}' END,
-    CASE WHEN mode = 'DETAILED' AND len(warnings) > 0 THEN '{report.ACTIONS[2][0]}' END, CASE WHEN mode = 'DETAILED' AND len(missing_checks) > 0 THEN '{report.ACTIONS[3][0]}' END,
-    '{report.ACTIONS[4][0]}'], lambda x: x IS NOT NULL) AS a FROM finals)
+  SELECT analysis_id, list_filter([CASE WHEN mode = 'QUICK' THEN '정밀진단으로 추가 확인' END, CASE WHEN mode = 'DETAILED' THEN '등기부등본 재발급' END,
+    CASE WHEN mode = 'DETAILED' AND len(warnings) > 0 THEN '계약 진행 보류' END, CASE WHEN mode = 'DETAILED' AND len(missing_checks) > 0 THEN '미확인 항목 확인' END,
+    '보증보험 가입 확인'], lambda x: x IS NOT NULL) AS a FROM finals)
 SELECT analysis_id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS position, unnest(a) AS label FROM u""")
 def report_actions(spark, d) -> DataFrame:
     return report.actions(finals(spark, d), ["analysis_id"]).select("analysis_id", "position", "label")
