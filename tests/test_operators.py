@@ -141,6 +141,23 @@ def test_hot_district_reaches_a_cell_as_one_row_for_each_deposit(spark):
     assert {r.deposit: r.not_above for r in stats} == {k * 1_000_000: k * 400 for k in range(1, 51)}
 
 
+def test_only_asked_cells_get_copies(spark):
+    """Asked cells are those of all cells, row for row; others are not made."""
+    rng = random.Random(5)
+    t = spark.createDataFrame([(rng.randint(1, 6) * 10**6, rng.uniform(40, 70), dt.date(2026, rng.randint(1, 9), 3), rng.choice(["d", "e", None])) for _ in range(300)],
+                              "deposit long, area double, contract_date date, legal_dong string")
+    rule = comparables.ComparableRule(window_months=3)
+    asks = spark.createDataFrame([("d", 11, 2026 * 12 + m, 10**6 * m) for m in (2, 2, 5)] + [("e", 9, 2026 * 12 + 8, 7), ("x", 9, 2026 * 12, 1), (None, 11, 2026 * 12 + 2, 1)],
+                                 "legal_dong string, band long, month int, deposit long")
+    counts = comparables.counted(t, ["legal_dong"], rule)
+    cell = lambda r: (r.legal_dong, r.band, r.month)
+    wanted = {cell(r) for r in asks.collect()}
+    every = comparables.cell_rows(counts, ["legal_dong"], rule, asks).collect()
+    got = comparables.asked_rows(counts, ["legal_dong"], rule, asks).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in every if cell(r) in wanted and (r.legal_dong is not None or r.asked))
+    assert {cell(r) for r in got} == wanted
+
+
 def test_buckets_rise_with_the_value_at_every_magnitude(spark):
     values = [float("-inf"), -1e308, -2.0, -1e-3, -5e-324, 0.0, 5e-324, 1e-300, 1e-4, 4e-4, 9e-4, 0.5, 1.0, 1.01, 1e9, 1.01e9, 1.7976931348623157e308, float("inf"), float("nan")]
     df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
