@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,10 +23,11 @@ def escape(c: Column) -> Column:
     return c
 
 
-def unescape(c: Column) -> Column:
-    for plain, safe in reversed(ESCAPES):
-        c = F.replace(c, F.lit(safe), F.lit(plain))
-    return c
+def plain(text: str) -> str:
+    """The text that ``escape`` wrote."""
+    for plain_, safe in reversed(ESCAPES):
+        text = text.replace(safe, plain_)
+    return text
 
 
 def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -34,8 +36,8 @@ def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     ``block`` is the formatted turn. A conversation's transcript is its blocks in order, and every assistant turn
     is an example of its own: the transcript from 0 up to the end of its block, trainable only in
     ``[loss_start, loss_start + loss_chars)``, which is the reply without its marks. ``example`` numbers them from
-    0 and is null for other turns, as are the two loss columns. Kept this way the output grows with the turns, not
-    with their square; ``render`` writes the examples out.
+    0 and is null for other turns, as are the two loss columns. ``written`` and ``render`` write the examples out
+    from these spans.
 
     Null texts and roles count as empty. Turns with equal numbers are ordered by role and text, a null number
     comes first; rows without a conversation id form one conversation. Repeated rows are repeated turns. An empty
@@ -62,72 +64,118 @@ def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 def render(expanded: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """The examples written out: ``conv, example, text, loss_start, loss_chars``.
 
-    Every example repeats its whole context, so this grows with the square of a conversation's turns. It is for
-    conversations short enough to be read whole by a model.
+    Every example repeats its whole context, so this grows with the square of a conversation's turns.
     """
-    upto = Window.partitionBy(conv_col).orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return expanded.withColumn("text", F.concat_ws("", F.collect_list("block").over(upto))).where("example is not null").select(
-        conv_col, "example", "text", "loss_start", "loss_chars")
+    kind = expanded.schema[conv_col].dataType.simpleString()
+    return written(expanded, conv_col).where("example is not null").select(
+        F.col("key").cast(kind).alias(conv_col), "example", "text", "loss_start", "loss_chars")
+
 
+#: Characters of written examples that a task holds before it passes them on, if not one example alone is longer.
+HELD = 1 << 22
 
-def read_turns(expanded: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """The turns read back from the blocks: role and text unescaped, and the text under the loss mask."""
-    body = F.regexp_extract("block", r"(?s)^<\|[^|]*\|>\n(.*)</s>\n$", 1)
-    masked = F.substr(F.col("block"), (F.col("loss_start") - F.col("block_start") + 1).cast("int"), F.col("loss_chars").cast("int"))
-    return expanded.select(
-        conv_col, "position", "block_chars", unescape(F.regexp_extract("block", r"^<\|([^|]*)\|>\n", 1)).alias("role"), unescape(body).alias("text"),
-        unescape(masked).alias("loss_text"), F.when(F.col("example").isNotNull(), F.col("block_start") + F.col("block_chars")).alias("example_chars"))
+
+def written(expanded: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """The examples of ``render`` under the id as text (``key``), those of a conversation in order and side by side; turns
+    after its last reply follow as its whole transcript with neither ``example`` nor mask.
+
+    Blocks come sorted and the transcript grows as they pass; a task holds one transcript and ``HELD`` characters.
+    """
+    names = ["key", "example", "text", "loss_start", "loss_chars"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, rest, out, held = None, [], False, [], 0
+        for b in batches:
+            for key, block, *mask in zip(*(b.column(c).to_pylist() for c in ("key", "block", "example", "loss_start", "loss_chars"))):
+                if parts and key != at:
+                    if rest:
+                        out.append((at, None, "".join(parts), None, None))
+                    parts = []
+                at, rest = key, mask[0] is None
+                parts.append(block)
+                if not rest:
+                    parts = ["".join(parts)]
+                    out.append((key, mask[0], parts[0], *mask[1:]))
+                    held += len(parts[0])
+                    if held > HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                        out, held = [], 0
+        if parts and rest:
+            out.append((at, None, "".join(parts), None, None))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    # the id travels as text, so that a null among numbers changes none of them
+    blocks = expanded.select(F.col(conv_col).cast("string").alias("key"), "position", "block", "example", "loss_start", "loss_chars")
+    return blocks.repartition("key").sortWithinPartitions("key", "position").mapInArrow(run, "key string, example long, text string, loss_start long, loss_chars long")
+
+
+#: A turn of a transcript. Escaped roles and texts hold none of the marks' first characters.
+TURN = re.compile(r"<\|([^|<\[]*)\|>\n([^|<\[]*)</s>\n")
+
+
+def read_turns(transcript: str) -> Iterator[tuple[str, str]]:
+    """Role and text of each turn, unescaped."""
+    end = 0
+    while end < len(transcript):
+        turn = TURN.match(transcript, end)
+        if turn is None:
+            raise ValueError(f"no turn at character {end}")
+        end = turn.end()
+        yield plain(turn[1]), plain(turn[2])
 
 
 def digest(expanded: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Per conversation, read back from the blocks: its turns, digests of all turns and of the text under the mask.
+    """Per conversation, read back from its written examples: its turns, digests of all turns and of the text under the mask.
 
-    ``formatted_chars`` is the length of the transcript, ``examples_chars`` that of all its examples written out. A
-    digest has to read its turns in order; rows come sorted and are hashed as they pass, so a conversation of any
-    length needs no more memory than one batch.
+    The mask of every example is cut out of its own text; the turns are those of the last, which holds all of them.
+    ``formatted_chars`` is the length of the transcript, ``examples_chars`` that of all examples. Examples come in order
+    and are hashed as they pass.
     """
     kind = expanded.schema[conv_col].dataType.simpleString()
     names = ["key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "examples_chars"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     class Sums:
         def __init__(self, key):
-            self.key, self.turns, self.loss = key, hashlib.sha256(), hashlib.sha256()
-            self.n = self.loss_chars = self.chars = self.examples = self.examples_chars = 0
-
-        def add(self, role, text, target, chars, upto):
-            self.n += 1
-            self.chars += chars
-            self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            if target is not None:
+            self.key, self.loss, self.last = key, hashlib.sha256(), ""
+            self.loss_chars = self.examples = self.examples_chars = 0
+
+        def add(self, example, text, start, chars):
+            self.last = text
+            if example is not None:
+                target = plain(text[start:start + chars])
                 self.loss.update(target.encode("utf-8", "surrogatepass"))
                 self.loss_chars += len(target)
                 self.examples += 1
-                self.examples_chars += upto
+                self.examples_chars += len(text)
 
         def row(self):
-            return (self.key, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.examples, self.examples_chars)
+            n, turns = 0, hashlib.sha256()
+            for role, text in read_turns(self.last):
+                n += 1
+                turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            return (self.key, n, turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), len(self.last), self.examples, self.examples_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for b in batches:
             done = []
-            for key, *turn in zip(*(b.column(c).to_pylist() for c in ("key", "role", "text", "loss_text", "block_chars", "example_chars"))):
+            for key, *example in zip(*(b.column(c).to_pylist() for c in ("key", "example", "text", "loss_start", "loss_chars"))):
                 if sums is None or key != sums.key:
                     if sums is not None:
                         done.append(sums.row())
                     sums = Sums(key)
-                sums.add(*turn)
+                sums.add(*example)
             yield from _batch(done)
         if sums is not None:
             yield from _batch([sums.row()])
 
     def _batch(done: list[tuple]) -> Iterator[pa.RecordBatch]:
         if done:
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), types)], names=names)
 
-    # the id travels as text, so that a null among numbers changes none of them
-    read = read_turns(expanded, conv_col).withColumn("key", F.col(conv_col).cast("string")).drop(conv_col)
-    out = read.repartition("key").sortWithinPartitions("key", "position").mapInArrow(
+    out = written(expanded, conv_col).mapInArrow(
         run, "key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, examples_chars long")
     return out.select(F.col("key").cast(kind).alias(conv_col), *names[1:])

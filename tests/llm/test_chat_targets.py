@@ -57,3 +57,17 @@ def test_edges(spark):
     out = {r.conv_id: r for r in C.digest(C.expand(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert out[None].turns_sha256 == sha("assistant\nb\nuser\na\n") and out[None].loss_sha256 == sha("b")
     assert out[2**60 + 1].n_turns == 2 and out[2**60 + 1].loss_sha256 == sha("cc")
+
+
+def test_digest_reads_written_examples(spark, monkeypatch):
+    """What the digests tell comes from the written examples: one that is written wrong shows."""
+    rows = C.expand(frame(spark))
+    out = {r.conv_id: r for r in C.digest(rows).collect()}
+    examples = C.render(rows).collect()
+    assert {c: (r.n_examples, r.examples_chars) for c, r in out.items()} == {
+        c: (sum(e.conv_id == c for e in examples), sum(len(e.text) for e in examples if e.conv_id == c)) for c in CONVS}
+    rest = {r.key: r.text for r in C.written(rows).where("example is null").collect()}
+    assert set(rest) == {"1", "2", "3"} and [a for a, _ in C.read_turns(rest["3"])] == ["assistant", "assistant", "", "a|>\nb"]
+    real = C.written
+    monkeypatch.setattr(C, "written", lambda *a: real(*a).selectExpr("key", "example", "replace(text, 'first', 'FIRST') AS text", "loss_start", "loss_chars"))
+    assert {r.conv_id: r for r in C.digest(rows).collect()}[3].loss_sha256 == sha("FIRSTsecond")
