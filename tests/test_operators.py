@@ -158,6 +158,49 @@ def test_only_asked_cells_get_copies(spark):
     assert {cell(r) for r in got} == wanted
 
 
+def test_window_statistics_make_no_row_for_each_month(spark, monkeypatch):
+    """The same statistics as those of all copied rows, from few rows; windows reach over the ends of runs and batches."""
+    rng = random.Random(6)
+    t = spark.createDataFrame([(rng.randint(1, 40) * 10**6, rng.uniform(40, 70), dt.date(2025 + i % 2, rng.randint(1, 12), 3), rng.choice(["d", "e", None]), rng.choice("xyz")) for i in range(900)],
+                              "deposit long, area double, contract_date date, legal_dong string, building string")
+    rule = comparables.ComparableRule(window_months=4)
+    counts = comparables.counted(t, ["legal_dong", "building"], rule)
+    asks = spark.createDataFrame([(rng.choice(["d", "e", "x", None]), rng.choice("xyz"), rng.randint(6, 15), 2025 * 12 + rng.randint(0, 30), rng.randint(0, 45) * 10**6) for _ in range(400)],
+                                 "legal_dong string, building string, band long, month int, deposit long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for place in (["legal_dong"], ["legal_dong", "building"]):
+            plain = comparables.asked_statistics(comparables.asked_rows(counts, place, rule, asks), place).where("sample_count > 0").dropna(subset=place)
+            got = comparables.window_statistics(counts, place, rule, asks)
+            assert got.columns == plain.columns and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_histogram_of_all_cells_equals_that_of_their_rows(spark):
+    rng = random.Random(7)
+    t = spark.createDataFrame([(rng.randint(1, 40) * 10**6, rng.uniform(40, 70), rng.choice([None, dt.date(2026, rng.randint(1, 9), 3)]), rng.choice(["d", "e", None])) for _ in range(500)],
+                              "deposit long, area double, contract_date date, legal_dong string")
+    rule = comparables.ComparableRule(window_months=3)
+    counts = comparables.counted(t, ["legal_dong"], rule)
+    plain = comparables.histogram(comparables.cell_rows(counts, ["legal_dong"], rule), ["legal_dong"], rule.bins)
+    got = comparables.all_cells_histogram(counts, ["legal_dong"], rule)
+    assert got.columns == plain.columns and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    # no window or sort over the deposits of a cell
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trees_hold_no_slots_that_never_change(spark):
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(float(i % 50), rng.choice("abc"), "same", rng.random() + i % 50) for i in range(400)], "x double, g string, h string, label double")
+    model = valuation.fit_price_model(rows, ["x"], ["g", "h"], trees=3)
+    assert 1 <= model.stages[-1].numFeatures <= 4
+    got = valuation.estimate(model, rows)
+    assert got.columns[:4] == rows.columns and "_slots" not in got.columns and got.where("price_reject is null").count() == 400
+    plain = valuation.fit_price_model(rows, ["x"], ["h"], trees=3)
+    assert valuation.estimate(plain, rows).count() == 400
+
+
 def test_buckets_rise_with_the_value_at_every_magnitude(spark):
     values = [float("-inf"), -1e308, -2.0, -1e-3, -5e-324, 0.0, 5e-324, 1e-300, 1e-4, 4e-4, 9e-4, 0.5, 1.0, 1.01, 1e9, 1.01e9, 1.7976931348623157e308, float("inf"), float("nan")]
     df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
