@@ -58,7 +58,7 @@ def market_comparables(spark, d) -> DataFrame:
 SELECT district, band, month, bin, min(CAST(floor(lo + width * bin) AS BIGINT)) AS lower_bound, max(CASE WHEN bin = 3 THEN hi ELSE CAST(floor(lo + width * (bin + 1)) AS BIGINT) END) AS upper_bound, count(*) AS count FROM w GROUP BY 1, 2, 3, 4""")
 def comparable_bins(spark, d) -> DataFrame:
     counts = comparables.counted(deals(spark, d), ["district"], RULE)
-    return comparables.histogram(comparables.cell_rows(counts, ["district"], RULE), ["district"], RULE.bins)
+    return comparables.all_cells_histogram(counts, ["district"], RULE)
 
 
 @query("price_percentiles", "A4 A12", """SELECT p_brand, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
