@@ -261,14 +261,17 @@ def stream_assessments(spark, d) -> DataFrame:
     rates = cut_lineage(orders.groupBy(B.month_of(F.col("o_orderdate")).alias("month")).agg(
         F.call_function("div", F.sum(B.won(F.col("o_totalprice"))), F.count("*")).alias("rate")))
 
+    # an arrival is written by as many tasks as read the requests, and its files are one micro-batch
+    parts = max(1, requests.rdd.getNumPartitions())
+
     def run() -> None:
-        stream_in = stream.unique_requests(stream.read_contracts(spark, source, requests.schema, files_per_batch=1), "o_orderkey", "requested_at", "30 days")
+        stream_in = stream.unique_requests(stream.read_contracts(spark, source, requests.schema, files_per_batch=parts), "o_orderkey", "requested_at", "30 days")
         contracts = B.enrich_orders(stream_in, spark, d, (sums, leases))
         done = assessed(B.with_register(stream.with_series(contracts, store, "rates", "contract_month", ["rate"])))
         stream.write_scores(done.select(*kept, B.joined(F.col("warnings")).alias("warnings")), out, state).awaitTermination()
 
     def arrives(df: DataFrame) -> None:
-        df.coalesce(1).write.mode("append").parquet(source)
+        stream.write_arrival(df, source, parts)
 
     kept = ["analysis_id", "total", "final_score", "register_floor", "rate", "rates_month", "rates_version"]
     sinks.refresh_table(rates.where(~F.substring("month", 6, 2).isin("03", "04", "12")), store, "rates", "v1")

@@ -17,6 +17,11 @@ def read_contracts(spark: SparkSession, folder: str, schema: TY.StructType, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def write_arrival(requests: DataFrame, folder: str, files: int) -> None:
+    """Adds requests to the folder that ``read_contracts`` reads, as at most so many files, each written by a task of its own."""
+    requests.coalesce(files).write.mode("append").parquet(folder)
+
+
 def score_stream(contracts: DataFrame, enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Stateless: static lookups (``enrich``), indicators and score per request."""
     df = enrich(contracts) if enrich else contracts

@@ -127,3 +127,16 @@ def test_reload_of_the_current_version(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.refresh_table(spark.range(0).toDF("x"), str(tmp_path), "t", "v1")
     assert spark.read.parquet(again.path).count() == 5
+
+
+def test_arrivals_are_written_and_read_by_several_tasks(spark, tmp_path):
+    from rentlens.streaming import contracts
+    folder = tmp_path / "requests"
+    requests = spark.range(0, 1000, 1, 4).selectExpr("id", "timestamp_seconds(id) AS at")
+    contracts.write_arrival(requests, str(folder), 4)
+    contracts.write_arrival(requests.where("id < 100").union(requests.where("id < 50")), str(folder), 4)
+    files = list(folder.glob("*.parquet"))
+    assert len(files) > 4
+    unique = contracts.unique_requests(contracts.read_contracts(spark, str(folder), requests.schema, files_per_batch=4), "id", "at", "30 days")
+    contracts.write_scores(unique, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(1000))
