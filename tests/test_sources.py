@@ -132,7 +132,7 @@ def test_reload_of_the_current_version(spark, tmp_path):
 def test_arrivals_are_written_and_read_by_several_tasks(spark, tmp_path):
     from rentlens.streaming import contracts
     folder = tmp_path / "requests"
-    requests = spark.range(0, 1000, 1, 4).selectExpr("id", "timestamp_seconds(id) AS at")
+    requests = spark.range(0, 1000, 1, 4).selectExpr("id", "timestamp_seconds(1700000000 + id) AS at")
     contracts.write_arrival(requests, str(folder), 4)
     contracts.write_arrival(requests.where("id < 100").union(requests.where("id < 50")), str(folder), 4)
     files = list(folder.glob("*.parquet"))
