@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentlens.functions import text as T
-from rentlens.operators.evidence_index import postings
+from rentlens.operators.evidence_index import find_terms
 from rentlens.session import cut_lineage
 
 OWNER_WINDOW = 700       # fixed value: characters around a name searched for the id
@@ -72,8 +72,8 @@ def with_targets(rights: DataFrame) -> DataFrame:
 SECTION_PAGES = (-1, -3)
 
 
-def right_terms(rights: DataFrame, markers=T.PURPOSE_MARKERS) -> DataFrame:
-    """What is looked for on behalf of each right: ``doc_id, seq, role, idx, form, needle``.
+def right_terms(markers=T.PURPOSE_MARKERS) -> Column:
+    """What is looked for on behalf of a right: an array of ``role, idx, form, needle``.
 
     Roles: P the purpose, M a marker word or leading rank that the purpose names, A a target rank before the purpose,
     Q the receipt, V a value (idx 0 to 4, the amount last), T a target rank, R the rank.
@@ -92,8 +92,7 @@ def right_terms(rights: DataFrame, markers=T.PURPOSE_MARKERS) -> DataFrame:
         F.filter("target_candidates", lambda t: ~F.startswith(canon, F.concat(T.canonical(t), F.lit("번")))),
         lambda t: term("A", 0, "C", F.concat(T.canonical(t), F.lit("번"), canon)))
     targets = F.transform("target_candidates", lambda t, i: term("T", i, "T", t))
-    terms = F.filter(F.concat(F.array(*fixed), anchors, targets), lambda t: t["needle"].isNotNull() & (t["needle"] != ""))
-    return rights.select("doc_id", "seq", F.inline(terms))
+    return F.filter(F.concat(F.array(*fixed), anchors, targets), lambda t: t["needle"].isNotNull() & (t["needle"] != ""))
 
 
 def _spot(first: Column, n: int) -> Column:
@@ -181,8 +180,8 @@ def locate_rights(rights: DataFrame, pages: DataFrame, sections: DataFrame, sect
     ``sections``: doc_id, gap_text, eul_text. Adds first_page, n_pages, score,
     raw_text, rank_found and target_found (the supported target ranks).
 
-    All that a right asks for goes through the index of its document; page numbers come back, a few lists a right, and
-    the choice is made in one row. Texts are joined to the chosen pages only.
+    All that a right asks for is looked for in one walk over its document; page numbers come back, a few lists a right,
+    and the choice is made in one row. Texts are joined to the chosen pages only.
     """
     leading = F.regexp_extract(F.col("_canon"), "^([0-9]+)번", 1)
     r = with_targets(rights).where(F.col("purpose") != "").withColumn("_canon", T.canonical(F.col("purpose"))).withColumns({
@@ -191,12 +190,10 @@ def locate_rights(rights: DataFrame, pages: DataFrame, sections: DataFrame, sect
     required = reduce(lambda a, b: a + b, [F.col("_canon").contains(m).cast("int") for m in markers]) + F.col("_leading").isNotNull().cast("int")
     r = r.withColumns({"_required": required, "_section": F.element_at(F.create_map(*[
         F.lit(x) for pair in zip(section_names, SECTION_PAGES) for x in pair]), F.col("section"))}).where(F.col("_section").isNotNull())
-    terms = cut_lineage(right_terms(r, markers))
     asked = pages.select("doc_id", F.col("page_no").cast("int").alias("page_no"), "text").unionByName(sections.select("doc_id", F.inline(F.array(*[
         F.struct(F.lit(n).alias("page_no"), F.col(c).alias("text")) for n, c in zip(SECTION_PAGES, ("gap_text", "eul_text"))]))))
-    found = terms.join(postings(terms, asked), ["doc_id", "form", "needle"]).groupBy("doc_id", "seq").agg(
-        F.collect_list(F.struct("role", "idx", "ones", "twos")).alias("_found"))
-    best = r.join(found, ["doc_id", "seq"]).withColumn("_best", _best_spot()).where(F.col("_best").isNotNull()).withColumns({
+    found = find_terms(r, asked, right_terms(markers)).where(F.size("_found") > 0)
+    best = found.withColumn("_best", _best_spot()).where(F.col("_best").isNotNull()).withColumns({
         "first_page": F.col("_best.first_page"), "n_pages": F.col("_best.n_pages"), "score": F.col("_best.score"),
         "rank_found": F.col("_best.rank"), "target_found": F.col("_best.targets")})
     kept = [c for c in rights.columns if c != "target_rank_nos"]

@@ -1,4 +1,4 @@
-"""On which pages of its document a needle stands: an index of two-character grams, probed by the needles' grams.
+"""On which pages of its document each asked needle stands.
 
 Needles are short strings asked of one document, each in a form:
 
@@ -7,101 +7,183 @@ Needles are short strings asked of one document, each in a form:
 * ``T`` a rank followed by its number word, not after a digit,
 * ``R`` the head of a line (``7`` or, over two lines, ``7(1)``).
 
-A page's canonical text is cut once into its distinct grams. Those that the document's needles ask for are kept. A
-needle is probed by a few grams spread over it, so that the rarest of them decides, and only needles whose probes are
-all there are looked for in the text. What crosses from a page to the next is found
-in the seam between the two, which is as long as the document's longest needle. Texts are read once and stay behind;
-what leaves is a list of page numbers for each needle.
+Asks and pages are shuffled once, on the document, and sorted: a document's asks, then its pages. They are walked in
+order, with one document's needles and the page before as state. What crosses from a page to the next is found in the
+seam between the two, which is as long as the document's longest needle. An ask leaves with the page numbers of its
+needles; texts stay behind.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from rentlens.functions import text as T
-from rentlens.session import cut_lineage
 
-#: Needles looked for together; a document with more of them is read once for each block.
-BLOCK = 2048
-#: Grams that a needle is probed by. They decide only which needles are looked for, never what is found.
-PROBES = 4
+#: Needles of a page with more needles than characters are looked up by their first characters, so many of them.
+LEAD = 4
+#: Only these roles are asked of pages numbered below zero (sections).
+SECTION_ROLES = "PMQ"
 _WHITE = " \t\n\x0b\x0c\r"
-_COMPOSITE = r"^[0-9]+\([0-9]+\)\z"
-
-
-def grams(canon: Column) -> Column:
-    """Distinct overlapping pairs of characters."""
-    return F.array_distinct(F.regexp_extract_all(canon, F.lit("(?s)(?=(..))"), 1))
-
-
-def probes(needle: Column) -> Column:
-    """Up to ``PROBES`` grams of a needle, from its first to its last."""
-    last = F.length(needle) - 1
-    at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda k: 1 + F.floor((last - 1) * k / (PROBES - 1)).cast("int")))
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.substring(needle, i, F.lit(2)))))
-
-
-def needle_blocks(needles: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``doc_id, block, asked`` with the grams asked for and the longest needle of each form."""
-    distinct = needles.where((F.col("needle") != "") & F.col("doc_id").isNotNull()).select("doc_id", "form", "needle").distinct()
-    sizes = distinct.groupBy("doc_id").agg(F.ceil(F.count("*") / block).alias("_blocks"))
-    dealt = distinct.join(sizes, "doc_id").withColumn("block", F.pmod(F.xxhash64("form", "needle"), F.col("_blocks")))
-    longest = lambda form: F.coalesce(F.max(F.when(F.col("form") == form, F.length("needle"))), F.lit(1))
-    asked = F.struct("form", "needle", F.when(F.col("form") == "C", probes(F.col("needle"))).otherwise(F.array().cast("array<string>")).alias("grams"))
-    out = dealt.groupBy("doc_id", "block").agg(F.collect_list(asked).alias("asked"), *[longest(f).alias(f"longest_{f.lower()}") for f in "CNT"])
-    return out.withColumn("asked_grams", F.array_distinct(F.flatten(F.transform("asked", lambda n: n["grams"]))))
-
-
-def _hits(view: Column, asked: Column) -> Column:
-    """The asked needles that a view (canon, grams, nosep, text, heads, split) holds."""
-    def body(v: Column) -> Column:
-        def holds(n: Column) -> Column:
-            composite = n["needle"].rlike(_COMPOSITE)
-            return (
-                F.when(n["form"] == "C", F.forall(n["grams"], lambda g: F.array_contains(v["view"]["grams"], g)) & F.contains(v["view"]["canon"], n["needle"]))
-                .when(n["form"] == "N", F.contains(v["view"]["nosep"], n["needle"]))
-                .when(n["form"] == "T", F.rlike(v["view"]["text"], F.concat(F.lit(r"(?<![0-9])\Q"), n["needle"], F.lit(r"\E\s*번"))))
-                .otherwise(F.array_contains(F.when(composite, v["view"]["split"]).otherwise(v["view"]["heads"]), n["needle"])))
-        return F.transform(F.filter(v["asked"], holds), lambda n: F.struct(n["form"].alias("form"), n["needle"].alias("needle")))
-    return T.let(F.struct(view.alias("view"), asked.alias("asked")), body)
-
-
-def postings(needles: DataFrame, pages: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``doc_id, form, needle, ones, twos``: the pages that hold a needle, and the first pages of the pairs of
-    neighbouring pages that hold it together.
-
-    ``needles``: doc_id, form, needle. ``pages``: doc_id, page_no, text; page n and n + 1 are neighbours, any other
-    numbering (sections as pages of their own) only needs gaps. Needles found nowhere have no row. Empty and null
-    needles, null texts and null documents find nothing.
+_CANON = re.compile("[0-9A-Za-z가-힣]+")
+_COMPOSITE = re.compile(r"[0-9]+\([0-9]+\)")
+_SPLIT = re.compile(r"^[ \t]*[0-9]+[ \t]*$\n[ \t]*\([0-9]+\)", re.M)
+_DROPPED = dict.fromkeys(map(ord, T.DIGIT_SEPARATORS))
+FOUND = ST.ArrayType(ST.StructType([ST.StructField("role", ST.StringType()), ST.StructField("idx", ST.IntegerType()),
+                                    ST.StructField("ones", ST.ArrayType(ST.IntegerType())), ST.StructField("twos", ST.ArrayType(ST.IntegerType()))]))
+
+
+def _split_heads(text: str) -> set[str]:
+    return {re.sub(r"\s+", "", m) for m in _SPLIT.findall(text)}
+
+
+def _numbered(text: str, rank: str) -> bool:
+    """Is a rank, not after a digit, followed by its number word?"""
+    at = text.find(rank)
+    while at >= 0:
+        if (not at or text[at - 1] not in "0123456789") and text[at + len(rank):].lstrip(_WHITE).startswith("번"):
+            return True
+        at = text.find(rank, at + 1)
+    return False
+
+
+class _Needles:
+    """Distinct needles by form, and those that a page holds."""
+
+    def __init__(self, needles: set[tuple[str, str]]):
+        of = lambda form: [n for f, n in needles if f == form]
+        self.canon, self.digits, self.ranks = of("C"), of("N"), of("T")
+        self.split = [n for n in of("R") if _COMPOSITE.fullmatch(n)]
+        self.heads = [n for n in of("R") if not _COMPOSITE.fullmatch(n)]
+        self.longest = [max(map(len, of(f)), default=1) for f in "CNT"]
+        self.short = [n for n in self.canon if len(n) < LEAD]
+        self.by_lead = defaultdict(list)
+        for n in self.canon:
+            if len(n) >= LEAD:
+                self.by_lead[n[:LEAD]].append(n)
+
+    def _near(self, canon: str) -> Iterator[str]:
+        if len(self.canon) <= len(canon):
+            return iter(self.canon)
+        leads = {canon[i:i + LEAD] for i in range(len(canon) - LEAD + 1)}
+        return (n for some in (self.short, *(self.by_lead.get(x, ()) for x in leads)) for n in some)
+
+    def held(self, canon: str, nosep: str, text: str, heads: list[str], lines: str) -> set[tuple[str, str]]:
+        out = {("C", n) for n in self._near(canon) if n in canon}
+        if self.digits:
+            out.update([("N", n) for n in self.digits if n in nosep])
+        if self.ranks:
+            out.update([("T", n) for n in self.ranks if _numbered(text, n)])
+        if self.heads and heads:
+            out.update([("R", n) for n in set(heads).intersection(self.heads)])
+        if self.split:
+            out.update([("R", n) for n in _split_heads(lines).intersection(self.split)])
+        return out
+
+
+class _Document:
+    """The asks of one document and where its pages hold their needles."""
+
+    def __init__(self):
+        self.asks, self.ones, self.twos = [], defaultdict(set), defaultdict(set)
+        self.number, self.here, self.before, self.needles = None, [], [], None
+
+    def read(self, number: int, text: str, heads: list[str] | None) -> None:
+        if self.needles is None:
+            terms = [t for _, _, terms in self.asks for t in terms]
+            self.needles = _Needles({t[2:] for t in terms}), _Needles({t[2:] for t in terms if t[0] in SECTION_ROLES})
+        needles = self.needles[number < 0]
+        canon, nosep = "".join(_CANON.findall(text)).lower(), text.translate(_DROPPED) if needles.digits else ""
+        found = needles.held(canon, nosep, text, heads or [], text)
+        for x in found:
+            self.ones[x].add(number)
+        if number != self.number:
+            self.before, self.here = self.here if self.number is not None and number == self.number + 1 else [], []
+            self.number = number
+        c, n, t = needles.longest
+        for tails, earlier in self.before:
+            seam = tails[0] + canon[:c - 1], tails[1] + nosep[:n - 1], f"{tails[2]}\n{text.lstrip(_WHITE)[:1]}"
+            lines = f"{tails[3]}\n{text.split(chr(10), 1)[0]}" if needles.split else ""
+            for x in found | earlier | needles.held(*seam, [], lines):
+                self.twos[x].add(number - 1)
+        tail = lambda s, k: s[-k:] if k > 0 else ""
+        self.here.append(((tail(canon, c - 1), tail(nosep, n - 1), tail(text.rstrip(_WHITE), t + 1), text.rsplit("\n", 1)[-1]), found))
+
+    def answers(self) -> Iterator[tuple[tuple[int, int], list[tuple]]]:
+        """Each ask's place and what was found for it; asks of one number share what is found."""
+        for _, asks in groupby(sorted(self.asks, key=lambda a: a[1]), key=lambda a: a[1]):
+            asks = list(asks)
+            found = [(role, idx, sorted(self.ones.get(x, ())), sorted(self.twos.get(x, ())))
+                     for _, _, terms in asks for role, idx, *needle in terms for x in [tuple(needle)] if x in self.ones or x in self.twos]
+            for place, _, _ in asks:
+                yield place, found
+
+
+def _found_array(found: list[list[tuple]]) -> pa.Array:
+    flat = [x for f in found for x in f]
+    ends = [0]
+    for f in found:
+        ends.append(ends[-1] + len(f))
+    columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["role", "idx", "ones", "twos"]))
+
+
+def _walker(columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, doc, done = {}, None, _Document(), []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for n, some in groupby(sorted(done, key=lambda x: x[0]), key=lambda x: x[0][0]):
+                some = list(some)
+                rows = held[n].take(pa.array([row for (_, row), _ in some], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, _found_array([f for _, f in some])], names=[*columns, "_found"])
+            done.clear()
+
+        for n, b in enumerate(batches):
+            held[n] = b.select(columns)
+            terms = b.column("_terms")
+            flat, ends = terms.flatten(), [0]
+            parts = list(zip(*[flat.field(i).to_pylist() for i in range(4)]))
+            for k in terms.value_lengths().to_pylist():
+                ends.append(ends[-1] + (k or 0))
+            for row, (d, seq, page, text, heads) in enumerate(zip(*[b.column(c).to_pylist() for c in ("doc_id", "seq", "_page", "_text", "_heads")])):
+                if d != key:
+                    done.extend(doc.answers())
+                    key, doc = d, _Document()
+                if page is None:
+                    doc.asks.append(((n, row), seq, parts[ends[row]:ends[row + 1]]))
+                elif doc.asks:
+                    doc.read(page, text, heads)
+            yield from emit()
+            live = {place[0] for place, _, _ in doc.asks}
+            held = {k: v for k, v in held.items() if k in live}
+        done.extend(doc.answers())
+        yield from emit()
+    return run
+
+
+def find_terms(asks: DataFrame, pages: DataFrame, terms: Column) -> DataFrame:
+    """The asks with ``_found``: role, idx, ones and twos of each of their terms that its document holds. ``ones`` are
+    the pages with the needle, ``twos`` the first pages of pairs of neighbouring pages that hold it together.
+
+    ``asks``: doc_id, seq and what ``terms`` reads, an array of (role, idx, form, needle). ``pages``: doc_id, page_no,
+    text; page n and n + 1 are neighbours, any other numbering only needs gaps; below zero only ``SECTION_ROLES`` are
+    looked for. Asks of which nothing is found have an empty list. Null texts and null documents find nothing.
     """
-    blocks = cut_lineage(needle_blocks(needles, block))
-    forms = pages.where(F.col("text").isNotNull()).select("doc_id", "page_no", "text").join(blocks, "doc_id").withColumns(
-        {"canon": T.canonical(F.col("text")), "nosep": T.without_separators(F.col("text"))})
-    wanted = lambda form: F.exists("asked", lambda n: n["form"] == form)
-    nothing = F.array().cast("array<string>")
-    view = F.struct(
-        "canon", F.array_intersect("asked_grams", grams(F.col("canon"))).alias("grams"), "nosep", "text",
-        F.when(wanted("R"), T.line_heads(F.col("text"))).otherwise(nothing).alias("heads"),
-        F.when(wanted("R"), T.split_heads(F.col("text"))).otherwise(nothing).alias("split"))
-    trimmed, ahead = F.rtrim(F.col("text"), F.lit(_WHITE)), F.ltrim(F.col("text"), F.lit(_WHITE))
-    end = lambda c, n: F.when(n > 0, F.right(c, n)).otherwise("")
-    edges = F.struct(
-        end(F.col("canon"), F.col("longest_c") - 1).alias("canon_tail"), F.left(F.col("canon"), F.col("longest_c") - 1).alias("canon_head"),
-        end(F.col("nosep"), F.col("longest_n") - 1).alias("nosep_tail"), F.left(F.col("nosep"), F.col("longest_n") - 1).alias("nosep_head"),
-        end(trimmed, F.col("longest_t") + 1).alias("text_tail"), F.left(ahead, F.lit(1)).alias("text_head"),
-        F.substring_index("text", "\n", -1).alias("last_line"), F.substring_index("text", "\n", 1).alias("first_line"))
-    read = cut_lineage(forms.select("doc_id", "block", "page_no", _hits(view, F.col("asked")).alias("hits"), edges.alias("edges")))
-
-    after = read.select("doc_id", "block", (F.col("page_no") - 1).alias("page_no"), F.col("hits").alias("next_hits"), F.col("edges").alias("ahead"))
-    canon = F.concat("edges.canon_tail", "ahead.canon_head")
-    seam = F.struct(
-        canon.alias("canon"), F.array_intersect("asked_grams", grams(canon)).alias("grams"), F.concat("edges.nosep_tail", "ahead.nosep_head").alias("nosep"),
-        F.concat(F.col("edges.text_tail"), F.lit("\n"), F.col("ahead.text_head")).alias("text"), nothing.alias("heads"),
-        T.split_heads(F.concat(F.col("edges.last_line"), F.lit("\n"), F.col("ahead.first_line"))).alias("split"))
-    pairs = read.join(after, ["doc_id", "block", "page_no"]).join(blocks.select("doc_id", "block", "asked", "asked_grams"), ["doc_id", "block"])
-    pairs = pairs.select("doc_id", "page_no", F.array_union(F.array_union("hits", "next_hits"), _hits(seam, F.col("asked"))).alias("hits"))
-    found = read.select("doc_id", "page_no", F.lit(1).alias("n"), F.explode("hits").alias("h")).unionAll(
-        pairs.select("doc_id", "page_no", F.lit(2).alias("n"), F.explode("hits").alias("h")))
-    numbers = lambda n: F.sort_array(F.collect_list(F.when(F.col("n") == n, F.col("page_no"))))
-    return found.groupBy("doc_id", F.col("h.form").alias("form"), F.col("h.needle").alias("needle")).agg(numbers(1).alias("ones"), numbers(2).alias("twos"))
+    a = asks.where(F.col("doc_id").isNotNull() & F.col("seq").isNotNull())
+    kind = asks.schema["doc_id"].dataType
+    p = pages.where(F.col("doc_id").isNotNull() & F.col("page_no").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").cast(kind).alias("doc_id"), F.col("page_no").cast("int").alias("_page"), F.col("text").alias("_text"))
+    none = lambda t: F.lit(None).cast(t)
+    rows = a.withColumns({"_page": none("int"), "_text": none("string")}).unionByName(p, allowMissingColumns=True)
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", F.col("_page").asc_nulls_first())
+    rows = rows.withColumns({"_terms": F.when(F.col("_page").isNull(), terms), "_heads": F.when(F.col("_page") > 0, T.line_heads(F.col("_text")))})
+    schema = ST.StructType([*[ST.StructField(f.name, f.dataType) for f in a.schema], ST.StructField("_found", FOUND)])
+    return rows.mapInArrow(_walker(a.columns), schema)
