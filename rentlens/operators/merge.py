@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.functions import text as T
-from rentlens.session import cut_lineage
+from rentlens.session import cut_lineage, spread
 
 # Order of documents, statuses and confidences.
 DOCUMENT_PRIORITY = {"CONDOMINIUM": 3, "BUILDING": 2, "LAND": 1}
@@ -60,7 +60,7 @@ CLAIM_KEYS = ("claim_id", "merge_id", "document_index", "seq")
 
 
 def claim_signatures(claims: DataFrame, links: DataFrame) -> DataFrame:
-    """(claim_id, merge_id, document_index, seq, signature) rows of mortgage claims.
+    """(claim_id, merge_id, document_index, seq, signature) rows of mortgage claims; a row may come twice.
 
     ``claims``: claim_id, merge_id, document_index, seq, doc_id, rank_no, receipt_no, registered_at,
     creditor, debtor, amount, status, joint (both documents mention joint
@@ -81,7 +81,7 @@ def claim_signatures(claims: DataFrame, links: DataFrame) -> DataFrame:
         *CLAIM_KEYS,
         _signature("AMENDMENT", [c("_at") != "", c("_no") != "", linked_amount.isNotNull()],
                    [c("_at"), c("_no"), linked_amount, c("status")]).alias("signature"))
-    return base.unionByName(amended).where(c("signature").isNotNull()).distinct()
+    return base.unionByName(amended).where(c("signature").isNotNull())
 
 
 def deposit_signatures(rights: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def deposit_signatures(rights: DataFrame) -> DataFrame:
     own = F.array(
         _signature("RECEIPT", [known, receipt != "", c("registered_at") != ""], [c("registered_at"), receipt, c("amount"), c("status")]),
         _signature("PARTY", [known, c("registered_at") != "", holder != ""], [c("registered_at"), holder, c("amount"), c("status")]))
-    return rights.select(*CLAIM_KEYS, F.explode(own).alias("signature")).where(c("signature").isNotNull()).distinct()
+    return rights.select(*CLAIM_KEYS, F.explode(own).alias("signature")).where(c("signature").isNotNull())
 
 
 #: Signature rows of a merge that one task walks in order; larger merges are settled in rounds.
@@ -130,6 +130,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _settle_in_rounds(keyed: DataFrame) -> DataFrame:
     """Claims dropped from merges of any size: in each round a claim with no earlier open claim on any of its
     signatures is kept and the claims sharing with it are dropped; as many rounds as the longest chain."""
+    keyed = keyed.distinct().withColumn("pos", F.struct("document_index", "seq", "claim_id"))
     first = keyed.where(F.col("document_index") == 0).select("merge_id", "signature").distinct()
     later = keyed.where(F.col("document_index") > 0)
     hit_first = later.join(first, ["merge_id", "signature"], "left_semi").select("claim_id").distinct()
@@ -154,13 +155,15 @@ def _settle_in_rounds(keyed: DataFrame) -> DataFrame:
     return dropped
 
 
-def greedy_dedupe(claims: DataFrame, signatures: DataFrame, accepted: DataFrame | None = None, walk_rows: int = WALK_ROWS) -> DataFrame:
+def greedy_dedupe(claims: DataFrame, signatures: DataFrame, accepted: DataFrame | None = None, walk_rows: int = WALK_ROWS,
+                  alone: Column | None = None) -> DataFrame:
     """Claims left after dropping, in order, every claim of a later document that
     shares a signature with a claim kept before it.
 
     ``claims``: claim_id, merge_id, document_index, seq; ``signatures``: the same with a
     signature per row; ``accepted``: the result of ``merge_check`` - claims of merges that it rejects are not merged
-    and leave. The first document is kept whole. A dropped claim does not protect or drop others.
+    and leave. The first document is kept whole. A dropped claim does not protect or drop others. ``alone``: marks
+    claims of merges with the first document only; they stay without being compared, and need no signatures.
 
     A merge is the registers of one property, so its claims sit in one bounded group: they are shuffled once, sorted,
     and walked in order with the signatures seen so far as state, whatever the length of a chain. Merges of more than
@@ -169,17 +172,19 @@ def greedy_dedupe(claims: DataFrame, signatures: DataFrame, accepted: DataFrame
     if accepted is not None:
         ok = accepted.where(F.col("reject_code").isNull()).select("merge_id")
         claims, signatures = (df.join(ok, "merge_id", "left_semi") for df in (claims, signatures))
-    order = F.struct("document_index", "seq", "claim_id")
-    keyed = cut_lineage(signatures.select("merge_id", "signature", "claim_id", "document_index", "seq", order.alias("pos")))
+    keyed = cut_lineage(signatures.select("merge_id", "signature", "claim_id", "document_index", "seq"))
     large = cut_lineage(keyed.groupBy("merge_id").agg(F.count("*").alias("_n")).where(F.col("_n") > walk_rows).select("merge_id"))
     oversized = not large.isEmpty()
     rows = keyed.join(large, "merge_id", "left_anti") if oversized else keyed
     kind = keyed.schema["claim_id"].dataType.simpleString()
-    rows = rows.select("merge_id", "claim_id", "document_index", "seq", "signature").repartition("merge_id")
+    rows = spread(rows.select("merge_id", "claim_id", "document_index", "seq", "signature").repartition("merge_id"), keyed.count(), "merge_id")
     dropped = rows.sortWithinPartitions("merge_id", "document_index", "seq", "claim_id").mapInArrow(_walk, f"claim_id {kind}")
     if oversized:
         dropped = dropped.unionByName(_settle_in_rounds(keyed.join(large, "merge_id", "left_semi")))
-    return claims.join(dropped, "claim_id", "left_anti")
+    if alone is None:
+        return claims.join(dropped, "claim_id", "left_anti")
+    alone = F.coalesce(alone, F.lit(False))
+    return claims.where(~alone).join(dropped, "claim_id", "left_anti").unionByName(claims.where(alone))
 
 
 def merged_totals(kept: DataFrame) -> DataFrame:

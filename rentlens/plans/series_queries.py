@@ -12,7 +12,7 @@ from rentlens.functions import text as T
 from rentlens.operators import asof, match, quality, reference, series
 from rentlens.plans import bindings as B
 from rentlens.plans.catalog import query
-from rentlens.session import cut_lineage, work_folder
+from rentlens.session import cut_lineage, spread, work_folder
 from rentlens.sources import sinks
 
 # ---- price index rows from the event table ---------------------------------
@@ -120,7 +120,8 @@ SELECT base_month, contract_month, expected_month, count(*) AS rows FROM m WHERE
 def publication_lag_check(spark, d) -> DataFrame:
     li = B.table(spark, d, "lineitem").select("l_orderkey", B.month_of(F.col("l_shipdate")).alias("contract_month"))
     o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), B.month_of(F.col("o_orderdate")).alias("base_month"))
-    rows = li.join(o, "l_orderkey").distinct()
+    n = li.count()
+    rows = spread(li, n, "l_orderkey").join(spread(o, n, "l_orderkey"), "l_orderkey").distinct()
     return quality.lag_violations(rows, "base_month", "contract_month", 2).groupBy(
         "base_month", "contract_month", "expected_month").agg(F.count("*").alias("rows"))
 
