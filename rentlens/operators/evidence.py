@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.functions import text as T
-from rentlens.operators.evidence_index import find_terms
+from rentlens.operators.evidence_index import find_owners, find_terms
 from rentlens.session import cut_lineage
 
 OWNER_WINDOW = 700       # fixed value: characters around a name searched for the id
@@ -23,15 +23,6 @@ def page_forms(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"canon": T.canonical(F.col("text")), "nosep": T.without_separators(F.col("text"))})
 
 
-def next_pages(pages: DataFrame) -> DataFrame:
-    """Each page with the text of the page after it (null on the last one).
-
-    One shuffle on the document; a window group is one document with its pages.
-    """
-    w = Window.partitionBy("doc_id").orderBy("page_no")
-    return pages.select("doc_id", "page_no", "text").withColumn("next_text", F.lead("text").over(w))
-
-
 def join_pages(pages: DataFrame) -> DataFrame:
     """One full text per document, pages in order."""
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
@@ -225,43 +216,15 @@ def locate_owners(owners: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``owners``: doc_id, owner_seq, name, jumin_front, address, share.
     """
-    o = owners.where(F.coalesce(F.col("name") != "", F.lit(False))).withColumns(
-        {"_name": T.canonical(F.col("name")), "_id": T.canonical(F.col("jumin_front")),
-         "_id_no": T.number_key(F.col("jumin_front"))}).where(F.col("_name") != "").alias("o")
-    p = page_forms(next_pages(pages)).alias("p")
-    j = o.join(p, (F.col("o.doc_id") == F.col("p.doc_id")) & F.contains(F.col("p.canon"), F.col("o._name"))).select(
-        "o.*", *[F.col(f"p.{c}") for c in ("page_no", "text", "next_text", "canon", "nosep")])
-    size = F.length("_name")
-    quoted = F.concat(F.lit(r"\Q"), F.col("_name"), F.lit(r"\E"))
-    pieces = F.split(F.col("canon"), quoted, -1)
-    # Start of every occurrence: lengths of the pieces before it plus the names between.
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size(pieces) - 1),
-        lambda n: F.aggregate(F.slice(pieces, 1, n), F.lit(0), lambda a, x: a + F.length(x)) + (n - 1) * size)
-
-    def near(start: Column) -> Column:
-        left = F.greatest(start - OWNER_WINDOW, F.lit(0))
-        window = F.substring(F.col("canon"), left + 1, start - left + size + OWNER_WINDOW)
-        return F.coalesce(F.contains(window, F.col("_id")) | F.contains(window, F.col("_id_no")),
-                          F.contains(window, F.col("_id")))
-
-    no_id = F.coalesce(F.col("jumin_front") == "", F.lit(True))
-    identity = no_id | ((F.col("_id") != "") & F.exists(starts, near))
-    no_address = F.coalesce(F.col("address") == "", F.lit(True))
-    j = j.where(identity)
-    here = no_address | T.address_supported(F.col("address"), F.col("text"), F.col("canon"), F.col("nosep"))
-    both = F.concat_ws("\n", "text", "next_text")
-    across = F.col("next_text").isNotNull() & T.address_supported(
-        F.col("address"), both, T.canonical(both), T.without_separators(both))
-    j = j.withColumn("n_pages", F.when(here, 1).when(across, 2)).where(F.col("n_pages").isNotNull())
-    first = j.groupBy("doc_id", "owner_seq").agg(
-        F.min_by(F.struct("page_no", "n_pages", "text", "next_text"), "page_no").alias("at"))
-    out = owners.join(first, ["doc_id", "owner_seq"]).withColumns({
-        "first_page": F.col("at.page_no"), "n_pages": F.col("at.n_pages"),
-        "_t1": F.col("at.text"), "_t2": F.when(F.col("at.n_pages") == 2, F.col("at.next_text"))})
+    named = F.coalesce(F.col("name") != "", F.lit(False))
+    keys = {"_name": F.when(named, T.canonical(F.col("name"))), "_jumin": F.col("jumin_front"), "_id": T.canonical(F.col("jumin_front")),
+            "_id_no": T.number_key(F.col("jumin_front")), "_address": F.col("address"), "_address_canon": T.canonical(F.col("address")),
+            "_address_no": T.number_key(F.col("address")), "_tokens": T.address_tokens(F.col("address"))}
+    found = find_owners(owners.withColumns(keys), pages, list(keys), OWNER_WINDOW)
     raw = raw_text([("_t1", F.col("first_page")), ("_t2", F.col("first_page") + 1)],
                    [F.col(c) for c in ("name", "jumin_front", "address", "share")])
-    return out.withColumns({"raw_text": raw, "text": F.concat_ws("\n", "_t1", "_t2")}).drop("at", "_t1", "_t2")
+    kept = ["doc_id", "owner_seq", *(c for c in owners.columns if c not in ("doc_id", "owner_seq"))]
+    return found.select(*kept, "first_page", "n_pages", raw.alias("raw_text"), F.concat_ws("\n", "_t1", "_t2").alias("text"))
 
 
 def verified_owners(owners: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:

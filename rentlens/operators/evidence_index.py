@@ -18,12 +18,14 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rentlens.functions import text as T
 
@@ -33,6 +35,7 @@ LEAD = 4
 SECTION_ROLES = "PMQ"
 _WHITE = " \t\n\x0b\x0c\r"
 _CANON = re.compile("[0-9A-Za-z가-힣]+")
+_TOKEN = re.compile("[가-힣a-z]+|[0-9]+")
 _COMPOSITE = re.compile(r"[0-9]+\([0-9]+\)")
 _SPLIT = re.compile(r"^[ \t]*[0-9]+[ \t]*$\n[ \t]*\([0-9]+\)", re.M)
 _DROPPED = dict.fromkeys(map(ord, T.DIGIT_SEPARATORS))
@@ -187,3 +190,131 @@ def find_terms(asks: DataFrame, pages: DataFrame, terms: Column) -> DataFrame:
     rows = rows.withColumns({"_terms": F.when(F.col("_page").isNull(), terms), "_heads": F.when(F.col("_page") > 0, T.line_heads(F.col("_text")))})
     schema = ST.StructType([*[ST.StructField(f.name, f.dataType) for f in a.schema], ST.StructField("_found", FOUND)])
     return rows.mapInArrow(_walker(a.columns), schema)
+
+
+class _Owners:
+    """The owners of one document that are still looked for, and the last page, whose next one has not been read."""
+
+    def __init__(self):
+        self.rows, self.open, self.found, self.page = [], defaultdict(list), {}, None
+
+    def ask(self, place: tuple[int, int], seq, keys: dict | None) -> None:
+        self.rows.append((place, seq))
+        if keys is not None:
+            self.open[seq].append(keys)
+
+    def read(self, number, text: str | None) -> None:
+        self.settle(text)
+        self.page = (number, text) if self.open and text is not None else None
+
+    def settle(self, after: str | None) -> None:
+        """Looks on the last page, and over it and the next, for each owner without a place."""
+        if self.page is None:
+            return
+        number, text = self.page
+        page, both = _OwnerPage(text), None
+        for seq, asked in list(self.open.items()):
+            pages = 0
+            for keys in asked:
+                if keys["_name"] not in page.canon or not page.names_owner(keys):
+                    continue
+                if not keys["_address"] or page.supports(keys):
+                    pages = 1
+                    break
+                if after is not None:
+                    both = both or _OwnerPage(f"{text}\n{after}")
+                    pages = 2 if both.supports(keys) else pages
+            if pages and number is None:
+                self.found.setdefault(seq, (None, None, None, None))
+            elif pages:
+                self.found[seq] = number, pages, text, after if pages == 2 else None
+                del self.open[seq]
+
+    def answers(self) -> Iterator[tuple[tuple[int, int], tuple]]:
+        self.settle(None)
+        return ((place, self.found[seq]) for place, seq in self.rows if seq in self.found)
+
+
+class _OwnerPage:
+    """A page's text, or that of two, with its forms; each is made when it is first asked for."""
+
+    def __init__(self, text: str):
+        self.text, self.canon = text, "".join(_CANON.findall(text)).lower()
+
+    @cached_property
+    def nosep(self) -> str:
+        return self.text.translate(_DROPPED)
+
+    @cached_property
+    def tokens(self) -> list[str]:
+        return _TOKEN.findall(self.text.lower())
+
+    def names_owner(self, keys: dict) -> bool:
+        """Does the id stand within the window around one of the name's occurrences, which do not overlap?"""
+        if not keys["_jumin"]:
+            return True
+        ids = [x for x in {keys["_id"], keys["_id_no"]} if x is not None and x in self.canon] if keys["_id"] else []
+        size, at = len(keys["_name"]), self.canon.find(keys["_name"])
+        while ids and at >= 0:
+            if any(self.canon.find(x, max(at - keys["_window"], 0), at + size + keys["_window"]) >= 0 for x in ids):
+                return True
+            at = self.canon.find(keys["_name"], at + size)
+        return False
+
+    def supports(self, keys: dict) -> bool:
+        """Is the address found as a whole, by its digits, or by three or more words in their order?"""
+        if keys["_address_canon"] and keys["_address_canon"] in self.canon or keys["_address_no"] and keys["_address_no"] in self.nosep:
+            return True
+        if len(keys["_tokens"]) < 3:
+            return False
+        left = iter(self.tokens)
+        return all(t in left for t in keys["_tokens"])
+
+
+def find_owners(owners: DataFrame, pages: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """The owners with the first page that supports them, ``first_page, n_pages, _t1, _t2``; others drop out.
+
+    ``owners``: doc_id, owner_seq and ``keys`` (_name, null for an owner not looked for, _jumin, _id, _id_no, _address,
+    _address_canon, _address_no, _tokens), which stay behind. Owners of one number share the first place of any of them.
+    Owners and pages are shuffled once, on the document, and a document's pages are read in order until all its owners
+    have a place; two neighbouring pages are in memory at a time.
+    """
+    a = owners.where(F.col("doc_id").isNotNull() & F.col("owner_seq").isNotNull())
+    kind, number = owners.schema["doc_id"].dataType, pages.schema["page_no"].dataType
+    p = pages.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("page_no").alias("_page"), F.col("text").alias("_text"), F.lit(True).alias("_read"))
+    rows = a.withColumn("_read", F.lit(False)).unionByName(p, allowMissingColumns=True)
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "_read", "_page")
+    columns = [c for c in owners.columns if c not in keys]
+    added = [ST.StructField("first_page", number), ST.StructField("n_pages", ST.IntegerType()), ST.StructField("_t1", ST.StringType()), ST.StructField("_t2", ST.StringType())]
+    kinds = [to_arrow_type(f.dataType) for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, doc, done = {}, None, _Owners(), []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for n, some in groupby(sorted(done, key=lambda x: x[0]), key=lambda x: x[0][0]):
+                some = list(some)
+                rows = held[n].take(pa.array([row for (_, row), _ in some], pa.int64()))
+                places = [pa.array([place[i] for _, place in some], t) for i, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *places], names=[*columns, *(f.name for f in added)])
+            done.clear()
+
+        for n, b in enumerate(batches):
+            held[n] = b.select(columns)
+            asked = [c.to_pylist() for c in b.select(keys).columns]
+            for row, (d, seq, read, page, text) in enumerate(zip(*[b.column(c).to_pylist() for c in ("doc_id", "owner_seq", "_read", "_page", "_text")])):
+                if d != key:
+                    done.extend(doc.answers())
+                    key, doc = d, _Owners()
+                if read:
+                    doc.read(page, text)
+                else:
+                    mine = dict(zip(keys, [c[row] for c in asked]), _window=window)
+                    doc.ask((n, row), seq, mine if mine["_name"] else None)
+            yield from emit()
+            live = {place[0] for place, _ in doc.rows}
+            held = {k: v for k, v in held.items() if k in live}
+        done.extend(doc.answers())
+        yield from emit()
+
+    return rows.mapInArrow(run, ST.StructType([*[owners.schema[c] for c in columns], *added]))
