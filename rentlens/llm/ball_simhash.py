@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -18,8 +19,11 @@ SHINGLE_WORDS, RADIUS, SEED = 3, 2, 42
 #: Shingles hashed at a time, so that a long text needs no more memory than a short one.
 CHUNK = 50_000
 #: Of the similarity join: words of a shingle, least Jaccard similarity, independent fingerprints and the minima of
-#: each, and rounds in which the members of a bucket are measured against its smallest before all pairs are.
+#: each, and rounds in which the members of a bucket are measured against its smallest.
 SIMILAR_WORDS, SIMILAR, PRINTS, MINIMA, STARS = 5, 0.8, 16, 5, 2
+#: Longs of a parity sketch, for how many shingles of a text one more is asked to be shared in its prefix, and rows
+#: whose shingles a task holds at a time.
+SKETCH, SHARED_EVERY, ROWS = 16, 20, 256
 
 
 def _shingle_hashes(w: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -145,24 +149,112 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return one.join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
-    """``a, b``: verified links between documents whose word shingles have a Jaccard similarity of at least ``least``.
+def marks(text: str, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """The distinct hashes of the text's shingles, ascending; a text without words has one."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(np.concatenate(list(_shingle_hashes(w or [b""], words))))
+
+
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """``SKETCH`` longs whose bits are the parities of the hashes dealt to them: two sets differ in at least as many
+    hashes as their sketches differ in bits."""
+    odd = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(int), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def _prefix(n: int, least: float) -> tuple[int, int]:
+    """How many of n marks, in any common order, hold k of those shared with a similar text of the same size or larger
+    (k grows with n), and how many marks any partner shares at least."""
+    need = math.ceil(least * n - 1e-9)
+    return min(n, n - need + n // SHARED_EVERY + 1), need // SHARED_EVERY + 1
+
+
+def _marks_of(some: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``row, n, mark`` for rows ``row, n, id, same``, from the texts of their ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                got = [marks(t, words) for t in b.column("t").to_pylist()]
+                same = [_digest(g) == x for g, x in zip(got, b.column("same").to_pylist())]
+                keep = pa.array([i for i, x in enumerate(same) if x], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("row").take(keep), b.column("n").take(keep), _lists([g for g, x in zip(got, same) if x])], names=["row", "n", "marks"])
+    found = some.select("row", "n", "id", "same").join(texts, "id").select("row", "n", "same", "t").mapInArrow(run, "row long, n int, marks array<long>")
+    return cut_lineage(found.select("row", "n", F.explode("marks").alias("mark")).distinct())
+
 
-    Documents meet in a bucket: at a value within one bit of both SimHashes, or at one of the independent fingerprints.
-    In each bucket all are measured against the smallest id; those that are not linked stay and meet again, after
-    ``STARS`` rounds in all pairs. So of two documents that meet and are similar enough one is linked to a smaller
-    one, and every link is measured on the whole texts. Similarity J is met with probability of at least
-    1 - (1 - J**5)**16: 0.998 at 0.8, above 0.9999 from 0.85.
+def _digest(hashes: np.ndarray) -> str:
+    return xxhash.xxh128_hexdigest(hashes.astype("<u8").tobytes())
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)))
+
+
+def _set_links(docs: DataFrame, texts: DataFrame, found: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Two times ``a, b``: links from each row to the smallest id with equal ``marks``, and the pairs of such ids, not
+    of one component of ``found``, that may have a similarity of at least ``least``; none that has it is missing.
+
+    ``docs``: row (a number of its own), id, n, same (a digest of the marks), prefix (their first ones), partner (how
+    many of those any partner shares at least), sketch. Of n marks a similar text has at least ceil(least * n). So two
+    similar texts share the k smallest of their common marks in their first n - ceil(least * n) + k, whatever the order
+    of marks. First in the order of the hashes, with k growing with n: texts whose prefix holds fewer marks of others
+    than any partner needs have no partner and go. Then, for those left, rare marks first and k = 1: marks of one text
+    only come first and meet nobody, and pairs meet at the rare marks after them. Each set of marks takes part once, by
+    its smallest id. ``texts`` has the texts by id.
+    """
+    groups = docs.groupBy("same").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    later = cut_lineage(docs.select("same", "row", "id").join(groups, "same").where(F.col("row") != F.col("first.row")).select("row", "id", F.col("first.id").alias("first")))
+    copies = later.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    sets = docs.join(later.select("row"), "row", "left_anti")
+    need = F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int")
+    shared = lambda some: some.withColumn("texts", F.count("*").over(Window.partitionBy("mark"))).where("texts > 1")
+    prefix = shared(sets.select("row", "partner", F.explode("prefix").alias("mark")))
+    left = cut_lineage(prefix.groupBy("row", "partner").agg(F.count("*").alias("held")).where("held >= partner").select("row"))
+    sets = cut_lineage(sets.drop("prefix", "partner").join(left, "row"))
+
+    of_text = Window.partitionBy("row")
+    rare = shared(_marks_of(sets, texts, words)).withColumns(
+        {"held": F.count("*").over(of_text), "place": F.row_number().over(of_text.orderBy("texts", "mark"))})
+    rare = rare.where(F.col("place") <= F.col("held") - need + 1).select("row", "mark")
+    roots = components(found.unionAll(copies)).select(F.col("node").alias("id"), "root")
+    known = sets.select("row", "id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rare = cut_lineage(rare.join(known, "row"))
+    x, y = rare.alias("x"), rare.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    near = ((F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9)
+            & (differ <= (F.col("x.n") + F.col("y.n")) * F.lit((1 - least) / (1 + least)) + 1e-6))
+    pairs = x.join(y, (F.col("x.mark") == F.col("y.mark")) & near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    return copies, cut_lineage(pairs)
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
+    """``a, b``: links between documents whose components are those of all pairs with a Jaccard similarity of their
+    word shingles of at least ``least``.
+
+    First documents meet in buckets, at a value within one bit of both SimHashes or at one of the independent
+    fingerprints, and are measured against the bucket's smallest id; those that are not linked meet again, ``STARS``
+    rounds in all. That links most of what is similar with few pairs, but neither do all similar documents meet nor are
+    all that meet measured. So then every pair of documents of different components that may still be similar is
+    measured (``_set_links``). Links of different texts are measured on the whole texts.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [independent_prints(t.as_py(), words) for t in b.column("t")]
-            signed = [[p - (1 << 64) if p >> 63 else p for p in g[1]] for g in got]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([g[0] for g in got], pa.int64()), pa.array(signed, pa.list_(pa.int64()))], names=["id", "fp", "prints"])
-    prints = cut_lineage(texts.mapInArrow(run, f"id {kind}, fp long, prints array<long>"))
+        signed = lambda p: p - (1 << 64) if p >> 63 else p
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                got = [(*independent_prints(t, words), marks(t, words)) for t in b.column("t").to_pylist()]
+                sizes = [_prefix(len(g[2]), least) for g in got]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), pa.array([g[0] for g in got], pa.int64()), pa.array([[signed(p) for p in g[1]] for g in got], pa.list_(pa.int64())),
+                     pa.array([len(g[2]) for g in got], pa.int32()), pa.array([_digest(g[2]) for g in got]), _lists([g[2][:q] for g, (q, _) in zip(got, sizes)]),
+                     pa.array([k for _, k in sizes], pa.int32()), pa.array([parity_sketch(g[2]) for g in got], pa.list_(pa.int64()))],
+                    names=["id", "fp", "prints", "n", "same", "prefix", "partner", "sketch"])
+    columns = f"id {kind}, fp long, prints array<long>, n int, same string, prefix array<long>, partner int, sketch array<long>"
+    prints = cut_lineage(texts.mapInArrow(run, columns).withColumn("row", F.monotonically_increasing_id()))
     masks = F.array(*[F.lit(m).cast("long") for m in ball(RADIUS // 2)])
     sent = prints.select("id", F.posexplode("prints").alias("kind", "value")).unionAll(
         prints.select("id", F.explode(masks).alias("mask"), "fp").select("id", F.lit(-1).alias("kind"), F.col("fp").bitwiseXOR(F.col("mask")).alias("value"))).distinct()
@@ -171,16 +263,17 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = cut_lineage(sent)
     met = cut_lineage(met.join(cut_lineage(hub_of(met)), key).select(*key, "id", "hub"))
     links = met.select(F.col("id").alias("a"), F.col("hub").alias("b")).limit(0)
-    for _ in range(STARS):
+    for last in range(STARS - 1, -1, -1):
         pairs = met.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         found = cut_lineage(_verified(pairs, texts, words, least).distinct())
         links = links.unionAll(found)
-        left = cut_lineage(met.where("id <> hub").join(found.select(F.col("a").alias("id"), F.col("b").alias("hub")), ["id", "hub"], "left_anti").select(*key, "id"))
-        met = cut_lineage(left.join(cut_lineage(hub_of(left)), key).select(*key, "id", "hub"))
-        if met.isEmpty():
-            return links.distinct()
-    pairs = met.select(*key, F.col("id").alias("a")).join(met.select(*key, F.col("id").alias("b")), key).where("b < a").select("a", "b").distinct()
-    return links.unionAll(cut_lineage(_verified(pairs, texts, words, least))).distinct()
+        if last:
+            left = cut_lineage(met.where("id <> hub").join(found.select(F.col("a").alias("id"), F.col("b").alias("hub")), ["id", "hub"], "left_anti").select(*key, "id"))
+            met = cut_lineage(left.join(cut_lineage(hub_of(left)), key).select(*key, "id", "hub"))
+            if met.isEmpty():
+                break
+    copies, pairs = _set_links(prints.drop("fp", "prints"), texts, links, words, least)
+    return links.unionAll(copies).unionAll(cut_lineage(_verified(pairs, texts, words, least))).distinct()
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

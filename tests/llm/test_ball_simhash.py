@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -111,3 +112,36 @@ def test_buckets_are_measured_to_the_end(spark, monkeypatch):
     rows = [(10 * k + g, " ".join([*base[g][:59], f"end{k}"])) for k in range(3) for g in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in B.drop_similar(df).collect()) == list(range(6))
+
+
+def test_links_have_the_components_of_all_similar_pairs(spark, monkeypatch):
+    """Also where no bucket brings a pair together, and where a chain runs over a document linked to its bucket's hub."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        words = [f"w{rng.randrange(40) if g % 3 == 0 else rng.randrange(900)}" for _ in range(20 + 13 * g)]
+        for k in range(10):
+            rows.append((100 * k + g, " ".join(words)))
+            words = list(words)
+            for at in rng.sample(range(len(words)), 1 + (g + k) % 3):
+                words[at] = f"new{rng.randrange(10_000)}"
+    rows += [(5000, None), (5001, " "), (5002, "one two"), (5003, "ONE  two"), (5003, "one two"), (5003, rows[5][1]), (5004, "one two three"), (None, "one two"), (6, rows[0][1])]
+    known = [(i, t or "") for i, t in rows if i is not None]
+    same = lambda t: t.lower()
+    pairs = [(i, j) for i, s in known for j, t in known if i > j and jaccard(same(s), same(t)) >= 0.8]
+    want = smallest({i for i, _ in known}, pairs)
+    assert any(want[i] != i and (i, want[i]) not in pairs for i in want)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for prints in (B.independent_prints, lambda t, words=5: (0, [7]), lambda t, words=5: (xxhash.xxh64_intdigest(t) >> 1, [rng.getrandbits(60)])):
+        monkeypatch.setattr(B, "independent_prints", prints)
+        assert smallest(want, [(r.a, r.b) for r in B.similar_links(df).collect()]) == want
+
+
+def test_sketches_differ_in_no_more_than_the_sets():
+    words = [f"w{i}" for i in range(300)]
+    one = B.marks(" ".join(words))
+    for at in range(0, 300, 30):
+        words[at] = "x"
+        other = B.marks(" ".join(words))
+        bits = sum((int(p) ^ int(q)).bit_count() if (int(p) ^ int(q)) >= 0 else ((int(p) ^ int(q)) % (1 << 64)).bit_count() for p, q in zip(B.parity_sketch(one), B.parity_sketch(other)))
+        assert 0 < bits <= len(np.setxor1d(one, other)) and len(B.parity_sketch(one)) == B.SKETCH
