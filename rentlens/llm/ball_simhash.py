@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentlens.llm.shared import components, text_of
-from rentlens.session import cut_lineage
+from rentlens.session import cut_lineage, drop_stored
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 2, 42
 #: Shingles hashed at a time, so that a long text needs no more memory than a short one.
@@ -180,7 +180,8 @@ def _marks_of(some: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 keep = pa.array([i for i, x in enumerate(same) if x], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("row").take(keep), b.column("n").take(keep), _lists([g for g, x in zip(got, same) if x])], names=["row", "n", "marks"])
     found = some.select("row", "n", "id", "same").join(texts, "id").select("row", "n", "same", "t").mapInArrow(run, "row long, n int, marks array<long>")
-    return cut_lineage(found.select("row", "n", F.explode("marks").alias("mark")).distinct())
+    # rows repeated with their id and text give a row's marks more than once
+    return found.dropDuplicates(["row"]).select("row", "n", F.explode("marks").alias("mark"))
 
 
 def _digest(hashes: np.ndarray) -> str:
@@ -201,17 +202,18 @@ def _set_links(docs: DataFrame, texts: DataFrame, found: DataFrame, words: int,
     of marks. First in the order of the hashes, with k growing with n: texts whose prefix holds fewer marks of others
     than any partner needs have no partner and go. Then, for those left, rare marks first and k = 1: marks of one text
     only come first and meet nobody, and pairs meet at the rare marks after them. Each set of marks takes part once, by
-    its smallest id. ``texts`` has the texts by id.
+    its smallest id. ``texts`` has the texts by id. ``docs`` is a stored table and is removed once it has been read.
     """
     groups = docs.groupBy("same").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     later = cut_lineage(docs.select("same", "row", "id").join(groups, "same").where(F.col("row") != F.col("first.row")).select("row", "id", F.col("first.id").alias("first")))
     copies = later.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    sets = docs.join(later.select("row"), "row", "left_anti")
+    sets = docs.drop("fp", "prints").join(later.select("row"), "row", "left_anti")
     need = F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int")
     shared = lambda some: some.withColumn("texts", F.count("*").over(Window.partitionBy("mark"))).where("texts > 1")
     prefix = shared(sets.select("row", "partner", F.explode("prefix").alias("mark")))
     left = cut_lineage(prefix.groupBy("row", "partner").agg(F.count("*").alias("held")).where("held >= partner").select("row"))
     sets = cut_lineage(sets.drop("prefix", "partner").join(left, "row"))
+    drop_stored(docs, left)
 
     of_text = Window.partitionBy("row")
     rare = shared(_marks_of(sets, texts, words)).withColumns(
@@ -225,7 +227,9 @@ def _set_links(docs: DataFrame, texts: DataFrame, found: DataFrame, words: int,
     near = ((F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9)
             & (differ <= (F.col("x.n") + F.col("y.n")) * F.lit((1 - least) / (1 + least)) + 1e-6))
     pairs = x.join(y, (F.col("x.mark") == F.col("y.mark")) & near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    return copies, cut_lineage(pairs)
+    pairs = cut_lineage(pairs)
+    drop_stored(sets, rare)
+    return copies, pairs
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
@@ -257,22 +261,29 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = cut_lineage(texts.mapInArrow(run, columns).withColumn("row", F.monotonically_increasing_id()))
     masks = F.array(*[F.lit(m).cast("long") for m in ball(RADIUS // 2)])
     sent = prints.select("id", F.posexplode("prints").alias("kind", "value")).unionAll(
-        prints.select("id", F.explode(masks).alias("mask"), "fp").select("id", F.lit(-1).alias("kind"), F.col("fp").bitwiseXOR(F.col("mask")).alias("value"))).distinct()
+        prints.select("id", F.explode(masks).alias("mask"), "fp").select("id", F.lit(-1).alias("kind"), F.col("fp").bitwiseXOR(F.col("mask")).alias("value")))
     key = ["kind", "value"]
-    hub_of = lambda m: m.groupBy(*key).agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = cut_lineage(sent)
-    met = cut_lineage(met.join(cut_lineage(hub_of(met)), key).select(*key, "id", "hub"))
-    links = met.select(F.col("id").alias("a"), F.col("hub").alias("b")).limit(0)
+
+    def meet(m: DataFrame) -> DataFrame:
+        hubs = cut_lineage(m.groupBy(*key).agg(F.min("id").alias("hub"), F.max("id").alias("_last")).where("hub <> _last").drop("_last"))
+        out = cut_lineage(m.join(hubs, key).where("id <> hub").select(*key, "id", "hub"))
+        drop_stored(hubs)
+        return out
+    met = meet(sent)
+    links = prints.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
     for last in range(STARS - 1, -1, -1):
-        pairs = met.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+        pairs = met.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         found = cut_lineage(_verified(pairs, texts, words, least).distinct())
         links = links.unionAll(found)
         if last:
-            left = cut_lineage(met.where("id <> hub").join(found.select(F.col("a").alias("id"), F.col("b").alias("hub")), ["id", "hub"], "left_anti").select(*key, "id"))
-            met = cut_lineage(left.join(cut_lineage(hub_of(left)), key).select(*key, "id", "hub"))
+            left = cut_lineage(met.join(found.select(F.col("a").alias("id"), F.col("b").alias("hub")), ["id", "hub"], "left_anti").select(*key, "id"))
+            drop_stored(met)
+            met = meet(left)
+            drop_stored(left)
             if met.isEmpty():
                 break
-    copies, pairs = _set_links(prints.drop("fp", "prints"), texts, links, words, least)
+    drop_stored(met)
+    copies, pairs = _set_links(prints, texts, links, words, least)
     return links.unionAll(copies).unionAll(cut_lineage(_verified(pairs, texts, words, least))).distinct()
 
 

@@ -145,3 +145,17 @@ def test_sketches_differ_in_no_more_than_the_sets():
         other = B.marks(" ".join(words))
         bits = sum((int(p) ^ int(q)).bit_count() if (int(p) ^ int(q)) >= 0 else ((int(p) ^ int(q)) % (1 << 64)).bit_count() for p, q in zip(B.parity_sketch(one), B.parity_sketch(other)))
         assert 0 < bits <= len(np.setxor1d(one, other)) and len(B.parity_sketch(one)) == B.SKETCH
+
+
+def test_only_links_stay_stored(spark):
+    """Hashes, buckets and shingles of the search go from the shared folder once they have been read."""
+    from pathlib import Path
+
+    from rentlens.session import work_folder
+    folder = Path(work_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    texts = [" ".join(f"w{g}_{i}" for i in range(60)) + f" end{k}" for g in range(6) for k in range(3)]
+    kept = B.drop_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 18, 3))
+    stored = [set(spark.read.parquet(str(f)).columns) for f in set(folder.iterdir()) - before if any(f.glob("*.parquet"))]
+    assert stored and not any(c & {"prefix", "sketch", "kind", "value", "hub", "mark", "held"} for c in stored)
