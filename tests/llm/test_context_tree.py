@@ -104,6 +104,28 @@ def test_tree(spark, depth, nodes, monkeypatch):
     assert np.allclose((10.0 ** tree.log10.reshape(-1, 256).astype(float)).sum(1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("depth,most,weighed", [(5, 1 << 22, 1 << 18), (5, 40, 1), (3, 0, 50), (2, 30, 7), (1, 1 << 22, 1), (0, 20, 1)])
+def test_every_context_counts(spark, depth, most, weighed, monkeypatch):
+    monkeypatch.setattr(T, "HEAD_GRAMS", most)
+    monkeypatch.setattr(T, "WEIGHED", weighed)
+    rows = [(i, t) for i, t in enumerate(TEXTS[:11])] + [(9, TEXTS[9]), (None, "the dog sat")]
+    is_train = lambda i: i is not None and i % 3 > 0
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = T.score_documents(df, F.col("doc_id") % 3 > 0, depth=depth).collect()
+    want = literal([t for i, t in rows if is_train(i)], [t for _, t in rows], depth, 1)
+    of = {(i, T.plain(t or "")): w for (i, t), w in zip(rows, want)}
+    assert sorted((str(r.doc_id), round(r.score, 3)) for r in out) == sorted((str(i), round(w, 3)) for (i, _), w in zip(rows, want))
+    assert len(of) == 12 and {r.n_bytes for r in out} == {len(t) for _, t in of}
+
+
+def test_context_of_one_text_counts_in_a_large_corpus(spark):
+    # one part in 65,536 of the bytes here is more than one occurrence
+    rows = [(i, "one two three four " * 2_000) for i in range(4)] + [(8, "qxzvjk"), (9, "qxzvjk")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rare = [r.score for r in T.score_documents(df, F.col("doc_id") < 9).collect() if r.doc_id == 9]
+    assert rare == pytest.approx(literal([t for i, t in rows if i < 9], ["qxzvjk"], 5, 1), rel=1e-4)
+
+
 def base(rows, train):
     tokens = lambda t: T.plain(t or "")[:-1].split() + [None]
     c = Counter(w for i, t in rows if train(i) for w in tokens(t))
