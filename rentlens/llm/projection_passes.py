@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentlens.llm.shared import components
-from rentlens.session import cut_lineage
+from rentlens.session import cut_lineage, drop_stored
 
 THRESHOLD = 0.93
 #: Neighbours after a vector in an order that it is compared with, bits of a sort key.
@@ -23,19 +24,24 @@ MEMBERS = 512
 #: Leaders of a block of the link step or so, pivots a larger cell is split around, times it is split, and rows a task
 #: assigns at a time. They decide only what is measured together, never what is found.
 CELL, PIVOTS, LEVELS, ASSIGN = 1024, 16, 12, 4096
+#: Bytes of the blocks that one side of a task of the link step holds, groups a label's blocks are dealt into at least,
+#: blocks whose pairs are measured in one round, and copies of a block made in each of several rounds (or so).
+GROUP_BYTES, GROUPS, ONE_ROUND, ROUND_COPIES = 1 << 24, 8, 256, 2
 #: Slack of the bounds in radians, above the rounding of an angle.
 SLACK = 1e-7
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length one. The largest component is scaled to one first, so that no square overflows or vanishes."""
+    x = np.asarray(x, float)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``id, v, label`` of the rows that can link: a label, and a vector of finite numbers that is not zero."""
-    v = F.col(vector_col).cast("array<double>")
+    """``id, v, label`` of the rows that can link: a label, and a vector of finite numbers that is not zero. Floats stay
+    floats where they are stored and moved; they are measured as doubles."""
+    v = F.col(vector_col).cast("array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return df.where(F.col(label_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(
         F.col(id_col).alias("id"), v.alias("v"), F.col(label_col).alias("label"), F.size(v).alias("dim"))
@@ -47,7 +53,7 @@ def _hashed(df: DataFrame, passes: list[int]) -> DataFrame:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for dim, part in b.groupby("dim"):
-                x = np.stack(part["v"].to_numpy())
+                x = np.stack(part["v"].to_numpy()).astype(float)
                 x = x / np.abs(x).max(1, keepdims=True)
                 for p in passes:
                     if (p, dim) not in planes:
@@ -58,15 +64,23 @@ def _hashed(df: DataFrame, passes: list[int]) -> DataFrame:
     return df.mapInPandas(run, f"{fields}, pass int, key long")
 
 
+def _in_order(df: DataFrame, passes: list[int]) -> DataFrame:
+    """The vectors in the order of each pass (label, size, key), stored."""
+    order = ["pass", "label", "dim", "key", "id"]
+    rows = _hashed(df, passes).repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut_lineage(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+
+
 def _blocks(df: DataFrame, passes: list[int]) -> DataFrame:
-    """The vectors in the order of each pass (label, size, key), dealt into blocks of consecutive ranks.
+    return _dealt(_in_order(df, passes))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The ordered vectors dealt into blocks of consecutive ranks.
 
     A block also gets the first ``WINDOW`` rows of the next one as guests, so that no neighbour is lost at an edge.
     Ranks come from a range-partitioned sort and the sizes of its partitions, of which there are few.
     """
-    order = ["pass", "label", "dim", "key", "id"]
-    rows = _hashed(df, passes).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = cut_lineage(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
     parts = rows.groupBy("part").agg((F.max("at") + 1).alias("n"))
     # one row for each partition of the sort, so both this window and the broadcast are small
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -97,7 +111,7 @@ def _banded(b: pd.DataFrame, use: Callable[[np.ndarray, np.ndarray, np.ndarray],
 
 
 def _thin(active: DataFrame, number: int, near: float) -> DataFrame:
-    """``id, leader``: vectors that give way to a neighbour of higher priority within ``near`` in the order of one pass.
+    """``id, leader``, stored: vectors that give way to a neighbour of higher priority within ``near`` in the order of one pass.
 
     Only a vector that gives way to nobody in its window leads; the priority is a hash of the id.
     """
@@ -111,8 +125,11 @@ def _thin(active: DataFrame, number: int, near: float) -> DataFrame:
         differs = ids[high] != ids[low]
         return pd.DataFrame({"id": ids[low][differs], "p": rank[high][differs], "leader": ids[high][differs]})
 
-    found = _blocks(active.withColumn("priority", F.xxhash64("id")), [number]).groupBy("block").applyInPandas(run, "id long, p long, leader long")
-    return found.groupBy("id").agg(F.max(F.struct("p", "leader")).alias("best")).select("id", F.col("best.leader").alias("leader"))
+    stored = _in_order(active.withColumn("priority", F.xxhash64("id")), [number])
+    found = _dealt(stored).groupBy("block").applyInPandas(run, "id long, p long, leader long")
+    gone = cut_lineage(found.groupBy("id").agg(F.max(F.struct("p", "leader")).alias("best")).select("id", F.col("best.leader").alias("leader")))
+    drop_stored(stored)
+    return gone
 
 
 def _tight(vectors: DataFrame, first_pass: int, near: float) -> DataFrame:
@@ -123,11 +140,13 @@ def _tight(vectors: DataFrame, first_pass: int, near: float) -> DataFrame:
     """
     active, pointers = vectors, []
     for r in range(ROUNDS):
-        gone = cut_lineage(_thin(active, first_pass + r, near))
+        gone = _thin(active, first_pass + r, near)
         if gone.isEmpty():
             break
         pointers.append(gone)
-        active = cut_lineage(active.join(gone, "id", "left_anti"))
+        before, active = active, cut_lineage(active.join(gone, "id", "left_anti"))
+        if before is not vectors:
+            drop_stored(before)
     if not pointers:
         return vectors.select("id", F.col("id").alias("leader")).limit(0)
     chain = pointers[-1]
@@ -135,12 +154,15 @@ def _tight(vectors: DataFrame, first_pass: int, near: float) -> DataFrame:
         further = chain.select(F.col("id").alias("leader"), F.col("leader").alias("to"))
         step = p.join(further, "leader", "left").select("id", F.coalesce("to", "leader").alias("leader"))
         chain = cut_lineage(step.unionAll(chain))
-    heads = cut_lineage(active.select(F.col("id").alias("leader"), F.col("v").alias("w")))
-    return cut_lineage(vectors.select("id", "v").join(chain, "id").join(heads, "leader").where(cosine(F.col("v"), F.col("w")) >= near).select("id", "leader"))
+    heads = active.select(F.col("id").alias("leader"), F.col("v").alias("w"))
+    out = cut_lineage(vectors.select("id", "v").join(chain, "id").join(heads, "leader").where(cosine(F.col("v"), F.col("w")) >= near).select("id", "leader"))
+    drop_stored(active)
+    return out
 
 
 def cosine(a, b):
     """Cosine in double precision; vectors are scaled by their largest component first, so nothing overflows."""
+    a, b = a.cast("array<double>"), b.cast("array<double>")
     big = lambda x: F.array_max(F.transform(x, F.abs))
     scaled = lambda x: F.transform(x, lambda c: c / big(x))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, c: s + c)
@@ -151,8 +173,10 @@ def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ y.T, -1, 1))
 
 
-def _cells(classes: DataFrame) -> DataFrame:
-    """The leaders with their ``cell``: labels split around pivots again and again, until cells hold ``CELL`` leaders or so.
+def _cells(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The leaders with their ``cell``, stored: labels split around pivots again and again, until cells hold ``CELL``
+    leaders or so, and the stored tables they are read from. Finished cells are set apart at each level, so that about
+    one copy of the leaders is stored.
 
     The pivot of a slot is the leader of the cell with the smallest hash among those that fall on it.
     """
@@ -164,7 +188,7 @@ def _cells(classes: DataFrame) -> DataFrame:
         sizes = cut_lineage(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > CELL))
         if sizes.isEmpty():
             break
-        done.append(rows.join(sizes, key, "left_anti"))
+        done.append(cut_lineage(rows.join(sizes, key, "left_anti")))
         many = rows.join(sizes, key).withColumn("chunks", F.ceil(F.col("n") / ASSIGN))
         mark = F.xxhash64("id", F.lit(level))
         pivots = many.groupBy(*key, "chunks", F.pmod(mark, F.lit(PIVOTS)).alias("slot")).agg(F.min_by("v", F.struct(mark, "id")).alias("v"))
@@ -179,32 +203,41 @@ def _cells(classes: DataFrame) -> DataFrame:
             # cells whose numbers happen to be equal would be measured together, no more
             return b.assign(cell=b["cell"].to_numpy() * 1_000_003 + slot + 1)[columns]
         at = [*key, "chunk"]
-        rows = cut_lineage(dealt.groupBy(*at).cogroup(pivots.groupBy(*at)).applyInPandas(assign, fields))
-    for d in done:
-        rows = rows.unionByName(d)
-    return rows
+        before, rows = rows, cut_lineage(dealt.groupBy(*at).cogroup(pivots.groupBy(*at)).applyInPandas(assign, fields))
+        if level:
+            drop_stored(before)
+    parts = [*done, rows] if done else [cut_lineage(rows)]
+    return reduce(DataFrame.unionByName, parts), parts
 
 
-def _leader_blocks(classes: DataFrame) -> DataFrame:
-    """``block, label, dim, centre, reach, packed``: the leaders of a cell, dealt by hash where it is still too large.
+def _leader_blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``block, packed``: the leaders of a cell, dealt by hash where it is still too large; and ``block, label, dim,
+    centre, reach, group``. Blocks of near cells are in one group (of a label and size).
 
     No member of the block's classes is further than ``reach`` from ``centre``.
     """
     key = ["label", "dim", "cell"]
-    rows = cut_lineage(_cells(classes))
+    rows, stored = _cells(classes)
     parts = rows.groupBy(*key).agg(F.ceil(F.count("*") / CELL).alias("parts"))
     dealt = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts"))).drop("parts")
 
     def pack(b: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(np.stack(b["v"].to_numpy()).astype(float))
+        v = np.stack(b["v"].to_numpy())
+        x = _unit(v)
         centre = x.mean(0)
         centre = centre / np.linalg.norm(centre) if centre.any() else x[0]
         reach = (_angles(x, centre[None])[:, 0] + b["radius"].to_numpy()).max()
-        packed = [b["id"].to_numpy(np.int64).tobytes(), b["size"].to_numpy(np.int64).tobytes(), b["radius"].to_numpy(float).tobytes(), x.tobytes()]
-        return pd.DataFrame({"label": b["label"][:1], "dim": b["dim"][:1], "centre": [centre], "reach": [reach], "packed": [packed]})
+        packed = [b["id"].to_numpy(np.int64).tobytes(), b["size"].to_numpy(np.int64).tobytes(), b["radius"].to_numpy(float).tobytes(), v.tobytes()]
+        return pd.DataFrame({"label": b["label"][:1], "dim": b["dim"][:1], "cell": b["cell"][:1], "centre": [centre], "reach": [reach], "packed": [packed]})
     kind = classes.schema["label"].dataType.simpleString()
-    blocks = dealt.groupBy(*key, "part").applyInPandas(pack, f"label {kind}, dim int, centre array<double>, reach double, packed array<binary>")
-    return cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
+    blocks = dealt.groupBy(*key, "part").applyInPandas(pack, f"label {kind}, dim int, cell long, centre array<double>, reach double, packed array<binary>")
+    blocks = cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
+    drop_stored(*stored)
+    # one row for each block in this window, which leaves the vectors behind
+    of_label = Window.partitionBy("label", "dim")
+    size = F.least(F.greatest(F.floor(F.lit(GROUP_BYTES) / (F.col("dim") * 8 * CELL)), F.lit(1)), F.ceil(F.count("*").over(of_label) / GROUPS))
+    place = F.row_number().over(of_label.orderBy("cell", "block")) - 1
+    return blocks, cut_lineage(blocks.select("block", "label", "dim", "centre", "reach", F.call_function("div", place.cast("long"), size).alias("group")))
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -223,51 +256,82 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 def _link_blocks(classes: DataFrame, threshold: float) -> DataFrame:
     """What all pairs of leaders say: ``id, n, hub`` (with how many vectors a leader's class links whole in one pair of
-    blocks, and the smallest leader it is linked with there), and ``id, other`` (classes some members of which may link).
+    groups of blocks, and the smallest leader it is linked with there), and ``id, other`` (classes some members of which
+    may link).
 
-    Two blocks are measured unless the triangle inequality says that no members of theirs can link. Whole links leave
-    as counts and a spanning forest, at most a row for each leader and pair of blocks.
+    Two blocks are measured unless the triangle inequality says that no members of theirs can link. A task has all
+    measured pairs of two groups, so a block is copied once for each group it meets, not for each block; many blocks go
+    in rounds, each of which makes a copy or two. Whole links leave as counts and a spanning forest, at most a row for
+    each leader and pair of groups.
     """
     angle = math.acos(threshold)
-    blocks = _leader_blocks(classes)
-    side = lambda x: blocks.select(F.col("block").alias(x), "label", "dim", F.col("centre").alias(f"c{x}"), F.col("reach").alias(f"r{x}"))
+    blocks, places = _leader_blocks(classes)
+    side = lambda x: places.select(F.col("block").alias(x), "label", "dim", F.col("centre").alias(f"c{x}"), F.col("reach").alias(f"r{x}"), F.col("group").alias(f"g{x}"))
     apart = F.acos(F.greatest(F.least(cosine(F.col("ca"), F.col("cb")), F.lit(1.0)), F.lit(-1.0)))
-    pairs = side("a").join(side("b"), ["label", "dim"]).where("a <= b").where((F.col("a") == F.col("b")) | (apart <= angle + F.col("ra") + F.col("rb") + SLACK))
-    pairs = cut_lineage(pairs.select("a", "b").repartition("a", "b"))
-    load = lambda x: pairs.join(blocks.select(F.col("block").alias(x), "packed"), x)
-    both = load("a").withColumn("second", F.lit(False)).unionByName(load("b").where("a <> b").withColumn("second", F.lit(True)))
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("second")
-        sides = []
-        for ids, size, radius, x in b["packed"]:
-            ids = np.frombuffer(ids, np.int64)
-            sides.append((ids, np.frombuffer(size, np.int64), np.frombuffer(radius), np.frombuffer(x).reshape(len(ids), -1)))
-        same = len(sides) == 1
-        (ids_a, size_a, radius_a, x), (ids_b, size_b, radius_b, y) = sides[0], sides[-1]
-        off, hits, opened = 0 if same else len(ids_a), [], []
-        for s in range(0, len(ids_a), 256):
+    pairs = side("a").join(side("b"), ["label", "dim"]).where("ga < gb OR (ga = gb AND a <= b)").where((F.col("a") == F.col("b")) | (apart <= angle + F.col("ra") + F.col("rb") + SLACK))
+    pairs = pairs.select("label", "dim", "ga", "gb", "a", "b")
+    task = ["label", "dim", "ga", "gb"]
+    none = F.lit(None).cast("long")
+    # a block once for each task that needs it, with the blocks it is measured with as the first of a pair
+    needed = pairs.select(*task, F.col("a").alias("block"), "b").unionAll(pairs.select(*task, F.col("b").alias("block"), none.alias("b")))
+    needed = cut_lineage(needed.groupBy(*task, "block").agg(F.collect_list("b").alias("partners")))
+    kind = np.float32 if classes.schema["v"].dataType.simpleString() == "array<float>" else np.float64
+
+    def measured(x, y, spread, sizes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Whole links and pairs still open, by rows of 256: the row of x, that of y, whether whole."""
+        for s in range(0, len(x), 256):
             cos = x[s:s + 256] @ y.T
-            spread = radius_a[s:s + 256, None] + radius_b[None]
+            wide = spread(slice(s, s + 256))
             far = np.arccos(np.clip(cos, -1, 1))
-            whole = np.where(spread == 0, cos >= threshold, far + spread <= angle - SLACK)
-            maybe = (far <= angle + spread + SLACK) & ~whole & ((size_a[s:s + 256, None] > 1) | (size_b[None] > 1))
-            for found, out in ((whole, hits), (maybe, opened)):
+            whole = np.where(wide == 0, cos >= threshold, far + wide <= angle - SLACK)
+            maybe = (far <= angle + wide + SLACK) & ~whole & sizes(slice(s, s + 256))
+            for found, is_whole in ((whole, True), (maybe, False)):
                 i, j = np.nonzero(found)
-                keep = (j > i + s) if same else slice(None)
-                out.append((i[keep] + s, j[keep]))
-        (i, j), (k, m) = (tuple(np.concatenate([h[t] for h in found]) for t in (0, 1)) for found in (hits, opened))
-        ids = ids_a if same else np.concatenate([ids_a, ids_b])
-        n = np.bincount(i, size_b[j], len(ids)) + np.bincount(j + off, size_a[i], len(ids))
+                yield i + s, j, is_whole
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        held = {}
+        for block, (ids, size, radius, v) in zip(b["block"], b["packed"]):
+            ids = np.frombuffer(ids, np.int64)
+            held[block] = ids, np.frombuffer(size, np.int64), np.frombuffer(radius), _unit(np.frombuffer(v, kind).reshape(len(ids), -1))
+        first = dict(zip(held, np.cumsum([0, *(len(h[0]) for h in held.values())]).tolist()))
+        ids = np.concatenate([h[0] for h in held.values()])
         # nodes by their ids, so that the smallest of a tree is the smallest id
         order = np.argsort(ids)
-        place = np.empty(len(ids), int)
-        place[order] = np.arange(len(ids))
-        hub = ids[order][_forest(place[i], place[j + off], len(ids))][place]
+        node = np.empty(len(ids), int)
+        node[order] = np.arange(len(ids))
+        n, root, opened = np.zeros(len(ids)), np.arange(len(ids)), []
+        for one, partners in zip(b["block"], b["partners"]):
+            for two in partners:
+                (ids_a, size_a, radius_a, x), (ids_b, size_b, radius_b, y) = held[one], held[two]
+                spread = lambda s: radius_a[s, None] + radius_b[None]
+                many = lambda s: (size_a[s, None] > 1) | (size_b[None] > 1)
+                links = []
+                for i, j, whole in measured(x, y, spread, many):
+                    if one == two:
+                        i, j = i[j > i], j[j > i]
+                    if whole:
+                        links.append((i, j))
+                    else:
+                        opened.append((ids_a[i], ids_b[j]))
+                i, j = (np.concatenate([h[t] for h in links]) for t in (0, 1))
+                n[first[one]:first[one] + len(ids_a)] += np.bincount(i, size_b[j], len(ids_a))
+                n[first[two]:first[two] + len(ids_b)] += np.bincount(j, size_a[i], len(ids_b))
+                # a pair's links are kept as the forest of all links so far
+                root = _forest(np.concatenate([node[first[one] + i], np.arange(len(ids))]), np.concatenate([node[first[two] + j], root]), len(ids))
         at = np.flatnonzero(n)
-        return pd.concat([pd.DataFrame({"id": ids[at], "n": n[at].astype(np.int64), "other": hub[at]}), pd.DataFrame({"id": ids_a[k], "n": 0, "other": ids_b[m]})])
-    # rows with n = 0 are classes still to be measured
-    return cut_lineage(both.groupBy("a", "b").applyInPandas(run, "id long, n long, other long"))
+        a, other = (np.concatenate([np.zeros(0, np.int64), *(o[t] for o in opened)]) for t in (0, 1))
+        return pd.concat([pd.DataFrame({"id": ids[at], "n": n[at].astype(np.int64), "other": ids[order][root[node[at]]]}), pd.DataFrame({"id": a, "n": 0, "other": other})])
+
+    sizes = places.agg(F.max("group").alias("last"), F.count("*").alias("n")).first()
+    rounds = 1 if sizes["n"] <= ONE_ROUND else -(-(sizes["last"] + 2) // ROUND_COPIES)
+    found = []
+    for r in range(rounds):
+        mine = needed.where(F.pmod(F.col("ga") + F.col("gb"), F.lit(rounds)) == r).repartition(*task)
+        # rows with n = 0 are classes still to be measured
+        found.append(cut_lineage(mine.join(blocks.select("block", "packed"), "block").groupBy(*task).applyInPandas(run, "id long, n long, other long")))
+    drop_stored(blocks, needed)
+    return reduce(DataFrame.unionAll, found)
 
 
 def near_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *,
@@ -298,12 +362,16 @@ def near_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         tight = _tight(rest, 1000 * (r + 1), near)
         leads = tight.select(F.col("leader").alias("id")).distinct()
         member = member.unionAll(tight).unionAll(leads.select("id", F.col("id").alias("leader")))
-        rest = cut_lineage(rest.join(tight, "id", "left_anti").join(leads, "id", "left_anti"))
+        before, rest = rest, cut_lineage(rest.join(tight, "id", "left_anti").join(leads, "id", "left_anti"))
+        if before is not vectors:
+            drop_stored(before)
     member = cut_lineage(member.unionAll(rest.select("id", F.col("id").alias("leader"))))
 
     heads = cut_lineage(member.select("leader").distinct().join(vectors.withColumnRenamed("id", "leader"), "leader"))
+    drop_stored(rest)
     of_class = cut_lineage(member.where("id <> leader").join(vectors.select("id", "v"), "id").join(heads.select("leader", F.col("v").alias("w")), "leader")
                            .select("id", "leader", "v", F.acos(F.least(cosine(F.col("v"), F.col("w")), F.lit(1.0))).alias("apart")))
+    drop_stored(vectors)
     sizes = of_class.groupBy("leader").agg((F.count("*") + 1).alias("size"), F.max("apart").alias("radius"))
     classes = cut_lineage(heads.join(sizes, "leader", "left").select(
         F.col("leader").alias("id"), "v", "label", "dim", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("radius", F.lit(0.0)).alias("radius")))

@@ -154,3 +154,32 @@ def test_extreme_doubles_link_like_any_other(spark):
     rows = [(0, [1e200, 0.0], 1), (1, [2e200, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1e-200, 1e-201], 1), (4, [1e-200, 1e-201], 1), (5, [0.0, 1e-320], 1)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in P.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {i: (4, 0) for i in range(5)} | {5: (0, 5)}
+
+
+def test_rounds_of_groups_lose_no_link_and_copy_blocks_less(spark, monkeypatch):
+    for name, value in (("CELL", 5), ("ASSIGN", 50), ("PIVOTS", 4), ("GROUPS", 3), ("ONE_ROUND", 4)):
+        monkeypatch.setattr(P, name, value)
+    copies, drop = [], P.drop_stored
+    monkeypatch.setattr(P, "drop_stored", lambda *tables: (copies.extend(t.select("block").collect() for t in tables if "partners" in t.columns), drop(*tables)))
+    rows = spread(np.random.default_rng(9), 80, 16, 0, 1)
+    links, root = truth(rows)
+    _, got = run(spark, rows)
+    assert {i: g[0] for i, g in got.items()} == links and {i: g[1] for i, g in got.items()} == root
+    moved = [r.block for some in copies for r in some]
+    # a block meets groups, of which there are three, not each of the other blocks
+    assert len(set(moved)) > 12 and max(moved.count(b) for b in set(moved)) <= 3
+
+
+def test_vectors_stay_floats_and_are_not_kept_in_steps(spark, monkeypatch):
+    seen, stored = [], P.cut_lineage
+    monkeypatch.setattr(P, "cut_lineage", lambda df: seen.append(stored(df)) or seen[-1])
+    rows = spread(np.random.default_rng(3), 60, 16, 0, 1) + [(500 + i, [1.0] * 15 + [i / 100], 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    P.near_links(df).collect()
+    kept = [t for t in seen if {"v", "w"} & set(t.columns)]
+    assert kept and all(t.schema["v"].dataType.simpleString() == "array<float>" for t in kept)
+    left = 0
+    for t in kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._jdf.inputFiles()[0]).getParent()
+        left += path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert left <= 3
