@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -177,6 +178,40 @@ def test_window_statistics_make_no_row_for_each_month(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_bands_and_months_are_copied_at_edges_only(spark, monkeypatch, tmp_path):
+    rng = random.Random(8)
+    t = spark.createDataFrame([(i * 10_000, rng.uniform(0, 50), dt.date(2024 + i % 2, i % 12 + 1, 3), "d") for i in range(4_000)],
+                              "deposit long, area double, contract_date date, legal_dong string")
+    slide = comparables._slide
+
+    def counting(group, window):
+        work = slide(group, window)
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    (tmp_path / uuid.uuid4().hex).write_text(str(b.num_rows))
+                    yield b
+            return work(seen())
+        return run
+    monkeypatch.setattr(comparables, "_slide", counting)
+    got = comparables.compare(t, t, (("SAME_DONG", ("legal_dong",)),), comparables.ComparableRule(window_months=6))
+    assert got.where("comparable_status = 'AVAILABLE'").count() == 4_000
+    # 4,000 questions, 4,000 counts and the ranges of 10 bands and 24 months; with a copy for each band there were over 12,000 counts
+    assert 8_000 <= sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 4_000 + 2.2 * 4_240
+
+
+def test_steps_of_the_ladder_do_not_stay_on_disk(spark, monkeypatch):
+    seen, store = [], comparables.cut_lineage
+    monkeypatch.setattr(comparables, "cut_lineage", lambda df: seen.append(store(df)) or seen[-1])
+    comparable(spark)
+    left = 0
+    for t in seen:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._jdf.inputFiles()[0]).getParent()
+        left += path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert len(seen) > 3 and left == 1
+
+
 def test_histogram_of_all_cells_equals_that_of_their_rows(spark):
     rng = random.Random(7)
     t = spark.createDataFrame([(rng.randint(1, 40) * 10**6, rng.uniform(40, 70), rng.choice([None, dt.date(2026, rng.randint(1, 9), 3)]), rng.choice(["d", "e", None])) for _ in range(500)],
