@@ -61,11 +61,13 @@ class _Needles:
     """Distinct needles by form, and those that a page holds."""
 
     def __init__(self, needles: set[tuple[str, str]]):
-        of = lambda form: [n for f, n in needles if f == form]
-        self.canon, self.digits, self.ranks = of("C"), of("N"), of("T")
-        self.split = [n for n in of("R") if _COMPOSITE.fullmatch(n)]
-        self.heads = [n for n in of("R") if not _COMPOSITE.fullmatch(n)]
-        self.longest = [max(map(len, of(f)), default=1) for f in "CNT"]
+        of = {f: [] for f in "CNTR"}
+        for f, n in needles:
+            of[f].append(n)
+        self.canon, self.digits, self.ranks = of["C"], of["N"], of["T"]
+        self.split = [n for n in of["R"] if _COMPOSITE.fullmatch(n)]
+        self.heads = [n for n in of["R"] if not _COMPOSITE.fullmatch(n)]
+        self.longest = [max(map(len, of[f]), default=1) for f in "CNT"]
         self.short = [n for n in self.canon if len(n) < LEAD]
         self.by_lead = defaultdict(list)
         for n in self.canon:
@@ -79,7 +81,7 @@ class _Needles:
         return (n for some in (self.short, *(self.by_lead.get(x, ()) for x in leads)) for n in some)
 
     def held(self, canon: str, nosep: str, text: str, heads: list[str], lines: str) -> set[tuple[str, str]]:
-        out = {("C", n) for n in self._near(canon) if n in canon}
+        out = {("C", n) for n in self._near(canon) if n in canon} if canon else set()
         if self.digits:
             out.update([("N", n) for n in self.digits if n in nosep])
         if self.ranks:
@@ -121,10 +123,11 @@ class _Document:
 
     def answers(self) -> Iterator[tuple[tuple[int, int], list[tuple]]]:
         """Each ask's place and what was found for it; asks of one number share what is found."""
+        # each needle's pages in order, once for all that ask for it
+        pages = {x: (sorted(self.ones.get(x, ())), sorted(self.twos.get(x, ()))) for x in self.ones.keys() | self.twos.keys()}
         for _, asks in groupby(sorted(self.asks, key=lambda a: a[1]), key=lambda a: a[1]):
             asks = list(asks)
-            found = [(role, idx, sorted(self.ones.get(x, ())), sorted(self.twos.get(x, ())))
-                     for _, _, terms in asks for role, idx, *needle in terms for x in [tuple(needle)] if x in self.ones or x in self.twos]
+            found = [(term[0], term[1], *pages[term[2:]]) for _, _, terms in asks for term in terms if term[2:] in pages]
             for place, _, _ in asks:
                 yield place, found
 
@@ -138,6 +141,20 @@ def _found_array(found: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["role", "idx", "ones", "twos"]))
 
 
+def _strings(column: pa.Array) -> list[str | None]:
+    """A column of strings as a list, made at once and not value by value."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(column: pa.Array) -> list[list | None]:
+    """A column of lists of strings as lists, null as none."""
+    flat, ends = _strings(column.flatten()), [0]
+    sizes = column.value_lengths().to_pylist()
+    for k in sizes:
+        ends.append(ends[-1] + (k or 0))
+    return [None if k is None else flat[a:b] for k, a, b in zip(sizes, ends, ends[1:])]
+
+
 def _walker(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, doc, done = {}, None, _Document(), []
@@ -153,10 +170,12 @@ def _walker(columns: list[str]):
             held[n] = b.select(columns)
             terms = b.column("_terms")
             flat, ends = terms.flatten(), [0]
-            parts = list(zip(*[flat.field(i).to_pylist() for i in range(4)]))
+            role, idx, form, needle = (flat.field(i) for i in range(4))
+            parts = list(zip(_strings(role), idx.to_numpy().tolist(), _strings(form), _strings(needle)))
             for k in terms.value_lengths().to_pylist():
                 ends.append(ends[-1] + (k or 0))
-            for row, (d, seq, page, text, heads) in enumerate(zip(*[b.column(c).to_pylist() for c in ("doc_id", "seq", "_page", "_text", "_heads")])):
+            read = [b.column(c).to_pylist() for c in ("doc_id", "seq", "_page")] + [_strings(b.column("_text")), _lists(b.column("_heads"))]
+            for row, (d, seq, page, text, heads) in enumerate(zip(*read)):
                 if d != key:
                     done.extend(doc.answers())
                     key, doc = d, _Document()

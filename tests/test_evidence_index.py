@@ -1,7 +1,9 @@
 """Needles of many asks found in one walk over each document."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from rentlens.operators import evidence_index as X
 from rentlens.operators.evidence_index import find_terms
 
 TERMS = "array<struct<role:string,idx:int,form:string,needle:string>>"
@@ -43,3 +45,8 @@ def test_more_needles_than_characters(spark):
     got = {r.seq: [(x.role, x.ones) for x in r._found] for r in found(spark, asks, [(1, 1, " ".join(words[10:20])), (1, 2, words[299])]).collect()}
     assert [s for s in got if ("P", [1]) in got[s]] and {s for s in got if any(x[0] == "P" for x in got[s])} == {*range(10, 20), 299}
     assert ("V", [1]) in got[110] and ("V", [2]) in got[199]
+
+
+def test_columns_are_taken_over_with_their_nulls():
+    assert X._strings(pa.array(["a", None, "가"])[1:]) == [None, "가"] and X._strings(pa.array([], pa.string())) == []
+    assert X._lists(pa.array([["x"], None, [], ["y", "z"], [None]], pa.list_(pa.string()))[1:]) == [None, [], ["y", "z"], [None]]
